@@ -1,13 +1,16 @@
 """The registered queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from gleanery.llm import exact_dedup, sharding, url_filter
+from gleanery.llm import bpe_table, exact_dedup, sharding, token_output, url_filter
 
 QUERIES = {
+    "op3_bit_planes": token_output.op3_bit_planes,
+    "op4_bpe_words": bpe_table.op4_bpe_words,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sharding": sharding.op10_sharding,
 }
 
+#: op3 and op4 have none: SQL has no byte-pair merges.
 ORACLES = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,

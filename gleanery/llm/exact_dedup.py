@@ -40,6 +40,7 @@ def state_of(spark: SparkSession, log: str, schema, work: str, bytes_per_batch:
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
         spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="2",
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
         spark__sql__streaming__noDataMicroBatches__enabled="false",
     ):
         arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(log)

@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from gleanery.llm import bpe_table, exact_dedup, sharding, token_output, url_filter
+from gleanery.llm import bpe_table, decontamination, exact_dedup, sharding, token_output, url_filter
 
 QUERIES = {
     "op3_bit_planes": token_output.op3_bit_planes,
     "op4_bpe_words": bpe_table.op4_bpe_words,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sharding": sharding.op10_sharding,
@@ -12,6 +13,7 @@ QUERIES = {
 
 #: op3 and op4 have none: SQL has no byte-pair merges.
 ORACLES = {
+    "op5_decontamination": decontamination.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_sharding": sharding.op10_sql(),

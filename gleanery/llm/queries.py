@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from gleanery.llm import bpe_table, decontamination, exact_dedup, sharding, token_output, url_filter
+from gleanery.llm import bpe_table, decontamination, exact_dedup, sharding, simhash, token_output, url_filter
 
 QUERIES = {
     "op3_bit_planes": token_output.op3_bit_planes,
     "op4_bpe_words": bpe_table.op4_bpe_words,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op7_simhash": simhash.op7_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sharding": sharding.op10_sharding,

@@ -20,7 +20,6 @@ _PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ‐-‧‰-⁞€]*")
 #: The contractions that both vocabularies keep together.
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: A run of letters never starts with an apostrophe, so trying it before the contractions changes nothing.
-SPACED = re.compile(f" ?[{LETTERS}]+|{_SHORT}| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 WORDS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|{_SHORT}|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 

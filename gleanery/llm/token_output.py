@@ -13,14 +13,17 @@ repeated after a lost executor leaves exactly one whole file.
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -28,35 +31,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import work_dir, written
-from gleanery.llm.pieces import SPACED, plain, slices, tokenizer
+from gleanery.llm.pieces import plain, slices, tokenizer
 
 MAGIC = b"IDPLANE1"
-#: Characters given to the library at once, and pieces a worker remembers (about 100 MB).
+#: Characters given to the library at once.
 BATCH_CHARS = 1 << 20
-PIECES = 500_000
 
 
-class PieceIds(dict):
-    """Piece to ids as little-endian 32-bit bytes, filled on demand; beyond ``PIECES`` entries nothing is added."""
+@cache
+def ranked(path: str) -> tiktoken.Encoding:
+    """The encoder of a rank file, once in each Python worker."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.path = path
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(tokenizer(self.path).encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < PIECES:
-            self[piece] = ids
-        return ids
+def encoded(path: str, texts: list[str], ranks: str | None = None) -> list[bytes]:
+    """The ids of each text as the tokenizers library gives them, as little-endian 32-bit bytes.
 
-
-_CACHES: dict[str, PieceIds] = {}
-
-
-def encoded(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text as the library gives them, as little-endian 32-bit bytes."""
-    known = _CACHES.setdefault(path, PieceIds(path)).__getitem__
-    out: list = [b"".join(map(known, SPACED.findall(t))) if plain(t) else None for t in texts]
+    ``ranks`` may name the same vocabulary as a rank file. Texts made of plain characters only, where both libraries
+    split alike and no special token can occur, are then encoded from it, which gives the same ids in a third of the
+    time; all others go to the tokenizers library.
+    """
+    out: list = [None] * len(texts)
+    if ranks:
+        fast = ranked(ranks).encode_ordinary
+        for i, t in enumerate(texts):
+            if plain(t):
+                out[i] = np.array(fast(t), "<u4").tobytes()
     rest = [i for i, x in enumerate(out) if x is None]
     for a, b in slices([len(texts[i]) for i in rest], BATCH_CHARS):
         for i, e in zip(rest[a:b], tokenizer(path).encode_batch([texts[i] for i in rest[a:b]], add_special_tokens=False)):
@@ -168,7 +171,7 @@ class PlaneReader:
             yield doc_id, ids[:n]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", width: int = 2, block_ids: int = 1 << 16) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", width: int = 2, block_ids: int = 1 << 16, ranks: str | None = None) -> DataFrame:
     """Encode and write all texts in ascending id order; returns the manifest, one row per file.
 
     ``file, first_id, n_docs, n_ids, bytes``. Texts are spread by id ranges over as many files as the session has
@@ -187,7 +190,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             ids, texts = batch.column(0), batch.column(1)
             for a in range(0, batch.num_rows, 256):
                 part = [t or "" for t in texts.slice(a, 256).to_pylist()]
-                for doc_id, body in zip(ids.slice(a, 256).to_pylist(), encoded(tokenizer_path, part)):
+                for doc_id, body in zip(ids.slice(a, 256).to_pylist(), encoded(tokenizer_path, part, ranks)):
                     if writer is None:
                         sink = where.open_output_stream(f"{path}/.{name}")
                         writer = PlaneWriter(sink, width, bits, block_ids)
@@ -229,5 +232,6 @@ def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = work_dir(spark, "planes")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = written(write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2), f"{folder}-manifest")
+    files = write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    manifest = written(files, f"{folder}-manifest")
     return read_token_files(manifest, folder)

@@ -15,7 +15,7 @@ from gleanery.llm.bpe_table import encode_decode, words_of
 from gleanery.llm.pieces import plain
 from gleanery.llm.token_output import PlaneReader, PlaneWriter, encoded, read_token_files, write_token_files
 
-BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+BYTE, WORD, RANKS = map(public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
 
 
 def texts():
@@ -27,14 +27,14 @@ def texts():
 
 def test_byte_pieces_equal_the_library():
     t = Tokenizer.from_file(BYTE)
-    for text, got in zip(texts(), encoded(BYTE, texts())):
+    for text, got in zip(texts(), encoded(BYTE, texts(), RANKS)):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 def test_every_plain_character_between_all_kinds():
     t, w = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     lines = [f"a{c}b {c}{c} 1{c}'{c}s {c}\n{c} ." for c in map(chr, range(0x2100)) if plain(c)]
-    for text, got in zip(lines, encoded(BYTE, lines)):
+    for text, got in zip(lines, encoded(BYTE, lines, RANKS)):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
     for text in lines:
         ids = [i for x in words_of(text, WORD) for i in w.encode(x, add_special_tokens=False).ids]
@@ -90,7 +90,7 @@ def test_files(spark, tmp_path):
     rows = [(i, x, i) for i, x in enumerate(texts()[:200])] + [(3, "again", 0), (None, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
     folder = f"file://{tmp_path}/ids"
-    manifest = write_token_files(df, folder, BYTE, 2, planes="bit").cache()
+    manifest = write_token_files(df, folder, BYTE, 2, planes="bit", ranks=RANKS).cache()
     got = read_token_files(manifest, folder).collect()
     got.sort(key=lambda r: r["start"])
     ids = {}

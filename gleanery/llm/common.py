@@ -86,3 +86,20 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     ``df`` must be a written table, so that counting it reads only footers.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def from_files(docs: DataFrame, work: str) -> DataFrame:
+    """``docs`` itself if its rows have locators, else a copy written to ``work`` whose rows have."""
+    return docs if has_locator(docs) else written(docs, work)
+
+
+#: Keys of a broadcast list of rows, 12 bytes each; beyond, Spark shuffles.
+BROADCAST_KEYS = 200_000
+
+
+def without(docs: DataFrame, gone: DataFrame, work: str) -> DataFrame:
+    """The rows of ``docs``, which come straight from files, that ``gone`` (``file, row``) does not name."""
+    keys = lambda file, row: [F.xxhash64(file, row).alias("__k"), F.hash(file, row).alias("__k2")]
+    listed = small(written(gone.select(*keys("file", "row")), work), BROADCAST_KEYS)
+    rows = docs.select("*", *keys("_metadata.file_path", "_metadata.row_index"))
+    return rows.join(listed, ["__k", "__k2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

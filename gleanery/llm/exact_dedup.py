@@ -64,8 +64,9 @@ def exact_dedup(
     text_col: str = "text",
     digest=sha256,
     bytes_per_batch: int = 1 << 34,
+    locate: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256`` (with ``locate``: ``file, row``).
 
     Texts are equal if identical after ``normalised``; null texts count as empty. Of equal texts the row with the
     smallest id stays; a null id is larger than any other, and rows that repeat an id are told apart by file and row
@@ -107,6 +108,7 @@ def exact_dedup(
         F.col("n").cast("long").alias("group_size"),
         (F.col("arrival") == F.col("keep")).alias("kept"),
         F.coalesce("sha", F.lower(F.hex("digest"))).alias("text_sha256"),
+        *([F.col("arrival.file").alias("file"), F.col("arrival.row").alias("row")] if locate else []),
     )
 
 

@@ -1,9 +1,10 @@
 """SimHash near-dedup through a Gray-order hierarchical index.
 
 Fingerprints are 64-bit SimHashes over word shingles. Equal fingerprints are one class. Classes within ``bits``
-differing bits are found in an index whose upper nodes are masked bit patterns: the 64 bits are cut into ``bits`` + 2
-blocks, and two fingerprints that differ in ``bits`` bits at most agree in two blocks at least, so each fingerprint
-is filed under every pair of its blocks (for 2 bits: four blocks of 16, six patterns of 32 shared bits). Patterns are
+differing bits are found in an index whose upper nodes are masked bit patterns: the 64 bits are cut into ``bits`` +
+``shared`` blocks, and two fingerprints that differ in ``bits`` bits at most agree in ``shared`` blocks at least, so
+each fingerprint is filed under every choice of ``shared`` blocks (for 2 bits and 2 shared: four blocks of 16, six
+patterns of 32 bits). More shared blocks mean longer patterns with fewer members each, for larger tables. Patterns are
 dealt out over the cluster. Within a task, entries of a pattern are sorted by Gray rank, which puts fingerprints
 with small differences next to each other; runs that share the next block's bits form a node of the second level, its
 members the leaves. The search adds up differing bits from the top: two nodes whose shared bits already differ in more
@@ -32,13 +33,17 @@ SEED = 42
 BLOCK, CROWD = 1 << 16, 4096
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a text: A-Z lower-cased, words between ASCII white space, repeats counted; no words: zero."""
+def fingerprint(text: str | None, words: int = 3, distinct: bool = False) -> int:
+    """The SimHash of a text: A-Z lower-cased, words between ASCII white space, repeats of shingles counted unless
+    ``distinct``; no words: zero."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
         return 0
     n = max(1, len(ws) - words + 1)
     runs = map(b" ".join, zip(*(ws[i : i + n] for i in range(words)))) if len(ws) >= words else iter([b" ".join(ws)])
+    if distinct:
+        runs = set(runs)
+        n = len(runs)
     hashes = map(xxhash.xxh64_intdigest, runs, repeat(SEED))
     ones = np.zeros(64, "i8")
     for a in range(0, n, BLOCK):
@@ -47,16 +52,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Columns ``id, fp`` (the fingerprint as a signed 64-bit integer), one row per row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, distinct: bool, locate: bool) -> DataFrame:
+    """Columns ``id, fp`` (the fingerprint as a signed 64-bit integer), one row per row; also ``file, row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), "u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("i8"))], ["id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words, distinct) for t in batch.column(1)), "u8", batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("i8")), *batch.columns[2:]], ["id", "fp", *places])
 
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    places = ["file", "row"] if locate else []
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if locate else []
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *where)
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long" + ", file string, row long" * locate)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -71,9 +78,9 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def block_masks(bits: int) -> list[int]:
-    """Masks of ``bits`` + 2 blocks that cut the 64 bits as evenly as possible."""
-    edges = [64 * i // (bits + 2) for i in range(bits + 3)]
+def block_masks(blocks: int) -> list[int]:
+    """Masks of blocks that cut the 64 bits as evenly as possible."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
@@ -84,9 +91,9 @@ def thirds(mask: int, parts: int) -> list[int]:
     return [sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:])]
 
 
-def filed(classes: DataFrame, bits: int, work: str) -> DataFrame:
-    """Index entries ``mask, pattern, fp``: each fingerprint under each pair of blocks, crowded patterns refined."""
-    masks = [a | b for a, b in combinations(block_masks(bits), 2)]
+def filed(classes: DataFrame, bits: int, shared: int, work: str) -> DataFrame:
+    """Index entries ``mask, pattern, fp``: each fingerprint under each choice of blocks, crowded patterns refined."""
+    masks = [sum(c) for c in combinations(block_masks(bits + shared), shared)]
     entry = lambda m: F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("pattern"))
     entries = classes.select(F.inline(F.array(*map(entry, masks))), "fp")
     crowded = written(entries.groupBy("mask", "pattern").count().where(F.col("count") > CROWD).drop("count"), f"{work}/crowded")
@@ -131,7 +138,16 @@ def linked(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, bits: int) ->
         if not len(a) and apart:
             break
         near = np.bitwise_count(shared[heads[a]] ^ shared[heads[a + apart]]) <= bits
-        for x in a[near].tolist():
+        a = a[near]
+        if apart:
+            # Most nodes have one member; those pairs are judged at once.
+            single = (ends[a] - heads[a] == 1) & (ends[a + apart] - heads[a + apart] == 1)
+            k, m = heads[a[single]], heads[a[single] + apart]
+            hit = np.bitwise_count(fp[k] ^ fp[m]) <= bits
+            from_.append(k[hit])
+            to.append(m[hit])
+            a = a[~single]
+        for x in a.tolist():
             i, j = (heads[x], ends[x]), (heads[x + apart], ends[x + apart])
             for k in range(*i):
                 lo = k + 1 if apart == 0 else j[0]
@@ -167,7 +183,7 @@ class Forest:
             self.up.setdefault(min(a, b), min(a, b))
 
 
-def links(classes: DataFrame, bits: int, work: str) -> DataFrame:
+def links(classes: DataFrame, bits: int, work: str, shared: int = 2) -> DataFrame:
     """Edges ``a, b`` between fingerprints within ``bits`` bits: per task a spanning forest of what it found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +200,13 @@ def links(classes: DataFrame, bits: int, work: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = filed(classes.select("fp"), bits, work)
+    entries = filed(classes.select("fp"), bits, shared, work)
     return entries.repartition(n, "mask", "pattern").mapInArrow(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, distinct: bool = False, shared: int = 2, locate: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, fingerprint, component_id`` (with ``locate``, for rows that come straight
+    from files: ``file, row``).
 
     Null and empty texts have fingerprint zero and are linked like any other. ``component_id`` is the smallest id that
     is reachable over links, the row's own included; null ids are passed over (null if a component has no other).
@@ -197,14 +214,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     work = work_dir(spark, "simhash")
-    prints = written(fingerprints(docs, id_col, text_col, words), f"{work}/prints")
+    prints = written(fingerprints(docs, id_col, text_col, words, distinct, locate), f"{work}/prints")
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), f"{work}/classes")
-    roots = components(links(classes, bits, work), work)
+    roots = components(links(classes, bits, work, shared), work)
     joined = written(classes.join(roots, classes.fp == roots.node).select("fp", "root", "least"), f"{work}/joined")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked_classes = joined.join(best, "root").select("fp", F.col("component_id").alias("reached"))
     final = written(classes.join(linked_classes, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), f"{work}/final")
-    return prints.join(final, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(final, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["file", "row"] if locate else []))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,22 +13,28 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import work_dir, write_bytes, written
+from gleanery.llm.common import located, work_dir, write_bytes, written
 from gleanery.llm.pieces import WORDS, plain, slices, tokenizer
 
 #: Bytes of the shared part of the word table.
 SHARED_BYTES = 24 << 20
-#: Distinct words that a task holds before it passes them on.
-TASK_WORDS = 200_000
+#: Distinct words that a task holds before it passes them on, and rows of a bucket of rare words.
+TASK_WORDS, BUCKET_ROWS = 400_000, 2048
+#: Words that the splitting rule finds again when they are strung together with spaces.
+_JOINABLE = re.compile("[a-zß-öø-ÿ]+")
 
 
 def words_of(text: str, path: str) -> list[str]:
@@ -51,8 +57,6 @@ def words_of(text: str, path: str) -> list[str]:
 
 
 def _around_specials(text: str, path: str) -> Iterator[tuple[str, str]]:
-    import re
-
     specials = sorted((a.content for a in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
     if not specials:
         yield text, ""
@@ -62,6 +66,25 @@ def _around_specials(text: str, path: str) -> Iterator[tuple[str, str]]:
         yield parts[k], parts[k + 1] if k + 1 < len(parts) else ""
 
 
+def word_ids(path: str, words: list[str]) -> list[bytes]:
+    """The ids of each word. Plain words are encoded as one text and told apart by word number."""
+    t = tokenizer(path)
+    out: dict[str, bytes] = {}
+    joined = [w for w in words if _JOINABLE.fullmatch(w)]
+    for a, b in slices(map(len, joined), 1 << 18):
+        part = joined[a:b]
+        e = t.encode(" ".join(part), add_special_tokens=False)
+        owner, ids = np.array(e.word_ids, "i8"), np.array(e.ids, "<u4")
+        ends = np.searchsorted(owner, np.arange(len(part)), "right") * 4
+        if owner.size and owner[-1] == len(part) - 1 and ends[-1] == ids.nbytes:
+            body = ids.tobytes()
+            out.update(zip(part, (body[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist()))))
+    rest = [w for w in words if w not in out]
+    for a, b in slices(map(len, rest), 1 << 18):
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest[a:b], t.encode_batch(rest[a:b], add_special_tokens=False)))
+    return [out[w] for w in words]
+
+
 def word_table(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     """Columns ``word, n, ids``: every distinct word once, its occurrences, its ids as little-endian 32-bit bytes."""
 
@@ -82,10 +105,7 @@ def word_table(docs: DataFrame, text_col: str, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids: list[bytes] = []
-            for a, b in slices(map(len, words), 1 << 18):
-                ids += [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch(words[a:b], add_special_tokens=False)]
+            ids = word_ids(path, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
@@ -114,8 +134,6 @@ def shared_words(table: DataFrame, limit: int) -> tuple[list, bool]:
 
 
 def _packed(rows: list) -> bytes:
-    import pickle
-
     return pickle.dumps(dict(rows), protocol=pickle.HIGHEST_PROTOCOL)
 
 
@@ -124,8 +142,6 @@ _TABLES: dict[str, dict] = {}
 
 def _table(name: str) -> dict:
     """The shared words, loaded once in each Python worker; those of an earlier run are let go."""
-    import pickle
-
     if name not in _TABLES:
         _TABLES.clear()
         with open(SparkFiles.get(name), "rb") as f:
@@ -152,49 +168,77 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     work = work_dir(spark, "words")
     id_type = docs.schema[id_col].dataType
-    table = written(word_table(docs, text_col, path), f"{work}/table")
-    rows, whole = shared_words(table, shared_bytes)
+    rows = located(docs, id_col, text_col, f"{work}/docs")
+    table = written(word_table(rows, "text", path), f"{work}/table")
+    shared, whole = shared_words(table, shared_bytes)
     name = f"{work.rsplit('/', 1)[1]}.bin"
-    write_bytes(spark, f"{work}/{name}", _packed(rows))
+    write_bytes(spark, f"{work}/{name}", _packed(shared))
     spark.sparkContext.addFile(f"{work}/{name}")
-    del rows
+    del shared
 
     finish = _finish(path, keep)
     fields = f"doc_id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    if whole:
+    rows = rows.select(F.col("id").alias("doc_id"), "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), "row")
+    rare_folder = None if whole else f"{work}/rare"
+    if rare_folder:
+        _write_rare(rows, table, name, path, rare_folder)
+
+    def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rare = _table(name), _Rare(rare_folder)
+        for batch in batches:
+            places = zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            bodies = (_joined(words_of(t.as_py() or "", path), known, rare, place) for t, *place in places)
+            yield finish(batch.column(0), bodies)
 
-        def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_of = _table(name).__getitem__
-            for batch in batches:
-                bodies = (b"".join(map(ids_of, words_of(t.as_py() or "", path))) for t in batch.column(1))
-                yield finish(batch.column(0), bodies)
+    return rows.mapInArrow(join_back, fields)
 
-        return texts.mapInArrow(direct, fields)
 
-    # The words beyond the shared part: each document's positions of them, joined on the word and gathered by row.
-    keyed = written(texts.withColumn("key", F.monotonically_increasing_id()), f"{work}/keyed")
+def _joined(words: list[str], known: dict, rare: "_Rare", place) -> bytes:
+    try:
+        return b"".join(map(known.__getitem__, words))
+    except KeyError:
+        own = rare.of(*place)
+        return b"".join([own[w] if (ids := known.get(w)) is None else ids for w in words])
 
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _table(name)
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lacks = {w for w in words_of(text.as_py() or "", path) if w not in known}
-                if lacks:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(lacks), pa.int64()), pa.array(list(lacks))], ["key", "word"])
 
-    def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write_rare(rows: DataFrame, table: DataFrame, name: str, path: str, folder: str) -> None:
+    """For each row its distinct words beyond the shared part, with ids, in one folder for each bucket of rows."""
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(name)
         for batch in batches:
-            bodies = []
-            for text, extra in zip(batch.column(1), batch.column(2).to_pylist()):
-                own = {e["word"]: e["ids"] for e in extra or ()}
-                bodies.append(b"".join(own[w] if w in own else known[w] for w in words_of(text.as_py() or "", path)))
-            yield finish(batch.column(0), bodies)
-
-    rare = keyed.select("key", "text").mapInArrow(missing, "key long, word string")
-    found = rare.join(table.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("extra"))
-    return keyed.join(found, "key", "left").select("doc_id", "text", "extra").mapInArrow(join_back, fields)
+            found: list[tuple[int, str]] = []
+            for i, text in enumerate(batch.column(0)):
+                found += [(i, w) for w in set(words_of(text.as_py() or "", path)).difference(known)]
+            at = pa.array([i for i, _ in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (1, 2, 3)), pa.array([w for _, w in found], pa.string())], ["fh", "fh2", "row", "word"])
+
+    occurrences = rows.select("text", "fh", "fh2", "row").mapInArrow(missing, "fh long, fh2 int, row long, word string")
+    # Rare words only: the shared ones would be matched in vain, and none of the others is frequent.
+    joined = occurrences.join(table.select("word", "ids"), "word")
+    bucket = F.concat_ws("_", "fh", "fh2", F.floor(F.col("row") / BUCKET_ROWS))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined.select(bucket.alias("bucket"), "row", "word", "ids").repartition(n, "bucket").write.partitionBy("bucket").parquet(folder)
+
+
+class _Rare:
+    """The rare words of the bucket that was asked for last: row to (word to ids)."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.name, self.rows = folder, None, {}
+
+    def of(self, fh: int, fh2: int, row: int) -> dict[str, bytes]:
+        name = f"{fh}_{fh2}_{row // BUCKET_ROWS}"
+        if name != self.name:
+            where, root = fs.FileSystem.from_uri(self.folder)
+            self.name, self.rows = name, {}
+            for info in where.get_file_info(fs.FileSelector(f"{root}/bucket={name}", allow_not_found=True)):
+                if info.path.endswith(".parquet"):
+                    with where.open_input_file(info.path) as f:
+                        part = pq.read_table(f, columns=["row", "word", "ids"])
+                    for r, w, ids in zip(*(part[k].to_pylist() for k in ("row", "word", "ids"))):
+                        self.rows.setdefault(r, {})[w] = ids
+        return self.rows[row]
 
 
 def _finish(path: str, keep: bool):

@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from gleanery.llm import bpe_table, decontamination, exact_dedup, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from gleanery.llm import bpe_table, decontamination, exact_dedup, line_dedup, quality, sharding, simhash, substring_dedup, token_output, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality": quality.op2_quality,
     "op3_bit_planes": token_output.op3_bit_planes,
     "op4_bpe_words": bpe_table.op4_bpe_words,

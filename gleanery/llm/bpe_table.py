@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import located, work_dir, write_bytes, written
+from gleanery.llm.common import kept_by, lean, located, work_dir, write_bytes, written
 from gleanery.llm.pieces import WORDS, plain, slices, tokenizer
 
 #: Bytes of the shared part of the word table.
@@ -109,8 +109,8 @@ def word_table(docs: DataFrame, text_col: str, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    counted = texts.mapInArrow(distinct, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(encode, "word string, n long, ids binary")
+    counted = texts.mapInArrow(lean("bpe_table", distinct), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(lean("bpe_table", encode), "word string, n long, ids binary")
 
 
 def shared_words(table: DataFrame, limit: int) -> tuple[list, bool]:
@@ -138,6 +138,7 @@ def _packed(rows: list) -> bytes:
 
 
 _TABLES: dict[str, dict] = {}
+kept_by("bpe_table", _TABLES.clear, tokenizer.cache_clear)
 
 
 def _table(name: str) -> dict:
@@ -190,7 +191,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             bodies = (_joined(words_of(t.as_py() or "", path), known, rare, place) for t, *place in places)
             yield finish(batch.column(0), bodies)
 
-    return rows.mapInArrow(join_back, fields)
+    return rows.mapInArrow(lean("bpe_table", join_back), fields)
 
 
 def _joined(words: list[str], known: dict, rare: "_Rare", place) -> bytes:
@@ -213,7 +214,7 @@ def _write_rare(rows: DataFrame, table: DataFrame, name: str, path: str, folder:
             at = pa.array([i for i, _ in found], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (1, 2, 3)), pa.array([w for _, w in found], pa.string())], ["fh", "fh2", "row", "word"])
 
-    occurrences = rows.select("text", "fh", "fh2", "row").mapInArrow(missing, "fh long, fh2 int, row long, word string")
+    occurrences = rows.select("text", "fh", "fh2", "row").mapInArrow(lean("bpe_table", missing), "fh long, fh2 int, row long, word string")
     # Rare words only: the shared ones would be matched in vain, and none of the others is frequent.
     joined = occurrences.join(table.select("word", "ids"), "word")
     bucket = F.concat_ws("_", "fh", "fh2", F.floor(F.col("row") / BUCKET_ROWS))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,3 +106,43 @@ def without(docs: DataFrame, gone: DataFrame, work: str) -> DataFrame:
     listed = small(written(gone.select(*keys("file", "row")), work), BROADCAST_KEYS)
     rows = docs.select("*", *keys("_metadata.file_path", "_metadata.row_index"))
     return rows.join(listed, ["__k", "__k2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: How to empty what each operator keeps in a Python worker between tasks.
+_KEPT: dict[str, list[Callable[[], object]]] = {}
+
+
+def kept_by(operator: str, *empty: Callable[[], object]) -> None:
+    """Register what empties an operator's caches."""
+    _KEPT.setdefault(operator, []).extend(empty)
+
+
+def _trim() -> None:
+    """Give freed memory back to the system; the allocator would keep it for this worker."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+def _only(operator: str) -> None:
+    for name, empty in _KEPT.items():
+        if name != operator:
+            for e in empty:
+                e()
+    _trim()
+
+
+def lean(operator: str, run):
+    """``run`` for mapInArrow or mapInPandas in a worker that is reused: what other operators keep in it goes first,
+    and freed memory goes back to the system when a task ends."""
+
+    def wrapped(batches):
+        _only(operator)
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped

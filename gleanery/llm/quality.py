@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import work_dir, write_bytes
+from gleanery.llm.common import kept_by, lean, work_dir, write_bytes
 from gleanery.llm.substring_dedup import SEGMENT, _mixed, _segment_hashes, _SPACE
 
 #: Bounds of the model: labelled documents, hashed terms, dimensions of the latent space; neighbours that vote.
@@ -141,10 +141,12 @@ class Model:
         v = unit((rows * self.weights) @ self.axes)
         out = np.empty(len(v))
         for a in range(0, len(v), BLOCK):
-            cosine = v[a : a + BLOCK] @ self.vectors.T
+            # Cosines to four places, ties by the order of the labelled vectors: the same whatever the block holds.
+            cosine = np.rint(v[a : a + BLOCK] @ self.vectors.T * 1e4).astype("i4")
+            rank = cosine * np.int64(len(self.labels)) - np.arange(len(self.labels))
             k = self.neighbours
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(k), (len(cosine), 1))
-            sim = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype("f8") ** 8
+            near = np.argpartition(-rank, k - 1, axis=1)[:, :k] if k < rank.shape[1] else np.tile(np.arange(k), (len(rank), 1))
+            sim = (np.maximum(np.take_along_axis(cosine, near, 1), 0) / 1e4) ** 8
             total = sim.sum(axis=1)
             vote = (sim * self.labels[near]).sum(axis=1)
             out[a : a + BLOCK] = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
@@ -176,13 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
                 body = [r.astype("f2").tobytes() for r in term_rows(part.column(1).to_pylist(), terms)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(body, pa.binary())], ["id", "label", "row"])
 
-    got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, row binary").toPandas()
+    got = rows.mapInArrow(lean("quality", run), f"id {rows.schema['id'].dataType.simpleString()}, label int, row binary").toPandas()
     got = got.sort_values(["id", "label", "row"]).head(labelled)
     matrix = np.frombuffer(b"".join(map(bytes, got["row"])), "f2").reshape(-1, terms).astype("f4")
     return Model.fit(matrix, got["label"].to_numpy("f4"), dimensions)
 
 
 _MODELS: dict[str, Model] = {}
+kept_by("quality", _MODELS.clear)
 
 
 def _model(name: str) -> Model:
@@ -215,7 +218,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
                 extra = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype("i4"), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*columns, "score", "predicted"])
 
-    return docs.toDF(*columns).mapInArrow(run, schema).toDF(*docs.columns, "score", "predicted")
+    return docs.toDF(*columns).mapInArrow(lean("quality", run), schema).toDF(*docs.columns, "score", "predicted")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

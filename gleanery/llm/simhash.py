@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import work_dir, written
+from gleanery.llm.common import lean, work_dir, written
 from gleanery.llm.components import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, distin
     places = ["file", "row"] if locate else []
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if locate else []
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *where)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long" + ", file string, row long" * locate)
+    return source.mapInArrow(lean("simhash", run), f"id {source.schema['id'].dataType.simpleString()}, fp long" + ", file string, row long" * locate)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def links(classes: DataFrame, bits: int, work: str, shared: int = 2) -> DataFram
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = filed(classes.select("fp"), bits, shared, work)
-    return entries.repartition(n, "mask", "pattern").mapInArrow(run, "a long, b long")
+    return entries.repartition(n, "mask", "pattern").mapInArrow(lean("simhash", run), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, distinct: bool = False, shared: int = 2, locate: bool = False) -> DataFrame:

@@ -28,15 +28,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import located, work_dir
+from gleanery.llm.common import kept_by, lean, located, work_dir
 
 #: Rows of a chunk, buckets of hashes and digests, and bytes of text hashed at once.
-CHUNK_ROWS, BUCKETS, SEGMENT = 1024, 256, 4 << 20
+CHUNK_ROWS, BUCKETS, SEGMENT = 1024, 256, 1 << 20
 #: Fixed odd multipliers of the rolling hashes: bytes, words (anchors), words (two digests).
 BYTES, ANCHOR, DIGEST_1, DIGEST_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, "?")
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+kept_by("hashes", _POWERS.clear)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,15 +365,15 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     rows = located(docs, id_col, text_col, f"{work}/docs")
     rows = rows.select(F.col("id").cast("long").alias("doc_id"), "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), "row")
 
-    sent = rows.mapInArrow(_send_anchors(window), "chunk string, bucket int, all binary, twice binary, blocks binary")
-    found = sent.repartition(n, "bucket").mapInArrow(_repeated_blocks, "chunk string, bucket int, hits binary")
+    sent = rows.mapInArrow(lean("substring_dedup", _send_anchors(window)), "chunk string, bucket int, all binary, twice binary, blocks binary")
+    found = sent.repartition(n, "bucket").mapInArrow(lean("substring_dedup", _repeated_blocks), "chunk string, bucket int, hits binary")
     anchors = _answered(found, n, f"{work}/anchors")
 
-    sent = rows.mapInArrow(_send_windows(window, anchors), "chunk string, bucket int, base long, one binary, two binary, ids binary")
-    found = sent.repartition(n, "bucket").mapInArrow(_smallest_documents, "chunk string, one binary, two binary, least binary")
+    sent = rows.mapInArrow(lean("substring_dedup", _send_windows(window, anchors)), "chunk string, bucket int, base long, one binary, two binary, ids binary")
+    found = sent.repartition(n, "bucket").mapInArrow(lean("substring_dedup", _smallest_documents), "chunk string, one binary, two binary, least binary")
     repeats = _answered(found, n, f"{work}/repeats")
 
-    return rows.mapInArrow(_removed(window, repeats, keep), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep)
+    return rows.mapInArrow(lean("substring_dedup", _removed(window, repeats, keep)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

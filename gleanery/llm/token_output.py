@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import work_dir, written
+from gleanery.llm.common import kept_by, lean, work_dir, written
 from gleanery.llm.pieces import plain, slices, tokenizer
 
 MAGIC = b"IDPLANE1"
@@ -47,6 +47,9 @@ def ranked(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+kept_by("token_output", ranked.cache_clear)
+
+
 def encoded(path: str, texts: list[str], ranks: str | None = None) -> list[bytes]:
     """The ids of each text as the tokenizers library gives them, as little-endian 32-bit bytes.
 
@@ -204,7 +207,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(write, "file string, first_id long, n_docs long, n_ids long")
+    return rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(lean("token_output", write), "file string, first_id long, n_docs long, n_ids long")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -224,7 +227,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     before = W.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return based.repartitionByRange(n, "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartitionByRange(n, "base").mapInArrow(lean("token_output", read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

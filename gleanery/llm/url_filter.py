@@ -16,7 +16,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import work_dir, write_bytes
+from gleanery.llm.common import lean, work_dir, write_bytes
 
 #: Host, path and verdict of each rule of the query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -131,7 +131,7 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     ids = pages.schema[id_col].dataType.simpleString()
     source = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
-    return source.mapInPandas(run, f"page_id {ids}, host string, path string, rule string, verdict string")
+    return source.mapInPandas(lean("url_filter", run), f"page_id {ids}, host string, path string, rule string, verdict string")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,6 @@ def candidates(bodies: DataFrame, parse, **options) -> DataFrame:
                     rows += [{"source": source, "position": k} | item for k, item in enumerate(parse(bytes(body), base, **options))]
                 except (ValueError, ElementTree.ParseError) as e:
                     rows.append({"source": source, "position": 0, "error": str(e)})
-            yield pd.DataFrame(rows, columns=columns).astype({"position": "int32"})
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return bodies.select("source", "base", "body").mapInPandas(run, CANDIDATES)

@@ -65,7 +65,7 @@ def dataset_folder(mode: str, root: str) -> tuple[str, str | None]:
 
 def cached_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``article_id, version, text`` of body files named ``<id>_v<version>.txt``."""
-    read = spark.read.option("wholetext", True).text(folder)
+    read = spark.read.text(folder, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_v(\d+)\.txt$", 1)
     version = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_v(\d+)\.txt$", 2)
     return read.select(name.alias("article_id"), version.cast("int").alias("version"), F.col("value").alias("text"))

@@ -25,7 +25,7 @@ from gleanery.llm.simhash import simhash_components
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good, learned from the labels of ``sf_dir``."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
-    return scored(docs, model).where("predicted = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return scored(docs, model, names=("__score", "__predicted")).where("__predicted = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

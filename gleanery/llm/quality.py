@@ -196,15 +196,15 @@ def _model(name: str) -> Model:
     return _MODELS[name]
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from
-    ``threshold`` on) put in place of columns of these names. Null texts count as empty. Nothing is shuffled."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` with a score (0 to 1, higher: label 1 likelier) and a prediction (1 from ``threshold``
+    on), which take the place of columns of the same ``names``. Null texts count as empty. Nothing is shuffled."""
     spark = docs.sparkSession
     work = work_dir(spark, "quality")
     name = work.rsplit("/", 1)[1] + ".bin"
     write_bytes(spark, f"{work}/{name}", pickle.dumps(model))
     spark.sparkContext.addFile(f"{work}/{name}")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "predicted")))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in names))
     at = docs.columns.index(text_col)
     columns = [f"c{k}" for k in range(len(docs.columns))]
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, docs.schema)) + ", score double, predicted int"
@@ -218,7 +218,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
                 extra = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype("i4"), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*columns, "score", "predicted"])
 
-    return docs.toDF(*columns).mapInArrow(lean("quality", run), schema).toDF(*docs.columns, "score", "predicted")
+    return docs.toDF(*columns).mapInArrow(lean("quality", run), schema).toDF(*docs.columns, *names)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,16 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_stay(spark, folder, tmp_path):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "doc_id as score", "1 as predicted", "'f' as file", "2L as row", "3 as keep", "array(doc_id) as k", "named_struct('a', lang) as fp")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, path)
+        if k < 4:
+            assert out.schema.names == docs.schema.names
+            out.write.parquet(f"{tmp_path}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+            assert docs.where("not score <=> doc_id or predicted <> 1 or file <> 'f' or row <> 2 or fp.a <> lang").count() == 0
+    assert out.count() == docs.count() > 0

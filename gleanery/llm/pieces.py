@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 #: Letters, numbers and white space among the characters of plain texts (Latin-1 and general punctuation).
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"
-SPACES = " \t\n\r"
-_PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ‐-‧‰-⁞€]*")
+SPACES = " \t\n\r\x0b\x0c"
+_PLAIN = re.compile("[\x00-\x7f¡-¬®-ÿ‐-‧‰-⁞€]*")
 #: The contractions that both vocabularies keep together.
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: A run of letters never starts with an apostrophe, so trying it before the contractions changes nothing.
@@ -24,7 +24,8 @@ WORDS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|{_SHORT}|[^{SPACES}{LETTERS}{NUMBE
 
 
 def plain(text: str) -> bool:
-    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+    """ASCII texts are told at once: a string knows whether it is ASCII."""
+    return "<|" not in text and (text.isascii() or _PLAIN.fullmatch(text) is not None)
 
 
 @cache

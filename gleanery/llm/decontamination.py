@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import located, small, work_dir, written
 
-#: A word is a run of digits, ASCII letters and all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word is a run of digits, ASCII letters and all characters beyond ASCII. Listing these, instead of
+#: negating the rest, is many times faster in Java.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+WORD_ANY_CASE = r"[0-9a-zA-Z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 5
 #: Rows of a broadcast table of windows (under 300 bytes each) or of document keys; beyond, Spark shuffles.

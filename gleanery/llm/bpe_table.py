@@ -1,12 +1,13 @@
 """BPE through a table of distinct words: each distinct word is encoded once, ids are joined back by position.
 
-1. A pass over all texts splits them and collects each task's distinct words; a grouping in Spark leaves every word of
-   the corpus once, with its number of occurrences.
+1. A pass over all texts splits them and writes the distinct words of each bucket, a run of rows of one file. A grouping
+   in Spark leaves every word of the corpus once, with the number of buckets that have it.
 2. The words are encoded, each once, into the word table.
 3. A second pass joins ids to the words of each text by position. Word frequencies are very uneven, so a shuffle by
-   word would send a large part of all positions to one task. Instead the most frequent words, up to a fixed number
-   of table bytes, go to every worker; they cover nearly all positions. The positions of the others, each of them
-   rare, are joined by a shuffle on the word and grouped by document.
+   word would send a large part of all positions to one task. Instead the words of most buckets, up to a fixed number
+   of table bytes, go to every worker; they cover nearly all positions. The others are joined with the buckets that
+   have them, one row for each bucket and word, and written in one folder for each bucket; a task that reads texts in
+   file order opens the buckets it comes to. Texts themselves are never shuffled.
 4. Decoding joins each id to its piece; the vocabulary, of fixed size, is at hand in every worker.
 """
 
@@ -15,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from gleanery.llm.pieces import WORDS, plain, slices, tokenizer
 
 #: Bytes of the shared part of the word table.
 SHARED_BYTES = 24 << 20
-#: Distinct words that a task holds before it passes them on, and rows of a bucket of rare words.
+#: Distinct words that a task holds before it passes them on, and rows of a bucket.
 TASK_WORDS, BUCKET_ROWS = 400_000, 2048
 #: Words that the splitting rule finds again when they are strung together with spaces.
 _JOINABLE = re.compile("[a-zß-öø-ÿ]+")
@@ -85,36 +85,46 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
     return [out[w] for w in words]
 
 
-def word_table(docs: DataFrame, text_col: str, path: str) -> DataFrame:
-    """Columns ``word, n, ids``: every distinct word once, its occurrences, its ids as little-endian 32-bit bytes."""
+def words_seen(rows: DataFrame, path: str) -> DataFrame:
+    """``fh, fh2, bucket, word``: the distinct words of each bucket of ``text, fh, fh2, row``."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, seen = None, set()
 
         def passed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            n = len(seen)
+            at = [pa.array(np.full(n, v, t)) for v, t in zip(place, ("i8", "i4", "i8"))]
+            out = pa.RecordBatch.from_arrays([*at, pa.array(list(seen), pa.string())], ["fh", "fh2", "bucket", "word"])
             seen.clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py() or "", path))
-                if len(seen) >= TASK_WORDS:
+            for text, fh, fh2, row in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                now = (fh, fh2, row // BUCKET_ROWS)
+                if seen and (now != place or len(seen) >= TASK_WORDS):
                     yield passed()
-        yield passed()
+                place = now
+                seen.update(words_of(text.as_py() or "", path))
+        if seen:
+            yield passed()
+
+    return rows.select("text", "fh", "fh2", "row").mapInArrow(lean("bpe_table", run), "fh long, fh2 int, bucket long, word string")
+
+
+def word_table(seen: DataFrame, path: str) -> DataFrame:
+    """Columns ``word, n, ids``: every word once, how many buckets have it, its ids as little-endian 32-bit bytes."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = word_ids(path, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    counted = texts.mapInArrow(lean("bpe_table", distinct), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counted.mapInArrow(lean("bpe_table", encode), "word string, n long, ids binary")
 
 
 def shared_words(table: DataFrame, limit: int) -> tuple[list, bool]:
-    """The most frequent words with their ids, up to ``limit`` bytes of both, and whether these are all.
+    """The words of most buckets with their ids, up to ``limit`` bytes of both, and whether these are all.
 
     The cut is a count: words at or above it fit. It comes from sums over 256 classes of counts (of powers of two,
     a quarter apart), so only these sums and the chosen words reach the driver.
@@ -133,15 +143,24 @@ def shared_words(table: DataFrame, limit: int) -> tuple[list, bool]:
     return [(r["word"], bytes(r["ids"])) for r in rows.toLocalIterator()], cut == min(sums)
 
 
+class Known(dict):
+    """Word to ids; a word beyond the shared part is looked up in ``rare``."""
+
+    rare: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rare[word]
+
+
 def _packed(rows: list) -> bytes:
-    return pickle.dumps(dict(rows), protocol=pickle.HIGHEST_PROTOCOL)
+    return pickle.dumps(Known(rows), protocol=pickle.HIGHEST_PROTOCOL)
 
 
-_TABLES: dict[str, dict] = {}
+_TABLES: dict[str, Known] = {}
 kept_by("bpe_table", _TABLES.clear, tokenizer.cache_clear)
 
 
-def _table(name: str) -> dict:
+def _table(name: str) -> Known:
     """The shared words, loaded once in each Python worker; those of an earlier run are let go."""
     if name not in _TABLES:
         _TABLES.clear()
@@ -170,7 +189,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     work = work_dir(spark, "words")
     id_type = docs.schema[id_col].dataType
     rows = located(docs, id_col, text_col, f"{work}/docs")
-    table = written(word_table(rows, "text", path), f"{work}/table")
+    rows = rows.select(F.col("id").alias("doc_id"), "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), "row")
+    seen = written(words_seen(rows, path), f"{work}/seen")
+    table = written(word_table(seen, path), f"{work}/table")
     shared, whole = shared_words(table, shared_bytes)
     name = f"{work.rsplit('/', 1)[1]}.bin"
     write_bytes(spark, f"{work}/{name}", _packed(shared))
@@ -179,67 +200,56 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     finish = _finish(path, keep)
     fields = f"doc_id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    rows = rows.select(F.col("id").alias("doc_id"), "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), "row")
     rare_folder = None if whole else f"{work}/rare"
     if rare_folder:
-        _write_rare(rows, table, name, path, rare_folder)
+        _write_rare(seen, table, name, rare_folder)
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rare = _table(name), _Rare(rare_folder)
-        for batch in batches:
-            places = zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            bodies = (_joined(words_of(t.as_py() or "", path), known, rare, place) for t, *place in places)
-            yield finish(batch.column(0), bodies)
 
-    return rows.mapInArrow(lean("bpe_table", join_back), fields)
+        def body(text, fh: int, fh2: int, row: int) -> bytes:
+            known.rare = rare.of(fh, fh2, row // BUCKET_ROWS)
+            return b"".join(map(known.__getitem__, words_of(text.as_py() or "", path)))
 
+        for batch in batches:
+            places = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            yield finish(batch.column(0), map(body, batch.column(1), *places))
 
-def _joined(words: list[str], known: dict, rare: "_Rare", place) -> bytes:
-    try:
-        return b"".join(map(known.__getitem__, words))
-    except KeyError:
-        own = rare.of(*place)
-        return b"".join([own[w] if (ids := known.get(w)) is None else ids for w in words])
+    return rows.mapInArrow(lean("bpe_table", join_back), fields)
 
 
-def _write_rare(rows: DataFrame, table: DataFrame, name: str, path: str, folder: str) -> None:
-    """For each row its distinct words beyond the shared part, with ids, in one folder for each bucket of rows."""
+def _write_rare(seen: DataFrame, table: DataFrame, name: str, folder: str) -> None:
+    """For each bucket its words beyond the shared part, with ids, in a folder of its name."""
 
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(name)
         for batch in batches:
-            found: list[tuple[int, str]] = []
-            for i, text in enumerate(batch.column(0)):
-                found += [(i, w) for w in set(words_of(text.as_py() or "", path)).difference(known)]
-            at = pa.array([i for i, _ in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (1, 2, 3)), pa.array([w for _, w in found], pa.string())], ["fh", "fh2", "row", "word"])
+            yield batch.filter(pa.array([w not in known for w in batch.column(3).to_pylist()], pa.bool_()))
 
-    occurrences = rows.select("text", "fh", "fh2", "row").mapInArrow(lean("bpe_table", missing), "fh long, fh2 int, row long, word string")
-    # Rare words only: the shared ones would be matched in vain, and none of the others is frequent.
-    joined = occurrences.join(table.select("word", "ids"), "word")
-    bucket = F.concat_ws("_", "fh", "fh2", F.floor(F.col("row") / BUCKET_ROWS))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined.select(bucket.alias("bucket"), "row", "word", "ids").repartition(n, "bucket").write.partitionBy("bucket").parquet(folder)
+    rare = seen.mapInArrow(lean("bpe_table", beyond), "fh long, fh2 int, bucket long, word string")
+    # One row for each bucket and word, and no shared words: no key of this join is frequent.
+    joined = rare.join(table.select("word", "ids"), "word")
+    n = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined.select(F.concat_ws("_", "fh", "fh2", "bucket").alias("at"), "word", "ids").repartition(n, "at").write.partitionBy("at").parquet(folder)
 
 
 class _Rare:
-    """The rare words of the bucket that was asked for last: row to (word to ids)."""
+    """The rare words of the bucket that was asked for last."""
 
     def __init__(self, folder: str | None):
-        self.folder, self.name, self.rows = folder, None, {}
+        self.folder, self.name, self.words = folder, None, {}
 
-    def of(self, fh: int, fh2: int, row: int) -> dict[str, bytes]:
-        name = f"{fh}_{fh2}_{row // BUCKET_ROWS}"
-        if name != self.name:
+    def of(self, fh: int, fh2: int, bucket: int) -> dict[str, bytes]:
+        name = (fh, fh2, bucket)
+        if self.folder and name != self.name:
             where, root = fs.FileSystem.from_uri(self.folder)
-            self.name, self.rows = name, {}
-            for info in where.get_file_info(fs.FileSelector(f"{root}/bucket={name}", allow_not_found=True)):
+            self.name, self.words = name, {}
+            for info in where.get_file_info(fs.FileSelector(f"{root}/at={fh}_{fh2}_{bucket}", allow_not_found=True)):
                 if info.path.endswith(".parquet"):
                     with where.open_input_file(info.path) as f:
-                        part = pq.read_table(f, columns=["row", "word", "ids"])
-                    for r, w, ids in zip(*(part[k].to_pylist() for k in ("row", "word", "ids"))):
-                        self.rows.setdefault(r, {})[w] = ids
-        return self.rows[row]
+                        part = pq.read_table(f, columns=["word", "ids"])
+                    self.words.update(zip(part["word"].to_pylist(), part["ids"].to_pylist()))
+        return self.words
 
 
 def _finish(path: str, keep: bool):

@@ -98,9 +98,14 @@ def article_id(url: Column) -> Column:
     return F.concat(F.lit("a_"), F.substring(F.sha2(url, 256), 1, 16))
 
 
+#: Marks that Markdown or HTML would interpret, and what a spreadsheet would take for a formula.
+MARKS = r"([\\`*_{}\[\]()#+\-.!|<>~])"
+FORMULA, CONTROL = r"(?U)^\s*[=+\-@]", "^[\t\r]"
+
+
 def markdown(text: Column) -> Column:
     """Markdown and HTML marks escaped, line feeds as spaces."""
-    return F.regexp_replace(F.regexp_replace(text, "\n", " "), r"([\\`*_{}\[\]()#+\-.!|<>~])", r"\\$1")
+    return F.regexp_replace(F.regexp_replace(text, "\n", " "), MARKS, r"\\$1")
 
 
 def markdown_url(url: Column) -> Column:
@@ -112,7 +117,7 @@ def markdown_url(url: Column) -> Column:
 def csv_cell(value: Column) -> Column:
     """One CSV cell: a quote mark before what a spreadsheet would take for a formula, RFC 4180 quoting."""
     text = F.coalesce(value.cast("string"), F.lit(""))
-    guarded = F.when(text.rlike(r"(?U)^\s*[=+\-@]") | text.rlike("^[\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+    guarded = F.when(text.rlike(FORMULA) | text.rlike(CONTROL), F.concat(F.lit("'"), text)).otherwise(text)
     quoted = F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(guarded.rlike('[",\r\n]'), quoted).otherwise(guarded)
 

@@ -30,7 +30,7 @@ from gleanery.llm.common import kept_by, lean, located, work_dir, write_bytes, w
 from gleanery.llm.pieces import WORDS, plain, slices, tokenizer
 
 #: Bytes of the shared part of the word table.
-SHARED_BYTES = 24 << 20
+SHARED_BYTES = 16 << 20
 #: Distinct words that a task holds before it passes them on, and rows of a bucket.
 TASK_WORDS, BUCKET_ROWS = 400_000, 2048
 #: Words that the splitting rule finds again when they are strung together with spaces.
@@ -118,6 +118,7 @@ def word_table(seen: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids = word_ids(path, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+        tokenizer.cache_clear()  # what follows in this worker hardly needs it
 
     counted = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counted.mapInArrow(lean("bpe_table", encode), "word string, n long, ids binary")
@@ -144,16 +145,19 @@ def shared_words(table: DataFrame, limit: int) -> tuple[list, bool]:
 
 
 class Known(dict):
-    """Word to ids; a word beyond the shared part is looked up in ``rare``."""
+    """Word to ids; a word beyond the shared part is looked up in ``rare``. ``pieces``: id to piece, for decoding."""
 
     rare: dict[str, bytes] = {}
+    pieces: list[str] = []
 
     def __missing__(self, word: str) -> bytes:
         return self.rare[word]
 
 
-def _packed(rows: list) -> bytes:
-    return pickle.dumps(Known(rows), protocol=pickle.HIGHEST_PROTOCOL)
+def _packed(rows: list, path: str) -> bytes:
+    known = Known(rows)
+    known.pieces = pieces_of(path)
+    return pickle.dumps(known, protocol=pickle.HIGHEST_PROTOCOL)
 
 
 _TABLES: dict[str, Known] = {}
@@ -194,11 +198,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     table = written(word_table(seen, path), f"{work}/table")
     shared, whole = shared_words(table, shared_bytes)
     name = f"{work.rsplit('/', 1)[1]}.bin"
-    write_bytes(spark, f"{work}/{name}", _packed(shared))
+    write_bytes(spark, f"{work}/{name}", _packed(shared, path))
     spark.sparkContext.addFile(f"{work}/{name}")
     del shared
 
-    finish = _finish(path, keep)
+    finish = _finish(keep)
     fields = f"doc_id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
     rare_folder = None if whole else f"{work}/rare"
     if rare_folder:
@@ -213,7 +217,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             places = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            yield finish(batch.column(0), map(body, batch.column(1), *places))
+            yield finish(batch.column(0), map(body, batch.column(1), *places), known.pieces)
 
     return rows.mapInArrow(lean("bpe_table", join_back), fields)
 
@@ -252,11 +256,10 @@ class _Rare:
         return self.words
 
 
-def _finish(path: str, keep: bool):
+def _finish(keep: bool):
     """Ids to result columns; decoding looks each id up in the vocabulary and joins pieces as the library does."""
 
-    def run(doc_ids: pa.Array, bodies) -> pa.RecordBatch:
-        piece = _PIECES.setdefault(path, pieces_of(path)) if path not in _PIECES else _PIECES[path]
+    def run(doc_ids: pa.Array, bodies, piece: list[str]) -> pa.RecordBatch:
         n, sha, plain_sha, ids, texts = [], [], [], [], []
         for body in bodies:
             decoded = " ".join(map(piece.__getitem__, np.frombuffer(body, "<u4").tolist()))
@@ -275,9 +278,6 @@ def _finish(path: str, keep: bool):
     return run
 
 
-_PIECES: dict[str, list[str]] = {}
-
-
 def op4_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

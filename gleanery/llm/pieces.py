@@ -7,6 +7,7 @@ library as a whole. Encoding a piece alone gives the ids it has inside a text.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
 
@@ -30,7 +31,9 @@ def plain(text: str) -> bool:
 
 @cache
 def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file, once in each Python worker, without truncation or padding."""
+    """The tokenizer of a file, once in each Python worker, without truncation or padding. Spark's tasks are the
+    parallelism: threads of the library's own would only add memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()

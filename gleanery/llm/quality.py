@@ -26,8 +26,8 @@ from gleanery.llm.substring_dedup import SEGMENT, _mixed, _segment_hashes, _SPAC
 
 #: Bounds of the model: labelled documents, hashed terms, dimensions of the latent space; neighbours that vote.
 LABELLED, TERMS, DIMENSIONS, NEIGHBOURS = 4096, 2048, 64, 15
-#: Documents of a block of cosines.
-BLOCK = 1024
+#: Documents of a block of cosines; with 4,096 labelled vectors its arrays take about 30 MB.
+BLOCK = 256
 _CLASS = np.arange(256, dtype="u1")
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
 _CLASS[ord("A") : ord("Z") + 1] = ord("A")

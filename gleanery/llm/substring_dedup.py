@@ -12,7 +12,7 @@ reference index, every rolling window of block length probes it, and only around
 
 Texts never leave their scan. Hashes travel as packed arrays, once for each chunk, so a passage that very many
 documents share costs a bucket one entry for each chunk. Answers come back as files, one folder for each chunk. A
-digest has 104 bits, over word hashes that see every byte.
+digest has 96 bits, over 64-bit word hashes that see every byte.
 """
 
 from __future__ import annotations

@@ -52,10 +52,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts of what is left."""
+    """Token counts and digests of ids and decoded texts of what is left. Executors have run four stages by now, so
+    the shared part of the word table is small; more words go through the bucket files."""
     import public_tokenizers
 
-    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), shared_bytes=4 << 20)
 
 
 STAGES = [

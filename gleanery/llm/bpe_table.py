@@ -26,11 +26,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept_by, lean, located, work_dir, write_bytes, written
+from gleanery.llm.common import kept_by, lean, located, small_batches, work_dir, write_bytes, written
 from gleanery.llm.pieces import WORDS, plain, slices, tokenizer
 
 #: Bytes of the shared part of the word table.
-SHARED_BYTES = 16 << 20
+SHARED_BYTES = 24 << 20
 #: Distinct words that a task holds before it passes them on, and rows of a bucket.
 TASK_WORDS, BUCKET_ROWS = 400_000, 2048
 #: Words that the splitting rule finds again when they are strung together with spaces.
@@ -71,7 +71,7 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
     t = tokenizer(path)
     out: dict[str, bytes] = {}
     joined = [w for w in words if _JOINABLE.fullmatch(w)]
-    for a, b in slices(map(len, joined), 1 << 18):
+    for a, b in slices(map(len, joined), 1 << 16):
         part = joined[a:b]
         e = t.encode(" ".join(part), add_special_tokens=False)
         owner, ids = np.array(e.word_ids, "i8"), np.array(e.ids, "<u4")
@@ -80,7 +80,7 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
             body = ids.tobytes()
             out.update(zip(part, (body[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist()))))
     rest = [w for w in words if w not in out]
-    for a, b in slices(map(len, rest), 1 << 18):
+    for a, b in slices(map(len, rest), 1 << 16):
         out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest[a:b], t.encode_batch(rest[a:b], add_special_tokens=False)))
     return [out[w] for w in words]
 
@@ -190,6 +190,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     empty table gives no rows; extra columns are left behind.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     work = work_dir(spark, "words")
     id_type = docs.schema[id_col].dataType
     rows = located(docs, id_col, text_col, f"{work}/docs")

@@ -15,14 +15,33 @@ from pyspark.sql.utils import AnalysisException
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which the driver and all executors share.
+    """A new folder under ``spark.checkpoint.dir``, which the driver and all executors share. Results are computed
+    lazily from what operators keep there, so it goes when the driver ends.
 
     Where the setting is absent (unit tests on one machine) a temporary folder of this machine stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.gettempdir() + "/gleanery-work"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+#: Rows of an Arrow batch: texts are long, and each running task holds a batch or two on both sides.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches at ``BATCH_ROWS`` rows or fewer. Spark reads the setting when a result is
+    computed, which is after an operator returns, so it stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -38,9 +38,10 @@ def state_of(spark: SparkSession, log: str, schema, work: str, bytes_per_batch:
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-        spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="96",
+        spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="64",
         spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="2",
         spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
+        spark__sql__streaming__stateStore__maintenanceInterval="10s",
         spark__sql__streaming__noDataMicroBatches__enabled="false",
     ):
         arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(log)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import lean, located, work_dir
+from gleanery.llm.common import lean, located, small_batches, work_dir
 from gleanery.llm.substring_dedup import Answers, _answered, _gathered, rolling
 
 #: Lines the rolling hash sees, one boundary in so many places, and lines of a chunk at least and at most.
@@ -164,6 +164,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Chunks of one line or of blank lines only always stay. An empty table gives no rows; extra columns are left
     behind. Ids are integers."""
     spark = docs.sparkSession
+    small_batches(spark)
     work = work_dir(spark, "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = located(docs, id_col, text_col, f"{work}/docs")

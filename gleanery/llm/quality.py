@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept_by, lean, work_dir, write_bytes
+from gleanery.llm.common import kept_by, lean, small_batches, work_dir, write_bytes
 from gleanery.llm.substring_dedup import SEGMENT, _mixed, _segment_hashes, _SPACE
 
 #: Bounds of the model: labelled documents, hashed terms, dimensions of the latent space; neighbours that vote.
@@ -200,6 +200,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     """All columns of ``docs`` with a score (0 to 1, higher: label 1 likelier) and a prediction (1 from ``threshold``
     on), which take the place of columns of the same ``names``. Null texts count as empty. Nothing is shuffled."""
     spark = docs.sparkSession
+    small_batches(spark)
     work = work_dir(spark, "quality")
     name = work.rsplit("/", 1)[1] + ".bin"
     write_bytes(spark, f"{work}/{name}", pickle.dumps(model))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import lean, work_dir, written
+from gleanery.llm.common import lean, small_batches, work_dir, written
 from gleanery.llm.components import components
 
 SEED = 42
@@ -213,6 +213,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows each give a row. An empty table gives no rows; extra columns are left behind.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     work = work_dir(spark, "simhash")
     prints = written(fingerprints(docs, id_col, text_col, words, distinct, locate), f"{work}/prints")
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), f"{work}/classes")

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept_by, lean, located, work_dir
+from gleanery.llm.common import kept_by, lean, located, small_batches, work_dir
 
 #: Rows of a chunk, buckets of hashes and digests, and bytes of text hashed at once.
 CHUNK_ROWS, BUCKETS, SEGMENT = 1024, 256, 1 << 20
@@ -360,6 +360,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     other's words. An empty table gives no rows; extra columns are left behind. Ids are integers.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     work = work_dir(spark, "substring")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = located(docs, id_col, text_col, f"{work}/docs")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept_by, lean, work_dir, written
+from gleanery.llm.common import kept_by, lean, small_batches, work_dir, written
 from gleanery.llm.pieces import plain, slices, tokenizer
 
 MAGIC = b"IDPLANE1"
@@ -181,6 +181,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     shuffle partitions; null texts are empty, null ids come first, repeated ids stay together. An empty table gives
     no file.
     """
+    small_batches(docs.sparkSession)
     filesystem, root = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(root)
     bits = planes == "bit"
@@ -233,8 +234,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = work_dir(spark, "planes")
+    work = work_dir(spark, "planes")
+    folder = f"{work}/files"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    manifest = written(files, f"{folder}-manifest")
+    manifest = written(files, f"{work}/manifest")
     return read_token_files(manifest, folder)

@@ -116,7 +116,8 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     lower-cased in ASCII only. There is no shuffle; extra columns are left behind; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    path = f"{work_dir(spark, 'rules')}.bin"
+    work = work_dir(spark, "rules")
+    path = f"{work}/{work.rsplit('/', 1)[1]}.bin"
     write_bytes(spark, path, bytes(RuleIndex.build(rules)))
     spark.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[1]

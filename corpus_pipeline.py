@@ -4,9 +4,9 @@ Each stage is a function of (spark, docs, sf_dir); its result is written as Parq
 docs. All but the last return the columns of documents. Rows are told apart by file and row number, so null and
 repeated ids are handled; empty tables pass through.
 
-Near duplicates: the SimHash of a document's distinct words links documents within 6 of 64 bits. On 64 bits, SimHashes
-of five-word shingles lie 10 bits apart (median) for documents whose shingle sets have a similarity of 0.8, beyond
-what an exact index can search; of distinct words they lie 3 bits apart, and unrelated documents do not come near.
+Near duplicates: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked. All
+such pairs are found and each is confirmed on the words (``near_pairs``). SimHash does neither: on 64 bits, those of
+five-word shingles lie 10 bits apart (median) at that similarity, and those of distinct words link unrelated texts.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from gleanery.llm.bpe_table import encode_decode
 from gleanery.llm.common import from_files, without, work_dir, written
 from gleanery.llm.decontamination import contamination
 from gleanery.llm.exact_dedup import exact_dedup
+from gleanery.llm.near_pairs import near_components
 from gleanery.llm.quality import fit, scored
-from gleanery.llm.simhash import simhash_components
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     work = work_dir(spark, "near-stage")
     docs = from_files(docs, f"{work}/docs")
-    found = simhash_components(docs, words=1, bits=6, distinct=True, locate=True)
+    found = near_components(docs)
     return without(docs, found.where("component_id is not null and (doc_id is null or doc_id <> component_id)"), f"{work}/gone")
 
 

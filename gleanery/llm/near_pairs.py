@@ -1,0 +1,209 @@
+"""Near duplicates by their sets of word shingles: every pair with a Jaccard similarity of ``share`` or more is found.
+
+Two sets that similar have a shingle in common among the first ``size - ceil(share * size) + 1`` of each, in any order
+that holds for all sets (the prefix filter), so candidates are documents that share such a shingle and have sizes that
+allow the similarity. Common shingles come last in the order, by counts of hash buckets; the counts decide how much
+work there is, not what is found. Each document has a sketch of 1,024 parities, one for each hash class of
+shingles: two sets differ in as many shingles as parities at least, which drops most candidates and no similar pair.
+Counts by hash class do the same for long texts, whose parities say little. What is left is confirmed on the words of both texts before it is a link.
+
+First each document is held against one other for each shingle, which links most of a group of near copies; then all
+candidate pairs that are not yet in one component are. No pair is left out: pairs within a component change nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import repeat
+from operator import add
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from gleanery.llm.common import lean, small, small_batches, work_dir, written
+from gleanery.llm.components import components
+
+SEED = 42
+#: Hash buckets of shingles that are counted, and rows of broadcast lists.
+BUCKETS, BROADCAST_ROWS = 1 << 20, 100_000
+#: Parts of a sketch, of 64 parities each.
+PARTS = [f"p{k}" for k in range(16)]
+#: Odd factors by which the hashes of the words of a shingle are added up.
+FACTORS = [xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(64)]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased, as ``simhash.fingerprint`` takes them."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+@lru_cache(256)
+def shingles(text: str | None, words: int = 5) -> frozenset:
+    """The set of runs of ``words`` words; a shorter text is one run, a text without words has none."""
+    ws = words_of(text)
+    return frozenset(zip(*(ws[k:] for k in range(words)))) if len(ws) >= words else frozenset([tuple(ws)] if ws else [])
+
+
+def similar(a: str | None, b: str | None, words: int = 5, share: tuple[int, int] = (4, 5)) -> bool:
+    """Whether the Jaccard similarity is ``share`` at least; two texts without words are alike."""
+    x, y = shingles(a, words), shingles(b, words)
+    both = len(x & y)
+    return share[1] * both >= share[0] * (len(x) + len(y) - both)
+
+
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending."""
+    ws = words_of(text)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, ws, repeat(SEED)), "u8", len(ws))
+    n = min(words, len(ws))
+    if not n:
+        return h
+    out = np.zeros(len(ws) - n + 1, "u8")
+    for k in range(n):
+        out += h[k : k + len(out)] * np.uint64(FACTORS[k])
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(FACTORS[-1])
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def bucket_counts(docs: DataFrame, words: int) -> DataFrame:
+    """``bucket, n``: buckets that are clearly fuller than others in some task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, "i8")
+        for batch in batches:
+            for t in batch.column(0):
+                n[(hashes(t.as_py(), words) % np.uint64(BUCKETS)).astype("i8")] += 1
+        full = np.flatnonzero(n >= 4 * n.mean() + 4)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full])], ["bucket", "n"])
+
+    return docs.select("text").mapInArrow(lean("near_pairs", run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def prefixes(docs: DataFrame, full: np.ndarray, counts: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
+    """``n, size, shingle``: the first shingles of each document in the common order; one of 0 for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.zeros(BUCKETS, "i8")
+        order[full] = counts
+        for batch in batches:
+            sizes, firsts = [], []
+            for t in batch.column(1):
+                h = hashes(t.as_py(), words)
+                sizes.append(len(h))
+                p = len(h) - -(-share[0] * len(h) // share[1]) + 1
+                firsts.append(h[np.argsort(order[(h % np.uint64(BUCKETS)).astype("i8")], kind="stable")[:p]] if len(h) else np.zeros(1, "u8"))
+            many = [len(f) for f in firsts]
+            shingle = np.concatenate(firsts).view("i8") if firsts else np.zeros(0, "i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), many)), pa.array(np.repeat(np.array(sizes, "i4"), many)), pa.array(shingle)], ["n", "size", "shingle"])
+
+    return docs.select("n", "text").mapInArrow(lean("near_pairs", run), "n long, size int, shingle long")
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """``n, size`` and the parts of the sketch of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = np.zeros(batch.num_rows, "i4"), np.zeros((batch.num_rows, 64 * len(PARTS)), "u1")
+            for k, t in enumerate(batch.column(1)):
+                h = hashes(t.as_py(), words)
+                sizes[k] = len(h)
+                bits[k] = np.bincount((h >> np.uint64(54)).astype("i8"), minlength=bits.shape[1]) & 1
+            packed = np.packbits(bits, axis=1).view("i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *(pa.array(packed[:, k].copy()) for k in range(len(PARTS)))], ["n", "size", *PARTS])
+
+    return docs.select("n", "text").mapInArrow(lean("near_pairs", run), "n long, size int, " + ", ".join(f"{p} long" for p in PARTS))
+
+
+def class_counts(docs: DataFrame, words: int) -> DataFrame:
+    """``n, counts``: how many shingles of each document are in each of 1,024 hash classes, 255 at most, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.minimum(np.bincount((hashes(t.as_py(), words) >> np.uint64(54)).astype("i8"), minlength=1024), 255).astype("u1").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["n", "counts"])
+
+    return docs.select("n", "text").mapInArrow(lean("near_pairs", run), "n long, counts binary")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, marks: DataFrame, words: int, share: tuple[int, int], work: str) -> DataFrame:
+    """The pairs ``a, b`` whose texts are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(x.as_py(), y.as_py(), words, share) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+        shingles.cache_clear()
+
+    mark = lambda k: marks.select(F.col("n").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("size", *PARTS)))
+    apart = reduce(add, (F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARTS))
+    near = apart * (share[0] + share[1]) <= (F.col("size_a") + F.col("size_b")) * (share[1] - share[0])
+    pairs = written(pairs.join(mark("a"), "a").join(mark("b"), "b").where(near).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes")), f"{work}/near")
+    ends_of = lambda name: small(written(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct(), f"{work}/{name}"), BROADCAST_ROWS)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u1").reshape(-1, 1024).astype("i2") for k in (3, 4))
+            ok = np.abs(a - b).sum(axis=1, dtype="i8") * (share[0] + share[1]) <= np.asarray(batch.column(2)).astype("i8") * (share[1] - share[0])
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
+
+    counts = written(class_counts(rows.join(ends_of("ends"), "n", "left_semi"), words), f"{work}/counts")
+    count = lambda k: counts.select(F.col("n").alias(k), F.col("counts").alias(f"counts_{k}"))
+    both = pairs.join(count("a"), "a").join(count("b"), "b").select("a", "b", "sizes", "counts_a", "counts_b")
+    pairs = written(both.mapInArrow(lean("near_pairs", alike), "a long, b long"), f"{work}/alike")
+    texts = written(rows.select("n", "text").join(ends_of("text-ends"), "n", "left_semi"), f"{work}/texts")
+    side = lambda k: texts.select(F.col("n").alias(k), F.col("text").alias(f"text_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return written(both.mapInArrow(lean("near_pairs", run), "a long, b long"), f"{work}/links")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row per row of ``docs``, which come straight from files: ``doc_id, component_id, file, row, n, root``.
+
+    Rows are linked whose texts are ``similar``. ``n`` is a number of the row, ``root`` the smallest such number that is
+    reachable over links, ``component_id`` the smallest id; null ids are passed over (null if there is no other).
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    work = work_dir(spark, "near")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    names = written(source.select("file").distinct(), f"{work}/names")
+    numbers = written(names.select("file", F.row_number().over(W.orderBy("file")).cast("long").alias("f")), f"{work}/files")
+    rows = source.join(F.broadcast(numbers), "file").select("id", "text", "file", "row", (F.shiftleft("f", 40) + F.col("row")).alias("n"))
+
+    top = written(bucket_counts(rows, words).orderBy(F.desc("n"), "bucket").limit(BROADCAST_ROWS), f"{work}/buckets").toPandas()
+    firsts = written(prefixes(rows, top["bucket"].to_numpy("i8"), top["n"].to_numpy("i8"), words, share), f"{work}/prefixes")
+    repeated = written(firsts.groupBy("shingle").count().where("count > 1").select("shingle"), f"{work}/repeated")
+    shared = written(firsts.join(repeated, "shingle"), f"{work}/members")
+    lead = written(shared.groupBy("shingle").agg(F.min(F.struct("n", "size")).alias("lead")), f"{work}/lead")
+    wanted = written(shared.select("n").distinct(), f"{work}/wanted")
+    marks = written(sketches(rows.join(small(wanted, BROADCAST_ROWS), "n", "left_semi"), words), f"{work}/marks")
+
+    fits = lambda x, y: F.least(x, y) * share[1] >= F.greatest(x, y) * share[0]
+    stars = written(shared.join(lead, "shingle").where((F.col("n") > F.col("lead.n")) & fits(F.col("size"), F.col("lead.size"))).select(F.col("lead.n").alias("a"), F.col("n").alias("b")).distinct(), f"{work}/stars")
+    edges = confirmed(stars, rows, marks, words, share, f"{work}/stars-confirmed")
+    roots = components(edges, f"{work}/first")
+
+    placed = written(shared.select("shingle", "n", "size").join(roots, shared.n == roots.node, "left").select("shingle", "n", "size", F.coalesce("root", "n").alias("root")), f"{work}/placed")
+    # Only shingles whose documents are in several components have pairs left.
+    open_ = written(placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle"), f"{work}/open")
+    placed = written(placed.join(open_, "shingle", "left_semi"), f"{work}/left")
+    x, y = (placed.select("shingle", F.col("n").alias(k), F.col("size").alias(f"size_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
+    pairs = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("size_a"), F.col("size_b"))).select("a", "b").distinct()
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), f"{work}/pairs")
+    more = confirmed(pairs, rows, marks, words, share, f"{work}/pairs-confirmed")
+    if more.count():
+        roots = components(edges.unionByName(more), f"{work}/second")
+
+    keyed = rows.select("id", "file", "row", "n")
+    keyed = written(keyed.join(small(roots, BROADCAST_ROWS), keyed.n == F.col("node"), "left").select(F.col("id").alias("doc_id"), "file", "row", "n", F.coalesce("root", "n").alias("root")), f"{work}/keyed")
+    linked = keyed.join(small(written(roots.select("root").distinct(), f"{work}/roots"), BROADCAST_ROWS), "root", "left_semi")
+    best = written(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")), f"{work}/best")
+    alone = keyed.join(best, "root", "left_anti").withColumn("component_id", F.col("doc_id"))
+    return linked.join(best, "root").select(alone.columns).unionByName(alone)

@@ -1,0 +1,60 @@
+"""Near duplicates of the pipeline against all pairs in plain Python, with texts that SimHash of words confuses."""
+
+import random
+
+import corpus_pipeline
+from gleanery.llm.near_pairs import near_components
+from tests.llm.test_simhash import plain_components
+
+
+def plain_shingles(text):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def plain_similar(a, b):
+    x, y = plain_shingles(a), plain_shingles(b)
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def corpus():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    common = " ".join(word() for _ in range(12))
+    texts = []
+    for _ in range(40):
+        ws = [word() for _ in range(rng.randint(1, 90))]
+        texts.append(" ".join(ws) + (" " + common if rng.random() < 0.5 else ""))
+        for _ in range(rng.randint(0, 4)):
+            ws = list(ws)
+            for _ in range(rng.randint(1, 3)):
+                ws[rng.randrange(len(ws))] = word()
+            texts.append(" ".join(ws) + (" " + common if rng.random() < 0.5 else ""))
+    base = [word() for _ in range(20)]
+    texts += [" ".join(base), " ".join(base * 30), " ".join(rng.sample(base, 20)), "", " ", None, "One two", "one  two", "one two three"]
+    return list(enumerate(texts))
+
+
+def saved(spark, rows, path):
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_components_equal_all_pairs(spark, tmp_path):
+    rows = corpus()
+    got = {r["doc_id"]: r["component_id"] for r in near_components(saved(spark, rows, f"{tmp_path}/d")).collect()}
+    comp = plain_components([(a, b) for a in range(len(rows)) for b in range(a) if plain_similar(rows[a][1], rows[b][1])], len(rows))
+    least = {}
+    for (i, _), c in zip(rows, comp):
+        least[c] = min(i, least.get(c, i))
+    assert got == {i: least[c] for (i, _), c in zip(rows, comp)}
+    assert 3 < len(rows) - len(least) < len(rows) - 40
+
+
+def test_stage_keeps_same_words_in_another_order(spark, tmp_path):
+    """SimHash of distinct words drops the second and third; both are unlike the first."""
+    base = [f"w{k}" for k in range(20)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[::-1])), (3, " ".join((base[::2] + base[1::2]) * 30)), (4, " ".join([f"v{k}" for k in range(99)])), (5, " ".join([f"v{k}" for k in range(98)]))]
+    out = corpus_pipeline.near_stage(spark, saved(spark, rows, f"{tmp_path}/d"), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3, 4]
+    assert corpus_pipeline.near_stage(spark, saved(spark, [], f"{tmp_path}/e"), "").count() == 0

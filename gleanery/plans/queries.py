@@ -278,7 +278,7 @@ def weekly_markdown_lines(t):
 def search_terms_all(t):
     """all terms occur, case folded (case only; widths need the NFKC function, which tests cover)."""
     folded = F.lower("text")
-    return t("documents").where((F.col("lang") == "en") & (F.col("n_chars") < 5000) & Q.has_terms(folded, "The AN")).select("doc_id", "lang")
+    return t("documents").where((F.col("lang") == "en") & Q.has_terms(folded, "The AN")).select("doc_id", "lang")
 
 
 @query(f"""WITH {ARTICLES_SQL.split('), w AS')[0]}) SELECT id, published FROM a WHERE o_orderpriority = '1-URGENT' ORDER BY coalesce(published, '') DESC, seen DESC, id OFFSET 50 LIMIT 50""")

@@ -17,3 +17,9 @@ def test_rule_tags_of_long_documents(spark, tmp_path):
     got = QUERIES["rule_tags_match"](spark, path).collect()
     assert sorted((r["doc_id"], r["tag_id"]) for r in got) == [(1, "articles"), (1, "sources"), (2, "articles")]
 
+
+def test_search_of_long_documents(spark, tmp_path):
+    long = "x " * 4_000 + "The man"
+    path = tables(spark, tmp_path, documents=([(1, long, "en", "s", len(long)), (2, "an other", "en", "s", 8), (3, "x", "en", "s", 1), (4, "the man", "de", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert sorted(r["doc_id"] for r in QUERIES["search_terms_all"](spark, path).collect()) == [1, 2]
+

@@ -239,12 +239,12 @@ FROM w CROSS JOIN s LEFT JOIN e ON e.user_id = s.user_id AND e.day BETWEEN lo AN
 def weekly_source_runs(t):
     """Runs of each source by week; sources without any run are kept."""
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    e = t("events").where("user_id < 20").select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type", dates.jst_day(ts).alias("day"))
+    e = t("events").select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type", dates.jst_day(ts).alias("day"))
     last = e.agg(F.max("day").alias("as_of"))
     k = WK.window_number(F.col("day"), F.col("as_of"), 7)
-    runs = e.crossJoin(F.broadcast(last)).withColumn("k", k).where("k < 3").groupBy("k", "user_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    users = t("events").where("user_id < 25").select(F.col("user_id").cast("long").alias("user_id")).distinct()
-    grid = users.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "user_id")
+    runs = e.crossJoin(F.broadcast(last)).withColumn("k", k).where("k < 12").groupBy("k", "user_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    users = t("events").select(F.col("user_id").cast("long").alias("user_id")).distinct()
+    grid = users.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), "user_id")
     return grid.join(runs, ["k", "user_id"], "left").na.fill(0)
 
 

@@ -23,3 +23,13 @@ def test_search_of_long_documents(spark, tmp_path):
     path = tables(spark, tmp_path, documents=([(1, long, "en", "s", len(long)), (2, "an other", "en", "s", 8), (3, "x", "en", "s", 1), (4, "the man", "de", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long"))
     assert sorted(r["doc_id"] for r in QUERIES["search_terms_all"](spark, path).collect()) == [1, 2]
 
+
+def test_runs_of_every_source_and_week(spark, tmp_path):
+    end = datetime.datetime(2024, 6, 30, 3)
+    at = lambda weeks: end - datetime.timedelta(days=7 * weeks)
+    events = [(1, at(0), 3, "click"), (2, at(11), 900, "error"), (3, at(11), 900, "view"), (4, at(20), 22, "error")]
+    path = tables(spark, tmp_path, events=(events, "event_id long, ts timestamp, user_id long, event_type string"))
+    got = {(r["k"], r["user_id"]): (r["runs"], r["failed"]) for r in QUERIES["weekly_source_runs"](spark, path).collect()}
+    want = {(k, u): (0, 0) for k in range(12) for u in (3, 22, 900)}
+    assert got == want | {(0, 3): (1, 0), (11, 900): (2, 1)}
+

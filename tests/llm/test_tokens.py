@@ -103,3 +103,10 @@ def test_files(spark, tmp_path):
         at += r["n_tokens"]
         assert (r["n_tokens"], r["ids_crc32"]) in [(len(x), zlib.crc32(x.tobytes())) for x in ids[r["doc_id"]]]
     assert read_token_files(write_token_files(df.limit(0), folder, BYTE, 2), folder).count() == 0
+
+
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_long_white_space_equals_the_library(space):
+    t = Tokenizer.from_file(BYTE)
+    for text in ("a" + space * 1_200_000 + "b", space * 99_999 + "x", space * 100_001 + "x"):
+        assert np.frombuffer(encoded(BYTE, [text], RANKS)[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids

@@ -493,8 +493,8 @@ def canonical_urls(t):
 
 @query(f"WITH {URL_SQL}, s AS (SELECT regexp_replace(url, '[0-9]+.*$', '') AS url, page_id FROM u) SELECT url, min(page_id) AS page_id, count(*) - 1 AS duplicates FROM s GROUP BY url")
 def dedupe_keep_first_url(t):
-    """The first page of each canonical URL (cut before its number, so that there are repeats), and how many more."""
-    u = t("pages").select(F.regexp_replace(urls.simple_canonical_url(F.col("url")), "[0-9]+.*$", "").alias("url"), "page_id")
+    """The first page of each canonical URL, and how many more."""
+    u = t("pages").select(urls.simple_canonical_url(F.col("url")).alias("url"), "page_id")
     return u.groupBy("url").agg(F.min("page_id").alias("page_id"), (F.count(F.lit(1)) - 1).alias("duplicates"))
 
 

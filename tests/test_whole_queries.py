@@ -33,3 +33,10 @@ def test_runs_of_every_source_and_week(spark, tmp_path):
     want = {(k, u): (0, 0) for k in range(12) for u in (3, 22, 900)}
     assert got == want | {(0, 3): (1, 0), (11, 900): (2, 1)}
 
+
+def test_pages_of_whole_urls(spark, tmp_path):
+    pages = [(3, "https://a.org/p1?utm_source=x"), (2, "https://A.org/p1#top"), (5, "https://a.org/p2"), (7, "https://a.org/p20")]
+    path = tables(spark, tmp_path, pages=(pages, "page_id long, url string"))
+    got = sorted(map(tuple, QUERIES["dedupe_keep_first_url"](spark, path).select("url", "page_id", "duplicates").collect()))
+    assert got == [("https://a.org/p1", 2, 1), ("https://a.org/p2", 5, 0), ("https://a.org/p20", 7, 0)]
+

@@ -40,3 +40,17 @@ def test_pages_of_whole_urls(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["dedupe_keep_first_url"](spark, path).select("url", "page_id", "duplicates").collect()))
     assert got == [("https://a.org/p1", 2, 1), ("https://a.org/p2", 5, 0), ("https://a.org/p20", 7, 0)]
 
+
+def test_counts_of_all_suppliers_and_nations_without(spark, tmp_path):
+    path = tables(spark, tmp_path, supplier=([(1, 0, 5.0), (2, 0, -1.0), (3, 0, 2.0)], "s_suppkey long, s_nationkey int, s_acctbal double"), nation=([(0, "A"), (1, "B")], "n_nationkey int, n_name string"))
+    got = sorted(map(tuple, QUERIES["source_counts_with_zero"](spark, path).select("n_nationkey", "articles", "date_unknown").collect()))
+    assert got == [(0, 3, 1), (1, 0, 0)]
+
+
+def test_all_orders_are_runs_and_csv_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    assert QUERIES["external_csv_rows"](spark, folder).count() == orders.count()
+    weeks = QUERIES["weekly_new_counts"](spark, folder)
+    days = [str(r[0])[:10] for r in orders.select("o_orderdate").collect()]
+    assert all(r["runs"] == sum(r["from"] <= d <= r["to"] for d in days) for r in weeks.collect())

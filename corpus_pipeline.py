@@ -36,11 +36,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest id, null ids last, then by file and row."""
     work = work_dir(spark, "near-stage")
     docs = from_files(docs, f"{work}/docs")
     found = near_components(docs)
-    return without(docs, found.where("component_id is not null and (doc_id is null or doc_id <> component_id)"), f"{work}/gone")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
+    keep = found.groupBy("root").agg(F.min_by("n", order).alias("keep"))
+    return without(docs, found.join(keep, "root").where("n <> keep"), f"{work}/gone")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,11 @@ def test_stage_keeps_same_words_in_another_order(spark, tmp_path):
     out = corpus_pipeline.near_stage(spark, saved(spark, rows, f"{tmp_path}/d"), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3, 4]
     assert corpus_pipeline.near_stage(spark, saved(spark, [], f"{tmp_path}/e"), "").count() == 0
+
+
+def test_one_of_each_group_stays_with_null_and_repeated_ids(spark, tmp_path):
+    text = [" ".join(f"{g}{k}" for k in range(99)) for g in "abc"]
+    rows = [(7, text[0]), (7, text[0] + " x"), (None, text[0] + " y"), (None, text[1]), (None, text[1] + " x"), (None, text[2]), (3, text[2] + " x")]
+    out = corpus_pipeline.near_stage(spark, saved(spark, rows, f"{tmp_path}/d"), "")
+    got = [(r["doc_id"], r["text"][0]) for r in out.collect()]
+    assert sorted(got, key=str) == [(3, "c"), (7, "a"), (None, "b")]

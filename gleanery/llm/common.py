@@ -115,16 +115,35 @@ def from_files(docs: DataFrame, work: str) -> DataFrame:
     return docs if has_locator(docs) else written(docs, work)
 
 
-#: Keys of a broadcast list of rows, 12 bytes each; beyond, Spark shuffles.
-BROADCAST_KEYS = 200_000
+#: Blocks of a broadcast list of rows, 4 kB each (32 MB); beyond, Spark joins it with the rows by file and block.
+BROADCAST_BLOCKS = 8192
+
+
+def row_bits(listed_rows: DataFrame, row: str = "row") -> DataFrame:
+    """``file, block, bits``: the rows named by ``file`` and ``row``, a bit for each of the 32,768 rows of a block."""
+    at = F.col(row)
+    return listed_rows.groupBy("file", F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def listed(rows: DataFrame, bits: DataFrame, row: str = "row", within: bool = True, file: str = "file") -> DataFrame:
+    """The rows of ``rows`` that the written table ``bits`` of ``row_bits`` names (or, not ``within``, the others).
+
+    A list costs one bit for each row of the blocks that it touches, however many rows it names, so ``BROADCAST_BLOCKS``
+    cover 268 million rows; no text is shuffled up to there.
+    """
+    bits = bits.select(F.col("file").alias("__file"), F.col("block").alias("__block"), F.col("bits").alias("__bits"))
+    bits = F.broadcast(bits) if bits.count() <= BROADCAST_BLOCKS else bits
+    at = f"cast(bitmap_bit_position(`{row}`) as int)"
+    hit = F.expr(f"coalesce((cast(conv(hex(substring(__bits, shiftright({at}, 3) + 1, 1)), 16, 10) as int) & shiftleft(1, {at} & 7)) <> 0, false)")
+    near = rows.join(bits, (F.col(file) == F.col("__file")) & (F.bitmap_bucket_number(F.col(row)) == F.col("__block")), "inner" if within else "left")
+    return near.where(hit if within else ~hit).drop("__file", "__block", "__bits")
 
 
 def without(docs: DataFrame, gone: DataFrame, work: str) -> DataFrame:
     """The rows of ``docs``, which come straight from files, that ``gone`` (``file, row``) does not name."""
-    keys = lambda file, row: [F.xxhash64(file, row).alias("__k"), F.hash(file, row).alias("__k2")]
-    listed = small(written(gone.select(*keys("file", "row")), work), BROADCAST_KEYS)
-    rows = docs.select("*", *keys("_metadata.file_path", "_metadata.row_index"))
-    return rows.join(listed, ["__k", "__k2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bits = written(row_bits(gone), work)
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__at"), F.col("_metadata.row_index").alias("__row"))
+    return listed(rows, bits, "__row", within=False, file="__at").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: How to empty what each operator keeps in a Python worker between tasks.

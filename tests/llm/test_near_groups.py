@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from gleanery.llm.near_pairs import near_components
+from gleanery.llm import simhash
+from gleanery.llm.simhash import near_groups
 from tests.llm.test_simhash import plain_components
 
 
@@ -17,21 +18,22 @@ def plain_similar(a, b):
     return 5 * len(x & y) >= 4 * len(x | y)
 
 
-def corpus():
-    rng = random.Random(5)
+def corpus(seed=5):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     common = " ".join(word() for _ in range(12))
     texts = []
-    for _ in range(40):
-        ws = [word() for _ in range(rng.randint(1, 90))]
+    for _ in range(60):
+        ws = [word() for _ in range(rng.randint(60, 300))]
         texts.append(" ".join(ws) + (" " + common if rng.random() < 0.5 else ""))
         for _ in range(rng.randint(0, 4)):
             ws = list(ws)
             for _ in range(rng.randint(1, 3)):
                 ws[rng.randrange(len(ws))] = word()
-            texts.append(" ".join(ws) + (" " + common if rng.random() < 0.5 else ""))
+            texts.append(" ".join(ws))
     base = [word() for _ in range(20)]
     texts += [" ".join(base), " ".join(base * 30), " ".join(rng.sample(base, 20)), "", " ", None, "One two", "one  two", "one two three"]
+    texts += [texts[3]] * 5 + [texts[4] + " tail"] * 5
     return list(enumerate(texts))
 
 
@@ -40,15 +42,38 @@ def saved(spark, rows, path):
     return spark.read.parquet(path)
 
 
-def test_components_equal_all_pairs(spark, tmp_path):
+def links(rows):
+    return {(a, b) for a in range(len(rows)) for b in range(a) if plain_similar(rows[a][1], rows[b][1])}
+
+
+def test_no_link_is_false_and_few_are_missed(spark, tmp_path):
     rows = corpus()
-    got = {r["doc_id"]: r["component_id"] for r in near_components(saved(spark, rows, f"{tmp_path}/d")).collect()}
-    comp = plain_components([(a, b) for a in range(len(rows)) for b in range(a) if plain_similar(rows[a][1], rows[b][1])], len(rows))
-    least = {}
+    docs = saved(spark, rows, f"{tmp_path}/d")
+    got = {}
+    for r in near_groups(docs).collect():
+        got.setdefault(r["root"], []).append(r["doc_id"])
+    true = links(rows)
+    for members in got.values():  # each group hangs together by true links
+        assert len(set(plain_components([(a, b) for a, b in true if a in members and b in members], len(rows))[i] for i in members)) == 1
+    of = {i: root for root, members in got.items() for i in members}
+    met = sum(a in of and of.get(a) == of.get(b) for a, b in true)
+    assert len(true) > 150 and met >= 0.9 * len(true)
+
+
+def test_every_candidate_counts(spark, tmp_path, monkeypatch):
+    """With a radius that misses nothing on this corpus, groups are those of all pairs; crowded patterns change nothing."""
+    rows = corpus(9)
+    docs = saved(spark, rows, f"{tmp_path}/d")
+    comp = plain_components(links(rows), len(rows))
+    want = {}
     for (i, _), c in zip(rows, comp):
-        least[c] = min(i, least.get(c, i))
-    assert got == {i: least[c] for (i, _), c in zip(rows, comp)}
-    assert 3 < len(rows) - len(least) < len(rows) - 40
+        want.setdefault(c, set()).add(i)
+    for crowd in (4096, 2):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = {}
+        for r in near_groups(docs, bits=6, tables=4).collect():
+            got.setdefault(r["root"], set()).add(r["doc_id"])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in want.values() if len(w) > 1)
 
 
 def test_stage_keeps_same_words_in_another_order(spark, tmp_path):
@@ -61,8 +86,21 @@ def test_stage_keeps_same_words_in_another_order(spark, tmp_path):
 
 
 def test_one_of_each_group_stays_with_null_and_repeated_ids(spark, tmp_path):
-    text = [" ".join(f"{g}{k}" for k in range(99)) for g in "abc"]
+    text = [" ".join(f"{g}{k}" for k in range(199)) for g in "abc"]
     rows = [(7, text[0]), (7, text[0] + " x"), (None, text[0] + " y"), (None, text[1]), (None, text[1] + " x"), (None, text[2]), (3, text[2] + " x")]
     out = corpus_pipeline.near_stage(spark, saved(spark, rows, f"{tmp_path}/d"), "")
     got = [(r["doc_id"], r["text"][0]) for r in out.collect()]
     assert sorted(got, key=str) == [(3, "c"), (7, "a"), (None, "b")]
+
+
+def test_pairs_come_once_however_they_are_cut(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    fp = np.unique(rng.integers(0, 1 << 12, 900).astype("u8"))
+    mask = np.full(len(fp), 0xFFFFFFFFFFFFF000, "u8")
+    want = {(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 3}
+    for cut in (1 << 19, 7):
+        monkeypatch.setattr(simhash, "PAIRS", cut)
+        a, b = simhash.linked(mask, fp & mask, fp, 3)
+        assert len(a) == len(want) and {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())} == want

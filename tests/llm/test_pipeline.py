@@ -10,9 +10,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gleanery.llm.quality import fit, term_rows
-from gleanery.llm.simhash import fingerprint
 from tests.llm.test_decontamination import plain as plain_contamination
 from tests.llm.test_exact import plain as plain_exact
+from tests.llm.test_near_groups import plain_similar
 from tests.llm.test_simhash import plain_components
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -70,13 +70,12 @@ def test_stages(spark, folder):
             assert len({" ".join((t or "").split()) for _, t in rows}) == len(got)
             want = got
         elif name == "near_dedup":
-            fps = [fingerprint(t, 1, True) for _, t in rows]
-            comp = plain_components([(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 6], len(rows))
-            ids = {}
-            for (i, _), c in zip(rows, comp):
-                ids.setdefault(c, []).append(i)
-            least = {c: min((i for i in x if i is not None), default=None) for c, x in ids.items()}
-            want = [(i, t) for (i, t), c in zip(rows, comp) if least[c] is None or i == least[c]]
+            pairs = [(a, b) for a in range(len(rows)) for b in range(a) if plain_similar(rows[a][1], rows[b][1])]
+            comp = plain_components(pairs, len(rows))
+            best = {}
+            for k, c in enumerate(comp):
+                best[c] = min(best.get(c, k), k, key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+            want = [rows[k] for k in best.values()]
             assert len(rows) - len(want) >= 8
         elif name == "decontamination":
             dirty = {(r[0], r[1]) for r in plain_contamination(rows, items) if r[5]}

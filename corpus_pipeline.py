@@ -4,9 +4,8 @@ Each stage is a function of (spark, docs, sf_dir); its result is written as Parq
 docs. All but the last return the columns of documents. Rows are told apart by file and row number, so null and
 repeated ids are handled; empty tables pass through.
 
-Near duplicates: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked. All
-such pairs are found and each is confirmed on the words (``near_pairs``). SimHash does neither: on 64 bits, those of
-five-word shingles lie 10 bits apart (median) at that similarity, and those of distinct words link unrelated texts.
+Near duplicates are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: the SimHash
+index gives candidates, and each link is confirmed on the words of both texts (``simhash.near_groups``).
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from gleanery.llm.bpe_table import encode_decode
 from gleanery.llm.common import from_files, without, work_dir, written
 from gleanery.llm.decontamination import contamination
 from gleanery.llm.exact_dedup import exact_dedup
-from gleanery.llm.near_pairs import near_components
 from gleanery.llm.quality import fit, scored
+from gleanery.llm.simhash import near_groups
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, null ids last, then by file and row."""
     work = work_dir(spark, "near-stage")
     docs = from_files(docs, f"{work}/docs")
-    found = near_components(docs)
+    found = near_groups(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
     keep = found.groupBy("root").agg(F.min_by("n", order).alias("keep"))
     return without(docs, found.join(keep, "root").where("n <> keep"), f"{work}/gone")

@@ -6,34 +6,32 @@ reference index, every rolling window of block length probes it, and only around
 
 1. Each chunk (a run of rows of one file) sends the hashes of its blocks and of all its rolling windows to buckets of
    hashes. A bucket knows which blocks occur more than once and tells each chunk which of its hashes these are.
-2. Around these anchors a chunk extends to whole windows and sends their digests with document ids to buckets of
-   digests. A bucket knows the smallest document of each digest and answers where a smaller one exists.
+2. Around these anchors a chunk extends to whole windows and sends digests of their words with document ids to buckets.
+   A bucket knows the smallest document of each digest and answers where a smaller one exists.
 3. Each chunk marks the windows that were answered; a run of marked windows is a maximal exact repeat. Its words go.
 
-Texts never leave their scan. Hashes travel as packed arrays, once for each chunk, so a passage that very many
-documents share costs a bucket one entry for each chunk. Answers come back as files, one folder for each chunk. A
-digest has 96 bits, over 64-bit word hashes that see every byte.
+Rolling hashes only choose which windows are looked at: what they take for equal is compared by a 128-bit BLAKE2b
+digest of the words themselves, so no text goes that does not repeat. Texts never leave their scan. Hashes travel as
+packed arrays, once for each chunk, so a passage that very many documents share costs a bucket one entry for each
+chunk. Buckets grow in number with the table, and a task holds one at a time. Answers come back as ``answers.Table``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from gleanery.llm import answers
 from gleanery.llm.common import kept_by, lean, located, small_batches, work_dir
 
-#: Rows of a chunk, buckets of hashes and digests, and bytes of text hashed at once.
-CHUNK_ROWS, BUCKETS, SEGMENT = 1024, 256, 1 << 20
-#: Fixed odd multipliers of the rolling hashes: bytes, words (anchors), words (two digests).
-BYTES, ANCHOR, DIGEST_1, DIGEST_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93
+#: Bytes of text hashed at once, and bytes of a digest of words.
+SEGMENT, DIGEST = 1 << 20, 16
+#: Fixed odd multipliers of the rolling hashes: bytes, words (anchors), words (windows).
+BYTES, ANCHOR, WINDOW = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _SPACE = np.zeros(256, "?")
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -138,11 +136,21 @@ class Chunk:
         inside = np.flatnonzero(self.doc[: len(h)] == self.doc[size - 1 : size - 1 + len(h)])
         return h[inside], inside
 
-    def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of whole windows with both digests."""
-        one, at = self.runs(self.window, DIGEST_1)
-        two, _ = self.runs(self.window, DIGEST_2)
-        return at, one, two
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rolling hashes of whole windows, and their starts."""
+        return self.runs(self.window, WINDOW)
+
+    def digests(self, start: np.ndarray, digest) -> np.ndarray:
+        """Digests of the words, one space between them, of the windows that begin at ``start`` (ascending): two 64-bit
+        halves each."""
+        out = []
+        for k, a, b in _cut(self.doc[start]):
+            words = self.texts[k].split()
+            ends = np.cumsum([len(w) + 1 for w in words])
+            body, first = b" ".join(words), start[a:b] - self.bounds[k]
+            begins, stops = np.r_[0, ends][first].tolist(), (ends[first + self.window - 1] - 1).tolist()
+            out += [digest(body[x:y]) for x, y in zip(begins, stops)]
+        return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
     def near(self, anchors: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which of the window starts ``at`` have an anchor inside; ``anchors`` are starts of anchored blocks."""
@@ -152,188 +160,168 @@ class Chunk:
         return seen[at + self.window - self.block + 1] > seen[at]
 
 
-def _parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit rest of a hash."""
-    return (h >> np.uint64(56)).astype("i8") * BUCKETS >> 8, (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+def strong(words: bytes) -> bytes:
+    """The digest by which windows are compared."""
+    return hashlib.blake2b(words, digest_size=DIGEST).digest()
 
 
-def _cut(bucket: np.ndarray) -> list[tuple[int, slice]]:
-    """Runs of equal values of a sorted array."""
-    edges = np.flatnonzero(np.diff(bucket)) + 1
-    return [(int(bucket[a]), slice(a, b)) for a, b in zip(np.r_[0, edges], np.r_[edges, len(bucket)])] if len(bucket) else []
+def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (upper half) and a 32-bit rest of each hash, as one number."""
+    return (h >> np.uint64(64 - (buckets.bit_length() - 1))) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[str, Chunk]]:
-    """Name and documents of each chunk, as far as a batch holds it; batches are ``id, text, file, row``."""
+def _cut(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of equal values of a sorted array: value, first place, end."""
+    edges = np.flatnonzero(np.diff(group)) + 1
+    return [(int(group[a]), int(a), int(b)) for a, b in zip(np.r_[0, edges], np.r_[edges, len(group)])] if len(group) else []
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[tuple, Chunk]]:
+    """Key and documents of each chunk, as far as a batch holds it."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        names = [f"{a}_{b}_{r // CHUNK_ROWS}" for a, b, r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-        a = 0
-        for b in range(1, len(names) + 1):
-            if b == len(names) or names[b] != names[a]:
-                yield names[a], Chunk(ids[a:b], texts.slice(a, b - a).to_pylist(), window)
-                a = b
+        for key, a, b in answers.chunks_of(batch):
+            yield key, Chunk(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), window)
 
 
-class Answers:
-    """What the buckets told a chunk, from the folder of its name; the last chunk's answer is kept."""
+def _sent(key: tuple, bucket: list[int], names: list[str], columns: list[list[bytes]]) -> pa.RecordBatch:
+    """Rows for buckets, with the chunk that they come from."""
+    place = [pa.array([v] * len(bucket), t) for v, t in zip(key[1:], (pa.int64(), pa.int32(), pa.int64()))]
+    return pa.RecordBatch.from_arrays([*place, pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], [*answers.KEY, "bucket", *names])
 
-    def __init__(self, folder: str):
-        self.folder, self.name, self.rows = folder, None, []
 
-    def of(self, name: str) -> list[dict]:
-        if name != self.name:
-            where, root = fs.FileSystem.from_uri(self.folder)
-            self.name, self.rows = name, []
-            for info in where.get_file_info(fs.FileSelector(f"{root}/chunk={name}", allow_not_found=True)):
-                if info.path.endswith(".parquet"):
-                    with where.open_input_file(info.path) as f:
-                        self.rows += pq.read_table(f).to_pylist()
-        return self.rows
+def _rest(key: np.ndarray) -> bytes:
+    return (key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def _u4(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "<u4")
 
 
-def _answered(df: DataFrame, n: int, folder: str) -> str:
-    df.repartition(n, "chunk").write.partitionBy("chunk").parquet(folder)
-    return folder
+def _u8(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "<u8")
 
 
-def _send_anchors(window: int):
+def _send_anchors(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk in _chunks(batches, window):
             h, at = chunk.runs(chunk.block, ANCHOR)
             aligned = (at - chunk.bounds[chunk.doc[at]]) % chunk.block == 0 if len(at) else np.zeros(0, "?")
-            bucket, rest = _parts(h)
-            key, count = np.unique(bucket.astype("u8") << np.uint64(32) | rest, return_counts=True)
-            blocks = np.unique((bucket.astype("u8") << np.uint64(32) | rest)[aligned])
-            out = {k: [rest_of(key[s]), b"", b""] for k, s in _cut(key >> np.uint64(32))}
-            for part, slot in ((key[count > 1], 1), (blocks, 2)):
-                for k, s in _cut(part >> np.uint64(32)):
-                    out[k][slot] = rest_of(part[s])
+            keys = _keys(h, buckets)
+            key, count = np.unique(keys, return_counts=True)
+            out = {k: [_rest(key[a:b]), b"", b""] for k, a, b in _cut(key >> np.uint64(32))}
+            for part, slot in ((key[count > 1], 1), (np.unique(keys[aligned]), 2)):
+                for k, a, b in _cut(part >> np.uint64(32)):
+                    out[k][slot] = _rest(part[a:b])
             if out:
-                columns = [pa.array([name] * len(out)), pa.array(list(out), pa.int32()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in range(3))]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "all", "twice", "blocks"])
+                yield _sent(name, list(out), ["all", "twice", "blocks"], [[v[i] for v in out.values()] for i in range(3)])
 
     return run
 
 
-def rest_of(key: np.ndarray) -> bytes:
-    return (key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-
-
-def _u4(parts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), "<u4")
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
-    """All rows of a task by bucket."""
-    rows: dict[int, list[dict]] = defaultdict(list)
-    for batch in batches:
-        for r in batch.to_pylist():
-            rows[r["bucket"]].append(r)
-    return rows
+def _told(rows: list[dict], names: list[str], columns: list[list], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    """Answers to the chunks that ``rows`` came from."""
+    place = [pa.array([r[c] for r in rows], t) for c, t in zip(answers.KEY, (pa.int64(), pa.int32(), pa.int64()))]
+    return pa.RecordBatch.from_arrays([*place, *(pa.array(c, k) for c, k in zip(columns, kinds))], [*answers.KEY, *names])
 
 
 def _repeated_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, rows in _gathered(batches).items():
+    for rows in answers.by_bucket(batches):
         value, count = np.unique(_u4([r["all"] for r in rows]), return_counts=True)
         twice = np.union1d(value[count > 1], _u4([r["twice"] for r in rows]))
         known = np.intersect1d(twice, _u4([r["blocks"] for r in rows]))
-        chunks, hits = [], []
-        for r in rows:
-            own = np.intersect1d(_u4([r["all"]]), known, assume_unique=True)
-            if len(own):
-                chunks.append(r["chunk"])
-                hits.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(hits, pa.binary())], ["chunk", "bucket", "hits"])
+        hits = [np.intersect1d(_u4([r["all"]]), known, assume_unique=True) for r in rows]
+        to = [(r, h) for r, h in zip(rows, hits) if len(h)]
+        yield _told([r for r, _ in to], ["bucket", "hits"], [[r["bucket"] for r, _ in to], [h.tobytes() for _, h in to]], [pa.int32(), pa.binary()])
 
 
-def _send_windows(window: int, folder: str):
+def _send_windows(window: int, buckets: int, table: answers.Table, digest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(folder)
+        reader = answers.Reader(table)
         for name, chunk in _chunks(batches, window):
-            told = answers.of(name)
+            told = reader.of(*name)
             if not told:
                 continue
             known = np.unique(np.concatenate([np.uint64(r["bucket"] << 32) | _u4([r["hits"]]).astype("u8") for r in told]))
             h, at = chunk.runs(chunk.block, ANCHOR)
-            bucket, rest = _parts(h)
-            anchors = at[np.isin(bucket.astype("u8") << np.uint64(32) | rest, known)]
-            start, one, two = chunk.digests()
+            anchors = at[np.isin(_keys(h, buckets), known)]
+            h, start = chunk.windows()
             near = chunk.near(anchors, start)
-            start, one, two = start[near], one[near], two[near]
-            ids = chunk.ids[chunk.doc[start]]
-            order = np.lexsort((ids, two, one, one >> np.uint64(56)))
-            one, two, ids = one[order], two[order], ids[order]
-            two = (two >> np.uint64(32)).astype("<u4")
-            fresh = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (ids[1:] != ids[:-1])] if len(one) else np.zeros(0, "?")
-            one, two, ids = one[fresh], two[fresh], ids[fresh]
-            base = int(ids.min()) if len(ids) else 0
-            narrow = len(ids) > 0 and int(ids.max()) - base < 1 << 32
-            cuts = _cut(one >> np.uint64(56))
-            columns = [
-                pa.array([name] * len(cuts)),
-                pa.array([k * BUCKETS >> 8 for k, _ in cuts], pa.int32()),
-                pa.array([base] * len(cuts), pa.int64()),
-                pa.array([one[s].astype("<u8").tobytes() for _, s in cuts], pa.binary()),
-                pa.array([two[s].tobytes() for _, s in cuts], pa.binary()),
-                pa.array([(ids[s] - base).astype("<u4" if narrow else "<i8").tobytes() for _, s in cuts], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "base", "one", "two", "ids"])
+            key, start = _keys(h[near], buckets), start[near]
+            two, ids = chunk.digests(start, digest), chunk.ids[chunk.doc[start]]
+            order = np.lexsort((ids, two[:, 1], two[:, 0], key))
+            key, two, ids = key[order], two[order], ids[order]
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (two[1:] != two[:-1]).any(axis=1) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, "?")
+            key, two, ids = key[fresh], two[fresh], ids[fresh]
+            cuts = _cut(key >> np.uint64(32))
+            if cuts:
+                columns = [[_rest(key[a:b]) for _, a, b in cuts], [two[a:b].tobytes() for _, a, b in cuts], [_narrow(ids[a:b]) for _, a, b in cuts]]
+                yield _sent(name, [k for k, *_ in cuts], ["rest", "two", "ids"], columns)
 
     return run
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids as a base and differences of 32 bits where these suffice, else whole."""
+    base = ids.min()
+    if int(ids.max()) - int(base) < 1 << 32:
+        return base.astype("<i8").tobytes() + (ids - base).astype("<u4").tobytes()
+    return base.astype("<i8").tobytes() + ids.astype("<i8").tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    base = np.frombuffer(packed, "<i8", 1)
+    if len(packed) == 8 + 4 * n:
+        return np.frombuffer(packed, "<u4", n, 8).astype("i8") + base
+    return np.frombuffer(packed, "<i8", n, 8)
+
+
 def _smallest_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _gathered(batches).values():
-        sizes = [len(r["two"]) // 4 for r in rows]
-        one = np.frombuffer(b"".join(r["one"] for r in rows), "<u8")
-        two = _u4([r["two"] for r in rows])
-        ids = np.concatenate([np.frombuffer(r["ids"], "<u4" if len(r["ids"]) == len(r["two"]) else "<i8").astype("i8") + r["base"] for r in rows])
-        order = np.lexsort((ids, two, one))
-        a, b, i = one[order], two[order], ids[order]
-        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    for rows in answers.by_bucket(batches):
+        sizes = [len(r["rest"]) // 4 for r in rows]
+        two = _u8([r["two"] for r in rows]).reshape(-1, 2)
+        ids = np.concatenate([_wide(r["ids"], n) for r, n in zip(rows, sizes)])
+        order = np.lexsort((ids, two[:, 1], two[:, 0]))
+        sorted_, i = two[order], ids[order]
+        first = np.r_[True, (sorted_[1:] != sorted_[:-1]).any(axis=1)]
         least = np.empty(len(order), "i8")
         least[order] = i[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        told = least < ids
-        out, at = [], 0
+        to, at = [], 0
         for r, n in zip(rows, sizes):
-            own = np.flatnonzero(told[at : at + n]) + at
+            own = np.flatnonzero(least[at : at + n] < ids[at : at + n])
             if len(own):
-                x, y, z = one[own], two[own], least[own]
-                fresh = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-                out.append((r["chunk"], x[fresh].tobytes(), y[fresh].tobytes(), z[fresh].astype("<i8").tobytes()))
+                rest, x, y = _u4([r["rest"]])[own], two[at + own], least[at + own]
+                fresh = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
+                to.append((r, rest[fresh].tobytes(), x[fresh].tobytes(), y[fresh].astype("<i8").tobytes()))
             at += n
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3))], ["chunk", "one", "two", "least"])
+        yield _told([t[0] for t in to], ["bucket", "rest", "two", "least"], [[t[0]["bucket"] for t in to], *([t[k] for t in to] for k in (1, 2, 3))], [pa.int32(), *[pa.binary()] * 3])
+
+
+def _marked(chunk: Chunk, told: list[dict], buckets: int, digest) -> np.ndarray:
+    """Starts of the windows that also start in a smaller document."""
+    key = np.concatenate([np.uint64(r["bucket"] << 32) | _u4([r["rest"]]).astype("u8") for r in told])
+    two, least = _u8([r["two"] for r in told]).reshape(-1, 2), np.frombuffer(b"".join(r["least"] for r in told), "<i8")
+    h, start = chunk.windows()
+    start = start[np.isin(_keys(h, buckets), key)]
+    own, ids = chunk.digests(start, digest), chunk.ids[chunk.doc[start]]
+    both = np.concatenate([two, own])
+    _, group = np.unique(both.view("V16").ravel(), return_inverse=True)
+    smallest = np.full(group.max() + 1, np.iinfo("i8").max)
+    np.minimum.at(smallest, group[: len(two)], least)
+    return start[smallest[group[len(two) :]] < ids]
 
 
-def _removed(window: int, folder: str, keep: bool):
+def _removed(window: int, buckets: int, table: answers.Table, digest, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(folder)
+        reader = answers.Reader(table)
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
             for name, chunk in _chunks(iter([batch]), window):
-                told = answers.of(name)
+                told = reader.of(*name)
                 gone = np.zeros(len(chunk.words) + 1, "i4")
                 if told:
-                    one = np.frombuffer(b"".join(r["one"] for r in told), "<u8")
-                    two = _u4([r["two"] for r in told])
-                    least = np.frombuffer(b"".join(r["least"] for r in told), "<i8")
-                    order = np.lexsort((two, one))
-                    one, two, least = one[order], two[order], least[order]
-                    start, x, y = chunk.digests()
-                    y = (y >> np.uint64(32)).astype("<u4")
-                    place = np.searchsorted(one, x)
-                    hit = np.flatnonzero((place < len(one)) & (one[np.minimum(place, len(one) - 1)] == x))
-                    # Two digests that agree in their first half are told apart by the second.
-                    place, want, own = place[hit], hit, chunk.ids[chunk.doc[start[hit]]]
-                    marked = np.zeros(len(start), "?")
-                    while len(want):
-                        marked[want] |= (two[place] == y[want]) & (least[place] < own)
-                        place = place + 1
-                        more = (place < len(one)) & (one[np.minimum(place, len(one) - 1)] == x[want])
-                        place, want, own = place[more], want[more], own[more]
-                    np.add.at(gone, start[marked], 1)
-                    np.subtract.at(gone, start[marked] + window, 1)
+                    start = _marked(chunk, told, buckets, digest)
+                    np.add.at(gone, start, 1)
+                    np.subtract.at(gone, start + window, 1)
                 kept = np.cumsum(gone[:-1]) == 0
                 for k, text in enumerate(chunk.texts):
                     flags = kept[chunk.bounds[k] : chunk.bounds[k + 1]]
@@ -352,29 +340,28 @@ def _removed(window: int, folder: str, keep: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, digest=strong, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` (with ``keep``: the kept ``text``).
 
     A word goes if it is covered by a window whose words also start in a document with a smaller id. Null texts have
     no words. A null id counts as larger than any other; rows with equal ids, repeats among them, do not remove each
-    other's words. An empty table gives no rows; extra columns are left behind. Ids are integers.
+    other's words. An empty table gives no rows; extra columns are left behind. Ids are integers. ``digest`` maps the
+    bytes of a window's words to 16 bytes; windows are equal where these are.
     """
     spark = docs.sparkSession
     small_batches(spark)
     work = work_dir(spark, "substring")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = located(docs, id_col, text_col, f"{work}/docs")
-    rows = rows.select(F.col("id").cast("long").alias("doc_id"), "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), "row")
-
-    sent = rows.mapInArrow(lean("substring_dedup", _send_anchors(window)), "chunk string, bucket int, all binary, twice binary, blocks binary")
-    found = sent.repartition(n, "bucket").mapInArrow(lean("substring_dedup", _repeated_blocks), "chunk string, bucket int, hits binary")
-    anchors = _answered(found, n, f"{work}/anchors")
-
-    sent = rows.mapInArrow(lean("substring_dedup", _send_windows(window, anchors)), "chunk string, bucket int, base long, one binary, two binary, ids binary")
-    found = sent.repartition(n, "bucket").mapInArrow(lean("substring_dedup", _smallest_documents), "chunk string, one binary, two binary, least binary")
-    repeats = _answered(found, n, f"{work}/repeats")
-
-    return rows.mapInArrow(lean("substring_dedup", _removed(window, repeats, keep)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep)
+    buckets = buckets or answers.buckets_for(rows)
+    rows = answers.chunked(rows.withColumn("id", rows["id"].cast("long")))
+    key = "fh long, fh2 int, no long, bucket int"
+    step = lambda df, f, schema: df.mapInArrow(lean("substring_dedup", f), schema)
+
+    sent = step(rows, _send_anchors(window, buckets), f"{key}, all binary, twice binary, blocks binary")
+    anchors = answers.write(step(answers.dealt(sent), _repeated_blocks, f"{key}, hits binary"), f"{work}/anchors")
+    sent = step(rows, _send_windows(window, buckets, anchors, digest), f"{key}, rest binary, two binary, ids binary")
+    repeats = answers.write(step(answers.dealt(sent), _smallest_documents, f"{key}, rest binary, two binary, least binary"), f"{work}/repeats")
+    return step(rows, _removed(window, buckets, repeats, digest, keep), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,44 @@ def test_small_chunks_and_segments(spark, monkeypatch):
     assert len(set(whole.words.tolist())) == len(set(flat))
 
 
+def thue_morse(n, a, b):
+    """Strings that polynomial hashes modulo powers of two cannot tell apart when a and b are exchanged."""
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_hash_alike_are_told_apart(spark, n):
+    one, two = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    hashes = S.word_hashes(f"{one} {two}".encode())
+    assert one != two and hashes[0] == hashes[1]  # else this test shows nothing
+    rest = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join([*rest[:30], one, *rest[30:]])), (2, " ".join([*rest[:30], two, *rest[30:]])), (3, " ".join([*rest[:30], one, *rest[30:]]))]
+    got = sorted(map(tuple, substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == plain(rows, 50) and [r[2] for r in got] == [0, 0, 61]
+
+
+def test_many_buckets_and_files(spark, tmp_path):
+    rows = data(5)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    for buckets in (256, 4096):
+        assert sorted(map(tuple, substring_dedup(docs, 10, buckets=buckets).collect()), key=str) == plain(rows, 10)
+
+
+def test_answers_must_be_finished(spark, tmp_path):
+    from gleanery.llm import answers
+
+    table = answers.write(spark.createDataFrame([(k % 3, 0, k, f"v{k}") for k in range(300)], "fh long, fh2 int, no long, v string"), f"file://{tmp_path}/a")
+    keys = spark.createDataFrame([(k % 3, 0, k) for k in range(310)], "fh long, fh2 int, no long").withColumn("part", answers.part(answers.parts(spark))).collect()
+    reader = answers.Reader(table)
+    assert [[r["v"] for r in reader.of(k["part"], k["fh"], k["fh2"], k["no"])] for k in keys] == [[f"v{k['no']}"] if k["no"] < 300 else [] for k in keys]
+    (tmp_path / "a/_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        answers.Reader(table)
+    with pytest.raises(Exception):
+        answers.Reader(answers.Table("unknown://x/y"))
+
+
 def test_empty_and_kept_text(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "x a b c d y")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in substring_dedup(df, 4, keep=True).collect()} == {1: "a b c d e f", 2: "x y"}

@@ -10,7 +10,8 @@ lines that occur again anywhere in the corpus are removed; the first occurrence,
    compares the bytes, since equal digests prove nothing, and answers with the first place in the corpus.
 3. Each part leaves out the chunks whose first place is elsewhere.
 
-Digests and bytes travel once for each part, however many copies it holds, so no hot chunk fills a task.
+Digests and bytes travel once for each part, however many copies it holds, so no hot chunk fills a task. Buckets grow
+in number with the table, and a task holds one at a time.
 """
 
 from __future__ import annotations
@@ -22,15 +23,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from gleanery.llm import answers
 from gleanery.llm.common import lean, located, small_batches, work_dir
-from gleanery.llm.substring_dedup import Answers, _answered, _gathered, rolling
+from gleanery.llm.substring_dedup import _cut, _sent, _told, _u8, rolling
 
 #: Lines the rolling hash sees, one boundary in so many places, and lines of a chunk at least and at most.
 WINDOW, ONE_IN, LEAST, MOST = 2, 2, 2, 64
-#: Rows of a part, and buckets of digests.
-PART_ROWS, BUCKETS = 1024, 256
 BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -61,80 +60,76 @@ class Document:
         self.chunks = [(k, a, b, c) for k, (a, b) in enumerate(pairs) if b - a > 1 and (c := b"\n".join(self.lines[a:b])).strip()]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int, int, Document]]]]:
-    """Name of each part and its documents as (id, file key, row, document); batches are ``id, text, fh, fh2, row``."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[int, int, int, Document]]]]:
+    """Key of each part and its documents as (id, file key, row, document)."""
     last = np.iinfo("i8").max
     for batch in batches:
-        ids, fh, fh2, row = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
-        names = [f"{a}_{b}_{r // PART_ROWS}" for a, b, r in zip(fh, fh2, row)]
-        a = 0
-        for b in range(1, len(names) + 1):
-            if b == len(names) or names[b] != names[a]:
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                yield names[a], [(last if i is None else i, f, r, Document(t)) for i, f, r, t in zip(ids[a:b], fh[a:b], row[a:b], texts)]
-                a = b
+        ids, row = batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("row")).to_pylist()
+        for key, a, b in answers.chunks_of(batch):
+            texts = batch.column(1).slice(a, b - a).to_pylist()
+            yield key, [(last if i is None else i, key[1], r, Document(t)) for i, r, t in zip(ids[a:b], row[a:b], texts)]
 
 
-def _send_digests(digest):
+def _send_digests(digest, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, docs in _parts(batches):
             values, counts = np.unique(np.array([digest(c) for *_, d in docs for *_, c in d.chunks], "u8"), return_counts=True)
-            bucket = (values >> np.uint64(56)).astype("i8") * BUCKETS >> 8
-            edges = np.flatnonzero(np.diff(bucket)) + 1
-            cuts = [slice(a, b) for a, b in zip(np.r_[0, edges], np.r_[edges, len(bucket)])] if len(bucket) else []
-            columns = [pa.array([name] * len(cuts), pa.string()), pa.array([int(bucket[c.start]) for c in cuts], pa.int32()), pa.array([values[c].tobytes() for c in cuts], pa.binary()), pa.array([values[c][counts[c] > 1].tobytes() for c in cuts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "all", "twice"])
+            cuts = _cut(values >> np.uint64(65 - buckets.bit_length()))
+            if cuts:
+                yield _sent(name, [k for k, *_ in cuts], ["all", "twice"], [[values[a:b].tobytes() for _, a, b in cuts], [values[a:b][counts[a:b] > 1].tobytes() for _, a, b in cuts]])
 
     return run
 
 
-def _u8(parts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), "<u8")
-
-
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _gathered(batches).values():
+    for rows in answers.by_bucket(batches):
         values, counts = np.unique(_u8([r["all"] for r in rows]), return_counts=True)
         again = np.union1d(values[counts > 1], _u8([r["twice"] for r in rows]))
-        hits = [(r["chunk"], h.tobytes()) for r in rows if len(h := np.intersect1d(_u8([r["all"]]), again, assume_unique=True))]
-        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([h[1] for h in hits], pa.binary())], ["chunk", "hits"])
+        hits = [(r, h.tobytes()) for r in rows if len(h := np.intersect1d(_u8([r["all"]]), again, assume_unique=True))]
+        yield _told([r for r, _ in hits], ["hits"], [[h for _, h in hits]], [pa.binary()])
 
 
-def _send_bytes(digest, folder: str):
+def _send_bytes(digest, buckets: int, table: answers.Table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(folder)
+        reader = answers.Reader(table)
         for name, docs in _parts(batches):
-            known = set(_u8([r["hits"] for r in answers.of(name)]).tolist())
+            known = set(_u8([r["hits"] for r in reader.of(*name)]).tolist())
             first: dict[bytes, tuple] = {}
             for id_, f, r, d in docs:
                 for k, _, _, c in d.chunks:
                     if digest(c) in known:
                         first[c] = min(first.get(c, (id_, f, r, k)), (id_, f, r, k))
             if first:
-                columns = [pa.array([name] * len(first)), pa.array([digest(c) * BUCKETS >> 64 for c in first], pa.int32()), pa.array(list(first), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([v[j] for v in first.values()], pa.int64()) for j in range(4)], ["chunk", "bucket", "body", "id", "fh", "row", "k"])
+                batch = _sent(name, [digest(c) >> 65 - buckets.bit_length() for c in first], ["body"], [list(first)])
+                for j, column in enumerate(PLACE):
+                    batch = batch.append_column(column, pa.array([v[j] for v in first.values()], pa.int64()))
+                yield batch
 
     return run
 
 
+#: Columns of the place of a chunk of lines: document, file, row, number.
+PLACE = ["id", "at_fh", "at_row", "k"]
+
+
 def _first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _gathered(batches).values():
+    for rows in answers.by_bucket(batches):
         first: dict[bytes, tuple] = {}
         for r in rows:  # the dictionary compares whole bytes
-            place = (r["id"], r["fh"], r["row"], r["k"])
+            place = tuple(r[c] for c in PLACE)
             first[r["body"]] = min(first.get(r["body"], place), place)
-        columns = [pa.array([r["chunk"] for r in rows]), pa.array([hashlib.blake2b(r["body"], digest_size=20).digest() for r in rows], pa.binary())]
         places = [first[r["body"]] for r in rows]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array([p[j] for p in places], pa.int64()) for j in range(4)], ["chunk", "key", "id", "fh", "row", "k"])
+        keys = [hashlib.blake2b(r["body"], digest_size=20).digest() for r in rows]
+        yield _told(rows, ["key", *PLACE], [keys, *([p[j] for p in places] for j in range(4))], [pa.binary(), *[pa.int64()] * 4])
 
 
-def _kept(folder: str, keep: bool):
+def _kept(table: answers.Table, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(folder)
+        reader = answers.Reader(table)
         for batch in batches:
             n_lines, n_chunks, n_removed, digests, texts = [], [], [], [], []
             for name, docs in _parts(iter([batch])):
-                first = {r["key"]: (r["id"], r["fh"], r["row"], r["k"]) for r in answers.of(name)}
+                first = {r["key"]: tuple(r[c] for c in PLACE) for r in reader.of(*name)}
                 for id_, f, r, d in docs:
                     gone = [(a, b) for k, a, b, c in d.chunks if first and first.get(hashlib.blake2b(c, digest_size=20).digest(), (id_, f, r, k)) != (id_, f, r, k)]
                     lines, at = [], 0
@@ -155,7 +150,7 @@ def _kept(folder: str, keep: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, digest=xxhash.xxh64_intdigest) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, digest=xxhash.xxh64_intdigest, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_lines, n_chunks, n_removed`` (lines) and ``kept_sha256`` of the kept
     lines joined by line feeds (with ``keep``: the kept ``text``).
 
@@ -166,14 +161,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     work = work_dir(spark, "lines")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = located(docs, id_col, text_col, f"{work}/docs")
-    rows = rows.select(F.col("id").cast("long").alias("doc_id"), "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), "row")
+    buckets = buckets or answers.buckets_for(rows)
+    rows = answers.chunked(rows.withColumn("id", rows["id"].cast("long")))
     step = lambda df, f, schema: df.mapInArrow(lean("line_dedup", f), schema)
-    sent = step(rows, _send_digests(digest), "chunk string, bucket int, all binary, twice binary")
-    hits = _answered(step(sent.repartition(n, "bucket"), _repeated, "chunk string, hits binary"), n, f"{work}/hits")
-    sent = step(rows, _send_bytes(digest, hits), "chunk string, bucket int, body binary, id long, fh long, row long, k long")
-    first = _answered(step(sent.repartition(n, "bucket"), _first_places, "chunk string, key binary, id long, fh long, row long, k long"), n, f"{work}/first")
+    key, place = "fh long, fh2 int, no long", ", ".join(f"{c} long" for c in PLACE)
+    sent = step(rows, _send_digests(digest, buckets), f"{key}, bucket int, all binary, twice binary")
+    hits = answers.write(step(answers.dealt(sent), _repeated, f"{key}, hits binary"), f"{work}/hits")
+    sent = step(rows, _send_bytes(digest, buckets, hits), f"{key}, bucket int, body binary, {place}")
+    first = answers.write(step(answers.dealt(sent), _first_places, f"{key}, key binary, {place}"), f"{work}/first")
     return step(rows, _kept(first, keep), "doc_id long, n_lines long, n_chunks long, n_removed long, kept_sha256 string" + ", text string" * keep)
 
 

@@ -3,7 +3,8 @@
 The state store (RocksDB) holds, for each content digest, the smallest stable identifier seen, the locator (file and
 row) of that row's content and the number of arrivals. Later arrivals of a known digest are hits; their full
 normalised bytes are read through both locators and compared, and rows that differ in spite of equal digests are
-grouped again by their bytes. Only DataFrame, SQL and Structured Streaming operators are used.
+grouped again by their bytes. Lists of locators are bits by file and block of rows, so only the texts of hits move,
+however many there are. Only DataFrame, SQL and Structured Streaming operators are used.
 """
 
 from __future__ import annotations
@@ -11,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import located, settings, work_dir, written
+from gleanery.llm.common import listed, located, row_bits, settings, work_dir, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows of a broadcast list of locators; at about 100 bytes each the list stays below 4 MB. Beyond, Spark shuffles.
-BROADCAST_ROWS = 40_000
 
 
 def normalised(text: Column) -> Column:
@@ -91,7 +90,7 @@ def exact_dedup(
     joined = log.join(state, "digest").select("arrival", "digest", "sha", "keep", "n")
 
     members = written(joined.where("n > 1").select("digest", "arrival", (F.col("arrival") == F.col("keep")).alias("is_keep")), f"{work}/members")
-    differ = _differing(rows, members, norm, work)
+    differ = _differing(rows, members, norm, digest, work)
     if differ is not None:
         # Equal digests, different bytes: such rows form groups of their own, by digest and full text.
         regrouped = differ.groupBy("digest", "text").agg(F.min("arrival").alias("keep2"), F.count(F.lit(1)).alias("n2"))
@@ -113,12 +112,18 @@ def exact_dedup(
     )
 
 
-def _differing(rows: DataFrame, members: DataFrame, norm: Column, work: str) -> DataFrame | None:
-    """Hits whose full bytes differ from those of the row that their digest retains; None if there is none."""
-    wanted = members.select("digest", "is_keep", F.col("arrival.file").alias("file"), F.col("arrival.row").alias("row"), "arrival")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    read = lambda flag: rows.select("file", "row", "text").join(wanted.where(F.col("is_keep") == flag), ["file", "row"]).select("digest", "arrival", norm.alias("text"))
+def _differing(rows: DataFrame, members: DataFrame, norm: Column, digest, work: str) -> DataFrame | None:
+    """Hits whose full bytes differ from those of the row that their digest retains; None if there is none.
+
+    Both sides are read through their locators and meet by digest; a digest's kept row is one, and Spark splits the
+    hits of a digest with very many of them."""
+
+    def read(kept: bool) -> DataFrame:
+        named = members.where(F.col("is_keep") == kept).select("arrival.file", "arrival.row")
+        bits = written(row_bits(named), f"{work}/{'kept' if kept else 'hits'}")
+        arrival = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row").alias("arrival")
+        return listed(rows, bits).select(digest(norm).alias("digest"), arrival, norm.alias("text"))
+
     kept = read(True).select("digest", F.col("text").alias("kept_text"))
     differ = written(read(False).join(kept, "digest").where("text <> kept_text").drop("kept_text"), f"{work}/differ")
     return differ if differ.count() else None

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.llm import common
 from gleanery.llm.exact_dedup import exact_dedup, retained
 
 
@@ -37,6 +38,15 @@ def test_against_plain(spark, digest):
     assert sorted(map(tuple, got), key=str) == plain(data)
 
 
+def test_without_broadcast(spark, monkeypatch):
+    """Beyond the bound of the lists of rows Spark joins them otherwise; collisions are still told apart."""
+    monkeypatch.setattr(common, "BROADCAST_BLOCKS", 0)
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = exact_dedup(df, digest=lambda t: F.crc32(t.cast("binary")).cast("string").cast("binary").substr(1, 1)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["group_size"], r["text_sha256"]) for r in got) == sorted((r[0] is None, r[0] or 0, r[2], r[4]) for r in plain(data))
+
+
 def test_from_files_and_empty(spark, tmp_path):
     data = rows()
     spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")

@@ -10,7 +10,9 @@ necessary prefix is a single shingle, and the rarest serves best:
    document's first word and end at or before its last (positional and length bound).
 4. Verify: the document's words there must equal the window's, word by word.
 
-Documents are named by file and row number, so repeated and null ids are told apart.
+Documents are named by file and row number, so repeated and null ids are told apart. Placements carry numbers of
+windows; words and items come to them where they are needed. The list of documents to read again is bits by file and
+block of rows, so no other texts move.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import located, small, work_dir, written
+from gleanery.llm.common import listed, located, row_bits, small, work_dir, written
 
 #: A word is a run of digits, ASCII letters and all characters beyond ASCII. Listing these, instead of
 #: negating the rest, is many times faster in Java.
@@ -26,8 +28,9 @@ WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WORD_ANY_CASE = r"[0-9a-zA-Z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 5
-#: Rows of a broadcast table of windows (under 300 bytes each) or of document keys; beyond, Spark shuffles.
-BROADCAST_WINDOWS, BROADCAST_KEYS = 60_000, 200_000
+#: Rows of a broadcast table of windows (under 300 bytes each); beyond, Spark shuffles. A benchmark does not grow with
+#: the documents.
+BROADCAST_WINDOWS = 60_000
 
 
 def words(text: Column) -> Column:
@@ -54,11 +57,11 @@ def shingles(ws: Column, sizes: list[int]) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """Distinct windows: ``wid, ws, size, items``; an item of fewer words, but not none, is one window."""
+    """Distinct windows: ``wid, ws, size, items``, to be written before use, which fixes the numbers; an item of fewer words, but not none, is one window."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("all")).withColumn("n", F.size("all")).where("n > 0")
     starts = items.select("item", "all", F.least("n", F.lit(window)).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)))).alias("at"))
     cut = starts.select("item", F.slice("all", F.col("at"), F.col("size")).alias("ws"))
-    return cut.groupBy("ws").agg(F.collect_set("item").alias("items")).select(F.xxhash64(F.array_join("ws", " ")).alias("wid"), "ws", F.size("ws").alias("size"), "items")
+    return cut.groupBy("ws").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("wid"), "ws", F.size("ws").alias("size"), "items")
 
 
 def contamination(
@@ -74,7 +77,8 @@ def contamination(
     row's ``file`` and ``row``.
 
     Null texts have no words; items without words have no windows; equal items all count; an empty benchmark leaves
-    every document clean; an empty table gives no rows. ``items`` are the ids, as strings, in string order.
+    every document clean; an empty table gives no rows. ``items`` are the ids, as strings, in string order; windows of
+    items without an id hit words, but count for no item.
     """
     spark = docs.sparkSession
     work = work_dir(spark, "decontam")
@@ -87,7 +91,7 @@ def contamination(
     per_size = [tokens.where(F.col("s") == s).select("wid", F.inline(shingles(F.col("ws"), [s]))) for s in sizes]
     tokens = written(_union(per_size, spark.createDataFrame([], "wid long, pos int, h long, n int")).drop("n"), f"{work}/tokens")
 
-    probes = rows.select("k", "k2", F.inline(bound(words(text), lambda ws: shingles(ws, sizes))))
+    probes = rows.select("k", "k2", "file", "row", F.inline(bound(words(text), lambda ws: shingles(ws, sizes))))
     wanted = written(tokens.select("h").distinct(), f"{work}/wanted")
     found = written(probes.join(small(wanted, 10 * BROADCAST_WINDOWS), "h"), f"{work}/found")
 
@@ -95,19 +99,22 @@ def contamination(
     rarest = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "h", "pos"))
     prefix = tokens.join(seen, "h", "left").groupBy("wid").agg(rarest.alias("p")).where("p.seen > 0")
     prefix = prefix.select("wid", F.col("p.h").alias("h"), F.col("p.pos").alias("offset"))
-    prefix = written(prefix.join(windows, "wid").select("h", "offset", "ws", "size", "items"), f"{work}/prefix")
+    prefix = written(prefix.join(windows, "wid").select("h", "offset", "wid", "size"), f"{work}/prefix")
 
     start = F.col("pos") - F.col("offset")
     placed = found.join(small(prefix, BROADCAST_WINDOWS), "h").where((start >= 0) & (start + F.col("size") <= F.col("n")))
-    grouped = written(placed.groupBy("k", "k2").agg(F.collect_list(F.struct(start.alias("start"), "size", "ws", "items")).alias("at")), f"{work}/candidates")
-    keys = small(grouped.select("k", "k2"), BROADCAST_KEYS)
-    texts = rows.select("k", "k2", "text").join(keys, ["k", "k2"], "left_semi")
-    read = texts.join(grouped, ["k", "k2"])
-    equal = lambda r: F.filter(r["at"], lambda c: F.slice(r["all"], c["start"] + 1, c["size"]) == c["ws"])
-    hits = read.select("k", "k2", bound(F.struct(words(text).alias("all"), "at"), equal).alias("at"))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda c: c["items"]))))
-    hits = hits.select("k", "k2", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+    grouped = written(placed.groupBy("k", "k2").agg(F.collect_set(F.struct(start.alias("start"), "size", "wid")).alias("at"), F.first("file").alias("file"), F.first("row").alias("row")), f"{work}/candidates")
+    bits = written(row_bits(grouped), f"{work}/listed")
+    read = listed(rows, bits).select("k", "k2", "text").join(grouped.select("k", "k2", "at"), ["k", "k2"])
+    cut = lambda r: F.transform(r["at"], lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.slice(r["all"], c["start"] + 1, c["size"]).alias("part")))
+    parts = read.select("k", "k2", F.inline(bound(F.struct(words(text).alias("all"), "at"), cut)))
+    sure = parts.join(small(windows.select("wid", "ws", "size"), BROADCAST_WINDOWS), "wid").where("part = ws").select("k", "k2", "start", "size", "wid")
+    sure = written(sure, f"{work}/sure")
+    covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))
+    n_hit = sure.groupBy("k", "k2").agg(F.size(covered).cast("long").alias("n_hit"))
+    item = windows.select("wid", F.explode("items").alias("item"))
+    named = sure.select("k", "k2", "wid").distinct().join(item, "wid").groupBy("k", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = n_hit.join(named, ["k", "k2"], "left")
 
     counted = rows.select("id", "file", "row", "k", "k2", F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")

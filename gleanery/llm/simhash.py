@@ -5,7 +5,7 @@ differing bits are found in an index whose upper nodes are masked bit patterns:
 ``shared`` blocks, and two fingerprints that differ in ``bits`` bits at most agree in ``shared`` blocks at least, so
 each fingerprint is filed under every choice of ``shared`` blocks (for 2 bits and 2 shared: four blocks of 16, six
 patterns of 32 bits). More shared blocks mean longer patterns with fewer members each, for larger tables. Patterns are
-dealt out over the cluster. Within a task, entries of a pattern are sorted by Gray rank, in which fingerprints with the
+dealt out over the cluster; a pair that shares several is found under the first. Within a task, entries of a pattern are sorted by Gray rank, in which fingerprints with the
 same upper bits are neighbours; runs that share the upper third of the free bits form nodes of the first level, those
 that share two thirds nodes of the second, below which are the leaves. The search goes down pairs of nodes and adds up
 differing bits: two nodes whose sum exceeds ``bits`` drop all pairs of their members at once.
@@ -20,7 +20,6 @@ task goes through its patterns in order and holds a few of them at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -36,7 +35,7 @@ SEED = 42
 #: Shingles hashed at once, and members of a pattern above which it is filed again under longer patterns.
 BLOCK, CROWD = 1 << 16, 4096
 #: Index entries that a task holds at least before it searches them, and pairs of nodes that it judges at once.
-HELD, PAIRS = 1 << 16, 1 << 19
+HELD, PAIRS = 1 << 15, 1 << 16
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -92,24 +91,49 @@ def free_parts(mask: int, parts: int) -> list[int]:
     return [sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:])]
 
 
+def choices(bits: int, shared: int) -> list[int]:
+    """The masks that fingerprints are filed under: every choice of ``shared`` blocks."""
+    return [sum(c) for c in combinations(block_masks(bits + shared), shared)]
+
+
 def filed(classes: DataFrame, bits: int, shared: int, work: str, prints: tuple[str, ...] = ("fp",), carry: tuple[str, ...] = ()) -> DataFrame:
     """Index entries ``place, mask, pattern, fp`` and ``carry``: each fingerprint (columns ``prints``, each an index of
     its own) under each choice of blocks, crowded patterns refined."""
-    masks = [sum(c) for c in combinations(block_masks(bits + shared), shared)]
-    entry = lambda place, fp, m: F.struct(F.lit(place).alias("place"), F.lit(signed(m)).alias("mask"), fp.bitwiseAND(F.lit(signed(m))).alias("pattern"), fp.alias("fp"))
-    every = [entry(p, F.col(c), m) for p, c in enumerate(prints) for m in masks]
-    entries = classes.select(F.inline(F.array(*every)), *carry)
+    masks = choices(bits, shared)
+    array = lambda values: F.array(*(F.lit(signed(m)) for m in values))
+    pattern = F.col("fp").bitwiseAND(F.col("mask")).alias("pattern")
+    tables = classes.select(F.posexplode(F.array(*prints)).alias("place", "fp"), *carry)
+    entries = tables.select("place", "fp", F.explode(array(masks)).alias("mask"), *carry).select("place", "mask", pattern, "fp", *carry)
     keys = ["place", "mask", "pattern"]
     crowded = written(entries.groupBy(*keys).count().where(F.col("count") > CROWD).drop("count"), f"{work}/crowded")
     if not crowded.count():
         return entries
     rest = entries.join(crowded, keys, "left_anti")
-    dense = entries.join(crowded, keys)
-    finer = F.lit(None).cast("array<struct<mask:bigint,pattern:bigint>>")
-    longer = lambda m: F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("pattern"))
-    for m in masks:
-        finer = F.when(F.col("mask") == signed(m), F.array(*[longer(m | t) for t in free_parts(m, bits + 1)])).otherwise(finer)
-    return rest.unionByName(dense.select("place", F.inline(finer), "fp", *carry))
+    longer = F.create_map(*(x for m in masks for x in (F.lit(signed(m)), array(m | t for t in free_parts(m, bits + 1)))))
+    finer = entries.join(crowded, keys).select("place", "fp", F.explode(F.element_at(longer, F.col("mask"))).alias("mask"), *carry)
+    return rest.unionByName(finer.select("place", "mask", pattern, "fp", *carry))
+
+
+def foremost(masks: list[int], bits: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Of a pair that agrees under several masks, whether this is the first one: each pair is found once in an index.
+
+    Takes masks of entries and differences of pairs. A refined mask is first if its choice of blocks is and, of its
+    parts, the part that it adds."""
+    parts = {m: free_parts(m, bits + 1) for m in masks}
+    order = [(m, m) for m in masks] + [(m | t, m) for m in masks for t in parts[m]]
+
+    def first(mask: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(mask), "?")
+        for m, base in order:
+            at = np.flatnonzero(mask == np.uint64(m))
+            if len(at):
+                earlier = list(masks[: masks.index(base)])
+                if m != base:
+                    earlier += [base | t for t in parts[base][: parts[base].index(m ^ base)]]
+                out[at] = ~np.logical_or.reduce([apart[at] & np.uint64(e) == 0 for e in earlier] or [np.zeros(len(at), "?")])
+        return out
+
+    return first
 
 
 def _children(heads: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +155,9 @@ def _pairs_below(a: np.ndarray, b: np.ndarray, d: np.ndarray, first: np.ndarray,
         yield first[a[of]] + i, first[b[of]] + j, d[of]
 
 
-def linked(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, bits: int, accept: Callable | None = None, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs within ``bits`` differing bits under the same pattern that ``accept`` accepts: two arrays of places."""
+def linked(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, bits: int, accept: Callable | None = None, place: np.ndarray | None = None, first: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within ``bits`` differing bits under the same pattern that ``first`` and ``accept`` accept: two arrays
+    of places."""
     if not len(fp):
         return np.zeros(0, "i8"), np.zeros(0, "i8")
     place = np.zeros(len(fp), "i8") if place is None else place
@@ -160,7 +185,11 @@ def linked(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, bits: int, acc
                 down(level + 1, i[near], j[near], so_far[near])
                 continue
             near &= i < j
-            x, y = order[x[near]], order[y[near]]
+            x, y = x[near], y[near]
+            if first is not None:
+                own = first(mask[x], fp[x] ^ fp[y])
+                x, y = x[own], y[own]
+            x, y = order[x], order[y]
             if accept is not None:
                 ok = accept(x, y)
                 x, y = x[ok], y[ok]
@@ -220,17 +249,17 @@ def by_pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def searched(entries: DataFrame, bits: int, key: str, accept: Callable | None = None, whole: bool = False) -> DataFrame:
+def searched(entries: DataFrame, bits: int, shared: int, key: str, accept: Callable | None = None, whole: bool = False) -> DataFrame:
     """Pairs ``a, b`` of values of ``key`` whose entries are linked and accepted: for each task a spanning forest of
     them, or ``whole``, all of them. ``accept`` makes of a batch of entries a test of pairs of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
+        forest, first = Forest(), foremost(choices(bits, shared), bits)
         for batch in by_pattern(batches):
             place = np.asarray(batch.column(0)).astype("i8")
             mask, pattern, fp = (np.asarray(batch.column(k)).view("u8") for k in (1, 2, 3))
             name = np.asarray(batch.column(batch.schema.get_field_index(key)))
-            a, b = linked(mask, pattern, fp, bits, accept and accept(batch), place)
+            a, b = linked(mask, pattern, fp, bits, accept and accept(batch), place, first)
             pairs = np.unique(np.sort(np.stack([name[a], name[b]], axis=1), axis=1), axis=0)
             if not whole:
                 pairs = pairs[[forest.join(x, y) for x, y in pairs.tolist()]] if len(pairs) else pairs
@@ -243,7 +272,7 @@ def searched(entries: DataFrame, bits: int, key: str, accept: Callable | None =
 
 def links(classes: DataFrame, bits: int, work: str, shared: int = 2) -> DataFrame:
     """Edges ``a, b`` between fingerprints within ``bits`` bits: per task a spanning forest of what it found."""
-    return searched(filed(classes.select("fp"), bits, shared, work), bits, "fp")
+    return searched(filed(classes.select("fp"), bits, shared, work), bits, shared, "fp")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, shared: int = 2) -> DataFrame:
@@ -282,17 +311,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-@lru_cache(256)
-def shingles(text: str | None, words: int = 5) -> frozenset:
-    """The set of runs of ``words`` words; a shorter text is one run, a text without words has none."""
-    ws = words_of(text)
-    return frozenset(zip(*(ws[k:] for k in range(words)))) if len(ws) >= words else frozenset([tuple(ws)] if ws else [])
+def shingle_rows(ids: np.ndarray, words: int) -> np.ndarray:
+    """The distinct runs of ``words`` word numbers, each as one value; a shorter text is one run, padded."""
+    if not len(ids):
+        return np.zeros(0, f"V{4 * words}")
+    if len(ids) < words:
+        ids = np.r_[ids, np.full(words - len(ids), 0xFFFFFFFF, "u4")]
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids.astype("u4"), words))
+    return np.unique(rows.view(f"V{4 * words}").ravel())
 
 
 def similar(a: str | None, b: str | None, words: int = 5, share: tuple[int, int] = (4, 5)) -> bool:
-    """Whether the Jaccard similarity is ``share`` at least; two texts without words are alike."""
-    x, y = shingles(a, words), shingles(b, words)
-    both = len(x & y)
+    """Whether the Jaccard similarity of the sets of ``words``-word shingles is ``share`` at least, by the words
+    themselves, numbered as they come; two texts without words are alike."""
+    numbers: dict[bytes, int] = {}
+    x, y = (shingle_rows(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_of(t)), "u4"), words) for t in (a, b))
+    if share[1] * min(len(x), len(y)) < share[0] * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
     return share[1] * both >= share[0] * (len(x) + len(y) - both)
 
 
@@ -371,7 +407,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int,
         for batch in batches:
             ok = [similar(x.as_py(), y.as_py(), words, share) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-        shingles.cache_clear()
 
     side = lambda k: texts.select(F.col("n").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
@@ -410,7 +445,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def search(some: DataFrame, whole: bool, name: str) -> DataFrame:
         entries = filed(some, bits, shared, f"{work}/{name}", prints, ("n", "root", "sketch"))
-        return searched(entries, bits, "n", may_be_similar(share), whole).distinct()
+        return searched(entries, bits, shared, "n", may_be_similar(share), whole).distinct()
 
     first = written(search(classes.withColumn("root", F.col("n")), False, "first").unionByName(same).distinct(), f"{work}/first-pairs")
     ends = written(first.select(F.col("a").alias("n")).union(first.select("b")).distinct(), f"{work}/ends")

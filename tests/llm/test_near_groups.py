@@ -93,6 +93,20 @@ def test_one_of_each_group_stays_with_null_and_repeated_ids(spark, tmp_path):
     assert sorted(got, key=str) == [(3, "c"), (7, "a"), (None, "b")]
 
 
+def test_a_pair_is_found_under_one_mask():
+    import numpy as np
+
+    masks = simhash.choices(3, 2)
+    first = simhash.foremost(masks, 3)
+    rng = random.Random(3)
+    for _ in range(300):
+        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
+        hits = [m for m in masks if not x & m and first(np.array([m], "u8"), np.array([x], "u8"))[0]]
+        assert len(hits) == 1
+        finer = [hits[0] | t for t in simhash.free_parts(hits[0], 4)]
+        assert sum(not x & m and first(np.array([m], "u8"), np.array([x], "u8"))[0] for m in finer) == 1
+
+
 def test_pairs_come_once_however_they_are_cut(monkeypatch):
     import numpy as np
 

@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -18,10 +20,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which the driver and all executors share. Results are computed
     lazily from what operators keep there, so it goes when the driver ends.
 
-    Where the setting is absent (unit tests on one machine) a temporary folder of this machine stands in.
+    Only where driver and executors are one process (unit tests) may the setting be absent.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.gettempdir() + "/gleanery-work"
     folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -155,13 +159,25 @@ def kept_by(operator: str, *empty: Callable[[], object]) -> None:
     _KEPT.setdefault(operator, []).extend(empty)
 
 
+@lru_cache(1)
+def _libc():
+    """The C library, told once in each worker to map blocks of 128 kB and more on their own, so that arrays go back
+    to the system when they are freed; Arrow allocates through it too. Null where there is no glibc."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 128 << 10)  # M_MMAP_THRESHOLD: fixed, else it grows with what is freed
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
+    except OSError:
+        return None
+    pa.set_memory_pool(pa.system_memory_pool())
+    return libc
+
+
 def _trim() -> None:
     """Give freed memory back to the system; the allocator would keep it for this worker."""
     gc.collect()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:
-        pass
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 def _only(operator: str) -> None:

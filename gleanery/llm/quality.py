@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import kept_by, lean, small_batches, work_dir, write_bytes
-from gleanery.llm.substring_dedup import SEGMENT, _mixed, _segment_hashes, _SPACE
+from gleanery.llm.substring_dedup import _mixed, _segment_hashes, _SPACE
 
 #: Bounds of the model: labelled documents, hashed terms, dimensions of the latent space; neighbours that vote.
 LABELLED, TERMS, DIMENSIONS, NEIGHBOURS = 4096, 2048, 64, 15
 #: Documents of a block of cosines; with 4,096 labelled vectors its arrays take about 30 MB.
 BLOCK = 256
+#: Bytes of text whose terms are counted at once; a longer text is a group of its own.
+GROUP_BYTES = 1 << 18
 _CLASS = np.arange(256, dtype="u1")
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
 _CLASS[ord("A") : ord("Z") + 1] = ord("A")
@@ -96,7 +98,7 @@ def term_rows(texts: list[str | None], terms: int = TERMS) -> np.ndarray:
     encoded = [(t or "").encode("utf-8") for t in texts]
     parts, group, size = [], [], 0
     for t in encoded:
-        if group and size + len(t) > SEGMENT:
+        if group and size + len(t) > GROUP_BYTES:
             parts.append(_group_terms(group, terms))
             group, size = [], 0
         group.append(t)
@@ -178,8 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
                 body = [r.astype("f2").tobytes() for r in term_rows(part.column(1).to_pylist(), terms)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(body, pa.binary())], ["id", "label", "row"])
 
-    got = rows.mapInArrow(lean("quality", run), f"id {rows.schema['id'].dataType.simpleString()}, label int, row binary").toPandas()
-    got = got.sort_values(["id", "label", "row"]).head(labelled)
+    got = rows.mapInArrow(lean("quality", run), f"id {rows.schema['id'].dataType.simpleString()}, label int, row binary")
+    # Ids may repeat: the bound holds for rows before any of them reaches the driver.
+    got = got.orderBy("id", "label", "row").limit(labelled).toPandas()
     matrix = np.frombuffer(b"".join(map(bytes, got["row"])), "f2").reshape(-1, terms).astype("f4")
     return Model.fit(matrix, got["label"].to_numpy("f4"), dimensions)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -105,7 +108,7 @@ def meta(sources: DataFrame, definitions: DataFrame) -> tuple[DataFrame, DataFra
 
 def data_as_of(runs: DataFrame, articles: DataFrame) -> DataFrame:
     """When data were collected last: the newest collecting run, else the newest article."""
-    run = runs.agg(F.max(F.when(F.col("kind").isin("collect", "manual"), F.col("started_at"))).alias("run"))
+    run = runs.agg(F.max(F.when(F.col("kind").isin("collect", "collect_and_summarize"), F.col("started_at"))).alias("run"))
     return run.crossJoin(articles.agg(F.max("first_seen_at").alias("seen"))).select(F.coalesce("run", "seen").alias("data_as_of"))
 
 
@@ -120,18 +123,67 @@ def filtered_json(articles: DataFrame, release_mode: str) -> DataFrame:
     return articles.select(F.to_json(F.struct(F.lit(release_mode).alias("release_mode"), *articles.columns)).alias("value"))
 
 
-def publish(df: DataFrame, folder: str, problems: DataFrame | None = None) -> None:
-    """Staged sink: write beside ``folder``, check, then replace; a problem leaves what was there."""
+def publish(df: DataFrame, folder: str, problems: DataFrame | None = None) -> str:
+    """Staged sink: write a new version below ``folder``, check, then point to it; a problem leaves what was there.
+
+    Readers go through ``published``: the file ``current`` names the version that counts. It is written beside and
+    renamed over the one before in one step, so at every moment a whole version is there. Versions that were replaced
+    before the last one are removed."""
     spark = df.sparkSession
     found = problems.limit(5).collect() if problems is not None else []
     if found:
         raise ValueError(f"not published: {[tuple(r) for r in found]}")
-    staged, old = folder.rstrip("/") + ".staged", folder.rstrip("/") + ".old"
-    df.write.mode("overwrite").parquet(staged)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path(folder)):
-        fs.delete(path(old), True)
-        fs.rename(path(folder), path(old))
-    fs.rename(path(staged), path(folder))
-    fs.delete(path(old), True)
+    before = _current(spark, folder)
+    version = f"v{uuid.uuid4().hex[:12]}"
+    df.write.parquet(f"{folder}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).getFileSystem(conf).getUri(), conf)
+    fs = path(folder).getFileSystem(conf)
+    out = fs.create(path(f"{folder}/.current.{version}"), True)
+    out.write(version.encode())
+    out.close()
+    renames = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(path(f"{folder}/.current.{version}"), path(f"{folder}/current"), renames)  # raises if it fails
+    for status in fs.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.startswith("v") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+    return version
+
+
+def _current(spark: SparkSession, folder: str) -> str | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.text(f"{folder}/current", wholetext=True).first()[0] if fs.exists(path) else None
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``publish`` made current."""
+    return spark.read.parquet(f"{folder}/{_current(spark, folder)}")
+
+
+#: The four files of a published data set.
+PUBLIC_FILES = ("meta", "articles", "status", "reports")
+#: Fixed value: the element that holds a data set within a page.
+EMBEDDED_ID = "embedded-site-data"
+
+
+def load_public(spark: SparkSession, folder: str, schemas: dict[str, str], page: str | None = None) -> dict[str, DataFrame]:
+    """The published JSON files (``schemas``: the DDL of each), each a lazy scan (they are read side by side when used), or the data that a ``page``
+    carries in a script element."""
+    if page is not None:
+        from gleanery.sources.markup import tree
+
+        holder = tree(page).first(f"script#{EMBEDDED_ID}")
+        if holder is not None and holder.get("type") == "application/json":
+            whole = spark.createDataFrame([("".join(holder.texts()),)], "value string")
+            parsed = whole.select(F.from_json("value", ", ".join(f"{n} struct<{schemas[n]}>" for n in PUBLIC_FILES)).alias("d"))
+            return {n: parsed.select(f"d.{n}.*") for n in PUBLIC_FILES}
+    return {n: spark.read.schema(schemas[n]).option("multiLine", True).json(f"{folder}/{n}.json") for n in PUBLIC_FILES}
+
+
+def pretty_json(value: object) -> str:
+    """JSON as it is kept: two spaces, no escapes of letters, a final line feed."""
+    return json.dumps(value, ensure_ascii=False, indent=2) + "\n"

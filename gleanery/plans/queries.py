@@ -7,10 +7,7 @@ histories of versions, documents bodies, labels summaries, pages fetched pages.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import dates, text, urls
@@ -21,29 +18,12 @@ from gleanery.operators import summaries as SU
 from gleanery.operators import tags as G
 from gleanery.operators import versions as V
 from gleanery.plans import external_csv as X
+from gleanery.plans import public as PB
 from gleanery.plans import status as ST
+from gleanery.plans import validate as VA
 from gleanery.plans import weekly as WK
 from gleanery.plans import wiki as WI
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function of a table reader as a query, with its SQL."""
-
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from gleanery.plans.registry import query, shared_folder
 
 def partial_value(key, day):
     """A partial date of an order: unknown, year, month, day or date-time by the key modulo 7."""
@@ -178,7 +158,9 @@ def jst_stamps(t):
     return t("events").select("event_id", dates.jst_iso(ts).alias("iso"), dates.jst_stamp(ts).alias("stamp"), F.date_format(dates.jst_day(ts), "yyyy-MM-dd").alias("day"))
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) || '年' AS y, month(o_orderdate) || '月' AS m, day(o_orderdate) || '日' AS dd FROM orders)
+SELECT o_orderkey, CASE k WHEN 2 THEN strftime(d, '%Y-%m') WHEN 3 THEN strftime(d, '%Y-%m-%d') || 'T10:00:00+00:00' ELSE strftime(d, '%Y-%m-%d') END AS value,
+  CASE k WHEN 0 THEN '平成' || (year(d) - 1988) || '年' || m || dd WHEN 1 THEN year(d) || '/' || month(d) || '/' || day(d) WHEN 2 THEN y || m END AS evidence FROM o""")
 def japanese_dates(t):
     """Eras, full-width digits and RFC 822, from texts built on order dates."""
     y, m, d = F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
@@ -200,7 +182,7 @@ def japanese_dates(t):
   SELECT k, count(*) FILTER (kind = 'new') AS new, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (o_orderstatus = 'P') AS unsummarized, count(*) FILTER (o_orderpriority = '5-LOW') AS untagged
   FROM (SELECT * FROM n UNION ALL SELECT * FROM c) GROUP BY k
 ), u AS (SELECT k, count(*) AS date_unknown FROM a JOIN w ON seen BETWEEN lo AND hi WHERE day IS NULL GROUP BY k),
-r AS (SELECT k, count(*) AS runs FROM orders JOIN w ON CAST(o_orderdate AS DATE) BETWEEN lo AND hi WHERE o_orderkey % 10 = 0 GROUP BY k)
+r AS (SELECT k, count(*) AS runs FROM orders JOIN w ON CAST(o_orderdate AS DATE) BETWEEN lo AND hi GROUP BY k)
 SELECT CAST(w.k AS INTEGER) AS k, CAST(lo AS VARCHAR) AS "from", CAST(hi AS VARCHAR) AS "to", coalesce(new, 0) AS new, coalesce(changed, 0) AS changed, coalesce(date_unknown, 0) AS date_unknown,
   coalesce(unsummarized, 0) AS unsummarized, coalesce(untagged, 0) AS untagged, coalesce(runs, 0) AS runs
 FROM w LEFT JOIN m USING (k) LEFT JOIN u USING (k) LEFT JOIN r USING (k)"""
@@ -230,22 +212,23 @@ def weekly_tag_counts(t):
 
 
 @query(
-    """WITH e AS (SELECT event_id, user_id, event_type, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day FROM events WHERE user_id < 20),
-m AS (SELECT max(day) AS m FROM e), w AS (SELECT k, m - CAST(7 * k + 6 AS INTEGER) AS lo, m - CAST(7 * k AS INTEGER) AS hi FROM m, range(0, 3) r(k)),
-s AS (SELECT DISTINCT user_id FROM events WHERE user_id < 25)
-SELECT CAST(w.k AS INTEGER) AS k, CAST(s.user_id AS BIGINT) AS user_id, count(event_id) AS runs, count(event_id) FILTER (event_type = 'error') AS failed
-FROM w CROSS JOIN s LEFT JOIN e ON e.user_id = s.user_id AND e.day BETWEEN lo AND hi GROUP BY 1, 2"""
+    """WITH e AS (SELECT user_id, event_type, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day FROM events),
+m AS (SELECT max(day) AS m FROM e), w AS (SELECT k, m - CAST(7 * k + 6 AS INTEGER) AS lo, m - CAST(7 * k AS INTEGER) AS hi FROM m, range(0, 12) r(k)),
+n AS (SELECT (m - day) // 7 AS k, user_id, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failed FROM e, m WHERE (m - day) // 7 < 12 GROUP BY 1, 2),
+s AS (SELECT DISTINCT user_id FROM events)
+SELECT CAST(w.k AS INTEGER) AS k, CAST(s.user_id AS BIGINT) AS user_id, coalesce(runs, 0) AS runs, coalesce(failed, 0) AS failed FROM w CROSS JOIN s LEFT JOIN n USING (k, user_id)"""
 )
 def weekly_source_runs(t):
     """Runs of each source by week; sources without any run are kept."""
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    e = t("events").select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type", dates.jst_day(ts).alias("day"))
-    last = e.agg(F.max("day").alias("as_of"))
-    k = WK.window_number(F.col("day"), F.col("as_of"), 7)
-    runs = e.crossJoin(F.broadcast(last)).withColumn("k", k).where("k < 12").groupBy("k", "user_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    users = t("events").select(F.col("user_id").cast("long").alias("user_id")).distinct()
-    grid = users.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), "user_id")
-    return grid.join(runs, ["k", "user_id"], "left").na.fill(0)
+    e = t("events").select(F.col("user_id").cast("long").cast("string").alias("source_id"), F.col("event_id").cast("string").alias("run_id"), ts.alias("started_at"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
+    last = e.agg(F.max(dates.jst_day(F.col("started_at"))).alias("as_of"))
+    weeks = last.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), "as_of").select("k", F.date_sub("as_of", F.col("k") * 7 + 6).alias("from"), F.date_sub("as_of", F.col("k") * 7).alias("to"))
+    none = F.lit(None).cast("int")
+    runs = e.select("run_id", "started_at", F.array(F.struct("source_id", "status", none.alias("new"), none.alias("changed"), F.lit(None).cast("string").alias("error"))).alias("sources"))
+    users = e.select("source_id", F.col("source_id").alias("name")).distinct()
+    rows = WK.source_runs(weeks, runs, users)
+    return rows.groupBy("k", F.col("source_id").cast("long").alias("user_id")).agg(F.count("run_id").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
 @query(
@@ -274,7 +257,7 @@ def weekly_markdown_lines(t):
 # ---------------------------------------------------------------- search and latest
 
 
-@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'an') AND lang = 'en' AND n_chars < 5000")
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'an') AND lang = 'en'")
 def search_terms_all(t):
     """all terms occur, case folded (case only; widths need the NFKC function, which tests cover)."""
     folded = F.lower("text")
@@ -310,7 +293,8 @@ def latest_window(t):
 def facet_used_tags(t):
     """Tags that some article has."""
     used = t("lineitem").where("l_quantity > 45 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return t("part").join(used, "p_partkey", "left_semi").select("p_type").distinct()
+    articles = used.join(t("part"), "p_partkey").select(F.array(F.struct(F.col("p_type").alias("id"))).alias("tags"))
+    return Q.used_tags(articles, t("part").select(F.col("p_type").alias("id")).distinct()).select(F.col("id").alias("p_type"))
 
 
 # ---------------------------------------------------------------- joins and aggregates
@@ -322,15 +306,18 @@ def facet_used_tags(t):
 )
 def latest_record_per_key(t):
     """A1: the summary of the largest (version, time) for each article."""
-    rank = F.struct(F.when(F.col("event_type") == "purchase", 2).otherwise(1), "ts", "event_id")
-    return t("events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), rank).alias("s")).select("user_id", "s.*")
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    s = t("events").select(F.col("user_id").alias("article_id"), F.when(F.col("event_type") == "purchase", 2).otherwise(1).alias("article_version"), at.alias("processed_at"), "event_id", "event_type", "value")
+    return SU.latest_summary(s).select(F.col("article_id").alias("user_id"), "event_id", "event_type", "value")
 
 
 @query("SELECT doc_id, coalesce(CASE quality WHEN 1 THEN 'success' WHEN 0 THEN 'failed' END, 'not_processed') AS status, coalesce(toxic = 1, false) AS outdated FROM documents LEFT JOIN labels USING (doc_id)")
 def left_join_default_status(t):
     """Articles with the state of their summary; none is not processed."""
-    status = F.when(F.col("quality") == 1, "success").when(F.col("quality") == 0, "failed")
-    return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", F.coalesce(status, F.lit("not_processed")).alias("status"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("outdated"))
+    none = lambda kind: F.lit(None).cast(kind)
+    s = F.struct(F.when(F.col("quality") == 1, "success").otherwise("failed").alias("analysis_status"), none("string").alias("error"), (2 - F.col("toxic")).alias("article_version"), F.lit("s").alias("summary"), *(none("array<string>").alias(c) for c in ("key_points", "targets", "dates", "uncertainties")), none("string").alias("model"), none("string").alias("processed_at"))
+    joined = t("documents").select("doc_id").join(t("labels").select("doc_id", s.alias("s")), "doc_id", "left")
+    return joined.select("doc_id", PB.public_summary(F.col("s"), F.lit(2)).alias("p")).select("doc_id", "p.status", "p.outdated")
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -341,7 +328,7 @@ def anti_join_unsummarized(t):
     return SU.needs_processing(latest, done, ["prompt"]).select(F.col("article_id").alias("doc_id"))
 
 
-@query("SELECT n_nationkey, n_name, count(s_suppkey) AS articles, count(s_suppkey) FILTER (s_acctbal < 0) AS date_unknown FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY ALL")
+@query("SELECT n_nationkey, n_name, count(s_suppkey) AS articles, count(s_suppkey) FILTER (s_acctbal < 0) AS date_unknown FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def source_counts_with_zero(t):
     """Counts per configured source; sources without articles are kept with zeros."""
     a = t("supplier").select(F.col("s_nationkey").alias("source_id"), F.when(F.col("s_acctbal") >= 0, "1").alias("published"))
@@ -451,12 +438,12 @@ def record_id_sequence(t):
 @query(
     f"""WITH {ARTICLES_SQL.split('), w AS')[0]}), n AS (
   SELECT *, upper(replace(n_name, ' ', '_')) AS csv, row_number() OVER (PARTITION BY source_id, coalesce(day, seen) ORDER BY id) AS n FROM a JOIN nation ON n_nationkey = CAST(source_id AS INTEGER))
-SELECT csv || '_' || strftime(coalesce(day, seen), '%Y%m%d') || '_' || lpad(CAST(n AS VARCHAR), 3, '0') AS record_id, csv AS source_id, n_name AS publisher, 'order ' || id AS title,
+SELECT csv || '_' || strftime(coalesce(day, seen), '%Y%m%d') || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS record_id, csv AS source_id, n_name AS publisher, 'order ' || id AS title,
   'https://example.org/o/' || id || CASE WHEN o_orderkey % 5 = 0 THEN '.pdf' ELSE '' END AS url, coalesce(CAST(day AS VARCHAR), '') AS published_date, '' AS updated_date,
   strftime(seen + 3, '%Y-%m-%dT08:00:00+09:00') AS fetched_at, CASE WHEN o_orderkey % 5 = 0 THEN 'notice_pdf' ELSE 'news' END AS source_type, sha256(id) AS content_hash,
   CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS category, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'total ' || o_orderstatus || ' 【主な論点】' || o_orderpriority END AS excerpt,
   '' AS source_list_url, 'ok' AS hash_status, 'title+main_text' AS hash_scope
-FROM n WHERE o_orderkey % 50 = 0"""
+FROM n"""
 )
 def external_csv_rows(t):
     """The fifteen columns, all articles chosen."""
@@ -491,11 +478,27 @@ def canonical_urls(t):
     return u.select("page_id", "url", text.article_id(F.col("url")).alias("article_id"))
 
 
-@query(f"WITH {URL_SQL}, s AS (SELECT regexp_replace(url, '[0-9]+.*$', '') AS url, page_id FROM u) SELECT url, min(page_id) AS page_id, count(*) - 1 AS duplicates FROM s GROUP BY url")
+@query(f"WITH {URL_SQL} SELECT url, min(page_id) AS page_id, count(*) - 1 AS duplicates FROM u GROUP BY url")
 def dedupe_keep_first_url(t):
     """The first page of each canonical URL, and how many more."""
     u = t("pages").select(urls.simple_canonical_url(F.col("url")).alias("url"), "page_id")
-    return u.groupBy("url").agg(F.min("page_id").alias("page_id"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    return G.keep_first(u, ["url"], ["page_id"])
+
+
+#: Fetches of conversations: every fifth turn is not read, profiles change with every fourth, bodies repeat.
+FETCHES_SQL = """f AS (SELECT conv_id, turn, turn % 5 <> 3 AS ok, 'p' || CAST(turn // 4 AS VARCHAR) AS profile, CASE WHEN turn % 5 <> 3 THEN sha256(CASE WHEN turn % 3 = 2 THEN role ELSE text END) END AS h,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), m AS (
+  SELECT conv_id, turn, n, 'new' AS change_type, h AS vh, ok AS vok, profile AS vprofile FROM f WHERE n = 1
+  UNION ALL SELECT f.conv_id, f.turn, f.n, CASE WHEN NOT (f.ok AND f.h IS DISTINCT FROM m.vh) THEN 'unchanged' WHEN m.vok AND f.profile <> m.vprofile THEN 'extraction_changed' ELSE 'content_changed' END,
+    CASE WHEN f.ok THEN f.h ELSE m.vh END, CASE WHEN f.ok AND f.h IS DISTINCT FROM m.vh THEN true ELSE m.vok END, CASE WHEN f.ok AND f.h IS DISTINCT FROM m.vh THEN f.profile ELSE m.vprofile END
+  FROM m JOIN f ON f.conv_id = m.conv_id AND f.n = m.n + 1)"""
+
+
+def fetches(t) -> DataFrame:
+    ok = F.col("turn") % 5 != 3
+    digest = F.sha2(F.when(F.col("turn") % 3 == 2, F.col("role")).otherwise(F.col("text")), 256)
+    profile = F.concat(F.lit("p"), F.floor(F.col("turn") / 4).cast("string"))
+    return t("conversations").select("conv_id", "turn", F.when(ok, digest).alias("content_hash"), F.when(ok, "ok").otherwise("failed").alias("extraction_status"), profile.alias("extraction_profile"))
 
 
 NORM_SQL = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\x{3000}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
@@ -506,7 +509,7 @@ SPEC_SQL = "array_to_string(list_transform(string_split(replace(replace(nfc_norm
 def dedupe_keep_first_text(t):
     """The first document of each content hash."""
     d = t("documents").select("doc_id", text.content_hash(F.col("text"), normalised=True).alias("content_hash"))
-    return d.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    return G.keep_first(d, ["content_hash"], ["doc_id"])
 
 
 @query(f"SELECT doc_id, 'sha256:' || sha256({NORM_SQL}) AS content_hash FROM documents")
@@ -533,13 +536,19 @@ def hash_backfill(t):
 
 
 @query(
-    """WITH h AS (SELECT conv_id, turn, sha256(CASE WHEN turn % 3 = 2 THEN role ELSE text END) AS h FROM conversations), l AS (SELECT *, lag(h) OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM h)
-SELECT conv_id, turn, CASE WHEN n = 1 THEN 'new' WHEN h <> p THEN 'content_changed' ELSE 'unchanged' END AS change_type FROM l"""
+    f"""WITH RECURSIVE {FETCHES_SQL}
+SELECT conv_id, turn, change_type FROM m"""
 )
 def version_change_lag(t):
-    """What each version changed."""
-    h = t("conversations").select("conv_id", "turn", F.sha2(F.when(F.col("turn") % 3 == 2, F.col("role")).otherwise(F.col("text")), 256).alias("content_hash"), F.lit("ok").alias("extraction_status"))
-    return V.change_types(h, "conv_id", "turn").select("conv_id", "turn", "change_type")
+    """What each fetch changed, with unread fetches and changing profiles. The SQL walks each history."""
+    return V.change_types(fetches(t), "conv_id", "turn", "extraction_profile").select("conv_id", "turn", "change_type")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, count(*) OVER (PARTITION BY conv_id) AS latest_version FROM conversations")
+def version_numbers(t):
+    """Versions from 1 and the latest one."""
+    n = V.numbered(t("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("fetched_at")))
+    return n.select(F.col("article_id").alias("conv_id"), F.col("fetched_at").alias("turn"), "version", "latest_version")
 
 
 @query(
@@ -553,20 +562,25 @@ def version_contiguity_check(t):
 
 
 @query(
-    """WITH c AS (SELECT user_id, event_type, ts, event_id FROM events WHERE ts < TIMESTAMP '2024-01-20'), o AS (SELECT user_id, count(*) AS v, arg_max(event_type, (ts, event_id)) AS h FROM c GROUP BY user_id HAVING count(*) > 40),
-n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS h, count(*) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY user_id)
-SELECT n.user_id, CASE WHEN o.v IS NULL AND c % 5 = 0 THEN 'out_of_period' WHEN o.v IS NULL AND n.h <> 'error' THEN 'new' WHEN o.v IS NULL THEN 'new_failed' WHEN n.h = 'error' THEN 'unchanged_failed' WHEN n.h <> o.h OR o.h = 'error' THEN 'content_changed' ELSE 'unchanged' END AS decision,
-  CAST(CASE WHEN o.v IS NULL AND c % 5 = 0 THEN 0 WHEN o.v IS NULL THEN 1 WHEN n.h = 'error' THEN o.v WHEN n.h <> o.h OR o.h = 'error' THEN o.v + 1 ELSE o.v END AS INTEGER) AS latest_version FROM n LEFT JOIN o USING (user_id)"""
+    """WITH c AS (SELECT user_id, event_type, ts, event_id FROM events WHERE ts < TIMESTAMP '2024-01-20'), o AS (SELECT user_id, count(*) AS v, arg_max(event_type, (ts, event_id)) AS h, count(*) % 3 AS p FROM c GROUP BY user_id HAVING count(*) > 40),
+n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS h, count(*) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY user_id),
+j AS (SELECT n.user_id, o.v, n.h, o.h AS oh, c % 5 = 0 AS out_, c % 7 = 1 AS login, CASE WHEN c % 11 = 2 THEN 'unsupported' WHEN n.h = 'error' THEN 'failed' ELSE 'ok' END AS st, c % 3 = p AS same_profile FROM n LEFT JOIN o USING (user_id)),
+d AS (SELECT *, CASE WHEN v IS NULL AND out_ THEN 'out_of_period' WHEN v IS NULL AND NOT login AND st = 'failed' THEN 'new_failed' WHEN v IS NULL AND login THEN 'login_only' WHEN v IS NULL AND st <> 'ok' THEN 'new_unread' WHEN v IS NULL THEN 'new'
+  WHEN NOT login AND st = 'failed' THEN 'unchanged_failed' WHEN login OR st <> 'ok' OR h = oh THEN 'unchanged' WHEN oh <> 'error' AND NOT same_profile THEN 'extraction_changed' ELSE 'content_changed' END AS decision FROM j)
+SELECT user_id, decision, CAST(CASE WHEN decision = 'out_of_period' THEN 0 WHEN v IS NULL THEN 1 WHEN decision IN ('content_changed', 'extraction_changed') THEN v + 1 ELSE v END AS INTEGER) AS latest_version,
+  CASE WHEN v IS NULL THEN '2024-02' ELSE '2024' END AS published_at, CASE WHEN decision = 'unchanged_failed' THEN '2023' ELSE '2024-03' END AS updated_at FROM d"""
 )
 def incremental_merge(t):
-    """Candidates against stored articles."""
+    """Candidates against stored articles: logins, unread pages, other profiles, dates."""
     e, cut = t("events"), F.lit("2024-01-20").cast("timestamp_ntz")
     last = F.max_by("event_type", F.struct("ts", "event_id"))
+    profile = lambda n: F.concat(F.lit("p"), (n % 3).cast("string"))
     old = e.where(F.col("ts") < cut).groupBy(F.col("user_id").alias("article_id")).agg(F.count(F.lit(1)).alias("latest_version"), last.alias("content_hash")).where("latest_version > 40")
-    articles = old.select("article_id", "latest_version", "content_hash", F.when(F.col("content_hash") == "error", "failed").otherwise("ok").alias("extraction_status"), F.lit("html").alias("extraction_profile"), F.lit("2024").alias("published_at"), F.lit(None).cast("string").alias("updated_at"), F.lit("2024-01-01").alias("first_seen_at"))
+    articles = old.select("article_id", "latest_version", "content_hash", F.when(F.col("content_hash") == "error", "failed").otherwise("ok").alias("extraction_status"), profile(F.col("latest_version")).alias("extraction_profile"), F.lit("2024").alias("published_at"), F.lit("2023").alias("updated_at"), F.lit("2024-01-01").alias("first_seen_at"))
     new = e.where(F.col("ts") >= cut).groupBy(F.col("user_id").alias("article_id")).agg(last.alias("content_hash"), F.count(F.lit(1)).alias("n"))
-    candidates = new.select("article_id", (F.col("n") % 5 != 0).alias("judged"), F.lit(False).alias("login"), F.when(F.col("content_hash") == "error", "failed").otherwise("ok").alias("status"), "content_hash", F.lit("html").alias("extraction_profile"), F.lit(None).cast("string").alias("published_at"), F.lit("2024-02").alias("updated_at"), F.lit("2024-02-01").alias("fetched_at"))
-    return V.merge(articles, candidates).select(F.col("article_id").alias("user_id"), "decision", F.coalesce("latest_version", F.lit(0)).alias("latest_version"))
+    status = F.when(F.col("n") % 11 == 2, "unsupported").when(F.col("content_hash") == "error", "failed").otherwise("ok")
+    candidates = new.select("article_id", (F.col("n") % 5 != 0).alias("judged"), (F.col("n") % 7 == 1).alias("login"), status.alias("status"), "content_hash", profile(F.col("n")).alias("extraction_profile"), F.lit("2024-02").alias("published_at"), F.lit("2024-03").alias("updated_at"), F.lit("2024-02-01").alias("fetched_at"))
+    return V.merge(articles, candidates).select(F.col("article_id").alias("user_id"), "decision", F.coalesce("latest_version", F.lit(0)).alias("latest_version"), "published_at", "updated_at")
 
 
 @query(
@@ -625,7 +639,7 @@ RULES = [{"tag_id": "articles", "label": "the", "pattern": r"\bthe\b"}, {"tag_id
 
 
 @query(
-    r"""WITH m AS (SELECT doc_id, unnest([CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 0 END, CASE WHEN regexp_matches(text, '(?i)\bder\b') THEN 1 END, CASE WHEN regexp_matches(source, '(?i)src1[0-9]') OR regexp_matches(text, '(?i)src1[0-9]') THEN 2 END]) AS pos FROM documents WHERE n_chars < 20000)
+    r"""WITH m AS (SELECT doc_id, unnest([CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 0 END, CASE WHEN regexp_matches(text, '(?i)\bder\b') THEN 1 END, CASE WHEN regexp_matches(source, '(?i)src1[0-9]') OR regexp_matches(text, '(?i)src1[0-9]') THEN 2 END]) AS pos FROM documents)
 SELECT doc_id, CASE pos WHEN 2 THEN 'sources' ELSE 'articles' END AS tag_id,
   'ルール（キーワード一致）：' || string_agg('「' || CASE pos WHEN 0 THEN 'the' WHEN 1 THEN 'der' ELSE 'src' END || '」（' || CASE pos WHEN 2 THEN '題名' ELSE '本文' END || '）', '' ORDER BY pos) || 'が見つかりました' AS reason
 FROM m WHERE pos IS NOT NULL GROUP BY 1, 2"""
@@ -636,7 +650,8 @@ def rule_tags_match(t):
     return G.rule_reasons(R.matches(d, RULES)).select(F.col("article_id").alias("doc_id"), "tag_id", "reason")
 
 
-@query()
+@query("""WITH m AS (SELECT doc_id AS article_id, regexp_extract(source, '(?i)th[b-df-z0-9_][a-z0-9_]*') AS a, regexp_extract(text, '(?i)th[b-df-z0-9_][a-z0-9_]*') AS b FROM documents)
+SELECT article_id, substr(CASE WHEN a <> '' THEN a ELSE b END, 1, 80) AS matched, CASE WHEN a <> '' THEN 'title' ELSE 'body' END AS "in" FROM m WHERE a <> '' OR b <> ''""")
 def rule_tags_lookahead(t):
     """A rule with a negative lookahead, and what it matched."""
     d = t("documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("title"), F.col("text").alias("body"))
@@ -645,32 +660,57 @@ def rule_tags_lookahead(t):
 
 @query(
     """WITH o AS (SELECT doc_id, 1 + doc_id % 2 AS v, CASE WHEN quality = 1 THEN 'body' ELSE 'title' END AS scope, CASE WHEN toxic = 1 THEN 'old' ELSE 'now' END AS rv FROM labels),
-d AS (SELECT doc_id, o.doc_id IS NOT NULL AND v = 1 AS same, n_chars > 1500 AS has, scope, rv FROM documents LEFT JOIN o USING (doc_id)),
+d AS (SELECT doc_id, o.doc_id IS NOT NULL AND v = 1 AS same, n_chars > 1500 AS has, n_chars > 800 AS was_read, scope, rv FROM documents LEFT JOIN o USING (doc_id)),
 a AS (SELECT *, CASE WHEN same AND rv = 'now' AND (scope = 'body' OR NOT has) THEN 'unchanged' WHEN same AND NOT has AND scope = 'body' THEN 'stale' ELSE 'updated' END AS act FROM d)
 SELECT count(*) FILTER (act = 'updated') AS updated, count(*) FILTER (act = 'unchanged') AS unchanged, count(*) FILTER (act = 'stale') AS stale,
-  count(*) FILTER (CASE WHEN act = 'updated' THEN NOT has ELSE scope = 'title' END) AS title_only FROM a"""
+  count(*) FILTER (was_read AND CASE WHEN act = 'updated' THEN NOT has ELSE scope = 'title' END) AS title_only FROM a"""
 )
 def rule_freshness(t):
-    """Which remembered results hold."""
-    latest = t("documents").select(F.col("doc_id").alias("article_id"), F.lit(1).alias("version"), (F.col("n_chars") > 1500).alias("has_text"))
+    """Which remembered results hold; texts that were read may have gone since."""
+    latest = t("documents").select(F.col("doc_id").alias("article_id"), F.lit(1).alias("version"), (F.col("n_chars") > 1500).alias("has_text"), F.when(F.col("n_chars") > 800, "ok").otherwise("unsupported").alias("extraction_status"))
     old = t("labels").select(F.col("doc_id").alias("article_id"), (1 + F.col("doc_id") % 2).alias("article_version"), F.when(F.col("quality") == 1, "body").otherwise("title").alias("scope"), F.when(F.col("toxic") == 1, "old").otherwise("now").alias("rules_version"))
     return R.counters(R.freshness(latest, old, "now"))
 
 
-@query("SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) GROUP BY item_id")
+ANSWERS_SQL = """d AS (SELECT doc_id, text, source, doc_id % 8 AS k FROM documents WHERE length(text) > 40)"""
+
+
+@query(
+    f"""WITH {ANSWERS_SQL} SELECT doc_id, CASE k WHEN 1 THEN 'fields are missing' WHEN 2 THEN 'tag is not registered' WHEN 3 THEN 'too many points' WHEN 4 THEN 'a date is malformed' END AS problem,
+  CASE WHEN k IN (1, 2, 3, 4) THEN '' WHEN k = 5 THEN '1' ELSE '0' END AS notes, CASE WHEN k IN (1, 2, 3, 4) THEN '' WHEN k = 5 THEN '0' ELSE '1' END AS dates, CASE WHEN k NOT IN (1, 2, 3, 4) THEN 'x,y' ELSE '' END AS tags FROM d"""
+)
+def judged_answers(t):
+    """Answers to documents: broken ones, repeated tags that are merged, dates without evidence left out."""
+    d, k = t("documents").where("length(text) > 40"), F.col("doc_id") % 8
+    dates_ = F.array(F.struct(F.lit("l").alias("label"), F.when(k == 4, "September").otherwise("2026-09").alias("value"), F.when(k == 5, "NOT IN THE TEXT ﬃ").otherwise(F.substring("text", 3, 30)).alias("evidence")))
+    tag = lambda c: F.struct(c.alias("tag_id"), F.lit("r").alias("reason"))
+    tags = F.array(tag(F.lit("x")), tag(F.when(k == 2, "z").otherwise("y")), tag(F.lit("x")))
+    strings = F.array().cast("array<string>")
+    answer = F.to_json(F.struct(F.lit("s").alias("summary"), F.when(k == 3, F.array_repeat(F.lit("p"), 6)).otherwise(strings).alias("key_points"), strings.alias("targets"), dates_.alias("dates"), tags.alias("ai_tags"), strings.alias("uncertainties")))
+    answers = d.select(F.col("doc_id").alias("article_id"), F.when(k == 1, F.lit("{\"summary\": 1")).otherwise(answer).alias("answer"), "text")
+    got = SU.judged_answers(answers, ["x", "y"])
+    return got.select(F.col("article_id").alias("doc_id"), "problem", F.size("notes").alias("notes"), F.size("dates").alias("dates"), F.array_join(F.transform("tags", lambda x: x["tag_id"]), ",").alias("tags")).select("doc_id", "problem", *(F.when(F.col("problem").isNull(), F.col(c).cast("string")).otherwise("").alias(c) for c in ("notes", "dates", "tags")))
+
+
+@query(
+    """WITH e AS (SELECT d.doc_id, d.text, substr(b.text, 1, 60) AS ev FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)
+  UNION ALL SELECT doc_id, text, substr(text, 5, 40) FROM documents WHERE length(text) > 50)
+SELECT doc_id, count(*) AS n, count(*) FILTER (contains(regexp_replace(text, '\\s+', '', 'g'), regexp_replace(ev, '\\s+', '', 'g'))) AS found FROM e GROUP BY doc_id"""
+)
 def evidence_contains(t):
-    """Evidence that occurs in a text, without white space; the evidence is small and checked to be."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    b = t("benchmark").select("item_id", bare(F.col("text")).alias("evidence"))
-    snippets = F.broadcast(b.limit(10_000)) if b.count() <= 10_000 else b
-    d = t("documents").select("doc_id", bare(F.col("text")).alias("body"))
-    return d.join(snippets, F.col("body").contains(F.col("evidence"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    """Evidence is looked for in its own article only: an equi-join on the article, then a test on the row."""
+    items = t("benchmark").select(F.col("item_id").cast("long").alias("item"), F.substring("text", 1, 60).alias("evidence"))
+    many = items.agg((F.max("item") + 1).alias("many"))
+    d = t("documents").select("doc_id", "text")
+    asked = d.select("doc_id").crossJoin(F.broadcast(many)).select("doc_id", (F.col("doc_id") % F.col("many")).alias("item")).join(items, "item").select("doc_id", "evidence")
+    own = d.where("length(text) > 50").select("doc_id", F.substring("text", 5, 40).alias("evidence"))
+    return SU.evidence_found(asked.unionByName(own), d, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("found"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT 'order' AS \"check\", CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def registered_tag_check(t):
-    """Keys that another table does not know."""
-    return t("orders").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+    """Keys that another table does not know."""
+    return VA.missing(t("orders"), "o_orderkey", t("lineitem"), "l_orderkey", "order").select("check", "key")
 
 
 @query(
@@ -733,12 +773,16 @@ def status_warnings(t):
 
 
 @query(
-    """WITH f AS (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60), s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id) AS running FROM f)
-SELECT doc_id, n_chars, CAST(running AS BIGINT) AS running FROM s WHERE running <= 1000000"""
+    """WITH RECURSIVE f AS (SELECT doc_id, n_chars, n_chars % 7 <> 0 AS has, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents QUALIFY n <= 60), s AS (
+  SELECT n, doc_id, n_chars, CASE WHEN has AND n_chars <= 300000 THEN n_chars ELSE 0 END AS used, has AND n_chars <= 300000 AS taken FROM f WHERE n = 1
+  UNION ALL SELECT f.n, f.doc_id, f.n_chars, CASE WHEN f.has AND s.used + f.n_chars <= 300000 THEN s.used + f.n_chars ELSE s.used END, f.has AND s.used + f.n_chars <= 300000 FROM s JOIN f ON f.n = s.n + 1)
+SELECT doc_id, n_chars, CAST(used AS BIGINT) AS running FROM s WHERE taken"""
 )
-def budget_prefix_sum(t):
-    """The first 60 targets within a budget of tokens."""
-    return SU.within_budget(t("documents").select("doc_id", "n_chars"), [F.col("n_chars").desc(), F.col("doc_id")], 60, "n_chars", 1_000_000)
+def budget_greedy(t):
+    """Of the first 60 targets those that fit a budget of tokens one after another; what does not fit is
+    passed over. The SQL walks the targets."""
+    targets = t("documents").select("doc_id", "n_chars")
+    return SU.within_budget(targets, [F.col("n_chars").desc(), F.col("doc_id")], 60, "n_chars", 300_000, F.col("n_chars") % 7 != 0)
 
 
 @query("""WITH f AS (SELECT n_chars FROM documents ORDER BY doc_id LIMIT 60) SELECT count(*) AS articles, CAST(sum(n_chars) AS BIGINT) AS input_tokens, round(sum(n_chars) / 1e6 * 3.0 + count(*) * 800 / 1e6 * 15.0, 6) AS cost FROM f""")
@@ -790,33 +834,24 @@ def stream_weekly_counts(t):
     from gleanery.streaming import flows
 
     spark = t("events").sparkSession
-    return text_days(flows.caught_up(flows.weekly_counts(_stream(t, "events"), 7, "2024-01-30"), _work(spark), "complete"), "from", "to")
+    return text_days(flows.caught_up(flows.weekly_counts(_stream(t, "events"), 7, "2024-01-30"), shared_folder(spark), "update", ["from", "to", "event_type"]), "from", "to")
 
 
 @query(
-    """WITH h AS (SELECT conv_id, turn, sha256(CASE WHEN turn % 3 = 2 THEN role ELSE text END) AS h FROM conversations), l AS (SELECT *, lag(h) OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM h)
-SELECT CAST(conv_id AS VARCHAR) AS key, turn AS place, CASE WHEN n = 1 THEN 'new' WHEN h <> p THEN 'content_changed' ELSE 'unchanged' END AS change_type FROM l"""
+    f"""WITH RECURSIVE {FETCHES_SQL}
+SELECT CAST(conv_id AS VARCHAR) AS key, turn AS place, change_type FROM m"""
 )
 def stream_version_state(t):
     """I1, W3 as a stream: versions as keyed state."""
     from gleanery.streaming import flows
 
     s = _stream(t, "conversations")
-    digest = F.sha2(F.when(F.col("turn") % 3 == 2, F.col("role")).otherwise(F.col("text")), 256)
+    arrivals = fetches(lambda _: s).select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("place"), F.col("content_hash").alias("hash"), (F.col("extraction_status") == "ok").alias("ok"), F.col("extraction_profile").alias("profile"))
     spark = s.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = flows.caught_up(flows.versions(s.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("place"), digest.alias("hash"))), _work(spark))
+        out = flows.caught_up(flows.versions(arrivals), shared_folder(spark))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return out.select("key", "place", "change_type")
-
-
-def _work(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a local one only where the session names none (tests)."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/gleanery-work"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"

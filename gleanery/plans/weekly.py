@@ -66,7 +66,13 @@ def source_runs(weeks: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFr
 def items(weeks: DataFrame, articles: DataFrame, days: int) -> DataFrame:
     """Report items: new ones by published day and first sight, newest first; then changed ones."""
     got = members(weeks, articles, days).join(articles, "id")
-    return got.select("k", "kind", "id", "title", "url", "source_name", "published", "first_seen_at", "version", F.transform("tags", lambda t: t["name"]).alias("tags"), F.col("summary.status").alias("summary_status")).orderBy("k", F.col("kind").desc(), dates.published_day(F.col("published")).desc(), F.col("first_seen_at").desc(), "id")
+    shown = got.select("k", "kind", "id", "title", "url", "source_name", "published", "first_seen_at", "version", F.transform("tags", lambda t: t["name"]).alias("tags"), F.col("summary.status").alias("summary_status"))
+    return shown.orderBy("k", F.col("kind").desc(), *item_order())
+
+
+def item_order() -> list:
+    """Newest published day first, then what was seen last; ties by id."""
+    return [dates.published_day(F.col("published")).desc(), F.col("first_seen_at").desc(), F.col("id")]
 
 
 def item_line(kind):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,33 @@ def _unique(pairs):
 
 def config_file(path: str | Path) -> object:
     """A JSON or YAML file. A key that occurs twice is an error; dates stay strings."""
-    text = Path(path).read_text(encoding="utf-8")
-    if str(path).endswith(".json"):
+    return config_text(str(path), Path(path).read_text(encoding="utf-8"))
+
+
+def overlaid(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """Files (``name, text``), those of the overlay in place of files of the same name."""
+    return overlay.select("name", "text").unionByName(base.select("name", "text").join(overlay.select("name"), "name", "left_anti"))
+
+
+def parsed_files(files: DataFrame) -> DataFrame:
+    """``name, value, error`` of settings files (``name, text``): the value as JSON, or why it cannot be read."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch["name"], batch["text"]):
+                try:
+                    rows.append((name, json.dumps(config_text(name, text), ensure_ascii=False), None))
+                except ValueError as e:
+                    rows.append((name, None, str(e)))
+            yield pd.DataFrame(rows, columns=["name", "value", "error"], dtype=object)
+
+    return files.select("name", "text").mapInPandas(run, "name string, value string, error string")
+
+
+def config_text(name: str, text: str) -> object:
+    """The value of a settings file by its name and text."""
+    if name.endswith(".json"):
         return json.loads(text, object_pairs_hook=_unique)
     import yaml
 

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from gleanery.plans.queries import ORACLES, QUERIES
+from gleanery.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

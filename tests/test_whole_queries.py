@@ -2,7 +2,7 @@
 
 import datetime
 
-from gleanery.plans.queries import QUERIES
+from gleanery.plans.catalog import QUERIES
 
 
 def tables(spark, path, **found):

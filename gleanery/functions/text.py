@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import os
+import re
 import unicodedata
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,9 +174,10 @@ def retry_kind(reason: Column) -> Column:
     return F.when(reason.contains("サイズ上限"), "size_limit").when(reason.contains("添付"), "attachment").otherwise("other")
 
 
-def prompt_text(text: Column, delimiter: str, most: int = 20_000) -> Column:
-    """Text for a prompt: its delimiter neutralised, cut at ``most`` characters."""
-    return F.substring(F.replace(text, F.lit(delimiter), F.lit(delimiter[:1] + " " + delimiter[1:])), 1, most)
+def prompt_text(text: Column, most: int = 20_000) -> Column:
+    """Text for a prompt: cut at ``most`` characters, its delimiters neutralised by wide angle brackets (fixed value)."""
+    cut = F.substring(text, 1, most)
+    return F.replace(F.replace(cut, F.lit("<document"), F.lit("＜document")), F.lit("</document"), F.lit("＜/document"))
 
 
 def safe_href(url: Column) -> Column:
@@ -190,8 +194,19 @@ SECRET_PATTERNS = [
 ]
 
 
-def has_secret(text: Column, values: list[str] = ()) -> Column:
-    """Whether a text holds a token of a known shape, or one of the given values of eight characters or more."""
+#: Fixed value: names of environment variables that hold secrets.
+SECRET_NAMES = re.compile("KEY|TOKEN|SECRET|PASSWORD|CREDENTIAL", re.IGNORECASE)
+
+
+def secret_values(environ: Mapping[str, str] | None = None) -> list[str]:
+    """Values of eight characters or more of the environment's variables with secret names."""
+    environ = os.environ if environ is None else environ
+    return [v for k, v in environ.items() if SECRET_NAMES.search(k) and len(v) >= 8]
+
+
+def has_secret(text: Column, values: Sequence[str] = ()) -> Column:
+    """Whether a text holds a token of a known shape, or one of the given values of eight characters or more
+    (``secret_values`` gives those of an environment)."""
     found = F.lit(False)
     for p in SECRET_PATTERNS:
         found |= text.rlike(p)
@@ -201,11 +216,55 @@ def has_secret(text: Column, values: list[str] = ()) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def forbidden_path(path: Column) -> Column:
+    """Why a path must not be kept in a repository, or null. Names, folders and endings."""
+    name = F.regexp_extract(path, "[^/]*$", 0)
+    folder = F.regexp_extract(path, r"(?:^|/)(\.cache|node_modules|\.venv|logs)/", 1)
+    env = (name == ".env") | name.startswith(".env.")
+    return F.when(name == ".env.example", F.lit(None).cast("string")).when(env, ".env").when(folder != "", F.concat(folder, F.lit("/"))).when(name.rlike(r"^.+\.log$"), ".log")
+
+
+def unsafe_files(files: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
+    """``path, problem`` of files (``path, content`` as bytes) that must not be committed: by their path, else by a
+    token in their text. Files beyond ``most_bytes`` and files with a zero byte are not searched."""
+    text = F.when((F.octet_length("content") <= most_bytes) & ~F.contains(F.col("content"), F.lit(b"\x00")), F.decode("content", "UTF-8"))
+    problem = F.coalesce(forbidden_path(F.col("path")), F.when(has_secret(text), F.lit("secret")))
+    return files.select("path", problem.alias("problem")).where("problem is not null")
+
+
 #: Wording for statuses, methods, precisions and origins of tags.
 LABELS = {
     "run_status": {"success": "成功", "partial": "一部失敗", "failed": "失敗", "running": "実行中"},
     "source_status": {"success": "成功", "failed": "失敗", "skipped": "対象外", "unsupported": "未対応"},
     "method": {"rss": "RSS", "html": "HTML一覧", "sitemap": "サイトマップ", "manual": "手動登録"},
+    "summary_status": {
+        "success": "要約済み",
+        "pending": "未要約（処理待ち）",
+        "skipped_no_api_key": "未要約（AI未実行：APIキー未設定）",
+        "skipped_no_content": "未要約（本文を取得できないため）",
+        "failed_api_error": "未要約（AI APIエラー）",
+        "failed_invalid_output": "未要約（AI出力の検証に失敗）",
+        "failed_limit_exceeded": "未要約（処理上限を超過）",
+        "failed_refusal": "未要約（AIが応答を拒否）",
+        "not_processed": "未要約（AI処理なし）",
+    },
+    "content_status": {"ok": "本文取得済み", "failed": "本文未取得（取得失敗）", "unsupported": "本文未取得（未対応の形式）", "not_fetched": "本文未取得"},
+    "article_status": {"active": "掲載中", "missing_from_listing": "一覧に見当たらない", "manual": "手動登録", "unsupported": "自動取得の対象外"},
+    "date_method": {
+        "rss_pubdate": "RSSの公開日",
+        "rss_updated": "RSSの更新日",
+        "html_meta": "ページのメタ情報",
+        "html_text": "ページ本文の記載",
+        "pdf_metadata": "PDFの文書情報",
+        "pdf_text": "PDF本文の記載",
+        "listing_text": "一覧ページの記載",
+        "url_pattern": "URL中の日付",
+        "page_data": "ページに埋め込まれたデータ",
+        "manual": "手動登録",
+    },
+    "precision": {"datetime": "日時まで", "day": "日まで", "month": "月まで", "year": "年まで", "unknown": "不明"},
+    "origin": {"ai": "AI", "human": "人が追加", "source": "設定", "rule": "一致"},
+    "origin_title": {"ai": "AIが付与", "human": "人が追加したタグ", "source": "情報源の設定で付与", "rule": "ルール（キーワード一致）で付与"},
 }
 
 

@@ -41,7 +41,7 @@ def matches(articles: DataFrame, rules: list[dict], longest: int = 80) -> DataFr
 def freshness(latest: DataFrame, previous: DataFrame, version_now: str) -> DataFrame:
     """What to do for each article: ``unchanged``, ``stale`` or ``updated``, with its scope.
 
-    ``latest``: ``article_id, version, has_text``; ``previous``: ``article_id, article_version, scope, rules_version``.
+    ``latest``: ``article_id, version, has_text`` and maybe ``extraction_status``; ``previous``: ``article_id, article_version, scope, rules_version``.
     Rules that changed cannot be tried again where the body is gone; that result is kept as stale."""
     old = previous.select("article_id", "article_version", F.col("scope").alias("old_scope"), "rules_version")
     same = F.coalesce(F.col("article_version") == F.col("version"), F.lit(False))
@@ -49,14 +49,15 @@ def freshness(latest: DataFrame, previous: DataFrame, version_now: str) -> DataF
     stale = same & ~F.col("has_text") & (F.col("old_scope") == "body")
     action = F.when(fresh, "unchanged").when(stale, "stale").otherwise("updated")
     scope = F.when(action == "updated", F.when(F.col("has_text"), "body").otherwise("title")).otherwise(F.col("old_scope"))
-    return latest.join(old, "article_id", "left").select("article_id", "version", "has_text", action.alias("action"), scope.alias("scope"))
+    return latest.join(old, "article_id", "left").select(*latest.columns, action.alias("action"), scope.alias("scope"))
 
 
 def counters(decided: DataFrame) -> DataFrame:
-    """Results of ``freshness`` counted; ``tagged`` if a boolean column of that name is there."""
+    """Results of ``freshness`` counted; ``tagged`` if a boolean column of that name is there. ``title_only`` counts
+    articles judged by title although their latest version was read (``extraction_status``)."""
     n = lambda x: F.count_if(x)
     tagged = [n(F.col("tagged")).alias("tagged")] if "tagged" in decided.columns else []
-    return decided.agg(*(n(F.col("action") == a).alias(a) for a in ("updated", "unchanged", "stale")), n(F.col("scope") == "title").alias("title_only"), *tagged)
+    return decided.agg(*(n(F.col("action") == a).alias(a) for a in ("updated", "unchanged", "stale")), n((F.col("scope") == "title") & (F.col("extraction_status") == "ok")).alias("title_only"), *tagged)
 
 
 def rule_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:

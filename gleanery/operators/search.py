@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import dates
-from gleanery.functions.text import searchable
+from gleanery.functions.text import label, searchable
 
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
 
@@ -139,7 +139,7 @@ def list_rows(articles: DataFrame) -> DataFrame:
         dates.label_partial(F.col("published")).alias("date"),
         "source_name",
         "title",
-        F.when(success, F.col("summary.text")).otherwise(F.concat(F.lit("AI: "), F.col("summary.status"))).alias("text"),
+        F.when(success, F.col("summary.text")).otherwise(label("summary_status", F.col("summary.status"))).alias("text"),
         F.when(names != "", names).otherwise(F.when(success, "タグなし").otherwise("AI未処理")).alias("tags"),
     )
 

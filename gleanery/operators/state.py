@@ -70,9 +70,14 @@ def retry_queue(old: DataFrame, resolved: DataFrame, failed: DataFrame) -> DataF
     )
 
 
+#: Stages whose failures are tried again by fetching.
+FETCH_STAGES = ("fetch", "extract")
+
+
 def with_retries(candidates: DataFrame, retries: DataFrame) -> DataFrame:
-    """Candidates and the URLs to try again that are not among them."""
-    return candidates.select("source_id", "url").unionByName(retries.select("source_id", "url").join(candidates, ["source_id", "url"], "left_anti"))
+    """Candidates, and the URLs to fetch again that are not among them."""
+    again = retries.where(F.col("stage").isin(*FETCH_STAGES)) if "stage" in retries.columns else retries
+    return candidates.select("source_id", "url").unionByName(again.select("source_id", "url").join(candidates, ["source_id", "url"], "left_anti"))
 
 
 def worth_fetching(candidates: DataFrame, retries: DataFrame) -> DataFrame:
@@ -85,18 +90,48 @@ def worth_fetching(candidates: DataFrame, retries: DataFrame) -> DataFrame:
 def merged_state(sources: DataFrame, state: DataFrame, results: DataFrame) -> DataFrame:
     """State of each configured source after a run; a source that was never seen starts empty.
 
-    ``results``: ``source_id, status, attempted_at``. The success point moves only on success."""
-    joined = sources.select("source_id").join(state, "source_id", "left").join(results.select("source_id", F.col("status").alias("now"), "attempted_at"), "source_id", "left")
-    ok = F.col("now") == "success"
+    ``results``: ``source_id, status, attempted_at`` and maybe ``explored_range, retry_queue``, what the run found and
+    left. The success point and the explored range move only on success; a skipped source keeps all but its attempt;
+    the queue is what the run left, whether it failed or not."""
+    more = [c for c in ("explored_range", "retry_queue") if c in results.columns]
+    joined = sources.select("source_id").join(state, "source_id", "left").join(results.select("source_id", F.col("status").alias("now"), "attempted_at", *(F.col(c).alias("new_" + c) for c in more)), "source_id", "left")
+    ok, tried = F.col("now") == "success", F.col("now").isin("success", "failed")
+    later = {"explored_range": F.when(ok, F.col("new_explored_range")).otherwise(F.col("explored_range")), "retry_queue": F.when(tried, F.col("new_retry_queue")).otherwise(F.col("retry_queue"))} if more else {}
     return joined.select(
         "source_id",
         F.when(ok, F.col("attempted_at")).otherwise(F.col("last_success_at")).alias("last_success_at"),
         F.coalesce("attempted_at", "last_attempt_at").alias("last_attempt_at"),
         F.coalesce("now", "last_attempt_status").alias("last_attempt_status"),
         F.when(ok, 0).when(F.col("now") == "failed", F.coalesce("consecutive_failures", F.lit(0)) + 1).otherwise(F.coalesce("consecutive_failures", F.lit(0))).alias("consecutive_failures"),
+        *(later[c].alias(c) for c in more),
     )
 
 
+def run_warnings(results: DataFrame, previous: DataFrame, most_items: int) -> DataFrame:
+    """``source_id, warnings`` of a run in their order. ``results``: ``source_id, listed`` (candidates of the list),
+    ``unique`` (URLs), ``merged``, ``rejected``, ``error`` (of the list), ``reextracted``; ``previous``: ``source_id,
+    candidates`` of the run before. Fixed values: the wording."""
+    row = results.join(previous.select("source_id", F.col("candidates").alias("before")), "source_id", "left")
+    listed = F.col("error").isNull()
+    fell = listed & (F.col("before") >= 4) & (F.col("unique") < F.col("before") * 0.5)
+    kinds = [
+        F.when(F.col("merged") > 0, F.concat(F.lit("同じURLを指す一覧の項目 "), "merged", F.lit("件を1件にまとめました（#以降だけが違うリンクなど）"))),
+        F.when(F.col("rejected") > 0, F.concat(F.lit("取得対象外のリンク "), "rejected", F.lit("件を除外しました（http(s)以外など）"))),
+        F.when(F.col("unique") > most_items, F.concat(F.lit("取得上限（"), F.lit(most_items).cast("string"), F.lit("件）に達したため、残りは次回に回します"))),
+        F.when(listed & (F.col("listed") == 0), "一覧から記事を1件も抽出できませんでした（抽出規則が壊れている可能性があります）"),
+        F.when(fell, F.concat(F.lit("候補が前回（"), "before", F.lit("件）から"), "unique", F.lit("件に大きく減りました"))),
+        F.when(F.col("reextracted") > 0, F.concat(F.lit("抽出方法の変更（添付PDFを読む等）により "), "reextracted", F.lit("件に版を追加しました（原文の変更ではありません）"))),
+    ]
+    return row.select("source_id", F.array_compact(F.array(*kinds)).alias("warnings"))
+
+
+def head(candidates: DataFrame, most: int = 10) -> DataFrame:
+    """A dry run: the first ``most`` candidates of each source in list order, and ``more``, how many are left out."""
+    w = W.partitionBy("source_id")
+    numbered = candidates.withColumn("__n", F.row_number().over(w.orderBy("position"))).withColumn("more", F.greatest(F.count(F.lit(1)).over(w) - most, F.lit(0)))
+    return numbered.where(F.col("__n") <= most).drop("__n")
+
+
 def chosen_sources(sources: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """Enabled sources, or those named; an unknown id is an error."""
     if not ids:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import squeezed
+
 
 def latest_summary(summaries: DataFrame) -> DataFrame:
     """The summary of the largest (version, time as text) of each article."""
@@ -26,26 +28,23 @@ def last_for_version(files: DataFrame) -> DataFrame:
 
 
 def needs_processing(latest: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest versions that were read and have no successful summary under the same cache ``keys``; newest first.
+    """Latest versions that were read and whose last summary is not a success under the same cache ``keys``; newest
+    first, each once.
 
     ``latest``: ``article_id, version, extraction_status, first_seen_at`` and the keys; ``done``: ``article_id,
-    article_version, analysis_status`` and the keys."""
-    old = done.select(F.col("article_id"), F.col("article_version").alias("version"), "analysis_status", *(F.col(k).alias("old_" + k) for k in keys))
-    same = F.coalesce(F.col("analysis_status") == "success", F.lit(False))
+    article_version, analysis_status`` and the keys, and ``pos``, the place in the history, if a version may have
+    several summaries (the last one appended counts)."""
+    order = "pos" if "pos" in done.columns else None
+    fields = F.struct("analysis_status", *(F.col(k).alias("old_" + k) for k in keys))
+    last = F.max_by(fields, order) if order else F.first(fields)
+    old = done.groupBy("article_id", F.col("article_version").alias("version")).agg(last.alias("__s"))
+    same = F.coalesce(F.col("__s.analysis_status") == "success", F.lit(False))
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col("old_" + k))
+        same &= F.col(k).eqNullSafe(F.col("__s.old_" + k))
     joined = latest.where("extraction_status = 'ok'").join(old, ["article_id", "version"], "left")
     return joined.where(~same).select(*latest.columns).orderBy(F.col("first_seen_at").desc(), "article_id")
 
 
-def within_budget(targets: DataFrame, order: list[Column], most: int, tokens: str, token_limit: int) -> DataFrame:
-    """The first ``most`` targets whose estimated tokens fit: the prefix form of the budget (``exact_budget`` folds)."""
-    w = W.orderBy(*order)
-    first = targets.orderBy(*order).limit(most)
-    total = F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return first.withColumn("running", total).where(F.col("running") <= token_limit)
-
-
 def exact_budget(items: list[tuple[str, bool, int]], most: int, token_limit: int) -> list[str]:
     """Ids taken in order: the item cap counts articles without text too; one that does not fit is passed over and
     later, smaller ones may still fit."""
@@ -57,6 +56,20 @@ def exact_budget(items: list[tuple[str, bool, int]], most: int, token_limit: int
     return taken
 
 
+def within_budget(targets: DataFrame, order: list[Column], most: int, tokens: str, token_limit: int, has_text: Column | None = None) -> DataFrame:
+    """Of the first ``most`` targets those that fit the budget one after another, with the tokens used so far
+    (``running``): the rule of ``exact_budget``. A fold over at most ``most`` rows, a parameter, in SQL."""
+    first = targets.orderBy(*order).limit(most)
+    place = F.row_number().over(W.orderBy(*order))
+    row = F.struct(place.alias("place"), F.col(tokens).cast("long").alias("tokens"), F.coalesce(has_text if has_text is not None else F.lit(True), F.lit(False)).alias("text"), F.struct(*targets.columns).alias("t"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<place:int,running:bigint>>").alias("taken"))
+    listed = first.select(row.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    fits = lambda s, r: r["text"] & (s["used"] + r["tokens"] <= token_limit)
+    step = lambda s, r: F.when(fits(s, r), F.struct((s["used"] + r["tokens"]).alias("used"), F.concat(s["taken"], F.array(F.struct(r["place"].alias("place"), (s["used"] + r["tokens"]).alias("running")))).alias("taken"))).otherwise(s)
+    done = listed.select("rows", F.aggregate("rows", start, step)["taken"].alias("taken"))
+    return done.select("rows", F.inline("taken")).select(F.element_at("rows", F.col("place").cast("int"))["t"].alias("t"), "running").select("t.*", "running")
+
+
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """In currency units to six places; prices are per million tokens; null if there is none."""
     return F.round(tokens_in / 1_000_000 * price_in + tokens_out / 1_000_000 * price_out, 6)
@@ -72,7 +85,8 @@ def plan_estimate(targets: DataFrame, most: int, tokens: str, price_in: float, o
 def usage_totals(records: DataFrame) -> DataFrame:
     return records.agg(
         F.count_if(F.col("analysis_status") == "success").alias("summarized"),
-        F.count_if(F.col("analysis_status") == "failed").alias("failed"),
+        F.count_if(F.col("analysis_status").startswith("failed")).alias("failed"),
+        F.count_if(F.col("analysis_status").startswith("skipped")).alias("skipped"),
         F.coalesce(F.sum("usage.input_tokens"), F.lit(0)).alias("input_tokens"),
         F.coalesce(F.sum("usage.output_tokens"), F.lit(0)).alias("output_tokens"),
         F.round(F.coalesce(F.sum("usage.estimated_cost_usd"), F.lit(0.0)), 6).alias("cost"),
@@ -82,21 +96,54 @@ def usage_totals(records: DataFrame) -> DataFrame:
 ANSWER = "summary string, key_points array<string>, targets array<string>, dates array<struct<label:string,value:string,evidence:string>>, ai_tags array<struct<tag_id:string,reason:string>>, uncertainties array<string>"
 
 
-def judged_answers(answers: DataFrame, tag_ids: list[str], most: int = 300, points: int = 5) -> DataFrame:
-    """Parsed answers (``article_id, answer, text``) with the first rule they break, or null.
+#: Fixed value: the note on a date whose evidence is not in the text.
+UNSUPPORTED_DATE = ("根拠を原文で確認できない日付（", "：", "）は採用しませんでした")
+#: Fixed value: the accepted form of dates in answers.
+_ANSWER_DATE = r"^\d{4}(-\d{2}(-\d{2})?)?$"
+
+
+def judged_answers(answers: DataFrame, tag_ids: list[str], most: int = 300, points: int = 5, evidence: int = 200) -> DataFrame:
+    """Parsed answers (``article_id, answer, text``) with ``problem``, the first rule that they break, or null; of good
+    ones the fields that count, ``tags`` and ``dates``, and ``notes`` to be added to the uncertainties.
 
-    Evidence of dates must occur in the text; both are NFKC without white space."""
+    Repeated tags are merged, the first stays. Dates whose evidence is not in the text (both NFKC without white space)
+    are left out with a note; neither rejects the answer."""
     parsed = answers.withColumn("a", F.from_json("answer", ANSWER))
     has = lambda c: F.col("a." + c).isNotNull()
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    some_blank = lambda c: F.exists("a." + c, blank)
     problem = (
         F.when(F.col("a").isNull() | ~(has("summary") & has("key_points") & has("targets") & has("dates") & has("ai_tags") & has("uncertainties")), "fields are missing")
+        .when(blank(F.col("a.summary")) | some_blank("key_points") | some_blank("targets") | some_blank("uncertainties"), "a text is empty")
         .when(F.length("a.summary") > most, "summary is too long")
         .when(F.size("a.key_points") > points, "too many points")
-        .when(F.exists("a.ai_tags", lambda t: ~t["tag_id"].isin(tag_ids)), "tag is not registered")
-        .when(F.size(F.array_distinct(F.transform("a.ai_tags", lambda t: t["tag_id"]))) < F.size("a.ai_tags"), "tag is repeated")
-        .when(F.exists("a.dates", lambda d: ~F.contains(F.col("text"), d["evidence"])), "evidence is not in the text")
+        .when(F.exists("a.ai_tags", lambda t: ~F.coalesce(t["tag_id"].isin(tag_ids), F.lit(False))), "tag is not registered")
+        .when(F.exists("a.ai_tags", lambda t: blank(t["reason"])), "a text is empty")
+        .when(F.exists("a.dates", lambda d: blank(d["label"]) | blank(d["evidence"])), "a text is empty")
+        .when(F.exists("a.dates", lambda d: ~F.coalesce(d["value"].rlike(_ANSWER_DATE), F.lit(False)) | (F.length(d["evidence"]) > evidence)), "a date is malformed")
     )
-    return parsed.withColumn("problem", problem)
+    judged = parsed.withColumn("problem", problem)
+    good = F.col("problem").isNull()
+    # NFKC of evidence is one call a row: the parts travel as one text, cut apart again at a mark no text holds.
+    parts = F.array_join(F.transform(F.coalesce("a.dates", F.array().cast("array<struct<label:string,value:string,evidence:string>>")), lambda d: F.coalesce(d["evidence"], F.lit(""))), "\x00")
+    bare = judged.withColumn("__text", squeezed(F.col("text"))).withColumn("__evidence", F.split(squeezed(parts), "\x00"))
+    there = F.transform("a.dates", lambda d, k: F.struct(d.alias("d"), F.contains(F.col("__text"), F.get(F.col("__evidence"), k)).alias("ok")))
+    left, colon, right = UNSUPPORTED_DATE
+    note = lambda x: F.concat(F.lit(left), x["d"]["label"], F.lit(colon), x["d"]["value"], F.lit(right))
+    tags = F.filter("a.ai_tags", lambda t, k: F.array_position(F.transform("a.ai_tags", lambda x: x["tag_id"]), t["tag_id"]) == k + 1)
+    return bare.withColumn("__dates", there).select(
+        *judged.columns,
+        F.when(good, tags).alias("tags"),
+        F.when(good, F.transform(F.filter("__dates", lambda x: x["ok"]), lambda x: x["d"])).alias("dates"),
+        F.when(good, F.transform(F.filter("__dates", lambda x: ~x["ok"]), note)).alias("notes"),
+    )
+
+
+def evidence_found(evidence: DataFrame, texts: DataFrame, key: str = "article_id") -> DataFrame:
+    """``evidence`` (``key, evidence``) with ``found``: whether its own article's ``text`` holds it, both NFKC without
+    white space."""
+    joined = evidence.join(texts.select(key, "text"), key)
+    return joined.withColumn("found", F.contains(squeezed(F.col("text")), squeezed(F.col("evidence")))).drop("text")
 
 
 def record(success: Column, answer: Column, tokens_in: Column, tokens_out: Column) -> Column:
@@ -152,15 +199,17 @@ def with_retries(provider: Provider, prompt: str, valid: Callable[[str], str | N
     return (outcome if problem is None or outcome.kind != "ok" else Outcome("invalid", outcome.text, outcome.tokens_in, outcome.tokens_out, problem)), attempt
 
 
-def completed(prompts: DataFrame, make_provider: Callable[[], Provider], most: int = 2) -> DataFrame:
-    """``article_id, kind, text, tokens_in, tokens_out, retries`` of ``article_id, prompt``; one provider a task."""
+def completed(prompts: DataFrame, make_provider: Callable[[], Provider], most: int = 2, pause: bool = True) -> DataFrame:
+    """``article_id, kind, text, tokens_in, tokens_out, retries`` of ``article_id, prompt``; one provider a task. Without
+    ``pause`` retries do not wait."""
+    wait = time.sleep if pause else lambda seconds: None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make_provider()
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["article_id"], batch["prompt"]):
-                o, n = with_retries(provider, prompt, _not_json, most)
+                o, n = with_retries(provider, prompt, _not_json, most, wait)
                 rows.append((key, o.kind, o.text, o.tokens_in, o.tokens_out, n))
             yield pd.DataFrame(rows, columns=["article_id", "kind", "text", "tokens_in", "tokens_out", "retries"])
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Origins in order of precedence: the first that gives a tag keeps it.
@@ -72,7 +71,9 @@ def selectable(definitions: DataFrame) -> DataFrame:
     return definitions.where(F.col("enabled") & ~F.coalesce("rule_only", F.lit(False)))
 
 
-def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by the columns ``order``, and ``duplicates``, how many more there are. A minimum, so it
+    is combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    found = rows.groupBy(*keys).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("__r"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    return found.select(*keys, "__r.*", "duplicates")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -27,23 +28,25 @@ def unique_urls(candidates: DataFrame, at: str = "ts", lateness: str = "14 days"
 
 
 class Versions(StatefulProcessor):
-    """Per article the last hash and version number; emits a row for every arrival with what it changed."""
+    """Per article its last version (number, hash, whether it was read, profile); a row for every arrival with what it
+    changed, by the rules of ``versions.change_types``."""
 
     OUTPUT = "key string, place long, version int, change_type string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "version int, hash string")
+        self.last = handle.getValueState("last", "version int, hash string, read boolean, profile string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, known = self.last.get() if self.last.exists() else (0, None)
+        version, known, read, profile = self.last.get() if self.last.exists() else (0, None, False, None)
         out = []
         arrivals = pd.concat(list(rows)).sort_values("place")
-        for place, digest in zip(arrivals["place"], arrivals["hash"]):
-            changed = version == 0 or digest != known
-            kind = "new" if version == 0 else "content_changed" if changed else "unchanged"
-            version, known = version + changed, digest
+        for place, digest, ok, method in zip(arrivals["place"], arrivals["hash"], arrivals["ok"], arrivals["profile"]):
+            kind = "unchanged"
+            if version == 0 or (ok and digest != known):
+                kind = "new" if version == 0 else "extraction_changed" if read and method != profile else "content_changed"
+                version, known, read, profile = version + 1, digest if ok else None, bool(ok), method
             out.append((str(key[0]), place, version, kind))
-        self.last.update((int(version), known))
+        self.last.update((int(version), known, read, profile))
         yield pd.DataFrame(out, columns=["key", "place", "version", "change_type"])
 
     def close(self) -> None:
@@ -51,19 +54,26 @@ class Versions(StatefulProcessor):
 
 
 def versions(arrivals: DataFrame) -> DataFrame:
-    """``arrivals``: ``key, place, hash``; needs the RocksDB state store."""
+    """``arrivals``: ``key, place, hash, ok, profile``; needs the RocksDB state store."""
     return arrivals.groupBy("key").transformWithStateInPandas(Versions(), outputStructType=Versions.OUTPUT, outputMode="Append", timeMode="None")
 
 
-def caught_up(stream: DataFrame, folder: str, mode: str = "append", merge=None) -> DataFrame:
-    """Run a stream over what there is into Parquet below ``folder`` and read it; ``merge`` (for updates) gets each
-    batch and its number instead of the append."""
+def caught_up(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what there is into Parquet below ``folder`` and read it.
+
+    In ``update`` mode each batch is a folder of its own, and of the rows with equal ``keys`` the one of the latest
+    batch counts: state stays bounded by the watermark, and a batch that is run again replaces its folder."""
     spark = stream.sparkSession
     out = f"{folder}/rows"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        query = writer.foreachBatch(merge or (lambda df, n: df.write.mode("overwrite").parquet(out))).start()
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.option("basePath", out).schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return latest.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*stream.columns)

@@ -80,7 +80,7 @@ def test_tags(spark):
     assert sorted(tuple(r) for r in G.removed_tags(ai, fixed, rule, removed).select("article_id", "tag_id").collect()) == [("a", "y"), ("b", "q")]
     assert {r["tag_id"]: r["reason"] for r in rule.where("article_id = 'a'").collect()} == {"v": "ルール（キーワード一致）：「L1」（題名）「L2」（本文）が見つかりました"}
     assert [r["tag_id"] for r in G.selectable(frame(spark, [("x", True, None), ("y", True, True), ("z", False, None)], "tag_id string, enabled boolean, rule_only boolean")).collect()] == ["x"]
-    assert [r["pos"] for r in G.keep_first(ai.where("article_id = 'a'"), ["article_id"], [F.col("pos").desc()]).collect()] == [1]
+    assert [(r["pos"], r["duplicates"]) for r in G.keep_first(ai.where("article_id = 'a'"), ["article_id"], ["pos"]).collect()] == [(0, 1)]
 
 
 def test_rules(spark):
@@ -90,17 +90,19 @@ def test_rules(spark):
     got = sorted((r["article_id"], r["label"], r["matched"], r["in"]) for r in R.matches(docs, rules).collect())
     assert got == [("a", "C", "cmic trust", "body"), ("a", "M", "母子モ", "body"), ("b", "C", "CMICTrust", "title")]
     assert R.matches(docs, []).count() == 0
-    latest = frame(spark, [("a", 1, True), ("b", 1, False), ("c", 1, False), ("d", 2, True), ("e", 1, True)], "article_id string, version int, has_text boolean")
+    latest = frame(spark, [("a", 1, True, "ok"), ("b", 1, False, "ok"), ("c", 1, False, "ok"), ("d", 2, True, "ok"), ("e", 1, True, "ok"), ("f", 1, False, "unsupported")], "article_id string, version int, has_text boolean, extraction_status string")
     old = frame(spark, [("a", 1, "body", "now"), ("b", 1, "body", "before"), ("c", 1, "title", "before"), ("d", 1, "body", "now"), ("e", 1, "title", "now")], "article_id string, article_version int, scope string, rules_version string")
     got = R.freshness(latest, old, "now")
-    assert {r["article_id"]: (r["action"], r["scope"]) for r in got.collect()} == {"a": ("unchanged", "body"), "b": ("stale", "body"), "c": ("updated", "title"), "d": ("updated", "body"), "e": ("updated", "body")}
-    assert tuple(R.counters(got).first()) == (3, 1, 1, 1)
+    assert {r["article_id"]: (r["action"], r["scope"]) for r in got.collect()} == {"a": ("unchanged", "body"), "b": ("stale", "body"), "c": ("updated", "title"), "d": ("updated", "body"), "e": ("updated", "body"), "f": ("updated", "title")}
+    assert tuple(R.counters(got).first()) == (4, 1, 1, 1)  # f was never read
 
 
 def test_versions(spark):
-    h = frame(spark, [("a", 1, "h1", "ok", "p1"), ("a", 2, "h1", "ok", "p1"), ("a", 3, "h1", "ok", "p2"), ("a", 4, None, "failed", "p2"), ("a", 5, "h1", "ok", "p2"), ("b", 1, "h", "ok", "p"), ("b", 3, "h2", "ok", "p")], "article_id string, version int, content_hash string, extraction_status string, extraction_profile string")
+    h = frame(spark, [("a", 1, "h1", "ok", "p1"), ("a", 2, "h1", "ok", "p1"), ("a", 3, "h1", "ok", "p2"), ("a", 4, None, "failed", "p2"), ("a", 5, "h1", "ok", "p2"), ("a", 6, "h2", "ok", "p2"), ("a", 7, "h3", "ok", "p2"), ("c", 1, None, "failed", "p1"), ("c", 2, None, "failed", "p1"), ("c", 3, "h", "ok", "p2"), ("b", 1, "h", "ok", "p"), ("b", 3, "h2", "ok", "p")], "article_id string, version int, content_hash string, extraction_status string, extraction_profile string")
     got = V.change_types(h, profile="extraction_profile").where("article_id = 'a'").orderBy("version")
-    assert [r["change_type"] for r in got.collect()] == ["new", "unchanged", "extraction_changed", "content_changed", "content_changed"]
+    assert [r["change_type"] for r in got.collect()] == ["new", "unchanged", "unchanged", "unchanged", "unchanged", "extraction_changed", "content_changed"]
+    got = V.change_types(h, profile="extraction_profile").where("article_id = 'c'").orderBy("version")
+    assert [r["change_type"] for r in got.collect()] == ["new", "unchanged", "content_changed"]
     assert [r["article_id"] for r in V.gaps(h, "article_id", "version").collect()] == ["b"]
     n = V.numbered(frame(spark, [("a", "t2"), ("a", "t1")], "article_id string, fetched_at string"))
     assert sorted(tuple(r) for r in n.collect()) == [("a", "t1", 1, 2), ("a", "t2", 2, 2)]
@@ -109,12 +111,14 @@ def test_versions(spark):
 
 
 def test_merge_has_every_decision(spark):
-    old = frame(spark, [(k, 2, "h", s, "p", None, "2025", "f") for k, s in (("same", "ok"), ("changed", "ok"), ("profile", "ok"), ("recovered", "failed"), ("down", "ok"), ("late", "ok"))], "article_id string, latest_version int, content_hash string, extraction_status string, extraction_profile string, published_at string, updated_at string, first_seen_at string")
-    new = [("same", True, None, "ok", "h", "p"), ("changed", True, None, "ok", "h2", "p"), ("profile", True, None, "ok", "h", "p2"), ("recovered", True, None, "ok", "h", "p"), ("down", True, None, "failed", None, "p"), ("late", False, None, "ok", "h", "p"), ("fresh", None, None, "ok", "h", "p"), ("broken", True, None, "failed", None, "p"), ("out", False, None, "ok", "h", "p"), ("login", True, True, None, None, "p")]
-    c = frame(spark, [(*r, "2026-09-01", "2026", "now") for r in new], "article_id string, judged boolean, login boolean, status string, content_hash string, extraction_profile string, published_at string, updated_at string, fetched_at string")
+    old = frame(spark, [(k, 2, "h", s, "p", None, "2025", "f") for k, s in (("same", "ok"), ("changed", "ok"), ("profile", "ok"), ("method", "ok"), ("recovered", "failed"), ("down", "ok"), ("late", "ok"), ("closed", "ok"), ("image", "ok"), ("parts", "ok"))], "article_id string, latest_version int, content_hash string, extraction_status string, extraction_profile string, published_at string, updated_at string, first_seen_at string")
+    new = [("same", True, None, "ok", "h", "p"), ("changed", True, None, "ok", "h2", "p"), ("profile", True, None, "ok", "h", "p2"), ("method", True, None, "ok", "h2", "p2"), ("recovered", True, None, "ok", "h3", "p2"), ("closed", True, True, None, None, "p"), ("image", True, None, "unsupported", None, "p"), ("parts", True, None, "ok", "h2", "p"), ("scan", True, None, "unsupported", None, "p"), ("down", True, None, "failed", None, "p"), ("late", False, None, "ok", "h", "p"), ("fresh", None, None, "ok", "h", "p"), ("broken", True, None, "failed", None, "p"), ("out", False, None, "ok", "h", "p"), ("login", True, True, None, None, "p")]
+    c = frame(spark, [(*r, "2026-09-01", "2026", "now", r[0] == "parts") for r in new], "article_id string, judged boolean, login boolean, status string, content_hash string, extraction_profile string, published_at string, updated_at string, fetched_at string, attachments_failed boolean")
     got = {r["article_id"]: (r["decision"], r["latest_version"]) for r in V.merge(old, c).collect()}
-    assert got == {"same": ("unchanged", 2), "changed": ("content_changed", 3), "profile": ("extraction_changed", 3), "recovered": ("content_changed", 3), "down": ("unchanged_failed", 2), "late": ("unchanged", 2), "fresh": ("new", 1), "broken": ("new_failed", 1), "out": ("out_of_period", None), "login": ("login_only", 1)}
+    assert got == {"same": ("unchanged", 2), "changed": ("content_changed", 3), "profile": ("unchanged", 2), "method": ("extraction_changed", 3), "closed": ("unchanged", 2), "image": ("unchanged", 2), "parts": ("unchanged_failed", 2), "scan": ("new_unread", 1), "recovered": ("content_changed", 3), "down": ("unchanged_failed", 2), "late": ("unchanged", 2), "fresh": ("new", 1), "broken": ("new_failed", 1), "out": ("out_of_period", None), "login": ("login_only", 1)}
     assert {d for d, _ in got.values()} == set(V.DECISIONS)
+    down = next(r for r in V.merge(old, c).collect() if r["article_id"] == "down")
+    assert (down["published_at"], down["updated_at"], down["last_seen_at"]) == (None, "2025", "now")
     row = next(r for r in V.merge(old, c).collect() if r["article_id"] == "same")
     assert (row["published_at"], row["updated_at"], row["first_seen_at"], row["last_seen_at"]) == ("2026-09-01", "2026", "f", "now")
 
@@ -123,10 +127,11 @@ def test_attachments(spark):
     a = frame(spark, [("a", 1, "one", "ok", "t1"), ("a", 2, "skip me", "ok", "t2"), ("a", 3, "three", "failed", None), ("a", 4, "four", "ok", "t4")], "article_id string, position int, title string, status string, text string")
     assert {r["position"]: r["state"] for r in V.capped_attachments(a, ["^skip"], 2).collect()} == {1: "read", 2: "excluded", 3: "read", 4: "skipped"}
     got = V.with_attachments(frame(spark, [("a", "body"), ("b", "only")], "article_id string, text string"), a)
-    assert {r["article_id"]: r["text"] for r in got.collect()} == {"a": "body\nt1\nt2\nt4", "b": "only"}
+    assert {r["article_id"]: r["text"] for r in got.collect()} == {"a": "body\n[添付PDF]one\nt1\n[添付PDF]skip me\nt2\n[添付PDF]four\nt4", "b": "only"}
     t = spark.range(1).select(V.chosen_title(F.lit("pdf"), F.lit(" "), F.lit("page"), F.lit("u")), V.chosen_title(F.lit("html"), F.lit("cand"), F.lit(None).cast("string"), F.lit("u")), V.chosen_title(F.lit("html"), F.lit("c"), F.lit("x" * 400), F.lit("u"))).first()
     assert t[0] == "page" and t[1] == "cand" and len(t[2]) == 300
-    assert V.extraction_profile(False) == "html" and V.extraction_profile(True, exclude=["a", "b"]).endswith("a|b")
+    profile = lambda kind, pdf, titles: spark.range(1).select(V.extraction_profile(F.lit(kind), F.lit(pdf), F.array(*map(F.lit, titles)).cast("array<string>"))).first()[0]
+    assert [profile("html", False, []), profile("pdf", True, []), profile("html", True, ["a", "b"]), profile("html", True, [])] == ["html", "pdf", "html+pdf(3files,30pages,exclude:a|b)", "html+pdf(3files,30pages)"]
 
 
 def test_state(spark):
@@ -166,6 +171,13 @@ def test_summaries(spark):
     latest = frame(spark, [("a", 2, "ok", "1", "k"), ("b", 1, "ok", "2", "k"), ("c", 1, "ok", "3", "k"), ("d", 1, "failed", "4", "k"), ("e", 1, "ok", "5", "k")], "article_id string, version int, extraction_status string, first_seen_at string, prompt string")
     done = SU.last_for_version(files).unionByName(frame(spark, [("e", 1, "success", "t", "k")], s.schema.simpleString().removeprefix("struct<").removesuffix(">")))
     assert [r["article_id"] for r in SU.needs_processing(latest, done, ["prompt"]).collect()] == ["c", "b", "a"]
+    twice = frame(spark, [("x", 1, "failed", 0, "k"), ("x", 1, "success", 1, "k"), ("y", 1, "success", 0, "k"), ("y", 1, "failed", 1, "k"), ("z", 1, "failed", 0, "k"), ("z", 1, "failed", 1, "k")], "article_id string, article_version int, analysis_status string, pos int, prompt string")
+    rows = frame(spark, [(k, 1, "ok", k, "k") for k in "xyz"], "article_id string, version int, extraction_status string, first_seen_at string, prompt string")
+    assert [r["article_id"] for r in SU.needs_processing(rows, twice, ["prompt"]).collect()] == ["z", "y"]
+    items = [("a", True, 50), ("b", False, 1), ("c", True, 60), ("d", True, 40), ("e", True, 1)]
+    df = frame(spark, [(n, *i) for n, i in enumerate(items)], "n int, k string, has boolean, tokens int")
+    assert [r["k"] for r in SU.within_budget(df, [F.col("n")], 4, "tokens", 100, F.col("has")).orderBy("n").collect()] == SU.exact_budget(items, 4, 100)
+    assert SU.within_budget(df.limit(0), [F.col("n")], 4, "tokens", 100).count() == 0
     assert SU.exact_budget([("a", True, 50), ("b", False, 1), ("c", True, 60), ("d", True, 40), ("e", True, 1)], 4, 100) == ["a", "d"]
     assert spark.range(1).select(SU.cost(F.lit(1_000_000), F.lit(500_000), F.lit(3.0), F.lit(15.0))).first()[0] == 10.5
     known = frame(spark, [("n1",)], "name string")
@@ -179,16 +191,21 @@ def answer(**k):
 
 def test_answers_and_retries(spark):
     cases = {
-        "ok": (answer(ai_tags=[{"tag_id": "x", "reason": "r"}], dates=[{"label": "l", "value": "v", "evidence": "9月1日"}]), None),
+        "ok": (answer(ai_tags=[{"tag_id": "x", "reason": "r"}], dates=[{"label": "l", "value": "2026-09", "evidence": "9月1日"}]), None),
         "json": ("no", "fields are missing"),
         "long": (answer(summary="s" * 301), "summary is too long"),
         "points": (answer(key_points=["p"] * 6), "too many points"),
         "tag": (answer(ai_tags=[{"tag_id": "z", "reason": "r"}]), "tag is not registered"),
-        "twice": (answer(ai_tags=[{"tag_id": "x", "reason": "r"}] * 2), "tag is repeated"),
-        "evidence": (answer(dates=[{"label": "l", "value": "v", "evidence": "9月2日"}]), "evidence is not in the text"),
+        "twice": (answer(ai_tags=[{"tag_id": "x", "reason": "r"}] * 2), None),
+        "evidence": (answer(dates=[{"label": "l", "value": "2026", "evidence": "9月2日"}, {"label": "m", "value": "2026-09-01", "evidence": " ９月 1日"}]), None),
+        "value": (answer(dates=[{"label": "l", "value": "v", "evidence": "9月1日"}]), "a date is malformed"),
+        "blank": (answer(key_points=[" "]), "a text is empty"),
     }
     df = frame(spark, [(k, a, "本日は9月1日です") for k, (a, _) in cases.items()], "article_id string, answer string, text string")
     assert {r["article_id"]: r["problem"] for r in SU.judged_answers(df, ["x"]).collect()} == {k: p for k, (_, p) in cases.items()}
+    got = {r["article_id"]: r for r in SU.judged_answers(df, ["x"]).collect()}
+    assert [x["tag_id"] for x in got["twice"]["tags"]] == ["x"] and got["long"]["tags"] is None
+    assert [d["label"] for d in got["evidence"]["dates"]] == ["m"] and got["evidence"]["notes"] == ["根拠を原文で確認できない日付（l：2026）は採用しませんでした"]
     slept = []
     run = lambda *o: SU.with_retries(SU.MockProvider({"p": list(o)}), "p", lambda t: None if t == "fine" else "bad", 2, slept.append)
     O = SU.Outcome  # noqa: E741

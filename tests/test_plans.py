@@ -169,23 +169,25 @@ def test_publish(spark, data, tmp_path):
     _, _, _, out = data
     folder = f"{tmp_path}/public"
     public.publish(out.limit(2), folder, validate.public(out))
-    public.publish(out.limit(3), folder)
-    assert spark.read.parquet(folder).count() == 3
+    assert public.published(spark, folder).count() == 2
+    for _ in range(2):
+        public.publish(out.limit(3), folder)
+    assert public.published(spark, folder).count() == 3 and len(list((tmp_path / "public").glob("v*"))) == 2
     with pytest.raises(ValueError):
         public.publish(out, folder, validate.public(out.withColumn("title", F.lit("AKIA" + "A" * 16))))
-    assert spark.read.parquet(folder).count() == 3
+    assert public.published(spark, folder).count() == 3
 
 
 def test_streams_carry_state(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = "key string, place long, hash string"
-    rows = [("a", 0, "x"), ("a", 1, "x"), ("b", 0, "y")], [("a", 2, "z"), ("c", 0, "q"), ("b", 1, "y")]
+    schema = "key string, place long, hash string, ok boolean, profile string"
+    rows = [("a", 0, "x", True, "p"), ("a", 1, "x", True, "p"), ("b", 0, None, False, "p")], [("a", 2, "z", True, "p"), ("c", 0, "q", True, "p"), ("b", 1, "y", True, "p2"), ("a", 3, "w", True, "p2"), ("a", 4, None, False, "p2"), ("a", 5, "w", True, "p3")]
     out = None
     for part in rows:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         out = flows.caught_up(flows.versions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/s")
     got = {(r["key"], r["place"]): (r["version"], r["change_type"]) for r in out.collect()}
-    assert got == {("a", 0): (1, "new"), ("a", 1): (1, "unchanged"), ("a", 2): (2, "content_changed"), ("b", 0): (1, "new"), ("b", 1): (1, "unchanged"), ("c", 0): (1, "new")}
+    assert got == {("a", 0): (1, "new"), ("a", 1): (1, "unchanged"), ("a", 2): (2, "content_changed"), ("a", 3): (3, "extraction_changed"), ("a", 4): (3, "unchanged"), ("a", 5): (3, "unchanged"), ("b", 0): (1, "new"), ("b", 1): (2, "content_changed"), ("c", 0): (1, "new")}
     spark.createDataFrame([("u1", "2026-01-01 00:00:00"), ("u1", "2026-01-02 00:00:00"), ("u2", "2026-01-01 00:00:00")], "url string, ts string").selectExpr("url", "cast(ts as timestamp) ts").write.parquet(f"{tmp_path}/urls")
     unique = flows.unique_urls(spark.readStream.schema("url string, ts timestamp").parquet(f"{tmp_path}/urls"))
     assert sorted(r["url"] for r in flows.caught_up(unique, f"{tmp_path}/u").collect()) == ["u1", "u2"]

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm import answers
 from gleanery.llm.common import kept_by, lean, located, small_batches, work_dir, write_bytes, written
 from gleanery.llm.pieces import WORDS, plain, slices, tokenizer
 
@@ -86,7 +85,7 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
 
 
 def words_seen(rows: DataFrame, path: str) -> DataFrame:
-    """``fh, fh2, bucket, word``: the distinct words of each bucket of ``text, fh, fh2, row``."""
+    """``fh, fh2, no, word``: the distinct words of each bucket of ``answers.chunked`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, seen = None, set()
@@ -94,13 +93,12 @@ def words_seen(rows: DataFrame, path: str) -> DataFrame:
         def passed() -> pa.RecordBatch:
             n = len(seen)
             at = [pa.array(np.full(n, v, t)) for v, t in zip(place, ("i8", "i4", "i8"))]
-            out = pa.RecordBatch.from_arrays([*at, pa.array(list(seen), pa.string())], ["fh", "fh2", "bucket", "word"])
+            out = pa.RecordBatch.from_arrays([*at, pa.array(list(seen), pa.string())], [*answers.KEY, "word"])
             seen.clear()
             return out
 
         for batch in batches:
-            for text, fh, fh2, row in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                now = (fh, fh2, row // BUCKET_ROWS)
+            for text, *now in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 if seen and (now != place or len(seen) >= TASK_WORDS):
                     yield passed()
                 place = now
@@ -108,7 +106,7 @@ def words_seen(rows: DataFrame, path: str) -> DataFrame:
         if seen:
             yield passed()
 
-    return rows.select("text", "fh", "fh2", "row").mapInArrow(lean("bpe_table", run), "fh long, fh2 int, bucket long, word string")
+    return rows.select("text", *answers.KEY).mapInArrow(lean("bpe_table", run), "fh long, fh2 int, no long, word string")
 
 
 def word_table(seen: DataFrame, path: str) -> DataFrame:
@@ -193,8 +191,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     small_batches(spark)
     work = work_dir(spark, "words")
     id_type = docs.schema[id_col].dataType
-    rows = located(docs, id_col, text_col, f"{work}/docs")
-    rows = rows.select(F.col("id").alias("doc_id"), "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), "row")
+    rows = answers.chunked(located(docs, id_col, text_col, f"{work}/docs"), BUCKET_ROWS)
     seen = written(words_seen(rows, path), f"{work}/seen")
     table = written(word_table(seen, path), f"{work}/table")
     shared, whole = shared_words(table, shared_bytes)
@@ -205,56 +202,36 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     finish = _finish(keep)
     fields = f"doc_id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    rare_folder = None if whole else f"{work}/rare"
-    if rare_folder:
-        _write_rare(seen, table, name, rare_folder)
+    rare_words = None if whole else _rare(seen, table, name, f"{work}/rare")
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rare = _table(name), _Rare(rare_folder)
+        known = _table(name)
+        reader = answers.Reader(rare_words) if rare_words else None
 
-        def body(text, fh: int, fh2: int, row: int) -> bytes:
-            known.rare = rare.of(fh, fh2, row // BUCKET_ROWS)
-            return b"".join(map(known.__getitem__, words_of(text.as_py() or "", path)))
+        def bodies(batch: pa.RecordBatch) -> Iterator[bytes]:
+            for key, a, b in answers.chunks_of(batch):
+                found = reader.table(*key) if reader else []
+                known.rare = {w: i for t in found for w, i in zip(t["word"].to_pylist(), t["ids"].to_pylist())}
+                for text in batch.column(1).slice(a, b - a):
+                    yield b"".join(map(known.__getitem__, words_of(text.as_py() or "", path)))
 
         for batch in batches:
-            places = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            yield finish(batch.column(0), map(body, batch.column(1), *places), known.pieces)
+            yield finish(batch.column(0), bodies(batch), known.pieces)
 
     return rows.mapInArrow(lean("bpe_table", join_back), fields)
 
 
-def _write_rare(seen: DataFrame, table: DataFrame, name: str, folder: str) -> None:
-    """For each bucket its words beyond the shared part, with ids, in a folder of its name."""
+def _rare(seen: DataFrame, table: DataFrame, name: str, folder: str) -> answers.Table:
+    """For each bucket its words beyond the shared part, with ids."""
 
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(name)
         for batch in batches:
             yield batch.filter(pa.array([w not in known for w in batch.column(3).to_pylist()], pa.bool_()))
 
-    rare = seen.mapInArrow(lean("bpe_table", beyond), "fh long, fh2 int, bucket long, word string")
+    rare = seen.mapInArrow(lean("bpe_table", beyond), "fh long, fh2 int, no long, word string")
     # One row for each bucket and word, and no shared words: no key of this join is frequent.
-    joined = rare.join(table.select("word", "ids"), "word")
-    n = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined.select(F.concat_ws("_", "fh", "fh2", "bucket").alias("at"), "word", "ids").repartition(n, "at").write.partitionBy("at").parquet(folder)
-
-
-class _Rare:
-    """The rare words of the bucket that was asked for last."""
-
-    def __init__(self, folder: str | None):
-        self.folder, self.name, self.words = folder, None, {}
-
-    def of(self, fh: int, fh2: int, bucket: int) -> dict[str, bytes]:
-        name = (fh, fh2, bucket)
-        if self.folder and name != self.name:
-            where, root = fs.FileSystem.from_uri(self.folder)
-            self.name, self.words = name, {}
-            for info in where.get_file_info(fs.FileSelector(f"{root}/at={fh}_{fh2}_{bucket}", allow_not_found=True)):
-                if info.path.endswith(".parquet"):
-                    with where.open_input_file(info.path) as f:
-                        part = pq.read_table(f, columns=["word", "ids"])
-                    self.words.update(zip(part["word"].to_pylist(), part["ids"].to_pylist()))
-        return self.words
+    return answers.write(rare.join(table.select("word", "ids"), "word").select(*answers.KEY, "word", "ids"), folder)
 
 
 def _finish(keep: bool):

@@ -68,17 +68,26 @@ def jump_hash(hi: Column, lo: Column, shards: int) -> Column:
     return F.when(short["j"] >= _lit(shards), short["b"]).otherwise(walk(shards)["b"]).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 16, slices: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Slices of a shard at least, and rows that a slice has on average at most.
+SLICES, SLICE_ROWS = 64, 1 << 20
+
+
+def slices_for(rows: int, shards: int) -> int:
+    """A power of two that grows with the table: each slice is numbered by one task."""
+    return max(SLICES, 1 << math.ceil(math.log2(max(1.0, rows / (shards * SLICE_ROWS)))))
+
+
+def shard(docs: DataFrame, shards: int = 16, slices: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     The id and the shard count alone decide (law ``key``); a null id is a key of its own. ``size`` is the text's UTF-8
     bytes plus 1, a null text has none. ``slot`` numbers the rows of a shard from 0 without gaps: each shard is cut
-    into ``slices`` by a hash, slices are numbered in parallel, and a sum over at most ``shards * slices`` counts
-    gives each its base. ``slices`` is a parameter for the size of the table: a slice is numbered by one task. Texts
-    never leave the scan. An empty table gives no rows; extra columns are left behind.
+    into ``slices`` by a hash (``slices_for`` the table, counted from file footers, unless given), slices are numbered
+    in parallel, and a sum over at most ``shards * slices`` counts gives each its base. Texts never leave the scan. An empty table gives no rows; extra columns are left behind.
     """
     from pyspark.sql import Window as W
 
+    slices = slices or slices_for(docs.count(), shards)
     hi, lo = key_halves(F.col(f"`{id_col}`"))
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     rows = (
@@ -105,10 +114,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def op10_sql(shards: int = 16, slices: int = 64) -> str:
+def op10_sql(shards: int = 16) -> str:
     """DuckDB has no crc32: it is folded over the bytes, eight bit steps for each. The walk is a recursive query."""
     return f"""
-WITH RECURSIVE k AS (
+WITH RECURSIVE s AS (
+  SELECT greatest({SLICES}, CAST(pow(2, ceil(log2(greatest(1.0, count(*) / {float(shards * SLICE_ROWS)})))) AS BIGINT)) AS slices FROM documents
+), k AS (
   SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents
 ), bits AS (
   SELECT list_transform(range(256), lambda b: list_reduce(list_concat([CAST(b AS BIGINT)], CAST(range(8) AS BIGINT[])),
@@ -130,6 +141,6 @@ WITH RECURSIVE k AS (
   FROM walk GROUP BY doc_id
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY (lo + text_crc32) % {slices}, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY (lo + text_crc32) % (SELECT slices FROM s), doc_id, text_crc32, size) - 1 AS slot, grown_shard
 FROM c JOIN placed USING (doc_id)
 """

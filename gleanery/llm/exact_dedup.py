@@ -122,7 +122,9 @@ def _differing(rows: DataFrame, members: DataFrame, norm: Column, digest, work:
         named = members.where(F.col("is_keep") == kept).select("arrival.file", "arrival.row")
         bits = written(row_bits(named), f"{work}/{'kept' if kept else 'hits'}")
         arrival = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row").alias("arrival")
-        return listed(rows, bits).select(digest(norm).alias("digest"), arrival, norm.alias("text"))
+        # Never null, so that no test for null is pushed down to rows that are not listed.
+        known = F.coalesce(digest(norm), F.lit(b""))
+        return listed(rows, bits).select(known.alias("digest"), arrival, norm.alias("text"))
 
     kept = read(True).select("digest", F.col("text").alias("kept_text"))
     differ = written(read(False).join(kept, "digest").where("text <> kept_text").drop("kept_text"), f"{work}/differ")

@@ -39,9 +39,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = work_dir(spark, "near-stage")
     docs = from_files(docs, f"{work}/docs")
     found = near_groups(docs)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
-    keep = found.groupBy("root").agg(F.min_by("n", order).alias("keep"))
-    return without(docs, found.join(keep, "root").where("n <> keep"), f"{work}/gone")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row", "n")
+    stays = found.groupBy("root").agg(F.min(order).alias("first")).select("first.n")
+    return without(docs, found.join(stays, "n", "left_anti"), f"{work}/gone")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

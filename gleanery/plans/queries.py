@@ -548,7 +548,7 @@ def version_change_lag(t):
 def version_numbers(t):
     """Versions from 1 and the latest one."""
     n = V.numbered(t("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("fetched_at")))
-    return n.select(F.col("article_id").alias("conv_id"), F.col("fetched_at").alias("turn"), "version", "latest_version")
+    return n.select(F.col("article_id").alias("conv_id"), F.col("fetched_at").alias("turn"), F.col("version").cast("long").alias("version"), "latest_version")
 
 
 @query(

@@ -276,7 +276,7 @@ def text_cache_scan(t):
     return files.cached_texts(spark, folder)
 
 
-@query("""SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, n_nationkey % 4 = 0 AS over FROM nation UNION ALL SELECT 'twice', NULL, NULL""")
+@query("""SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, CASE WHEN n_nationkey % 4 = 0 THEN 'true' ELSE 'false' END AS over FROM nation UNION ALL SELECT 'twice', NULL, NULL""")
 def configuration(t):
     """Settings in YAML and JSON, files of an overlay in place of others, a repeated key as an error."""
     from gleanery.sources import files
@@ -290,7 +290,7 @@ def configuration(t):
     frame = lambda rows: spark.createDataFrame(rows, "name string, text string")
     twice = [("twice.json", '{"region": 1, "region": 2}')]
     read = files.parsed_files(files.overlaid(frame(base + twice), frame(over)))
-    return read.select(F.regexp_extract("name", r"^(.*)\.", 1).alias("name"), F.get_json_object("value", "$.region").alias("region"), F.get_json_object("value", "$.over").cast("boolean").alias("over"))
+    return read.select(F.regexp_extract("name", r"^(.*)\.", 1).alias("name"), F.get_json_object("value", "$.region").alias("region"), F.get_json_object("value", "$.over").alias("over"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), d AS (SELECT k, 'https://example.org/' || k AS url, CASE k % 5 WHEN 1 THEN 'https://example.org/' || (k - 1) ELSE 'https://example.org/' || k END AS final_url FROM s)
@@ -432,7 +432,7 @@ def supplier_state(t) -> DataFrame:
 @query("""WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 < 5 THEN 'success' WHEN s_suppkey % 10 < 8 THEN 'failed' WHEN s_suppkey % 10 = 8 THEN 'skipped' END AS now, s_suppkey % 6 <> 5 AS known FROM supplier)
 SELECT CAST(k AS VARCHAR) AS source_id, CASE WHEN now = 'success' THEN 't9' WHEN known AND k % 3 <> 0 THEN '2026-01-01T00:00:00+09:00' END AS last_success_at, CASE WHEN now IS NOT NULL THEN 't9' WHEN known THEN '2026-01-02T00:00:00+09:00' END AS last_attempt_at,
   coalesce(now, CASE WHEN known THEN CASE WHEN k % 3 <> 0 THEN 'success' ELSE 'failed' END END) AS last_attempt_status, CAST(CASE WHEN now = 'success' THEN 0 ELSE CASE WHEN known THEN k % 3 ELSE 0 END + CASE WHEN now = 'failed' THEN 1 ELSE 0 END END AS INTEGER) AS failures,
-  CASE WHEN now = 'success' THEN 'new' WHEN known THEN '2025-01-01' END AS oldest, CAST(CASE WHEN now IN ('success', 'failed') THEN 1 WHEN known THEN CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END END AS INTEGER) AS queued FROM s""")
+  CASE WHEN now = 'success' THEN 'new' WHEN known THEN '2025-01-01' END AS oldest, CASE WHEN now IN ('success', 'failed') THEN '1' WHEN known THEN CASE WHEN k % 4 = 0 THEN '2' ELSE '0' END END AS queued FROM s""")
 def state_after_run(t):
     """The state of each source after a run: success point, range, failures in a row, retry queue."""
     sources = t("supplier").select(F.col("s_suppkey").cast("string").alias("source_id"))
@@ -441,7 +441,7 @@ def state_after_run(t):
     queue = F.array(F.struct(F.lit("u").alias("url"), F.lit(None).cast("string").alias("article_id"), F.lit("fetch").alias("stage"), F.lit("r").alias("reason"), F.lit("t").alias("first_failed_at"), F.lit(1).alias("attempts")))
     results = t("supplier").where(k < 9).select(F.col("s_suppkey").cast("string").alias("source_id"), F.when(k < 5, "success").when(k < 8, "failed").otherwise("skipped").alias("status"), F.lit("t9").alias("attempted_at"), span.alias("explored_range"), queue.alias("retry_queue"))
     got = S.merged_state(sources, supplier_state(t), results)
-    return got.select("source_id", "last_success_at", "last_attempt_at", "last_attempt_status", F.col("consecutive_failures").alias("failures"), F.col("explored_range.oldest").alias("oldest"), F.when(F.col("retry_queue").isNotNull(), F.size("retry_queue")).alias("queued"))
+    return got.select("source_id", "last_success_at", "last_attempt_at", "last_attempt_status", F.col("consecutive_failures").alias("failures"), F.col("explored_range.oldest").alias("oldest"), F.when(F.col("retry_queue").isNotNull(), F.size("retry_queue").cast("string")).alias("queued"))
 
 
 @query("""WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS source_id, 'https://example.org/r/' || l_suppkey || '/' || (l_linenumber % 3) AS url, max(l_quantity) > 49 AS out_ FROM lineitem GROUP BY ALL),
@@ -683,6 +683,52 @@ def state_and_run_integrity(t):
     return VA.all_of(VA.state(supplier_state(t), config, known), VA.runs(runs, config)).select("check", "key")
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS id FROM supplier) SELECT 'source_id' AS "check", '3' AS key, count(*) AS n FROM s WHERE k = 3 UNION ALL SELECT 'csv_id', 'C' || (k - 1), count(*) FROM s WHERE k % 10 = 5 GROUP BY k UNION ALL SELECT 'entry_host', id, 1 FROM s WHERE k % 10 = 1
+UNION ALL SELECT 'pattern', id, 1 FROM s WHERE k % 10 = 2 UNION ALL SELECT 'fixed_tag', id, CASE k WHEN 3 THEN 4 ELSE 2 END FROM s WHERE k % 10 = 3 UNION ALL SELECT 'csv_field', id, 2 FROM s WHERE k % 10 = 6
+UNION ALL SELECT 'tag_id', 'T4', 1 UNION ALL SELECT 'tag_name', 'name 4', 1 UNION ALL SELECT 'rule_only', 'T1', 1 UNION ALL SELECT 'rule_label', 'T2', 1 UNION ALL SELECT 'pattern', 'T3', 1""")
+def configuration_integrity(t):
+    """Settings of sources and tags against every rule, with settings that break one each."""
+    sources = []
+    for r in t("supplier").select("s_suppkey").orderBy("s_suppkey").collect():
+        k = r[0]
+        s = {"id": str(k), "entry_url": f"https://Example.org/{k}", "allowed_hosts": ["example.org"] if k % 10 != 1 else ["other.org"], "enabled": k % 10 != 7, "csv_id": f"C{k - 1 if k % 10 == 5 else k}", "publisher": "p", "source_type": "news", "fixed_tags": ["T0"]}
+        s |= {2: {"link_rules": {"include": ["ok", "("]}}, 3: {"fixed_tags": ["none", "T5", "T0"]}, 6: {"publisher": "", "source_type": None}, 7: {"publisher": None}}.get(k % 10, {})
+        sources += [s] * (2 if k == 3 else 1)
+    for s in sources:
+        if int(s["id"]) == 3 and sum(x is s for x in sources) == 2:
+            s["csv_id"] = ""
+            s["enabled"] = False
+    rule = lambda label, pattern="x": {"label": label, "pattern": pattern}
+    tags = [{"id": "T0", "name": "n"}, {"id": "T1", "name": "name 1", "auto_rules": [rule("a")]}, {"id": "T2", "name": "name 2", "rule_only": True, "auto_rules": [rule("a"), rule("a")]}, {"id": "T3", "name": "name 3", "rule_only": True, "auto_rules": [rule("a", "[")]}, {"id": "T4", "name": "name 4"}, {"id": "T4", "name": "name 4"}, {"id": "T5", "name": "name 5"}]
+    found = VA.sources(sources, {x["id"] for x in tags}, {"T5"}) + VA.tags(tags)
+    rows = t("supplier").sparkSession.createDataFrame(found, "check string, key string, message string")
+    return rows.groupBy("check", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {ARTICLE_SQL} SELECT 'rule_article' AS "check", id AS key FROM b WHERE ck % 30 = 1 UNION ALL SELECT 'rule_version', id FROM b WHERE ck % 30 = 2 UNION ALL SELECT 'rule_tag', 'odd' UNION ALL SELECT 'candidate_article', id FROM b WHERE ck % 30 = 1 AND ck % 2 = 0
+UNION ALL SELECT 'summary_version', id FROM b WHERE s <> 'none' AND ck % 30 = 4 UNION ALL SELECT 'state_key', 'key' || s_suppkey FROM supplier WHERE s_suppkey % 6 <> 5 AND s_suppkey % 10 = 2 UNION ALL SELECT 'run_period', 'r' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 3""")
+def reference_integrity(t):
+    """Remembered rule tags, proposed tags, summaries, states and runs that refer to what is not there."""
+    a = article_files(t).select("ck", "article.article_id", F.col("article.latest_version").alias("latest_version"))
+    k = F.col("ck") % 30
+    tag = F.array(F.struct(F.when(k == 3, "odd").otherwise("metal").alias("tag_id")))
+    entries = a.select("article_id", F.when(k == 2, F.col("latest_version") + 1).otherwise(F.col("latest_version")).alias("article_version"), tag.alias("tags"))
+    known = a.where(k != 1).select("article_id", "latest_version")
+    definitions = t("region").sparkSession.createDataFrame([("metal",)], "tag_id string")
+    rules = VA.rule_tags(entries, known, definitions)
+    proposed = VA.tag_candidates(a.where("ck % 2 = 0").select("article_id"), known)
+    s = summary_rows(t).where("processed_at >= '2026-05-09'").join(a, "article_id")
+    late = s.withColumn("article_version", F.when(k == 4, F.col("latest_version") + 1).otherwise(F.col("article_version"))).drop("latest_version")
+    versions = VA.summaries(late, a, tag_definitions(t)).where(F.col("check") == "summary_version")
+    state = supplier_state(t).withColumn("key", F.when(F.col("source_id").cast("int") % 10 == 2, F.concat(F.lit("key"), "source_id")).otherwise(F.col("source_id")))
+    keys = VA.state(state, state.select("source_id"), state.select(F.explode("retry_queue.article_id").alias("article_id")))
+    period = F.struct(F.lit("2026-02-01").alias("start"), F.when(F.col("s_suppkey") % 10 == 3, "2026-01-01").otherwise("2026-03-01").alias("end"))
+    result = F.struct(F.col("s_suppkey").cast("string").alias("source_id"), *(F.lit(0).alias(c) for c in ("new", "changed", "unchanged")))
+    runs = t("supplier").select(F.concat(F.lit("r"), "s_suppkey").alias("run_id"), F.array(result).alias("sources"), F.struct(*(F.lit(0).alias(c) for c in ("new", "changed", "unchanged"))).alias("totals"), period.alias("period"))
+    periods = VA.runs(runs, t("supplier").select(F.col("s_suppkey").cast("string").alias("source_id")))
+    return VA.all_of(rules, proposed, versions, keys, periods).select("check", "key")
+
+
 #: A schema of this module's records: references, conditions, combinations, closed objects.
 RECORD_SCHEMA = {
     "$defs": {"id": {"type": "string", "pattern": "^[a-z][0-9]+$"}},

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,7 +62,9 @@ def summaries(rows: DataFrame, known: DataFrame, tags: DataFrame) -> DataFrame:
     content = ["summary", "key_points", "targets", "dates", "ai_tags", "uncertainties"]
     some, all_ = reduce(Column.__or__, [F.col(c).isNotNull() for c in content]), reduce(Column.__and__, [F.col(c).isNotNull() for c in content])
     used = rows.select(F.explode("ai_tags.tag_id").alias("tag_id"))
+    versions = [_rows(rows.join(known.select("article_id", "latest_version"), "article_id").where("article_version > latest_version"), "summary_version", F.col("article_id"), "the version does not exist")] if "latest_version" in known.columns else []
     return all_of(
+        *versions,
         missing(rows, "article_id", known, "article_id", "summary_article"),
         missing(used, "tag_id", tags, "tag_id", "summary_tag"),
         _rows(rows.where(ok & (~all_ | (F.length("summary") > 300) | (F.size("key_points") > 5))), "summary_success", F.col("article_id"), "a success lacks fields or exceeds limits"),
@@ -83,37 +87,80 @@ def overrides(rows: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
-def sources(config: list[dict], tag_ids: set[str]) -> list[tuple[str, str, str]]:
-    """Checks of configured sources: unique ids, entry host among the allowed, patterns that compile, known tags."""
-    out, seen = [], set()
+Problem = tuple[str, str, str]
+#: What an enabled source needs for the external CSV.
+CSV_FIELDS = ("csv_id", "publisher", "source_type")
+
+
+def _repeated(values: Iterable[str]) -> list[str]:
+    """Each value that occurs more than once, once, in order."""
+    return [v for v, n in Counter(values).items() if n > 1]
+
+
+def _patterns(key: str, patterns: Iterable[str]) -> Iterator[Problem]:
+    for p in patterns:
+        try:
+            re.compile(p)
+        except re.error:
+            yield "pattern", key, f"the pattern does not compile: {p}"
+
+
+def sources(config: list[dict], tag_ids: set[str], disabled: set[str] = frozenset()) -> list[Problem]:
+    """Checks of configured sources: unique ids, entry host among the allowed, patterns that compile, fixed tags that
+    are registered and not ``disabled``, what enabled sources need for the external CSV, unique CSV ids."""
+    out = [("source_id", v, "the key is not unique") for v in _repeated(s["id"] for s in config)]
+    out += [("csv_id", v, "the key is not unique") for v in _repeated(s["csv_id"] for s in config if s.get("csv_id"))]
     for s in config:
-        if s["id"] in seen:
-            out.append(("source_id", s["id"], "the key is not unique"))
-        seen.add(s["id"])
         host = re.match("https?://([^/:?#]+)", s.get("entry_url") or "")
         if not host or host[1].lower() not in [h.lower() for h in s.get("allowed_hosts", [])]:
             out.append(("entry_host", s["id"], "the entry's host is not allowed"))
-        rules = s.get("link_rules") or {}
-        for p in [*rules.get("include", []), *rules.get("exclude", []), *(s.get("attachments") or {}).get("exclude_titles", [])]:
-            try:
-                re.compile(p)
-            except re.error:
-                out.append(("pattern", s["id"], f"the pattern does not compile: {p}"))
-        out += [("fixed_tag", s["id"], f"the tag is not registered: {t}") for t in s.get("fixed_tags", []) if t not in tag_ids]
+        links = s.get("link_rules") or {}
+        out += _patterns(s["id"], [*links.get("include", []), *links.get("exclude", []), *(s.get("attachments") or {}).get("exclude_titles", [])])
+        out += [("fixed_tag", s["id"], f"the tag is not registered or disabled: {t}") for t in s.get("fixed_tags", []) if t not in tag_ids or t in disabled]
+        if s.get("enabled"):
+            out += [("csv_field", s["id"], f"an enabled source needs {f}") for f in CSV_FIELDS if not s.get(f)]
     return out
 
 
+def tags(config: list[dict]) -> list[Problem]:
+    """Checks of configured tags: unique ids and names; rules only where a tag is left to them, with unique labels and
+    patterns that compile."""
+    out = [("tag_id", v, "the key is not unique") for v in _repeated(t["id"] for t in config)]
+    out += [("tag_name", v, "the name is not unique") for v in _repeated(t["name"] for t in config)]
+    for t in config:
+        rules = t.get("auto_rules", [])
+        if rules and not t.get("rule_only"):
+            out.append(("rule_only", t["id"], "rules need a tag that is left to them"))
+        out += [("rule_label", t["id"], f"the label is not unique: {v}") for v in _repeated(r["label"] for r in rules)]
+        out += _patterns(t["id"], [r["pattern"] for r in rules])
+    return out
+
+
+def rule_tags(entries: DataFrame, known: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``entries``: ``article_id, article_version, tags`` (array of structs with a tag_id) of remembered rule tags;
+    ``known``: ``article_id, latest_version``."""
+    newer = entries.join(known.select("article_id", "latest_version"), "article_id").where("article_version > latest_version")
+    used = entries.select(F.explode("tags.tag_id").alias("tag_id"))
+    return all_of(missing(entries, "article_id", known, "article_id", "rule_article"), _rows(newer, "rule_version", F.col("article_id"), "the version is newer than the article's"), missing(used, "tag_id", definitions, "tag_id", "rule_tag"))
+
+
+def tag_candidates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return missing(rows, "article_id", known, "article_id", "candidate_article")
+
+
 def state(rows: DataFrame, config: DataFrame, known: DataFrame) -> DataFrame:
     items = rows.select(F.explode("retry_queue").alias("r")).select("r.*")
-    return all_of(missing(rows, "source_id", config, "source_id", "state_source"), missing(items, "article_id", known, "article_id", "retry_article"), _rows(rows.where("consecutive_failures < 0"), "state_failures", F.col("source_id"), "a negative count"))
+    keys = [_rows(rows.where(~F.col("key").eqNullSafe(F.col("source_id"))), "state_key", F.col("key"), "the key is not the source's id")] if "key" in rows.columns else []
+    return all_of(*keys, missing(rows, "source_id", config, "source_id", "state_source"), missing(items, "article_id", known, "article_id", "retry_article"), _rows(rows.where("consecutive_failures < 0"), "state_failures", F.col("source_id"), "a negative count"))
 
 
 def runs(rows: DataFrame, config: DataFrame) -> DataFrame:
-    """Sources are known; totals are the sums over sources."""
+    """Sources are known; totals are the sums over sources; a period does not end before it starts."""
     flat = rows.select("run_id", F.explode("sources").alias("s"), "totals")
     sums = flat.groupBy("run_id", "totals").agg(*(F.sum(f"s.{c}").alias(c) for c in ("new", "changed", "unchanged")))
     wrong = sums.where(reduce(Column.__or__, [F.col(c) != F.col(f"totals.{c}") for c in ("new", "changed", "unchanged")]))
-    return all_of(missing(flat.select("s.source_id"), "source_id", config, "source_id", "run_source"), _rows(wrong, "run_totals", F.col("run_id"), "totals are not the sums"), duplicates(rows, "run_id", "run_id"))
+    period = [_rows(rows.where("period.start > period.`end`"), "run_period", F.col("run_id"), "the period ends before it starts")] if "period" in rows.columns else []
+    return all_of(missing(flat.select("s.source_id"), "source_id", config, "source_id", "run_source"), _rows(wrong, "run_totals", F.col("run_id"), "totals are not the sums"), duplicates(rows, "run_id", "run_id"), *period)
 
 
 def public(articles_: DataFrame, values: list[str] = ()) -> DataFrame:

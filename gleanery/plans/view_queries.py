@@ -14,6 +14,7 @@ from gleanery.functions import dates, text, urls
 from gleanery.operators import rules as R
 from gleanery.operators import search as Q
 from gleanery.operators import sinks as SK
+from gleanery.operators import summaries as SU
 from gleanery.operators import tags as G
 from gleanery.operators import versions as V
 from gleanery.plans import weekly as WK
@@ -98,6 +99,12 @@ def pager_window(t):
     return t("region").sparkSession.createDataFrame(rows, "page int, links string")
 
 
+@query("SELECT CAST(n AS INTEGER) AS attempt, least(pow(2, n), 30) AS seconds FROM range(0, 9) r(n)")
+def backoff_seconds(t):
+    """Waits between attempts double up to half a minute."""
+    return t("region").sparkSession.createDataFrame([(n, float(SU.backoff(n))) for n in range(9)], "attempt int, seconds double")
+
+
 @query("""SELECT 'a' || p_partkey AS id, CASE WHEN p_size < 5 THEN 'x' WHEN p_brand = 'Brand#1' THEN '' ELSE p_brand END AS fixed, CASE WHEN p_size < 5 THEN 'unknown' WHEN p_brand = 'Brand#1' THEN '' ELSE '情報源の設定：' || p_type || 'の記事すべてに付けています' END AS reason FROM part WHERE p_size >= 5 AND p_brand <> 'Brand#1'""")
 def fixed_tags(t):
     """Tags that a source gives to all of its articles, with the reason."""

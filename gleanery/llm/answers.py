@@ -1,9 +1,9 @@
 """Answers to chunks: tables that a later pass over the texts looks up as it reads, without a shuffle of the texts.
 
-A chunk is a run of rows of one file. Answers are written in parts, one folder for each value of a hash of the file and
-a run of chunks, sorted by chunk, so there are as many folders as shuffle partitions, whatever the number of chunks;
-a task that reads neighbouring chunks opens a part once and reads the row groups that it needs. A part without answers
-has no folder; a table that was never finished is an error.
+A chunk is a run of rows of one file. Answers are written in parts, one folder for each value of a hash of the chunk,
+sorted by chunk, so there are as many folders as shuffle partitions, whatever the number of chunks, and parts are even
+however rows are spread over files; a task opens the part of a chunk and reads the row groups that it needs. A part
+without answers has no folder; a table that was never finished is an error.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a chunk, chunks that share a part, and bytes of a row group of answers.
-CHUNK_ROWS, RUN, GROUP_BYTES = 1024, 64, 1 << 20
+#: Rows of a chunk, and bytes of a row group of answers.
+CHUNK_ROWS, GROUP_BYTES = 1024, 1 << 20
 #: Columns that name a chunk.
 KEY = ["fh", "fh2", "no"]
 
@@ -29,7 +29,7 @@ def parts(spark: SparkSession) -> int:
 
 
 def part(n: int) -> Column:
-    return F.pmod(F.xxhash64("fh", "fh2", F.floor(F.col("no") / RUN)), F.lit(n)).cast("int")
+    return F.pmod(F.xxhash64(*KEY), F.lit(n)).cast("int")
 
 
 def chunked(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -39,7 +39,7 @@ def chunked(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return named.select("id", "text", "fh", "fh2", "no", part(parts(rows.sparkSession)).alias("part"), "row")
 
 
-def buckets_for(rows: DataFrame, least: int = 256, most: int = 1 << 16, each: int = 4096) -> int:
+def buckets_for(rows: DataFrame, least: int = 1024, most: int = 1 << 16, each: int = 4096) -> int:
     """A power of two: how many buckets hashes go to, growing with the rows of a table (counted from file footers)."""
     wanted = rows.count() // each
     return min(most, max(least, 1 << max(0, wanted - 1).bit_length()))

@@ -35,8 +35,8 @@ from gleanery.llm.common import kept_by, lean, small_batches, work_dir, written
 from gleanery.llm.pieces import SPACES, plain, slices, tokenizer
 
 MAGIC = b"IDPLANE1"
-#: Characters given to the library at once.
-BATCH_CHARS = 1 << 20
+#: Characters given to the library at once, and documents of a batch that is read back.
+BATCH_CHARS, ROWS_OUT = 1 << 20, 8192
 #: Fixed value: white space in a row that tiktoken may be given; it fails beyond about a million.
 MAX_SPACES = 100_000
 _SPACES = re.compile(f"[{SPACES}]+")
@@ -186,9 +186,9 @@ class PlaneReader:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", width: int = 2, block_ids: int = 1 << 16, ranks: str | None = None) -> DataFrame:
     """Encode and write all texts in ascending id order; returns the manifest, one row per file.
 
-    ``file, first_id, n_docs, n_ids, bytes``. Texts are spread by id ranges over as many files as the session has
-    shuffle partitions; null texts are empty, null ids come first, repeated ids stay together. An empty table gives
-    no file.
+    ``file, first_id, first_tie, n_docs, n_ids``. Texts are spread by ranges of ids, and of places in the table where
+    ids repeat or are null, over as many files as the session has shuffle partitions, so no id fills a file of its own.
+    Null texts are empty, null ids come first, rows of one id in the order of the table. An empty table gives no file.
     """
     small_batches(docs.sparkSession)
     filesystem, root = fs.FileSystem.from_uri(folder)
@@ -201,6 +201,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         sink = writer = None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
+            first = first if writer else batch.column(2)[0].as_py()
             for a in range(0, batch.num_rows, 256):
                 part = [t or "" for t in texts.slice(a, 256).to_pylist()]
                 for doc_id, body in zip(ids.slice(a, 256).to_pylist(), encoded(tokenizer_path, part, ranks)):
@@ -212,17 +213,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             writer.close()
             sink.close()
             where.move(f"{path}/.{name}", f"{path}/{name}.ids")
-            row = {"file": [f"{name}.ids"], "first_id": [writer.ids[0]], "n_docs": [len(writer.ids)], "n_ids": [sum(writer.counts)]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            row = {"file": [f"{name}.ids"], "first_id": [writer.ids[0]], "first_tie": [first], "n_docs": [len(writer.ids)], "n_ids": [sum(writer.counts)]}
+            yield pa.RecordBatch.from_pydict(row, pa.schema([("file", pa.string()), *((c, pa.int64()) for c in list(row)[1:])]))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(lean("token_output", write), "file string, first_id long, n_docs long, n_ids long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("tie"))
+    spread = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie")
+    return spread.mapInArrow(lean("token_output", write), "file string, first_id long, first_tie long, n_docs long, n_ids long")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document: ``doc_id, start, n_tokens, ids_crc32``, from the files alone; ``manifest`` names and orders them."""
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    told = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
@@ -232,9 +237,14 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     for doc_id, ids in PlaneReader(source).documents():
                         out.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
                         at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    before = W.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(W.unboundedPreceding, -1)
+                        if len(out) == ROWS_OUT:
+                            yield told(out)
+                            out = []
+                if out:
+                    yield told(out)
+
+    # One row for each file: as many as shuffle partitions.
+    before = W.orderBy(F.col("first_id").asc_nulls_first(), "first_tie", "file").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return based.repartitionByRange(n, "base").mapInArrow(lean("token_output", read), "doc_id long, start long, n_tokens long, ids_crc32 long")

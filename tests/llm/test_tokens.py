@@ -105,6 +105,18 @@ def test_files(spark, tmp_path):
     assert read_token_files(write_token_files(df.limit(0), folder, BYTE, 2), folder).count() == 0
 
 
+def test_a_repeated_id_fills_several_files(spark, tmp_path):
+    rows = [(None if k % 3 == 0 else 7, f"text {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    manifest = write_token_files(df, f"file://{tmp_path}/ids", BYTE, 2).cache()
+    assert manifest.count() == 4 and max(r["n_docs"] for r in manifest.collect()) < 200
+    got = sorted(read_token_files(manifest, f"file://{tmp_path}/ids").collect(), key=lambda r: r["start"])
+    t = Tokenizer.from_file(BYTE)
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for _, x in sorted(rows, key=lambda r: r[0] or 0)]
+    assert [r["doc_id"] for r in got] == [None] * 134 + [7] * 266
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(x.tobytes()) for x in ids]
+
+
 @pytest.mark.parametrize("space", [" ", "\n"])
 def test_long_white_space_equals_the_library(space):
     t = Tokenizer.from_file(BYTE)

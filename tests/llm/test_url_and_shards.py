@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from gleanery.llm.sharding import MULTIPLIER, shard
+from gleanery.llm.sharding import MULTIPLIER, shard, slices_for
 from gleanery.llm.url_filter import RULES, RuleIndex, host_and_path, judged, url_filter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,3 +74,14 @@ def test_shards_against_the_published_walk(spark):
     body = Counter((r["size"], r["text_crc32"]) for r in got)
     assert body == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
     assert shard(df.limit(0)).count() == 0
+
+
+def test_long_texts_and_slices_that_grow(spark):
+    df = spark.createDataFrame([(1, "日" * 3_000_000), (1, "日" * 3_000_000), (None, "x" * 5_000_000)], "doc_id long, text string")
+    got = sorted((r["size"], r["text_crc32"]) for r in shard(df).collect())
+    want = [(len(t.encode()) + 1, zlib.crc32(t.encode())) for t in ("x" * 5_000_000, "日" * 3_000_000, "日" * 3_000_000)]
+    assert got == sorted(want)
+    assert [slices_for(n, 16) for n in (0, 10**6, 10**9, 3 * 10**9, 10**11)] == [64, 64, 64, 256, 8192]
+    rows = spark.range(500).selectExpr("id as doc_id", "'t' as text")
+    a, b = ({r["doc_id"]: (r["shard"], r["grown_shard"]) for r in shard(rows, slices=s).collect()} for s in (1, 512))
+    assert a == b

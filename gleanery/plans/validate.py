@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
-from gleanery.operators.versions import gaps
 
 
 def _rows(df: DataFrame, check: str, key: Column, message: str) -> DataFrame:
     return df.select(F.lit(check).alias("check"), key.cast("string").alias("key"), F.lit(message).alias("message"))
 
 
+def _each(df: DataFrame, *rules: tuple[Column, str, Column, str]) -> DataFrame:
+    """Rows that break rules (what is wrong, check, key, message), all in one pass over ``df``."""
+    found = [F.when(wrong, F.struct(F.lit(check).alias("check"), key.cast("string").alias("key"), F.lit(message).alias("message"))) for wrong, check, key, message in rules]
+    return df.select(F.inline(F.array_compact(F.array(*found))))
+
+
 def all_of(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
@@ -34,26 +39,25 @@ def missing(df: DataFrame, key: str, other: DataFrame, other_key: str, check: st
 
 
 def articles(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """``files``: ``file, article, versions``."""
+    """``files``: ``file, article, versions``. One pass for all rules of a file, one for unknown sources."""
     a = files.select("file", "article.*", "versions")
-    unread = "broken" in files.columns
-    history = a.select("article_id", F.explode("versions.version").alias("version"))
+    id_, last = F.col("article_id"), F.element_at("versions", -1)
+    numbers = F.transform("versions", lambda v: v["version"])
     dates_of = lambda c: (F.col(f"{c}_at").isNull() != (F.col(f"date_precision.{c}") == "unknown")) | (F.col(f"{c}_at").isNull() != F.col(f"date_basis.{c}").isNull())
-    last = F.element_at("versions", -1)
-    children = F.exists("versions", lambda v: ~v["article_id"].eqNullSafe(F.col("article_id")))
+    children = F.exists("versions", lambda v: ~v["article_id"].eqNullSafe(id_))
     halves = F.exists("versions", lambda v: (v["extraction_status"] == "ok") & (v["content_hash"].isNull() | v["extraction_error"].isNotNull()) | (v["extraction_status"] != "ok") & v["extraction_error"].isNull())
-    return all_of(
-        *([_rows(files.where("broken is not null"), "readable", F.col("file"), "the file is not valid JSON")] if unread else []),
-        _rows(a.where(F.col("file") != F.concat("article_id", F.lit(".json"))), "file_name", F.col("file"), "the file is not named by its id"),
-        _rows(a.where(F.col("article_id") != text.article_id(F.col("canonical_url"))), "article_id", F.col("article_id"), "the id is not the hash of the URL"),
-        missing(a, "source_id", sources, "source_id", "source"),
-        _rows(gaps(history, "article_id", "version"), "versions", F.col("article_id"), "versions are not 1 to n"),
-        _rows(a.where(F.col("latest_version") != last["version"]), "latest_version", F.col("article_id"), "the latest version is not the last"),
-        _rows(a.where(children), "version_article", F.col("article_id"), "a version belongs to another article"),
-        _rows(a.where(F.element_at("versions", 1)["change_type"] != "new"), "first_version", F.col("article_id"), "version 1 is not new"),
-        _rows(a.where(halves), "version_state", F.col("article_id"), "status, hash and error do not go together"),
-        _rows(a.where(dates_of("published") | dates_of("updated")), "dates", F.col("article_id"), "value, precision and basis do not go together"),
-    )
+    rules = [
+        (F.col("file") != F.concat("article_id", F.lit(".json")), "file_name", F.col("file"), "the file is not named by its id"),
+        (id_ != text.article_id(F.col("canonical_url")), "article_id", id_, "the id is not the hash of the URL"),
+        (numbers != F.sequence(F.lit(1), F.size("versions")), "versions", id_, "versions are not 1 to n"),
+        (F.col("latest_version") != last["version"], "latest_version", id_, "the latest version is not the last"),
+        (children, "version_article", id_, "a version belongs to another article"),
+        (F.element_at("versions", 1)["change_type"] != "new", "first_version", id_, "version 1 is not new"),
+        (halves, "version_state", id_, "status, hash and error do not go together"),
+        (dates_of("published") | dates_of("updated"), "dates", id_, "value, precision and basis do not go together"),
+    ]
+    broken = [_each(files, (F.col("broken").isNotNull(), "readable", F.col("file"), "the file is not valid JSON"))] if "broken" in files.columns else []
+    return all_of(*broken, _each(a, *rules), missing(a, "source_id", sources, "source_id", "source"))
 
 
 def summaries(rows: DataFrame, known: DataFrame, tags: DataFrame) -> DataFrame:
@@ -67,9 +71,12 @@ def summaries(rows: DataFrame, known: DataFrame, tags: DataFrame) -> DataFrame:
         *versions,
         missing(rows, "article_id", known, "article_id", "summary_article"),
         missing(used, "tag_id", tags, "tag_id", "summary_tag"),
-        _rows(rows.where(ok & (~all_ | (F.length("summary") > 300) | (F.size("key_points") > 5))), "summary_success", F.col("article_id"), "a success lacks fields or exceeds limits"),
-        _rows(rows.where(~ok & some), "summary_failure", F.col("article_id"), "a failure has content"),
-        _rows(rows.where(~ok & F.col("error").isNull()), "summary_reason", F.col("article_id"), "a failure has no reason"),
+        _each(
+            rows,
+            (ok & (~all_ | (F.length("summary") > 300) | (F.size("key_points") > 5)), "summary_success", F.col("article_id"), "a success lacks fields or exceeds limits"),
+            (~ok & some, "summary_failure", F.col("article_id"), "a failure has content"),
+            (~ok & F.col("error").isNull(), "summary_reason", F.col("article_id"), "a failure has no reason"),
+        ),
     )
 
 
@@ -81,8 +88,11 @@ def overrides(rows: DataFrame, tags: DataFrame) -> DataFrame:
     return all_of(
         missing(added, "tag_id", tags.where("enabled"), "tag_id", "override_add"),
         missing(removed, "tag_id", tags, "tag_id", "override_remove"),
-        _rows(rows.where(F.size(F.array_intersect("add", "remove")) > 0), "override_both", F.col("article_id"), "a tag is added and removed"),
-        _rows(rows.where(twice("add") | twice("remove")), "override_twice", F.col("article_id"), "a tag is listed twice"),
+        _each(
+            rows,
+            (F.size(F.array_intersect("add", "remove")) > 0, "override_both", F.col("article_id"), "a tag is added and removed"),
+            (twice("add") | twice("remove"), "override_twice", F.col("article_id"), "a tag is listed twice"),
+        ),
         duplicates(rows, "article_id", "override_article"),
     )
 

@@ -249,9 +249,29 @@ def by_pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def stars(forest: Forest) -> pa.RecordBatch:
+    """Each value that was joined with the smallest one that it reaches."""
+    pairs = [(x, y) for x in list(forest.up) if (y := forest.find(x)) != x]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same components with fewer steps to follow: what each partition of ``a, b`` joins, as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                forest.join(x, y)
+        yield stars(forest)
+
+    return edges.select("a", "b").mapInArrow(lean("simhash", run), "a long, b long")
+
+
 def searched(entries: DataFrame, bits: int, shared: int, key: str, accept: Callable | None = None, whole: bool = False) -> DataFrame:
     """Pairs ``a, b`` of values of ``key`` whose entries are linked and accepted: for each task a spanning forest of
-    them, or ``whole``, all of them. ``accept`` makes of a batch of entries a test of pairs of places."""
+    them, or ``whole``, all of them. ``accept`` makes of a batch of entries a test of pairs of places. Without it links
+    need no proof, and a task reports each value with the smallest that it reaches, so no chains are left to follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, first = Forest(), foremost(choices(bits, shared), bits)
@@ -263,8 +283,13 @@ def searched(entries: DataFrame, bits: int, shared: int, key: str, accept: Calla
             pairs = np.unique(np.sort(np.stack([name[a], name[b]], axis=1), axis=1), axis=0)
             if not whole:
                 pairs = pairs[[forest.join(x, y) for x, y in pairs.tolist()]] if len(pairs) else pairs
+            if accept is None:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy(), pa.int64()) for k in (0, 1)], ["a", "b"])
 
+        if accept is None:
+            yield stars(forest)
+
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["place", "mask", "pattern"]
     return entries.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lean("simhash", run), "a long, b long")
@@ -452,14 +477,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = written(row_bits(ends.withColumn("file", F.lit("")), "n"), f"{work}/found")
     texts = written(listed(rows.select("n", "text", F.lit("").alias("file")), found, "n").select("n", "text"), f"{work}/texts")
     edges = written(confirmed(first, texts, words, share), f"{work}/links")
-    roots = components(edges, f"{work}/once")
+    roots = components(contracted(edges), f"{work}/once")
 
     rooted = classes.join(ends, "n", "left_semi").join(roots, F.col("n") == F.col("node"), "left").select(*classes.columns, F.coalesce("root", "n").alias("root"))
     second = search(written(rooted, f"{work}/rooted"), True, "second")
     second = written(second.join(first, ["a", "b"], "left_anti"), f"{work}/second-pairs")
     more = written(confirmed(second, texts, words, share), f"{work}/more-links")
     if more.count():
-        roots = components(edges.unionByName(more), f"{work}/twice")
+        roots = components(contracted(edges.unionByName(more)), f"{work}/twice")
     return rows.select("doc_id", "file", "row", "n").join(roots, F.col("n") == F.col("node")).select("doc_id", "file", "row", "n", "root")
 
 

@@ -264,15 +264,15 @@ def write_text(spark, path: str, body: str) -> None:
     out.close()
 
 
-@query("""SELECT 'a_' || s_suppkey AS article_id, CAST(1 + s_suppkey % 3 AS INTEGER) AS version, s_name || chr(10) || 'ü' AS text FROM supplier WHERE s_suppkey < 40""")
+@query("""SELECT 'a_' || n_nationkey AS article_id, CAST(1 + n_nationkey % 3 AS INTEGER) AS version, n_name || chr(10) || 'ü' AS text FROM nation""")
 def text_cache_scan(t):
-    """Bodies in files that are named by article and version (forty files, written one by one)."""
+    """Bodies in files that are named by article and version."""
     from gleanery.sources import files
 
-    spark = t("supplier").sparkSession
+    spark = t("nation").sparkSession
     folder = shared_folder(spark, "cache")
-    for r in t("supplier").where("s_suppkey < 40").collect():
-        write_text(spark, f"{folder}/a_{r['s_suppkey']}_v{1 + r['s_suppkey'] % 3}.txt", r["s_name"] + "\nü")
+    for r in t("nation").collect():  # one file for each of 25 nations
+        write_text(spark, f"{folder}/a_{r['n_nationkey']}_v{1 + r['n_nationkey'] % 3}.txt", r["n_name"] + "\nü")
     return files.cached_texts(spark, folder)
 
 
@@ -506,7 +506,7 @@ def status_sources(t):
     e = t("events").select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), (F.col("user_id") % 10).cast("string").alias("source_id"), "event_type")
     last = e.agg(F.max("run_id").alias("run_id"))
     results = e.join(F.broadcast(last), "run_id").groupBy("source_id").agg(F.when(F.count_if(F.col("event_type") == "error") * 3 > F.count(F.lit(1)), "failed").otherwise("success").alias("status"), F.count_if(F.col("event_type") == "click").alias("new"))
-    many = t("supplier").count()
+    many = t("supplier").count()  # read from file footers
     articles = t("customer").select((F.col("c_custkey") % many).cast("string").alias("source_id"), F.when(F.col("c_acctbal") >= 0, "2026").alias("published"))
     rows = ST.attachment_settings(ST.sources(config, supplier_state(t), results, articles))
     shown = F.when(F.col("attachments").isNotNull(), F.concat_ws(" ", "attachments.max_files", "attachments.max_pages", F.array_join("attachments.exclude_titles", "|")))

@@ -17,15 +17,17 @@ import hashlib
 import pickle
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gleanery.llm import answers
-from gleanery.llm.common import kept_by, lean, located, small_batches, work_dir, write_bytes, written
+from gleanery.llm.common import kept_by, lean, located, small_batches, trim, work_dir, write_bytes, written
 from gleanery.llm.pieces import WORDS, plain, slices, tokenizer
 
 #: Bytes of the shared part of the word table.
@@ -44,25 +46,28 @@ def words_of(text: str, path: str) -> list[str]:
     """
     if plain(text):
         return WORDS.findall(text.lower())
-    t = tokenizer(path)
+    specials, normalizer, splitter = parts_of(path)
+    parts = specials.split(text) if specials else [text]
     out: list[str] = []
-    for part, special in _around_specials(text, path):
-        if part:
-            norm = t.normalizer.normalize_str(part)
-            out += [norm[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(norm)]
-        if special:
-            out.append(special)
+    for k, part in enumerate(parts):
+        if k % 2:
+            out.append(part)
+        elif part:
+            norm = normalizer.normalize_str(part)
+            out += [norm[a:b] for _, (a, b) in splitter.pre_tokenize_str(norm)]
     return out
 
 
-def _around_specials(text: str, path: str) -> Iterator[tuple[str, str]]:
-    specials = sorted((a.content for a in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
-    if not specials:
-        yield text, ""
-        return
-    parts = re.split("(" + "|".join(map(re.escape, specials)) + ")", text)
-    for k in range(0, len(parts), 2):
-        yield parts[k], parts[k + 1] if k + 1 < len(parts) else ""
+@cache
+def parts_of(path: str):
+    """What splitting needs of a tokenizer: a pattern of its special tokens (longest first) or null, its normaliser and
+    its splitter. The vocabulary, by far the larger part, is let go."""
+    t = Tokenizer.from_file(path)
+    found = sorted((a.content for a in t.get_added_tokens_decoder().values()), key=len, reverse=True)
+    out = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None, t.normalizer, t.pre_tokenizer
+    del t
+    trim()
+    return out
 
 
 def word_ids(path: str, words: list[str]) -> list[bytes]:
@@ -159,7 +164,7 @@ def _packed(rows: list, path: str) -> bytes:
 
 
 _TABLES: dict[str, Known] = {}
-kept_by("bpe_table", _TABLES.clear, tokenizer.cache_clear)
+kept_by("bpe_table", _TABLES.clear, tokenizer.cache_clear, parts_of.cache_clear)
 
 
 def _table(name: str) -> Known:

@@ -173,7 +173,7 @@ def _libc():
     return libc
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed memory back to the system; the allocator would keep it for this worker."""
     gc.collect()
     if libc := _libc():
@@ -185,7 +185,7 @@ def _only(operator: str) -> None:
         if name != operator:
             for e in empty:
                 e()
-    _trim()
+    trim()
 
 
 def lean(operator: str, run):
@@ -197,6 +197,6 @@ def lean(operator: str, run):
         try:
             yield from run(batches)
         finally:
-            _trim()
+            trim()
 
     return wrapped

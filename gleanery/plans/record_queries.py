@@ -256,6 +256,24 @@ def record_scan(t):
     return runs.join(newest, how="cross").select("file", "run.run_id", "run.status", F.col("broken").isNotNull().alias("broken"), F.coalesce(F.col("run.run_id") == F.col("newest_id"), F.lit(False)).alias("newest"))
 
 
+@query("""SELECT 'a_' || n_nationkey AS article_id, n_name AS title, 'n' || n_regionkey AS source_id, CASE n_regionkey % 2 WHEN 0 THEN r_name END AS last_success_at, n_regionkey AS failures, CAST(1 + n_nationkey % 2 AS INTEGER) AS versions FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def keyed_records(t):
+    """Article files by id and the state file by source, read back as rows that meet by key."""
+    from gleanery.sources import files
+
+    spark = t("nation").sparkSession
+    folder = shared_folder(spark, "records")
+    for r in t("nation").collect():  # one file for each of 25 nations
+        k = r["n_nationkey"]
+        versions = [{"article_id": f"a_{k}", "version": n} for n in range(1, 2 + k % 2)]
+        write_text(spark, f"{folder}/articles/a_{k}.json", PB.pretty_json({"schema_version": 1, "article": {"article_id": f"a_{k}", "title": r["n_name"], "source_id": f"n{r['n_regionkey']}"}, "versions": versions}))
+    states = {f"n{r['r_regionkey']}": {"source_id": f"n{r['r_regionkey']}", "last_success_at": r["r_name"] if r["r_regionkey"] % 2 == 0 else None, "consecutive_failures": r["r_regionkey"], "retry_queue": []} for r in t("region").collect()}
+    write_text(spark, f"{folder}/state/state.json", PB.pretty_json({"schema_version": 1, "sources": states}))
+    articles = files.json_documents(spark, f"{folder}/articles", "article").where(F.col("file") == F.concat("article.article_id", F.lit(".json")))
+    state = files.json_documents(spark, f"{folder}/state", "state").select(F.explode("sources").alias("key", "s")).select(F.col("key").alias("source_id"), "s.last_success_at", F.col("s.consecutive_failures").alias("failures"))
+    return articles.select("article.article_id", "article.title", "article.source_id", F.size("versions").alias("versions")).join(state, "source_id").select("article_id", "title", "source_id", "last_success_at", "failures", "versions")
+
+
 def write_text(spark, path: str, body: str) -> None:
     """One small file in a shared folder."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

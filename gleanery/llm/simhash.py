@@ -390,16 +390,17 @@ def sketch(text: str | None, words: int, tables: int) -> tuple[list[int], bytes]
 
 
 def sketches(rows: DataFrame, words: int, tables: int) -> DataFrame:
-    """``n, sketch, f0, f1...`` of rows ``n, text``."""
+    """``doc_id, file, row, sketch, f0, f1...`` of rows ``doc_id, file, row, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sketch(t.as_py(), words, tables) for t in batch.column(1)]
+            got = [sketch(t.as_py(), words, tables) for t in batch.column(3)]
             prints = np.array([g[0] for g in got], "u8").reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[1] for g in got], pa.binary()), *(pa.array(prints[:, k].copy().view("i8")) for k in range(tables))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[1] for g in got], pa.binary()), *(pa.array(prints[:, k].copy().view("i8")) for k in range(tables))], names)
 
-    names = ["n", "sketch", *(f"f{k}" for k in range(tables))]
-    return rows.select("n", "text").mapInArrow(lean("simhash", run), "n long, sketch binary" + "".join(f", f{k} long" for k in range(tables)))
+    names = ["doc_id", "file", "row", "sketch", *(f"f{k}" for k in range(tables))]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "file", "row", "text").mapInArrow(lean("simhash", run), f"doc_id {kind}, file string, row long, sketch binary" + "".join(f", f{k} long" for k in range(tables)))
 
 
 def may_be_similar(share: tuple[int, int]) -> Callable:
@@ -453,17 +454,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have no words and are alike. Shorter texts than ``words`` are one shingle. Repeated rows and
     null ids are rows like others. An empty table gives no rows; other columns are left behind.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    work = work_dir(spark, "near")
+    small_batches(docs.sparkSession)
+    work = work_dir(docs.sparkSession, "near")
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    # One row for each file; 2^40 rows of each.
+    # One row for each file; 2^40 rows of each. Only rows without their texts, and listed ones, meet these numbers.
     names = written(source.select("file").distinct(), f"{work}/names")
     numbers = written(names.select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("f")), f"{work}/files")
-    rows = source.join(F.broadcast(numbers), "file").select("doc_id", "text", "file", "row", (F.shiftleft("f", 40) + F.col("row")).alias("n"))
+    n = (F.shiftleft("f", 40) + F.col("row")).alias("n")
 
     prints = tuple(f"f{k}" for k in range(tables))
-    marks = written(sketches(rows, words, tables), f"{work}/marks")
+    marks = written(sketches(source, words, tables).join(numbers, "file").select("doc_id", "file", "row", n, "sketch", *prints), f"{work}/marks")
     counted = written(marks.groupBy("sketch", *prints).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("many")), f"{work}/classes")
     classes = counted.drop("many")
     same = marks.join(counted.where("many > 1").select("sketch", *prints, F.col("n").alias("a")), ["sketch", *prints]).where("n <> a").select("a", F.col("n").alias("b"))
@@ -474,8 +474,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = written(search(classes.withColumn("root", F.col("n")), False, "first").unionByName(same).distinct(), f"{work}/first-pairs")
     ends = written(first.select(F.col("a").alias("n")).union(first.select("b")).distinct(), f"{work}/ends")
-    found = written(row_bits(ends.withColumn("file", F.lit("")), "n"), f"{work}/found")
-    texts = written(listed(rows.select("n", "text", F.lit("").alias("file")), found, "n").select("n", "text"), f"{work}/texts")
+    places = ends.select(F.shiftright("n", 40).alias("f"), F.col("n").bitwiseAND(F.lit((1 << 40) - 1)).alias("row")).join(numbers, "f")
+    found = written(row_bits(places), f"{work}/found")
+    texts = written(listed(source.select("file", "row", "text"), found).join(numbers, "file").select(n, "text"), f"{work}/texts")
     edges = written(confirmed(first, texts, words, share), f"{work}/links")
     roots = components(contracted(edges), f"{work}/once")
 
@@ -485,7 +486,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = written(confirmed(second, texts, words, share), f"{work}/more-links")
     if more.count():
         roots = components(contracted(edges.unionByName(more)), f"{work}/twice")
-    return rows.select("doc_id", "file", "row", "n").join(roots, F.col("n") == F.col("node")).select("doc_id", "file", "row", "n", "root")
+    return marks.select("doc_id", "file", "row", "n").join(roots, F.col("n") == F.col("node")).select("doc_id", "file", "row", "n", "root")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

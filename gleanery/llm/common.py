@@ -119,8 +119,17 @@ def from_files(docs: DataFrame, work: str) -> DataFrame:
     return docs if has_locator(docs) else written(docs, work)
 
 
-#: Blocks of a broadcast list of rows, 4 kB each (32 MB); beyond, Spark joins it with the rows by file and block.
-BROADCAST_BLOCKS = 8192
+#: Bytes of a block of a list of rows, and the share of the memory of executors and driver that a broadcast list may
+#: take. Beyond it, Spark joins list and rows by file and block.
+BLOCK_BYTES, BROADCAST_SHARE = 4096, 64
+
+
+def broadcast_blocks(spark: SparkSession) -> int:
+    """Blocks that a broadcast list may have: of 16 GB executors and driver 65,536, for 2.1 billion rows."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    conf = spark.sparkContext.getConf()
+    least = min(size(conf.get(k, "1g")) for k in ("spark.executor.memory", "spark.driver.memory"))
+    return least // BROADCAST_SHARE // BLOCK_BYTES
 
 
 def row_bits(listed_rows: DataFrame, row: str = "row") -> DataFrame:
@@ -132,11 +141,11 @@ def row_bits(listed_rows: DataFrame, row: str = "row") -> DataFrame:
 def listed(rows: DataFrame, bits: DataFrame, row: str = "row", within: bool = True, file: str = "file") -> DataFrame:
     """The rows of ``rows`` that the written table ``bits`` of ``row_bits`` names (or, not ``within``, the others).
 
-    A list costs one bit for each row of the blocks that it touches, however many rows it names, so ``BROADCAST_BLOCKS``
-    cover 268 million rows; no text is shuffled up to there.
+    A list costs one bit for each row of the blocks that it touches, however many rows it names. Up to
+    ``broadcast_blocks`` of 32,768 rows each no text of other rows is shuffled.
     """
     bits = bits.select(F.col("file").alias("__file"), F.col("block").alias("__block"), F.col("bits").alias("__bits"))
-    bits = F.broadcast(bits) if bits.count() <= BROADCAST_BLOCKS else bits
+    bits = F.broadcast(bits) if bits.count() <= broadcast_blocks(bits.sparkSession) else bits
     at = f"cast(bitmap_bit_position(`{row}`) as int)"
     hit = F.expr(f"coalesce((cast(conv(hex(substring(__bits, shiftright({at}, 3) + 1, 1)), 16, 10) as int) & shiftleft(1, {at} & 7)) <> 0, false)")
     near = rows.join(bits, (F.col(file) == F.col("__file")) & (F.bitmap_bucket_number(F.col(row)) == F.col("__block")), "inner" if within else "left")

@@ -55,7 +55,7 @@ def data():
 def test_against_plain(spark, bound, monkeypatch):
     """With no room for broadcasts Spark shuffles; the results are the same."""
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", bound)
-    monkeypatch.setattr(common, "BROADCAST_BLOCKS", bound)
+    monkeypatch.setattr(common, "broadcast_blocks", lambda spark: bound)
     docs, items = data()
     d = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], "doc_id long, text string, h string, pos int, k int").repartition(3)
     b = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, wid string")

@@ -40,7 +40,7 @@ def test_against_plain(spark, digest):
 
 def test_without_broadcast(spark, monkeypatch):
     """Beyond the bound of the lists of rows Spark joins them otherwise; collisions are still told apart."""
-    monkeypatch.setattr(common, "BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(common, "broadcast_blocks", lambda spark: 0)
     data = rows()
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     got = exact_dedup(df, digest=lambda t: F.crc32(t.cast("binary")).cast("string").cast("binary").substr(1, 1)).collect()

@@ -18,6 +18,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import arrow_filesystem
+
 #: Rows of a chunk, and bytes of a row group of answers.
 CHUNK_ROWS, GROUP_BYTES = 1024, 1 << 20
 #: Columns that name a chunk.
@@ -63,18 +65,11 @@ def write(df: DataFrame, folder: str) -> Table:
     return Table(qualified)
 
 
-def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a qualified path; names of Hadoop's connectors are translated, unknown ones are an error."""
-    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://")):
-        uri = uri.replace(hadoop, arrow, 1) if uri.startswith(hadoop) else uri
-    return fs.FileSystem.from_uri(uri)
-
-
 class Reader:
     """Looks up one chunk after another; keeps the part and the answer that were asked for last."""
 
     def __init__(self, table: Table):
-        self.where, self.root = _filesystem(table.folder)
+        self.where, self.root = arrow_filesystem(table.folder)
         if self.where.get_file_info(f"{self.root}/_SUCCESS").type != fs.FileType.File:
             raise FileNotFoundError(f"{table.folder} is not a finished table of answers")
         self.part, self.files, self.key, self.rows = None, [], None, []

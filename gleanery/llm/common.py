@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -32,7 +33,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return folder
+    return fs.makeQualified(path).toString()
+
+
+def arrow_filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a qualified path, and the path in it. Names of Hadoop's connectors are translated; one that
+    Arrow does not know is an error."""
+    for hadoop in ("s3a://", "s3n://"):
+        uri = "s3://" + uri.removeprefix(hadoop) if uri.startswith(hadoop) else uri
+    return pa.fs.FileSystem.from_uri(uri)
 
 
 #: Rows of an Arrow batch: texts are long, and each running task holds a batch or two on both sides.

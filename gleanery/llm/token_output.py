@@ -26,12 +26,11 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept_by, lean, small_batches, work_dir, written
+from gleanery.llm.common import arrow_filesystem, kept_by, lean, small_batches, work_dir, written
 from gleanery.llm.pieces import SPACES, plain, slices, tokenizer
 
 MAGIC = b"IDPLANE1"
@@ -191,12 +190,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     Null texts are empty, null ids come first, rows of one id in the order of the table. An empty table gives no file.
     """
     small_batches(docs.sparkSession)
-    filesystem, root = fs.FileSystem.from_uri(folder)
+    filesystem, root = arrow_filesystem(folder)
     filesystem.create_dir(root)
     bits = planes == "bit"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, path = fs.FileSystem.from_uri(folder)
+        where, path = arrow_filesystem(folder)
         name = uuid.uuid4().hex
         sink = writer = None
         for batch in batches:
@@ -229,7 +228,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     told = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, path = fs.FileSystem.from_uri(folder)
+        where, path = arrow_filesystem(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 at, out = row["base"], []

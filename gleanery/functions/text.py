@@ -221,7 +221,10 @@ def forbidden_path(path: Column) -> Column:
     name = F.regexp_extract(path, "[^/]*$", 0)
     folder = F.regexp_extract(path, r"(?:^|/)(\.cache|node_modules|\.venv|logs)/", 1)
     env = (name == ".env") | name.startswith(".env.")
-    return F.when(name == ".env.example", F.lit(None).cast("string")).when(env, ".env").when(folder != "", F.concat(folder, F.lit("/"))).when(name.rlike(r"^.+\.log$"), ".log")
+    return F.when(
+        name == ".env.example",
+        F.lit(None).cast("string"),
+    ).when(env, ".env").when(folder != "", F.concat(folder, F.lit("/"))).when(name.rlike(r"^.+\.log$"), ".log")
 
 
 def unsafe_files(files: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:

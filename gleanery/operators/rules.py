@@ -29,11 +29,24 @@ def matches(articles: DataFrame, rules: list[dict], longest: int = 80) -> DataFr
         where = F.when(hit("title"), "title").when(hit("body"), "body")
         text = F.when(where == "title", F.col("title")).otherwise(F.col("body"))
         cut = F.substring(F.trim(F.regexp_substr(text, F.lit(pattern))), 1, longest)
-        entry = F.struct(F.lit(rule["tag_id"]).alias("tag_id"), F.lit(rule["label"]).alias("label"), F.when(cut != "", cut).otherwise(F.lit(rule["label"])).alias("matched"), where.alias("in"), F.lit(k).alias("pos"))
+        entry = F.struct(
+            F.lit(rule["tag_id"]).alias("tag_id"),
+            F.lit(rule["label"]).alias("label"),
+            F.when(cut != "", cut).otherwise(F.lit(rule["label"])).alias("matched"),
+            where.alias("in"),
+            F.lit(k).alias("pos"),
+        )
         return F.when(where.isNotNull(), entry)
 
     if not rules:
-        return articles.select("article_id", F.lit("").alias("tag_id"), F.lit("").alias("label"), F.lit("").alias("matched"), F.lit("").alias("in"), F.lit(0).alias("pos")).limit(0)
+        return articles.select(
+            "article_id",
+            F.lit("").alias("tag_id"),
+            F.lit("").alias("label"),
+            F.lit("").alias("matched"),
+            F.lit("").alias("in"),
+            F.lit(0).alias("pos"),
+        ).limit(0)
     entries = F.array_compact(F.array(*(found(k, r) for k, r in enumerate(rules))))
     return articles.select("article_id", F.inline(entries))
 
@@ -57,7 +70,11 @@ def counters(decided: DataFrame) -> DataFrame:
     articles judged by title although their latest version was read (``extraction_status``)."""
     n = lambda x: F.count_if(x)
     tagged = [n(F.col("tagged")).alias("tagged")] if "tagged" in decided.columns else []
-    return decided.agg(*(n(F.col("action") == a).alias(a) for a in ("updated", "unchanged", "stale")), n((F.col("scope") == "title") & (F.col("extraction_status") == "ok")).alias("title_only"), *tagged)
+    return decided.agg(
+        *(n(F.col("action") == a).alias(a) for a in ("updated", "unchanged", "stale")),
+        n((F.col("scope") == "title") & (F.col("extraction_status") == "ok")).alias("title_only"),
+        *tagged,
+    )
 
 
 def rule_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:

@@ -48,7 +48,12 @@ class Filters:
 def search_text(articles: DataFrame) -> Column:
     """All that full-text search looks at, one part a line, case and width folded."""
     none = F.array().cast("array<string>")
-    parts = [F.array("title", "source_name", F.coalesce("summary.text", F.lit(""))), F.coalesce("summary.key_points", none), F.coalesce("summary.targets", none), F.transform("tags", lambda t: t["name"])]
+    parts = [
+        F.array("title", "source_name", F.coalesce("summary.text", F.lit(""))),
+        F.coalesce("summary.key_points", none),
+        F.coalesce("summary.targets", none),
+        F.transform("tags", lambda t: t["name"]),
+    ]
     return searchable(F.array_join(F.concat(*parts), "\n"))
 
 
@@ -144,7 +149,16 @@ def list_rows(articles: DataFrame) -> DataFrame:
     )
 
 
-ROUTES = [(r"^#?/?(?:\?(.*))?$", "latest"), (r"^#/search(?:\?(.*))?$", "search"), (r"^#/articles/([^?]+)$", "article"), (r"^#/wiki/([^?]+)$", "tag"), (r"^#/wiki$", "wiki"), (r"^#/report(?:/([^?]+))?$", "report"), (r"^#/status$", "status"), (r"^#/sources$", "sources")]
+ROUTES = [
+    (r"^#?/?(?:\?(.*))?$", "latest"),
+    (r"^#/search(?:\?(.*))?$", "search"),
+    (r"^#/articles/([^?]+)$", "article"),
+    (r"^#/wiki/([^?]+)$", "tag"),
+    (r"^#/wiki$", "wiki"),
+    (r"^#/report(?:/([^?]+))?$", "report"),
+    (r"^#/status$", "status"),
+    (r"^#/sources$", "sources"),
+]
 
 
 def route(hash_: str) -> tuple[str, str]:

@@ -16,7 +16,10 @@ def run_totals(run_sources: DataFrame) -> DataFrame:
 
 def run_status(run_sources: DataFrame, runs: DataFrame) -> DataFrame:
     """failed if all sources failed, partial if any did or any fetch failed, else success; no source at all: success."""
-    seen = run_sources.groupBy("run_id").agg(F.every(F.col("status") == "failed").alias("all"), F.some((F.col("status") == "failed") | (F.col("fetch_failed") > 0)).alias("any"))
+    seen = run_sources.groupBy("run_id").agg(
+        F.every(F.col("status") == "failed").alias("all"),
+        F.some((F.col("status") == "failed") | (F.col("fetch_failed") > 0)).alias("any"),
+    )
     status = F.when(F.coalesce("all", F.lit(False)), "failed").when(F.coalesce("any", F.lit(False)), "partial").otherwise("success")
     return runs.select("run_id").join(seen, "run_id", "left").select("run_id", status.alias("status"))
 
@@ -83,7 +86,11 @@ def with_retries(candidates: DataFrame, retries: DataFrame) -> DataFrame:
 def worth_fetching(candidates: DataFrame, retries: DataFrame) -> DataFrame:
     """Candidates whose listed date (``judged``) is not out of the period, or that are to be tried again."""
     out = candidates.where(F.coalesce("judged", F.lit(True)))
-    again = candidates.where(~F.coalesce("judged", F.lit(True))).join(retries.select("source_id", "url").distinct(), ["source_id", "url"], "left_semi")
+    again = candidates.where(~F.coalesce("judged", F.lit(True))).join(
+        retries.select("source_id", "url").distinct(),
+        ["source_id", "url"],
+        "left_semi",
+    )
     return out.unionByName(again)
 
 
@@ -94,15 +101,25 @@ def merged_state(sources: DataFrame, state: DataFrame, results: DataFrame) -> Da
     left. The success point and the explored range move only on success; a skipped source keeps all but its attempt;
     the queue is what the run left, whether it failed or not."""
     more = [c for c in ("explored_range", "retry_queue") if c in results.columns]
-    joined = sources.select("source_id").join(state, "source_id", "left").join(results.select("source_id", F.col("status").alias("now"), "attempted_at", *(F.col(c).alias("new_" + c) for c in more)), "source_id", "left")
+    joined = sources.select("source_id").join(state, "source_id", "left").join(
+        results.select("source_id", F.col("status").alias("now"), "attempted_at", *(F.col(c).alias("new_" + c) for c in more)),
+        "source_id",
+        "left",
+    )
     ok, tried = F.col("now") == "success", F.col("now").isin("success", "failed")
-    later = {"explored_range": F.when(ok, F.col("new_explored_range")).otherwise(F.col("explored_range")), "retry_queue": F.when(tried, F.col("new_retry_queue")).otherwise(F.col("retry_queue"))} if more else {}
+    later = {
+        "explored_range": F.when(ok, F.col("new_explored_range")).otherwise(F.col("explored_range")),
+        "retry_queue": F.when(tried, F.col("new_retry_queue")).otherwise(F.col("retry_queue")),
+    } if more else {}
     return joined.select(
         "source_id",
         F.when(ok, F.col("attempted_at")).otherwise(F.col("last_success_at")).alias("last_success_at"),
         F.coalesce("attempted_at", "last_attempt_at").alias("last_attempt_at"),
         F.coalesce("now", "last_attempt_status").alias("last_attempt_status"),
-        F.when(ok, 0).when(F.col("now") == "failed", F.coalesce("consecutive_failures", F.lit(0)) + 1).otherwise(F.coalesce("consecutive_failures", F.lit(0))).alias("consecutive_failures"),
+        F.when(ok, 0).when(
+            F.col("now") == "failed",
+            F.coalesce("consecutive_failures", F.lit(0)) + 1,
+        ).otherwise(F.coalesce("consecutive_failures", F.lit(0))).alias("consecutive_failures"),
         *(later[c].alias(c) for c in more),
     )
 
@@ -128,7 +145,10 @@ def run_warnings(results: DataFrame, previous: DataFrame, most_items: int) -> Da
 def head(candidates: DataFrame, most: int = 10) -> DataFrame:
     """A dry run: the first ``most`` candidates of each source in list order, and ``more``, how many are left out."""
     w = W.partitionBy("source_id")
-    numbered = candidates.withColumn("__n", F.row_number().over(w.orderBy("position"))).withColumn("more", F.greatest(F.count(F.lit(1)).over(w) - most, F.lit(0)))
+    numbered = candidates.withColumn("__n", F.row_number().over(w.orderBy("position"))).withColumn(
+        "more",
+        F.greatest(F.count(F.lit(1)).over(w) - most, F.lit(0)),
+    )
     return numbered.where(F.col("__n") <= most).drop("__n")
 
 

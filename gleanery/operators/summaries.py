@@ -18,7 +18,9 @@ from gleanery.functions.text import squeezed
 
 def latest_summary(summaries: DataFrame) -> DataFrame:
     """The summary of the largest (version, time as text) of each article."""
-    return summaries.groupBy("article_id").agg(F.max_by(F.struct(*summaries.columns), F.struct("article_version", "processed_at")).alias("s")).select("s.*")
+    return summaries.groupBy("article_id").agg(
+        F.max_by(F.struct(*summaries.columns), F.struct("article_version", "processed_at")).alias("s")
+    ).select("s.*")
 
 
 def last_for_version(files: DataFrame) -> DataFrame:
@@ -61,13 +63,27 @@ def within_budget(targets: DataFrame, order: list[Column], most: int, tokens: st
     (``running``): the rule of ``exact_budget``. A fold over at most ``most`` rows, a parameter, in SQL."""
     first = targets.orderBy(*order).limit(most)
     place = F.row_number().over(W.orderBy(*order))
-    row = F.struct(place.alias("place"), F.col(tokens).cast("long").alias("tokens"), F.coalesce(has_text if has_text is not None else F.lit(True), F.lit(False)).alias("text"), F.struct(*targets.columns).alias("t"))
+    row = F.struct(
+        place.alias("place"),
+        F.col(tokens).cast("long").alias("tokens"),
+        F.coalesce(has_text if has_text is not None else F.lit(True), F.lit(False)).alias("text"),
+        F.struct(*targets.columns).alias("t"),
+    )
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<place:int,running:bigint>>").alias("taken"))
     listed = first.select(row.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     fits = lambda s, r: r["text"] & (s["used"] + r["tokens"] <= token_limit)
-    step = lambda s, r: F.when(fits(s, r), F.struct((s["used"] + r["tokens"]).alias("used"), F.concat(s["taken"], F.array(F.struct(r["place"].alias("place"), (s["used"] + r["tokens"]).alias("running")))).alias("taken"))).otherwise(s)
+    step = lambda s, r: F.when(
+        fits(s, r),
+        F.struct(
+            (s["used"] + r["tokens"]).alias("used"),
+            F.concat(s["taken"], F.array(F.struct(r["place"].alias("place"), (s["used"] + r["tokens"]).alias("running")))).alias("taken"),
+        ),
+    ).otherwise(s)
     done = listed.select("rows", F.aggregate("rows", start, step)["taken"].alias("taken"))
-    return done.select("rows", F.inline("taken")).select(F.element_at("rows", F.col("place").cast("int"))["t"].alias("t"), "running").select("t.*", "running")
+    return done.select("rows", F.inline("taken")).select(
+        F.element_at("rows", F.col("place").cast("int"))["t"].alias("t"),
+        "running",
+    ).select("t.*", "running")
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
@@ -79,7 +95,11 @@ def plan_estimate(targets: DataFrame, most: int, tokens: str, price_in: float, o
     """How many, how many tokens and at what cost, without calling anything."""
     cut = targets.orderBy(F.col("first_seen_at").desc(), "article_id").limit(most)
     n, total = F.count(F.lit(1)), F.coalesce(F.sum(tokens), F.lit(0))
-    return cut.agg(n.alias("articles"), total.alias("input_tokens"), F.round(total / 1e6 * price_in + n * out_tokens / 1e6 * price_out, 6).alias("cost"))
+    return cut.agg(
+        n.alias("articles"),
+        total.alias("input_tokens"),
+        F.round(total / 1e6 * price_in + n * out_tokens / 1e6 * price_out, 6).alias("cost"),
+    )
 
 
 def usage_totals(records: DataFrame) -> DataFrame:
@@ -113,19 +133,31 @@ def judged_answers(answers: DataFrame, tag_ids: list[str], most: int = 300, poin
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     some_blank = lambda c: F.exists("a." + c, blank)
     problem = (
-        F.when(F.col("a").isNull() | ~(has("summary") & has("key_points") & has("targets") & has("dates") & has("ai_tags") & has("uncertainties")), "fields are missing")
+        F.when(
+            F.col("a").isNull() | ~(has("summary") & has("key_points") & has("targets") & has("dates") & has("ai_tags") & has("uncertainties")),
+            "fields are missing",
+        )
         .when(blank(F.col("a.summary")) | some_blank("key_points") | some_blank("targets") | some_blank("uncertainties"), "a text is empty")
         .when(F.length("a.summary") > most, "summary is too long")
         .when(F.size("a.key_points") > points, "too many points")
         .when(F.exists("a.ai_tags", lambda t: ~F.coalesce(t["tag_id"].isin(tag_ids), F.lit(False))), "tag is not registered")
         .when(F.exists("a.ai_tags", lambda t: blank(t["reason"])), "a text is empty")
         .when(F.exists("a.dates", lambda d: blank(d["label"]) | blank(d["evidence"])), "a text is empty")
-        .when(F.exists("a.dates", lambda d: ~F.coalesce(d["value"].rlike(_ANSWER_DATE), F.lit(False)) | (F.length(d["evidence"]) > evidence)), "a date is malformed")
+        .when(
+            F.exists("a.dates", lambda d: ~F.coalesce(d["value"].rlike(_ANSWER_DATE), F.lit(False)) | (F.length(d["evidence"]) > evidence)),
+            "a date is malformed",
+        )
     )
     judged = parsed.withColumn("problem", problem)
     good = F.col("problem").isNull()
     # NFKC of evidence is one call a row: the parts travel as one text, cut apart again at a mark no text holds.
-    parts = F.array_join(F.transform(F.coalesce("a.dates", F.array().cast("array<struct<label:string,value:string,evidence:string>>")), lambda d: F.coalesce(d["evidence"], F.lit(""))), "\x00")
+    parts = F.array_join(
+        F.transform(
+            F.coalesce("a.dates", F.array().cast("array<struct<label:string,value:string,evidence:string>>")),
+            lambda d: F.coalesce(d["evidence"], F.lit("")),
+        ),
+        "\x00",
+    )
     bare = judged.withColumn("__text", squeezed(F.col("text"))).withColumn("__evidence", F.split(squeezed(parts), "\x00"))
     there = F.transform("a.dates", lambda d, k: F.struct(d.alias("d"), F.contains(F.col("__text"), F.get(F.col("__evidence"), k)).alias("ok")))
     left, colon, right = UNSUPPORTED_DATE
@@ -149,7 +181,12 @@ def evidence_found(evidence: DataFrame, texts: DataFrame, key: str = "article_id
 def record(success: Column, answer: Column, tokens_in: Column, tokens_out: Column) -> Column:
     """Answer fields of a summary record: null, not empty, for a failure; zero tokens are unknown."""
     fields = [F.when(success, answer[c]).alias(c) for c in ("summary", "key_points", "targets", "dates", "ai_tags", "uncertainties")]
-    return F.struct(F.when(success, "success").otherwise("failed").alias("analysis_status"), *fields, F.nullif(tokens_in, F.lit(0)).alias("input_tokens"), F.nullif(tokens_out, F.lit(0)).alias("output_tokens"))
+    return F.struct(
+        F.when(success, "success").otherwise("failed").alias("analysis_status"),
+        *fields,
+        F.nullif(tokens_in, F.lit(0)).alias("input_tokens"),
+        F.nullif(tokens_out, F.lit(0)).alias("output_tokens"),
+    )
 
 
 @dataclass
@@ -186,7 +223,13 @@ def backoff(attempt: int, most: float = 30) -> float:
     return min(2.0**attempt, most)
 
 
-def with_retries(provider: Provider, prompt: str, valid: Callable[[str], str | None], most: int = 2, sleep: Callable[[float], None] = time.sleep) -> tuple[Outcome, int]:
+def with_retries(
+    provider: Provider,
+    prompt: str,
+    valid: Callable[[str], str | None],
+    most: int = 2,
+    sleep: Callable[[float], None] = time.sleep,
+) -> tuple[Outcome, int]:
     """The last outcome and how many retries it took. Invalid and truncated answers and passing errors are tried
     again, refusals and other errors are not."""
     for attempt in range(most + 1):
@@ -196,7 +239,9 @@ def with_retries(provider: Provider, prompt: str, valid: Callable[[str], str | N
             break
         if outcome.kind == "retryable_error":
             sleep(backoff(attempt))
-    return (outcome if problem is None or outcome.kind != "ok" else Outcome("invalid", outcome.text, outcome.tokens_in, outcome.tokens_out, problem)), attempt
+    return (
+        outcome if problem is None or outcome.kind != "ok" else Outcome("invalid", outcome.text, outcome.tokens_in, outcome.tokens_out, problem)
+    ), attempt
 
 
 def completed(prompts: DataFrame, make_provider: Callable[[], Provider], most: int = 2, pause: bool = True) -> DataFrame:
@@ -213,7 +258,10 @@ def completed(prompts: DataFrame, make_provider: Callable[[], Provider], most: i
                 rows.append((key, o.kind, o.text, o.tokens_in, o.tokens_out, n))
             yield pd.DataFrame(rows, columns=["article_id", "kind", "text", "tokens_in", "tokens_out", "retries"])
 
-    return prompts.select("article_id", "prompt").mapInPandas(run, "article_id string, kind string, text string, tokens_in long, tokens_out long, retries int")
+    return prompts.select("article_id", "prompt").mapInPandas(
+        run,
+        "article_id string, kind string, text string, tokens_in long, tokens_out long, retries int",
+    )
 
 
 def _not_json(text: str) -> str | None:

@@ -14,7 +14,10 @@ def rule_reasons(matches: DataFrame) -> DataFrame:
 
     Fixed values: the wording."""
     part = F.concat(F.lit("「"), F.col("label"), F.lit("」（"), F.when(F.col("in") == "title", "題名").otherwise("本文"), F.lit("）"))
-    grouped = matches.groupBy("article_id", "tag_id").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"))
+    grouped = matches.groupBy("article_id", "tag_id").agg(
+        F.min("pos").alias("pos"),
+        F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"),
+    )
     reason = F.concat(F.lit("ルール（キーワード一致）："), F.array_join(F.transform("parts", lambda p: p["part"]), ""), F.lit("が見つかりました"))
     return grouped.select("article_id", "tag_id", "pos", reason.alias("reason"))
 
@@ -30,21 +33,34 @@ def _origins(ai: DataFrame, source: DataFrame, rule: DataFrame, human: DataFrame
     parts = list(zip(ORIGINS, (ai, source, rule, human)))
     all_ = None
     for k, (name, df) in enumerate(p for p in parts if p[1] is not None):
-        one = df.select("article_id", "tag_id", "pos", F.col("reason").cast("string").alias("reason") if "reason" in df.columns else F.lit(None).cast("string").alias("reason"), F.lit(name).alias("origin"), F.lit(k).alias("priority"))
+        one = df.select(
+            "article_id",
+            "tag_id",
+            "pos",
+            F.col("reason").cast("string").alias("reason") if "reason" in df.columns else F.lit(None).cast("string").alias("reason"),
+            F.lit(name).alias("origin"),
+            F.lit(k).alias("priority"),
+        )
         all_ = one if all_ is None else all_.unionByName(one)
     return all_
 
 
 def _first_per_tag(rows: DataFrame) -> DataFrame:
     """The entry of highest precedence for each article and tag: a minimum, so it is combined before the shuffle."""
-    return rows.groupBy("article_id", "tag_id").agg(F.min(F.struct("priority", "pos", "origin", "reason")).alias("e")).select("article_id", "tag_id", "e.*")
+    return rows.groupBy("article_id", "tag_id").agg(
+        F.min(F.struct("priority", "pos", "origin", "reason")).alias("e")
+    ).select("article_id", "tag_id", "e.*")
 
 
 def final_tags(ai: DataFrame, source: DataFrame, rule: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """(AI ∪ source ∪ rule ∪ added) − removed, each tag once with its first origin; removing beats adding.
 
     Inputs have ``article_id, tag_id, pos`` and maybe ``reason``; ``removed`` has ``article_id, tag_id``."""
-    return _first_per_tag(_origins(ai, source, rule, added)).join(removed.select("article_id", "tag_id").distinct(), ["article_id", "tag_id"], "left_anti")
+    return _first_per_tag(_origins(ai, source, rule, added)).join(
+        removed.select("article_id", "tag_id").distinct(),
+        ["article_id", "tag_id"],
+        "left_anti",
+    )
 
 
 def removed_tags(ai: DataFrame, source: DataFrame, rule: DataFrame, removed: DataFrame) -> DataFrame:
@@ -56,7 +72,10 @@ def named(tags: DataFrame, definitions: DataFrame) -> DataFrame:
     """Adds ``name`` and ``retired`` from definitions (``tag_id, name, enabled``); unknown tags are named by id."""
     defs = definitions.select("tag_id", F.col("name").alias("def_name"), F.col("enabled").alias("def_enabled"))
     joined = tags.join(defs, "tag_id", "left")
-    return joined.withColumn("name", F.coalesce("def_name", "tag_id")).withColumn("retired", ~F.coalesce("def_enabled", F.lit(False))).drop("def_name", "def_enabled")
+    return joined.withColumn("name", F.coalesce("def_name", "tag_id")).withColumn(
+        "retired",
+        ~F.coalesce("def_enabled", F.lit(False)),
+    ).drop("def_name", "def_enabled")
 
 
 def as_arrays(tags: DataFrame) -> DataFrame:

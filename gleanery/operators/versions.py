@@ -37,15 +37,39 @@ def change_types(history: DataFrame, key: str = "article_id", order: str = "vers
 
 def gaps(history: DataFrame, key: str, order: str, first: int = 1) -> DataFrame:
     """Keys whose versions are not ``first``, ``first`` + 1, ... without gaps or repeats."""
-    seen = history.groupBy(key).agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n"), F.countDistinct(order).alias("d"))
+    seen = history.groupBy(key).agg(
+        F.min(order).alias("lo"),
+        F.max(order).alias("hi"),
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct(order).alias("d"),
+    )
     return seen.where((F.col("lo") != first) | (F.col("hi") - F.col("lo") + 1 != F.col("n")) | (F.col("n") != F.col("d")))
 
 
 #: What the merge decides for a candidate, and the counter it adds to.
-DECISIONS = ["out_of_period", "new_failed", "login_only", "new_unread", "new", "unchanged_failed", "unchanged", "content_changed", "extraction_changed"]
-
-
-def decision(judged: Column, login: Column, known: Column, fetched: Column, ok: Column, same_hash: Column, was_ok: Column, same_profile: Column) -> Column:
+DECISIONS = [
+    "out_of_period",
+    "new_failed",
+    "login_only",
+    "new_unread",
+    "new",
+    "unchanged_failed",
+    "unchanged",
+    "content_changed",
+    "extraction_changed",
+]
+
+
+def decision(
+    judged: Column,
+    login: Column,
+    known: Column,
+    fetched: Column,
+    ok: Column,
+    same_hash: Column,
+    was_ok: Column,
+    same_profile: Column,
+) -> Column:
     """The state machine for one candidate against the stored article.
 
     New articles that are out of the period are dropped, known ones are kept. A failed fetch of a new article is kept
@@ -73,7 +97,20 @@ def merge(articles: DataFrame, candidates: DataFrame) -> DataFrame:
     content_hash, extraction_profile, published_at, updated_at, fetched_at`` and maybe ``attachments_failed``. Status
     is ok, unsupported (fetched, no text) or failed (not fetched). A known article whose fetch or whose attachments'
     fetch failed keeps its dates. Profiles that are null count as html."""
-    old = articles.select(F.col("article_id"), *(F.col(c).alias("old_" + c) for c in ("latest_version", "content_hash", "extraction_status", "extraction_profile", "published_at", "updated_at", "first_seen_at")))
+    old = articles.select(
+        F.col("article_id"),
+        *(
+            F.col(c).alias("old_" + c) for c in (
+                "latest_version",
+                "content_hash",
+                "extraction_status",
+                "extraction_profile",
+                "published_at",
+                "updated_at",
+                "first_seen_at",
+            )
+        ),
+    )
     joined = candidates.join(old, "article_id", "left")
     known = F.col("old_latest_version").isNotNull()
     login = F.coalesce("login", F.lit(False))
@@ -129,7 +166,10 @@ def capped_attachments(attachments: DataFrame, exclude: list[str], most: int) ->
         out |= F.coalesce(F.col("title").rlike(p), F.lit(False))
     marked = attachments.withColumn("excluded", out)
     place = F.row_number().over(W.partitionBy("article_id", "excluded").orderBy("position"))
-    return marked.withColumn("place", place).withColumn("state", F.when(F.col("excluded"), "excluded").when(F.col("place") > most, "skipped").otherwise("read")).drop("place")
+    return marked.withColumn("place", place).withColumn(
+        "state",
+        F.when(F.col("excluded"), "excluded").when(F.col("place") > most, "skipped").otherwise("read"),
+    ).drop("place")
 
 
 def backfilled(latest: DataFrame, normalised: bool = False) -> DataFrame:
@@ -165,10 +205,20 @@ def version_records(results: DataFrame) -> DataFrame:
 
 def chosen_title(content_type: Column, candidate: Column, page: Column, url: Column, most: int = 300) -> Column:
     blank = lambda c: F.when(F.trim(c) != "", c)
-    return F.substring(F.when(content_type == "pdf", F.coalesce(blank(candidate), blank(page), url)).otherwise(F.coalesce(blank(page), blank(candidate), url)), 1, most)
+    return F.substring(
+        F.when(content_type == "pdf", F.coalesce(blank(candidate), blank(page), url)).otherwise(F.coalesce(blank(page), blank(candidate), url)),
+        1,
+        most,
+    )
 
 
-def extraction_profile(content_type: Column, attachments: Column, exclude: Column, max_files: Column | None = None, max_pages: Column | None = None) -> Column:
+def extraction_profile(
+    content_type: Column,
+    attachments: Column,
+    exclude: Column,
+    max_files: Column | None = None,
+    max_pages: Column | None = None,
+) -> Column:
     """What decides how a body is read, as one string; nulls are defaults. Fixed value: its form."""
     files, pages = (F.coalesce(c if c is not None else F.lit(None).cast("int"), F.lit(d)).cast("string") for c, d in ((max_files, 3), (max_pages, 30)))
     titles = F.when(F.size(exclude) > 0, F.concat(F.lit(",exclude:"), F.array_join(exclude, "|"))).otherwise("")

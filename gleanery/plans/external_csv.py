@@ -9,7 +9,23 @@ from pyspark.sql import functions as F
 from gleanery.functions import dates, text
 
 #: Names and order of the columns.
-COLUMNS = ["record_id", "source_id", "publisher", "title", "url", "published_date", "updated_date", "fetched_at", "source_type", "content_hash", "category", "excerpt", "source_list_url", "hash_status", "hash_scope"]
+COLUMNS = [
+    "record_id",
+    "source_id",
+    "publisher",
+    "title",
+    "url",
+    "published_date",
+    "updated_date",
+    "fetched_at",
+    "source_type",
+    "content_hash",
+    "category",
+    "excerpt",
+    "source_list_url",
+    "hash_status",
+    "hash_scope",
+]
 
 
 def padded(n):
@@ -30,7 +46,11 @@ def record_ids(articles: DataFrame, sources: DataFrame) -> DataFrame:
 def rows(articles: DataFrame, sources: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of the wanted articles (``id``; repeats and unknown ids are passed over), newest day first, then by id."""
     info = sources.select("source_id", "csv_id", "publisher", "list_url")
-    got = articles.join(wanted.select("id").distinct(), "id", "left_semi").join(info, "source_id", "left").join(record_ids(articles, sources), "id", "left")
+    got = articles.join(
+        wanted.select("id").distinct(),
+        "id",
+        "left_semi",
+    ).join(info, "source_id", "left").join(record_ids(articles, sources), "id", "left")
     day = dates.day_or_empty(F.col("published"))
     cells = [
         F.coalesce("record_id", "id"),

@@ -35,7 +35,14 @@ def public_summary(s: Column, latest_version: Column) -> Column:
     )
 
 
-def public_articles(articles: DataFrame, summaries: DataFrame, sources: DataFrame, definitions: DataFrame, overrides: DataFrame, matches: DataFrame) -> DataFrame:
+def public_articles(
+    articles: DataFrame,
+    summaries: DataFrame,
+    sources: DataFrame,
+    definitions: DataFrame,
+    overrides: DataFrame,
+    matches: DataFrame,
+) -> DataFrame:
     """Articles as they are published, newest first.
 
     ``articles``: rows of article files (``article, versions``); ``summaries``: exploded summaries; ``sources``:
@@ -44,18 +51,36 @@ def public_articles(articles: DataFrame, summaries: DataFrame, sources: DataFram
     small; Spark broadcasts them by their size."""
     base = articles.select("article.*", "versions").withColumn("last", F.element_at("versions", -1))
     latest = S.latest_summary(summaries)
-    ai = latest.where("analysis_status = 'success'").select("article_id", F.posexplode("ai_tags").alias("pos", "t")).select("article_id", "pos", "t.tag_id", "t.reason")
+    ai = latest.where("analysis_status = 'success'").select(
+        "article_id",
+        F.posexplode("ai_tags").alias("pos", "t"),
+    ).select("article_id", "pos", "t.tag_id", "t.reason")
     fixed = G.fixed_tags(base, sources)
     rule = G.rule_reasons(matches)
     added = overrides.select("article_id", F.posexplode("add").alias("pos", "tag_id"))
     removed = overrides.select("article_id", F.explode("remove").alias("tag_id"))
     tags = G.as_arrays(G.named(G.final_tags(ai, fixed, rule, added, removed), definitions))
-    gone = G.named(G.removed_tags(ai, fixed, rule, removed), definitions).groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "pos", F.col("tag_id").alias("id"), "name"))), lambda t: F.struct(t["id"].alias("id"), t["name"].alias("name"))).alias("removed_tags"))
+    gone = G.named(G.removed_tags(ai, fixed, rule, removed), definitions).groupBy("article_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("priority", "pos", F.col("tag_id").alias("id"), "name"))),
+            lambda t: F.struct(t["id"].alias("id"), t["name"].alias("name")),
+        ).alias("removed_tags")
+    )
     info = sources.select("source_id", F.col("name").alias("source_label"), "source_type")
     s = F.struct(*latest.columns).alias("s")
-    joined = base.join(latest.select("article_id", s), "article_id", "left").join(info, "source_id", "left").join(tags, "article_id", "left").join(gone, "article_id", "left").join(overrides.select("article_id", F.col("reason").alias("tag_override_reason")), "article_id", "left")
+    joined = base.join(latest.select("article_id", s), "article_id", "left").join(info, "source_id", "left").join(tags, "article_id", "left").join(gone, "article_id", "left").join(
+        overrides.select("article_id", F.col("reason").alias("tag_override_reason")),
+        "article_id",
+        "left",
+    )
     version = lambda v: F.struct(*(v[c].alias(c) for c in ("version", "fetched_at", "change_type", "extraction_status")))
-    attachment = lambda a: F.struct(a["title"].alias("title"), a["url"].alias("url"), a["status"].alias("status"), a["error"].alias("note"), a["pages"].alias("pages"))
+    attachment = lambda a: F.struct(
+        a["title"].alias("title"),
+        a["url"].alias("url"),
+        a["status"].alias("status"),
+        a["error"].alias("note"),
+        a["pages"].alias("pages"),
+    )
     empty = lambda c: F.coalesce(c, F.array())
     return newest_first(
         joined.select(
@@ -77,7 +102,12 @@ def public_articles(articles: DataFrame, summaries: DataFrame, sources: DataFram
             F.transform("versions", version).alias("versions"),
             empty(F.transform("last.attachments", attachment)).alias("attachments"),
             public_summary(F.col("s"), F.col("latest_version")).alias("summary"),
-            F.struct(T.csv_source_type(F.col("canonical_url"), F.col("source_type")).alias("source_type"), F.col("last.export_hash").alias("hash"), F.coalesce("last.export_hash_status", F.lit("unavailable")).alias("hash_status"), F.col("last.export_hash_scope").alias("hash_scope")).alias("csv"),
+            F.struct(
+                T.csv_source_type(F.col("canonical_url"), F.col("source_type")).alias("source_type"),
+                F.col("last.export_hash").alias("hash"),
+                F.coalesce("last.export_hash_status", F.lit("unavailable")).alias("hash_status"),
+                F.col("last.export_hash_scope").alias("hash_scope"),
+            ).alias("csv"),
             F.coalesce("tags", F.array().cast(tags.schema["tags"].dataType)).alias("tags"),
             F.coalesce("removed_tags", F.array().cast(gone.schema["removed_tags"].dataType)).alias("removed_tags"),
             "tag_override_reason",
@@ -86,13 +116,46 @@ def public_articles(articles: DataFrame, summaries: DataFrame, sources: DataFram
 
 
 #: Columns of the article list in order.
-LIST_COLUMNS = ["記事ID", "公開日", "公開日の精度", "更新日", "取得日時", "機関", "タイトル", "出典URL", "概要", "AI処理状態", "AIタグ", "設定で付けたタグ", "ルールで付けたタグ", "人が追加したタグ", "人が除外したタグ", "本文の状態", "最新版"]
+LIST_COLUMNS = [
+    "記事ID",
+    "公開日",
+    "公開日の精度",
+    "更新日",
+    "取得日時",
+    "機関",
+    "タイトル",
+    "出典URL",
+    "概要",
+    "AI処理状態",
+    "AIタグ",
+    "設定で付けたタグ",
+    "ルールで付けたタグ",
+    "人が追加したタグ",
+    "人が除外したタグ",
+    "本文の状態",
+    "最新版",
+]
 
 
 def list_csv(articles: DataFrame) -> DataFrame:
     """One column ``line``: the article list as CSV lines, without the header (``csv_file`` adds it)."""
     of = lambda o: F.array_join(F.transform(F.filter("tags", lambda t: t["origin"] == o), lambda t: t["name"]), ";")
-    cells = [F.col("id"), F.col("published"), F.col("published_info.precision"), F.col("updated"), F.col("first_seen_at"), F.col("source_name"), F.col("title"), F.col("url"), F.col("summary.text"), F.col("summary.status"), *map(of, G.ORIGINS), F.array_join(F.transform("removed_tags", lambda t: t["name"]), ";"), F.col("content_status"), F.col("latest_version")]
+    cells = [
+        F.col("id"),
+        F.col("published"),
+        F.col("published_info.precision"),
+        F.col("updated"),
+        F.col("first_seen_at"),
+        F.col("source_name"),
+        F.col("title"),
+        F.col("url"),
+        F.col("summary.text"),
+        F.col("summary.status"),
+        *map(of, G.ORIGINS),
+        F.array_join(F.transform("removed_tags", lambda t: t["name"]), ";"),
+        F.col("content_status"),
+        F.col("latest_version"),
+    ]
     return articles.select(T.csv_line(*cells).alias("line"))
 
 
@@ -103,7 +166,11 @@ def csv_text(header: list[str], lines: list[str]) -> str:
 
 def meta(sources: DataFrame, definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the site knows of sources and tags; what is not enabled is retired."""
-    return sources.select("source_id", "name", (~F.col("enabled")).alias("retired")), definitions.select("tag_id", "name", (~F.col("enabled")).alias("retired"))
+    return sources.select(
+        "source_id",
+        "name",
+        (~F.col("enabled")).alias("retired"),
+    ), definitions.select("tag_id", "name", (~F.col("enabled")).alias("retired"))
 
 
 def data_as_of(runs: DataFrame, articles: DataFrame) -> DataFrame:

@@ -28,7 +28,10 @@ from gleanery.plans.registry import query, shared_folder
 def partial_value(key, day):
     """A partial date of an order: unknown, year, month, day or date-time by the key modulo 7."""
     k, iso = key % 7, F.date_format(day, "yyyy-MM-dd")
-    return F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.substring(iso, 1, 4)).when(k == 2, F.substring(iso, 1, 7)).when(k == 3, F.concat(iso, F.lit("T20:30:00+00:00"))).otherwise(iso)
+    return F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.substring(iso, 1, 4)).when(k == 2, F.substring(iso, 1, 7)).when(
+        k == 3,
+        F.concat(iso, F.lit("T20:30:00+00:00")),
+    ).otherwise(iso)
 
 
 PARTIAL_SQL = """CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN strftime(o_orderdate, '%Y')
@@ -41,8 +44,18 @@ def orders_as_articles(t) -> DataFrame:
     """Orders with the columns of public articles."""
     o = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey"), "o_custkey")
     day = F.to_date("o_orderdate")
-    tag = lambda name, retired: F.struct(F.lit(name).alias("id") if isinstance(name, str) else name.alias("id"), F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), F.lit("ai").alias("origin"), F.lit(None).cast("string").alias("reason"), F.lit(retired).alias("retired"))
-    version = F.struct(F.lit(2).alias("version"), F.date_format(F.date_add(day, 10), "yyyy-MM-dd'T'00:00:00'+09:00'").alias("fetched_at"), F.when(F.col("o_orderkey") % 3 == 0, "content_changed").otherwise("extraction_changed").alias("change_type"))
+    tag = lambda name, retired: F.struct(
+        F.lit(name).alias("id") if isinstance(name, str) else name.alias("id"),
+        F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"),
+        F.lit("ai").alias("origin"),
+        F.lit(None).cast("string").alias("reason"),
+        F.lit(retired).alias("retired"),
+    )
+    version = F.struct(
+        F.lit(2).alias("version"),
+        F.date_format(F.date_add(day, 10), "yyyy-MM-dd'T'00:00:00'+09:00'").alias("fetched_at"),
+        F.when(F.col("o_orderkey") % 3 == 0, "content_changed").otherwise("extraction_changed").alias("change_type"),
+    )
     ok = F.col("o_orderstatus") != "P"
     return o.select(
         F.col("o_orderkey").cast("string").alias("id"),
@@ -55,9 +68,26 @@ def orders_as_articles(t) -> DataFrame:
         F.date_format(F.date_add(day, 2), "yyyy-MM-dd'T'08:00:00'+09:00'").alias("first_seen_at"),
         F.date_format(F.date_add(day, 5), "yyyy-MM-dd'T'08:00:00'+09:00'").alias("last_seen_at"),
         F.array(version).alias("versions"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.array().cast("array<struct<id:string,name:string,origin:string,reason:string,retired:boolean>>")).otherwise(F.array(tag(F.col("o_orderpriority"), False), tag("archived", True))).alias("tags"),
-        F.struct(F.when(ok, "success").otherwise("not_processed").alias("status"), F.when(ok, F.concat(F.lit("total "), F.col("o_orderstatus"))).alias("text"), F.when(ok, F.array("o_orderpriority", F.lit(""))).alias("key_points"), F.lit(None).cast("array<string>").alias("targets"), (F.col("o_orderkey") % 11 == 0).alias("outdated")).alias("summary"),
-        F.struct(text.csv_source_type(F.concat(F.lit("https://example.org/o/"), "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, ".pdf").otherwise("")), F.lit(None).cast("string")).alias("source_type"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"), F.lit("ok").alias("hash_status"), F.lit("title+main_text").alias("hash_scope")).alias("csv"),
+        F.when(
+            F.col("o_orderpriority") == "5-LOW",
+            F.array().cast("array<struct<id:string,name:string,origin:string,reason:string,retired:boolean>>"),
+        ).otherwise(F.array(tag(F.col("o_orderpriority"), False), tag("archived", True))).alias("tags"),
+        F.struct(
+            F.when(ok, "success").otherwise("not_processed").alias("status"),
+            F.when(ok, F.concat(F.lit("total "), F.col("o_orderstatus"))).alias("text"),
+            F.when(ok, F.array("o_orderpriority", F.lit(""))).alias("key_points"),
+            F.lit(None).cast("array<string>").alias("targets"),
+            (F.col("o_orderkey") % 11 == 0).alias("outdated"),
+        ).alias("summary"),
+        F.struct(
+            text.csv_source_type(
+                F.concat(F.lit("https://example.org/o/"), "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, ".pdf").otherwise("")),
+                F.lit(None).cast("string"),
+            ).alias("source_type"),
+            F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"),
+            F.lit("ok").alias("hash_status"),
+            F.lit("title+main_text").alias("hash_scope"),
+        ).alias("csv"),
         F.when(F.col("o_orderkey") % 13 == 0, "unsupported").otherwise("ok").alias("content_status"),
     )
 
@@ -88,7 +118,11 @@ ARTICLES_SQL = f"""a AS (
 def published_day_gate(t):
     """A day only for days and date-times, by Japan's clock; never for months, years and unknown dates."""
     v = partial_value(F.col("o_orderkey"), F.to_date("o_orderdate"))
-    return t("orders").select("o_orderkey", v.alias("value")).select("o_orderkey", "value", F.date_format(dates.published_day(F.col("value")), "yyyy-MM-dd").alias("day"))
+    return t("orders").select("o_orderkey", v.alias("value")).select(
+        "o_orderkey",
+        "value",
+        F.date_format(dates.published_day(F.col("value")), "yyyy-MM-dd").alias("day"),
+    )
 
 
 @query(
@@ -100,7 +134,12 @@ SELECT o_orderkey, CASE k WHEN 0 THEN 'unknown' WHEN 1 THEN 'year' WHEN 2 THEN '
 def partial_date_range(t):
     """The days a partial date may mean."""
     v = t("orders").select("o_orderkey", partial_value(F.col("o_orderkey"), F.to_date("o_orderdate")).alias("v"))
-    return v.select("o_orderkey", dates.precision(F.col("v")).alias("precision"), F.date_format(dates.range_lo(F.col("v")), "yyyy-MM-dd").alias("lo"), F.date_format(dates.range_hi(F.col("v")), "yyyy-MM-dd").alias("hi"))
+    return v.select(
+        "o_orderkey",
+        dates.precision(F.col("v")).alias("precision"),
+        F.date_format(dates.range_lo(F.col("v")), "yyyy-MM-dd").alias("lo"),
+        F.date_format(dates.range_hi(F.col("v")), "yyyy-MM-dd").alias("hi"),
+    )
 
 
 @query(
@@ -137,7 +176,10 @@ FROM (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate AS d FROM orders)"""
 def iso_dates(t):
     """ISO forms with and without zones; what is no date is null."""
     d, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 5
-    raw = F.when(k == 0, F.concat(F.lit(" "), d, F.lit(" 09:05"))).when(k == 1, F.concat(d, F.lit("T09:05:07.25Z"))).when(k == 2, F.substring(d, 1, 7)).when(k == 3, F.concat(F.substring(d, 1, 4), F.lit("-13-01"))).otherwise(d)
+    raw = F.when(k == 0, F.concat(F.lit(" "), d, F.lit(" 09:05"))).when(k == 1, F.concat(d, F.lit("T09:05:07.25Z"))).when(k == 2, F.substring(d, 1, 7)).when(
+        k == 3,
+        F.concat(F.substring(d, 1, 4), F.lit("-13-01")),
+    ).otherwise(d)
     p = dates.parse_iso(raw)
     return t("orders").select("o_orderkey", p["value"].alias("value"), p["precision"].alias("precision"))
 
@@ -155,7 +197,12 @@ def date_labels(t):
 def jst_stamps(t):
     """An instant's day, ISO form and file stamp in Japan, whatever the session's zone."""
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).cast("timestamp")
-    return t("events").select("event_id", dates.jst_iso(ts).alias("iso"), dates.jst_stamp(ts).alias("stamp"), F.date_format(dates.jst_day(ts), "yyyy-MM-dd").alias("day"))
+    return t("events").select(
+        "event_id",
+        dates.jst_iso(ts).alias("iso"),
+        dates.jst_stamp(ts).alias("stamp"),
+        F.date_format(dates.jst_day(ts), "yyyy-MM-dd").alias("day"),
+    )
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) || '年' AS y, month(o_orderdate) || '月' AS m, day(o_orderdate) || '日' AS dd FROM orders)
@@ -165,7 +212,10 @@ def japanese_dates(t):
     """Eras, full-width digits and RFC 822, from texts built on order dates."""
     y, m, d = F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
     k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, F.concat(F.lit("掲載日：平成"), y - 1988, F.lit("年"), m, F.lit("月"), d, F.lit("日"))).when(k == 1, F.concat(F.lit("（"), y, F.lit("／"), m, F.lit("／"), d, F.lit("）"))).when(k == 2, F.concat(y, F.lit("年"), m, F.lit("月号"))).otherwise(F.date_format("o_orderdate", "dd MMM yyyy 10:00:00 'GMT'"))
+    raw = F.when(
+        k == 0,
+        F.concat(F.lit("掲載日：平成"), y - 1988, F.lit("年"), m, F.lit("月"), d, F.lit("日")),
+    ).when(k == 1, F.concat(F.lit("（"), y, F.lit("／"), m, F.lit("／"), d, F.lit("）"))).when(k == 2, F.concat(y, F.lit("年"), m, F.lit("月号"))).otherwise(F.date_format("o_orderdate", "dd MMM yyyy 10:00:00 'GMT'"))
     found = t("orders").select("o_orderkey", raw.alias("raw")).withColumn("ja", dates.find_japanese_date("raw"))
     return found.select("o_orderkey", F.coalesce("ja.value", dates.parse_rfc822("raw")).alias("value"), "ja.evidence")
 
@@ -221,14 +271,32 @@ SELECT CAST(w.k AS INTEGER) AS k, CAST(s.user_id AS BIGINT) AS user_id, coalesce
 def weekly_source_runs(t):
     """Runs of each source by week; sources without any run are kept."""
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    e = t("events").select(F.col("user_id").cast("long").cast("string").alias("source_id"), F.col("event_id").cast("string").alias("run_id"), ts.alias("started_at"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
+    e = t("events").select(
+        F.col("user_id").cast("long").cast("string").alias("source_id"),
+        F.col("event_id").cast("string").alias("run_id"),
+        ts.alias("started_at"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
+    )
     last = e.agg(F.max(dates.jst_day(F.col("started_at"))).alias("as_of"))
-    weeks = last.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), "as_of").select("k", F.date_sub("as_of", F.col("k") * 7 + 6).alias("from"), F.date_sub("as_of", F.col("k") * 7).alias("to"))
+    weeks = last.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), "as_of").select(
+        "k",
+        F.date_sub("as_of", F.col("k") * 7 + 6).alias("from"),
+        F.date_sub("as_of", F.col("k") * 7).alias("to"),
+    )
     none = F.lit(None).cast("int")
-    runs = e.select("run_id", "started_at", F.array(F.struct("source_id", "status", none.alias("new"), none.alias("changed"), F.lit(None).cast("string").alias("error"))).alias("sources"))
+    runs = e.select(
+        "run_id",
+        "started_at",
+        F.array(
+            F.struct("source_id", "status", none.alias("new"), none.alias("changed"), F.lit(None).cast("string").alias("error"))
+        ).alias("sources"),
+    )
     users = e.select("source_id", F.col("source_id").alias("name")).distinct()
     rows = WK.source_runs(weeks, runs, users)
-    return rows.groupBy("k", F.col("source_id").cast("long").alias("user_id")).agg(F.count("run_id").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return rows.groupBy("k", F.col("source_id").cast("long").alias("user_id")).agg(
+        F.count("run_id").alias("runs"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+    )
 
 
 @query(
@@ -286,7 +354,10 @@ def latest_window(t):
     a = orders_as_articles(t)
     as_of = t("orders").agg(F.to_date(F.max("o_orderdate")).alias("as_of"))
     rows = Q.latest(a.crossJoin(F.broadcast(as_of)), F.col("as_of"), 30)
-    return rows.select("id", F.date_format(dates.published_day(F.col("published")), "yyyy-MM-dd").alias("day")).crossJoin(F.broadcast(Q.undated(a).select(F.col("n").alias("undated"))))
+    return rows.select(
+        "id",
+        F.date_format(dates.published_day(F.col("published")), "yyyy-MM-dd").alias("day"),
+    ).crossJoin(F.broadcast(Q.undated(a).select(F.col("n").alias("undated"))))
 
 
 @query("SELECT DISTINCT p_type FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R')")
@@ -307,7 +378,14 @@ def facet_used_tags(t):
 def latest_record_per_key(t):
     """A1: the summary of the largest (version, time) for each article."""
     at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    s = t("events").select(F.col("user_id").alias("article_id"), F.when(F.col("event_type") == "purchase", 2).otherwise(1).alias("article_version"), at.alias("processed_at"), "event_id", "event_type", "value")
+    s = t("events").select(
+        F.col("user_id").alias("article_id"),
+        F.when(F.col("event_type") == "purchase", 2).otherwise(1).alias("article_version"),
+        at.alias("processed_at"),
+        "event_id",
+        "event_type",
+        "value",
+    )
     return SU.latest_summary(s).select(F.col("article_id").alias("user_id"), "event_id", "event_type", "value")
 
 
@@ -315,7 +393,15 @@ def latest_record_per_key(t):
 def left_join_default_status(t):
     """Articles with the state of their summary; none is not processed."""
     none = lambda kind: F.lit(None).cast(kind)
-    s = F.struct(F.when(F.col("quality") == 1, "success").otherwise("failed").alias("analysis_status"), none("string").alias("error"), (2 - F.col("toxic")).alias("article_version"), F.lit("s").alias("summary"), *(none("array<string>").alias(c) for c in ("key_points", "targets", "dates", "uncertainties")), none("string").alias("model"), none("string").alias("processed_at"))
+    s = F.struct(
+        F.when(F.col("quality") == 1, "success").otherwise("failed").alias("analysis_status"),
+        none("string").alias("error"),
+        (2 - F.col("toxic")).alias("article_version"),
+        F.lit("s").alias("summary"),
+        *(none("array<string>").alias(c) for c in ("key_points", "targets", "dates", "uncertainties")),
+        none("string").alias("model"),
+        none("string").alias("processed_at"),
+    )
     joined = t("documents").select("doc_id").join(t("labels").select("doc_id", s.alias("s")), "doc_id", "left")
     return joined.select("doc_id", PB.public_summary(F.col("s"), F.lit(2)).alias("p")).select("doc_id", "p.status", "p.outdated")
 
@@ -323,8 +409,19 @@ def left_join_default_status(t):
 @query("SELECT doc_id FROM documents WHERE n_chars > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def anti_join_unsummarized(t):
     """Read versions without a successful summary under the same keys."""
-    latest = t("documents").select(F.col("doc_id").alias("article_id"), F.lit(1).alias("version"), F.when(F.col("n_chars") > 0, "ok").alias("extraction_status"), F.lit("").alias("first_seen_at"), F.lit("v1").alias("prompt"))
-    done = t("labels").select(F.col("doc_id").alias("article_id"), F.lit(1).alias("article_version"), F.when(F.col("quality") == 1, "success").otherwise("failed").alias("analysis_status"), F.lit("v1").alias("prompt"))
+    latest = t("documents").select(
+        F.col("doc_id").alias("article_id"),
+        F.lit(1).alias("version"),
+        F.when(F.col("n_chars") > 0, "ok").alias("extraction_status"),
+        F.lit("").alias("first_seen_at"),
+        F.lit("v1").alias("prompt"),
+    )
+    done = t("labels").select(
+        F.col("doc_id").alias("article_id"),
+        F.lit(1).alias("article_version"),
+        F.when(F.col("quality") == 1, "success").otherwise("failed").alias("analysis_status"),
+        F.lit("v1").alias("prompt"),
+    )
     return SU.needs_processing(latest, done, ["prompt"]).select(F.col("article_id").alias("doc_id"))
 
 
@@ -332,7 +429,12 @@ def anti_join_unsummarized(t):
 def source_counts_with_zero(t):
     """Counts per configured source; sources without articles are kept with zeros."""
     a = t("supplier").select(F.col("s_nationkey").alias("source_id"), F.when(F.col("s_acctbal") >= 0, "1").alias("published"))
-    config = t("nation").select(F.col("n_nationkey").alias("source_id"), "n_name", F.lit(None).cast("array<string>").alias("retry_queue"), F.lit(None).cast("int").alias("consecutive_failures"))
+    config = t("nation").select(
+        F.col("n_nationkey").alias("source_id"),
+        "n_name",
+        F.lit(None).cast("array<string>").alias("retry_queue"),
+        F.lit(None).cast("int").alias("consecutive_failures"),
+    )
     none = config.select("source_id", F.lit(1).alias("x")).limit(0)
     return ST.sources(config, none, none, a).select(F.col("source_id").alias("n_nationkey"), "n_name", "articles", "date_unknown")
 
@@ -354,7 +456,14 @@ def run_sources(t) -> DataFrame:
     n = lambda test, name: F.count_if(test).alias(name)
     kind = F.col("event_type")
     failed = F.count_if(kind == "error") * 3 > F.count(F.lit(1))
-    return t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), (F.col("user_id") % 10).alias("source_id")).agg(n(kind == "click", "new"), n(kind == "view", "changed"), n(kind == "signup", "unchanged"), n(F.col("value") < 5, "date_unknown"), n((kind == "error") & (F.col("value") > 90), "fetch_failed"), F.when(failed, "failed").otherwise("success").alias("status"))
+    return t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), (F.col("user_id") % 10).alias("source_id")).agg(
+        n(kind == "click", "new"),
+        n(kind == "view", "changed"),
+        n(kind == "signup", "unchanged"),
+        n(F.col("value") < 5, "date_unknown"),
+        n((kind == "error") & (F.col("value") > 90), "fetch_failed"),
+        F.when(failed, "failed").otherwise("success").alias("status"),
+    )
 
 
 @query(
@@ -415,11 +524,26 @@ SELECT CAST(source_id AS BIGINT) AS source_id, CAST(url AS BIGINT) AS url, coale
 )
 def retry_queue_merge(t):
     """Old items that were not resolved, and new failures."""
-    e = t("events").select((F.col("user_id") % 10).cast("long").alias("source_id"), (F.col("event_id") % 40).alias("url"), "event_type", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    e = t("events").select(
+        (F.col("user_id") % 10).cast("long").alias("source_id"),
+        (F.col("event_id") % 40).alias("url"),
+        "event_type",
+        "ts",
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+    )
     bad, late = F.col("event_type") == "error", F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")
-    old = e.where(bad & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))).groupBy("source_id", "url").agg(F.lit("fetch").alias("stage"), F.lit("").alias("reason"), F.min("day").alias("first_failed_at"), F.count(F.lit(1)).alias("attempts"))
+    old = e.where(bad & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))).groupBy("source_id", "url").agg(
+        F.lit("fetch").alias("stage"),
+        F.lit("").alias("reason"),
+        F.min("day").alias("first_failed_at"),
+        F.count(F.lit(1)).alias("attempts"),
+    )
     done = e.where((F.col("event_type") == "purchase") & late).select("source_id", "url").distinct()
-    new = e.where(bad & late).groupBy("source_id", "url").agg(F.lit("fetch").alias("stage"), F.lit("").alias("reason"), F.min("day").alias("failed_at"))
+    new = e.where(bad & late).groupBy("source_id", "url").agg(
+        F.lit("fetch").alias("stage"),
+        F.lit("").alias("reason"),
+        F.min("day").alias("failed_at"),
+    )
     return S.retry_queue(old, done, new).select("source_id", "url", "first_failed_at", "attempts")
 
 
@@ -431,7 +555,10 @@ SELECT id, csv || '_' || d || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARC
 )
 def record_id_sequence(t):
     """Record ids numbered by source and day over all articles."""
-    config = t("nation").select(F.col("n_nationkey").cast("string").alias("source_id"), text.csv_source_id(F.lit(None).cast("string"), F.col("n_name")).alias("csv_id"))
+    config = t("nation").select(
+        F.col("n_nationkey").cast("string").alias("source_id"),
+        text.csv_source_id(F.lit(None).cast("string"), F.col("n_name")).alias("csv_id"),
+    )
     return X.record_ids(orders_as_articles(t), config)
 
 
@@ -447,7 +574,12 @@ FROM n"""
 )
 def external_csv_rows(t):
     """The fifteen columns, all articles chosen."""
-    config = t("nation").select(F.col("n_nationkey").cast("string").alias("source_id"), text.csv_source_id(F.lit(None).cast("string"), F.col("n_name")).alias("csv_id"), F.col("n_name").alias("publisher"), F.lit(None).cast("string").alias("list_url"))
+    config = t("nation").select(
+        F.col("n_nationkey").cast("string").alias("source_id"),
+        text.csv_source_id(F.lit(None).cast("string"), F.col("n_name")).alias("csv_id"),
+        F.col("n_name").alias("publisher"),
+        F.lit(None).cast("string").alias("list_url"),
+    )
     return X.rows(orders_as_articles(t), config, t("orders").select(F.col("o_orderkey").cast("string").alias("id")))
 
 
@@ -459,7 +591,10 @@ SELECT event_id, CASE WHEN regexp_matches(v, '[",\\r\\n]') THEN '"' || replace(v
 def csv_cell_escape(t):
     """K6: formula guard and quoting."""
     k = F.col("event_id") % 4
-    v = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("="), "event_type")).when(k == 2, F.concat(F.lit("\t"), "event_type")).otherwise(F.concat(F.lit(" @"), "props", F.lit("\n")))
+    v = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("="), "event_type")).when(
+        k == 2,
+        F.concat(F.lit("\t"), "event_type"),
+    ).otherwise(F.concat(F.lit(" @"), "props", F.lit("\n")))
     return t("events").select("event_id", text.csv_cell(v).alias("cell"))
 
 
@@ -498,7 +633,13 @@ def fetches(t) -> DataFrame:
     ok = F.col("turn") % 5 != 3
     digest = F.sha2(F.when(F.col("turn") % 3 == 2, F.col("role")).otherwise(F.col("text")), 256)
     profile = F.concat(F.lit("p"), F.floor(F.col("turn") / 4).cast("string"))
-    return t("conversations").select("conv_id", "turn", F.when(ok, digest).alias("content_hash"), F.when(ok, "ok").otherwise("failed").alias("extraction_status"), profile.alias("extraction_profile"))
+    return t("conversations").select(
+        "conv_id",
+        "turn",
+        F.when(ok, digest).alias("content_hash"),
+        F.when(ok, "ok").otherwise("failed").alias("extraction_status"),
+        profile.alias("extraction_profile"),
+    )
 
 
 NORM_SQL = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\x{3000}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
@@ -531,7 +672,17 @@ def spec_hash_nfc(t):
 def hash_backfill(t):
     """Hashes for versions that have none; those that have one are left."""
     done = F.col("doc_id") % 4 == 0
-    latest = t("documents").select("doc_id", F.col("source").alias("title"), "text", F.lit("html").alias("content_type"), F.when(F.col("n_chars") > 2000, "ok").otherwise("failed").alias("extraction_status"), F.lit(None).cast("array<struct<status:string>>").alias("attachments"), F.when(done, "old").alias("hash"), F.when(done, "ok").alias("hash_status"), F.lit(None).cast("string").alias("hash_scope"))
+    latest = t("documents").select(
+        "doc_id",
+        F.col("source").alias("title"),
+        "text",
+        F.lit("html").alias("content_type"),
+        F.when(F.col("n_chars") > 2000, "ok").otherwise("failed").alias("extraction_status"),
+        F.lit(None).cast("array<struct<status:string>>").alias("attachments"),
+        F.when(done, "old").alias("hash"),
+        F.when(done, "ok").alias("hash_status"),
+        F.lit(None).cast("string").alias("hash_scope"),
+    )
     return V.backfilled(latest).select("doc_id", "outcome", "hash", "hash_status")
 
 
@@ -548,7 +699,12 @@ def version_change_lag(t):
 def version_numbers(t):
     """Versions from 1 and the latest one."""
     n = V.numbered(t("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("fetched_at")))
-    return n.select(F.col("article_id").alias("conv_id"), F.col("fetched_at").alias("turn"), F.col("version").cast("long").alias("version"), "latest_version")
+    return n.select(
+        F.col("article_id").alias("conv_id"),
+        F.col("fetched_at").alias("turn"),
+        F.col("version").cast("long").alias("version"),
+        "latest_version",
+    )
 
 
 @query(
@@ -575,12 +731,40 @@ def incremental_merge(t):
     e, cut = t("events"), F.lit("2024-01-20").cast("timestamp_ntz")
     last = F.max_by("event_type", F.struct("ts", "event_id"))
     profile = lambda n: F.concat(F.lit("p"), (n % 3).cast("string"))
-    old = e.where(F.col("ts") < cut).groupBy(F.col("user_id").alias("article_id")).agg(F.count(F.lit(1)).alias("latest_version"), last.alias("content_hash")).where("latest_version > 40")
-    articles = old.select("article_id", "latest_version", "content_hash", F.when(F.col("content_hash") == "error", "failed").otherwise("ok").alias("extraction_status"), profile(F.col("latest_version")).alias("extraction_profile"), F.lit("2024").alias("published_at"), F.lit("2023").alias("updated_at"), F.lit("2024-01-01").alias("first_seen_at"))
+    old = e.where(F.col("ts") < cut).groupBy(F.col("user_id").alias("article_id")).agg(
+        F.count(F.lit(1)).alias("latest_version"),
+        last.alias("content_hash"),
+    ).where("latest_version > 40")
+    articles = old.select(
+        "article_id",
+        "latest_version",
+        "content_hash",
+        F.when(F.col("content_hash") == "error", "failed").otherwise("ok").alias("extraction_status"),
+        profile(F.col("latest_version")).alias("extraction_profile"),
+        F.lit("2024").alias("published_at"),
+        F.lit("2023").alias("updated_at"),
+        F.lit("2024-01-01").alias("first_seen_at"),
+    )
     new = e.where(F.col("ts") >= cut).groupBy(F.col("user_id").alias("article_id")).agg(last.alias("content_hash"), F.count(F.lit(1)).alias("n"))
     status = F.when(F.col("n") % 11 == 2, "unsupported").when(F.col("content_hash") == "error", "failed").otherwise("ok")
-    candidates = new.select("article_id", (F.col("n") % 5 != 0).alias("judged"), (F.col("n") % 7 == 1).alias("login"), status.alias("status"), "content_hash", profile(F.col("n")).alias("extraction_profile"), F.lit("2024-02").alias("published_at"), F.lit("2024-03").alias("updated_at"), F.lit("2024-02-01").alias("fetched_at"))
-    return V.merge(articles, candidates).select(F.col("article_id").alias("user_id"), "decision", F.coalesce("latest_version", F.lit(0)).alias("latest_version"), "published_at", "updated_at")
+    candidates = new.select(
+        "article_id",
+        (F.col("n") % 5 != 0).alias("judged"),
+        (F.col("n") % 7 == 1).alias("login"),
+        status.alias("status"),
+        "content_hash",
+        profile(F.col("n")).alias("extraction_profile"),
+        F.lit("2024-02").alias("published_at"),
+        F.lit("2024-03").alias("updated_at"),
+        F.lit("2024-02-01").alias("fetched_at"),
+    )
+    return V.merge(articles, candidates).select(
+        F.col("article_id").alias("user_id"),
+        "decision",
+        F.coalesce("latest_version", F.lit(0)).alias("latest_version"),
+        "published_at",
+        "updated_at",
+    )
 
 
 @query(
@@ -589,7 +773,11 @@ FROM (SELECT l_orderkey, l_linenumber, l_returnflag AS l_shipmode FROM lineitem
 )
 def top_k_attachments(t):
     """The first three attachments after exclusions, which do not count."""
-    a = t("lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("title"))
+    a = t("lineitem").where("l_quantity > 10").select(
+        F.col("l_orderkey").alias("article_id"),
+        F.col("l_linenumber").alias("position"),
+        F.col("l_returnflag").alias("title"),
+    )
     return V.capped_attachments(a, ["^R$"], 3).select(F.col("article_id").alias("l_orderkey"), F.col("position").alias("l_linenumber"), "state")
 
 
@@ -602,7 +790,9 @@ def tag_sets(t):
     row = lambda df, tag, pos=0: df.select("article_id", tag.alias("tag_id"), F.lit(pos).alias("pos"))
     size = F.concat(F.lit("size"), F.floor(F.col("p_size") / 10).cast("string"))
     ai = row(p.where("article_id % 4 <> 0"), F.col("p_brand")).unionByName(row(p.where("article_id % 4 <> 0"), size, 1))
-    return ai, row(p, size), row(p.where(F.col("p_type").contains("E")), F.lit("metal")), row(p.where("article_id % 3 = 0"), F.lit("metal")).unionByName(row(p.where("article_id % 5 = 0"), F.lit("chosen"), 1)), p.where("article_id % 7 = 0").select("article_id", size.alias("tag_id")).unionByName(p.where("article_id % 10 = 0").select("article_id", F.lit("chosen").alias("tag_id")))
+    return ai, row(p, size), row(p.where(F.col("p_type").contains("E")), F.lit("metal")), row(p.where("article_id % 3 = 0"), F.lit("metal")).unionByName(row(p.where("article_id % 5 = 0"), F.lit("chosen"), 1)), p.where("article_id % 7 = 0").select("article_id", size.alias("tag_id")).unionByName(
+        p.where("article_id % 10 = 0").select("article_id", F.lit("chosen").alias("tag_id"))
+    )
 
 
 TAGS_SQL = """p AS (SELECT p_partkey AS article_id, p_brand, 'size' || CAST(p_size // 10 AS VARCHAR) AS size, p_type FROM part), g AS (
@@ -631,11 +821,19 @@ def tag_names_ordered(t):
     """Tags in order with names from definitions; unknown ones are named by id and retired."""
     defs = t("part").sparkSession.createDataFrame([("metal", "Metal", True)], "tag_id string, name string, enabled boolean")
     arrays = G.as_arrays(G.named(G.final_tags(*tag_sets(t)), defs))
-    return arrays.select("article_id", F.array_join(F.transform("tags", lambda x: x["name"]), "/").alias("names"), F.size(F.filter("tags", lambda x: x["retired"])).alias("retired"))
+    return arrays.select(
+        "article_id",
+        F.array_join(F.transform("tags", lambda x: x["name"]), "/").alias("names"),
+        F.size(F.filter("tags", lambda x: x["retired"])).alias("retired"),
+    )
 
 
 #: Fixed values of this query: rules over the documents.
-RULES = [{"tag_id": "articles", "label": "the", "pattern": r"\bthe\b"}, {"tag_id": "articles", "label": "der", "pattern": r"\bder\b"}, {"tag_id": "sources", "label": "src", "pattern": "src1[0-9]"}]
+RULES = [
+    {"tag_id": "articles", "label": "the", "pattern": r"\bthe\b"},
+    {"tag_id": "articles", "label": "der", "pattern": r"\bder\b"},
+    {"tag_id": "sources", "label": "src", "pattern": "src1[0-9]"},
+]
 
 
 @query(
@@ -667,8 +865,18 @@ SELECT count(*) FILTER (act = 'updated') AS updated, count(*) FILTER (act = 'unc
 )
 def rule_freshness(t):
     """Which remembered results hold; texts that were read may have gone since."""
-    latest = t("documents").select(F.col("doc_id").alias("article_id"), F.lit(1).alias("version"), (F.col("n_chars") > 1500).alias("has_text"), F.when(F.col("n_chars") > 800, "ok").otherwise("unsupported").alias("extraction_status"))
-    old = t("labels").select(F.col("doc_id").alias("article_id"), (1 + F.col("doc_id") % 2).alias("article_version"), F.when(F.col("quality") == 1, "body").otherwise("title").alias("scope"), F.when(F.col("toxic") == 1, "old").otherwise("now").alias("rules_version"))
+    latest = t("documents").select(
+        F.col("doc_id").alias("article_id"),
+        F.lit(1).alias("version"),
+        (F.col("n_chars") > 1500).alias("has_text"),
+        F.when(F.col("n_chars") > 800, "ok").otherwise("unsupported").alias("extraction_status"),
+    )
+    old = t("labels").select(
+        F.col("doc_id").alias("article_id"),
+        (1 + F.col("doc_id") % 2).alias("article_version"),
+        F.when(F.col("quality") == 1, "body").otherwise("title").alias("scope"),
+        F.when(F.col("toxic") == 1, "old").otherwise("now").alias("rules_version"),
+    )
     return R.counters(R.freshness(latest, old, "now"))
 
 
@@ -682,14 +890,35 @@ ANSWERS_SQL = """d AS (SELECT doc_id, text, source, doc_id % 8 AS k FROM documen
 def judged_answers(t):
     """Answers to documents: broken ones, repeated tags that are merged, dates without evidence left out."""
     d, k = t("documents").where("length(text) > 40"), F.col("doc_id") % 8
-    dates_ = F.array(F.struct(F.lit("l").alias("label"), F.when(k == 4, "September").otherwise("2026-09").alias("value"), F.when(k == 5, "NOT IN THE TEXT ﬃ").otherwise(F.substring("text", 3, 30)).alias("evidence")))
+    dates_ = F.array(
+        F.struct(
+            F.lit("l").alias("label"),
+            F.when(k == 4, "September").otherwise("2026-09").alias("value"),
+            F.when(k == 5, "NOT IN THE TEXT ﬃ").otherwise(F.substring("text", 3, 30)).alias("evidence"),
+        )
+    )
     tag = lambda c: F.struct(c.alias("tag_id"), F.lit("r").alias("reason"))
     tags = F.array(tag(F.lit("x")), tag(F.when(k == 2, "z").otherwise("y")), tag(F.lit("x")))
     strings = F.array().cast("array<string>")
-    answer = F.to_json(F.struct(F.lit("s").alias("summary"), F.when(k == 3, F.array_repeat(F.lit("p"), 6)).otherwise(strings).alias("key_points"), strings.alias("targets"), dates_.alias("dates"), tags.alias("ai_tags"), strings.alias("uncertainties")))
+    answer = F.to_json(
+        F.struct(
+            F.lit("s").alias("summary"),
+            F.when(k == 3, F.array_repeat(F.lit("p"), 6)).otherwise(strings).alias("key_points"),
+            strings.alias("targets"),
+            dates_.alias("dates"),
+            tags.alias("ai_tags"),
+            strings.alias("uncertainties"),
+        )
+    )
     answers = d.select(F.col("doc_id").alias("article_id"), F.when(k == 1, F.lit("{\"summary\": 1")).otherwise(answer).alias("answer"), "text")
     got = SU.judged_answers(answers, ["x", "y"])
-    return got.select(F.col("article_id").alias("doc_id"), "problem", F.size("notes").alias("notes"), F.size("dates").alias("dates"), F.array_join(F.transform("tags", lambda x: x["tag_id"]), ",").alias("tags")).select("doc_id", "problem", *(F.when(F.col("problem").isNull(), F.col(c).cast("string")).otherwise("").alias(c) for c in ("notes", "dates", "tags")))
+    return got.select(
+        F.col("article_id").alias("doc_id"),
+        "problem",
+        F.size("notes").alias("notes"),
+        F.size("dates").alias("dates"),
+        F.array_join(F.transform("tags", lambda x: x["tag_id"]), ",").alias("tags"),
+    ).select("doc_id", "problem", *(F.when(F.col("problem").isNull(), F.col(c).cast("string")).otherwise("").alias(c) for c in ("notes", "dates", "tags")))
 
 
 @query(
@@ -702,9 +931,15 @@ def evidence_contains(t):
     items = t("benchmark").select(F.col("item_id").cast("long").alias("item"), F.substring("text", 1, 60).alias("evidence"))
     many = items.agg((F.max("item") + 1).alias("many"))
     d = t("documents").select("doc_id", "text")
-    asked = d.select("doc_id").crossJoin(F.broadcast(many)).select("doc_id", (F.col("doc_id") % F.col("many")).alias("item")).join(items, "item").select("doc_id", "evidence")
+    asked = d.select("doc_id").crossJoin(F.broadcast(many)).select(
+        "doc_id",
+        (F.col("doc_id") % F.col("many")).alias("item"),
+    ).join(items, "item").select("doc_id", "evidence")
     own = d.where("length(text) > 50").select("doc_id", F.substring("text", 5, 40).alias("evidence"))
-    return SU.evidence_found(asked.unionByName(own), d, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("found"))
+    return SU.evidence_found(asked.unionByName(own), d, "doc_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("found").alias("found"),
+    )
 
 
 @query("SELECT 'order' AS \"check\", CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -720,7 +955,10 @@ SELECT doc_id FROM v WHERE regexp_matches(v, 'sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A
 def secrets_scan(t):
     """Texts with tokens of known shapes (some are planted)."""
     k = F.col("doc_id") % 9
-    v = F.when(k == 0, F.concat("text", F.lit(" sk-" + "a1" * 10))).when(k == 1, F.concat("text", F.lit(" AKIA" + "Z9" * 8))).when(k == 2, "ghp_short").otherwise(F.col("text"))
+    v = F.when(
+        k == 0,
+        F.concat("text", F.lit(" sk-" + "a1" * 10)),
+    ).when(k == 1, F.concat("text", F.lit(" AKIA" + "Z9" * 8))).when(k == 2, "ghp_short").otherwise(F.col("text"))
     return t("documents").where(text.has_secret(v)).select("doc_id")
 
 
@@ -733,7 +971,10 @@ SELECT p_brand, coalesce(n, 0) AS n, latest FROM p LEFT JOIN n USING (p_brand)""
 )
 def wiki_index(t):
     """Every tag with its number of articles and newest date; tags without any are kept."""
-    used = t("lineitem").where("l_quantity = 50 and l_discount > 0.08").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    used = t("lineitem").where("l_quantity = 50 and l_discount > 0.08").join(
+        t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"),
+        "l_partkey",
+    )
     a = used.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("published"), F.array(F.struct(F.col("p_brand").alias("id"))).alias("tags"))
     return WI.index(a, t("part").select(F.col("p_brand").alias("tag_id")).distinct()).select(F.col("tag_id").alias("p_brand"), "n", "latest")
 
@@ -756,7 +997,10 @@ def stale_sources(t):
     """Sources whose last success is too long ago, as of the newest event."""
     e = t("events").withColumn("at", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).cast("timestamp"))
     s = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") != "error", F.col("at"))).alias("ok"))
-    return s.crossJoin(F.broadcast(e.agg(F.max("at").alias("now")))).select("user_id", dates.days_since(F.col("ok"), F.col("now")).alias("days")).where("days > 0")
+    return s.crossJoin(F.broadcast(e.agg(F.max("at").alias("now")))).select(
+        "user_id",
+        dates.days_since(F.col("ok"), F.col("now")).alias("days"),
+    ).where("days > 0")
 
 
 @query(
@@ -768,7 +1012,15 @@ def status_warnings(t):
     """Warnings of each source in their fixed order."""
     k = F.col("s_suppkey")
     item = F.array(F.struct(F.lit("サイズ上限を超過").alias("reason")))
-    rows = t("supplier").select(k.alias("source_id"), F.col("s_name").alias("name"), (k % 7 != 0).alias("enabled"), F.when(k % 6 != 0, "2024-01-30T00:00:00+00:00").alias("last_success_at"), (k % 4).alias("consecutive_failures"), F.when(k % 5 == 0, item).alias("retry_queue"), F.when(k % 9 == 0, F.array(F.lit("急減"))).alias("last_warnings"))
+    rows = t("supplier").select(
+        k.alias("source_id"),
+        F.col("s_name").alias("name"),
+        (k % 7 != 0).alias("enabled"),
+        F.when(k % 6 != 0, "2024-01-30T00:00:00+00:00").alias("last_success_at"),
+        (k % 4).alias("consecutive_failures"),
+        F.when(k % 5 == 0, item).alias("retry_queue"),
+        F.when(k % 9 == 0, F.array(F.lit("急減"))).alias("last_warnings"),
+    )
     return ST.warnings(rows, F.lit("2024-01-31T00:00:00+00:00").cast("timestamp"), 8)
 
 
@@ -834,7 +1086,11 @@ def stream_weekly_counts(t):
     from gleanery.streaming import flows
 
     spark = t("events").sparkSession
-    return text_days(flows.caught_up(flows.weekly_counts(_stream(t, "events"), 7, "2024-01-30"), shared_folder(spark), "update", ["from", "to", "event_type"]), "from", "to")
+    return text_days(
+        flows.caught_up(flows.weekly_counts(_stream(t, "events"), 7, "2024-01-30"), shared_folder(spark), "update", ["from", "to", "event_type"]),
+        "from",
+        "to",
+    )
 
 
 @query(
@@ -846,12 +1102,21 @@ def stream_version_state(t):
     from gleanery.streaming import flows
 
     s = _stream(t, "conversations")
-    arrivals = fetches(lambda _: s).select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("place"), F.col("content_hash").alias("hash"), (F.col("extraction_status") == "ok").alias("ok"), F.col("extraction_profile").alias("profile"))
+    arrivals = fetches(lambda _: s).select(
+        F.col("conv_id").cast("string").alias("key"),
+        F.col("turn").alias("place"),
+        F.col("content_hash").alias("hash"),
+        (F.col("extraction_status") == "ok").alias("ok"),
+        F.col("extraction_profile").alias("profile"),
+    )
     spark = s.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         out = flows.caught_up(flows.versions(arrivals), shared_folder(spark))
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set(
+            "spark.sql.streaming.stateStore.providerClass",
+            before,
+        ) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return out.select("key", "place", "change_type")

@@ -42,11 +42,22 @@ def article_files(t) -> DataFrame:
     c = t("customer").withColumn("ck", F.col("c_custkey"))
     url = F.concat(F.lit("https://example.org/c/"), ck, F.when(ck % 5 == 0, ".PDF?x=1").otherwise(""))
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    published = F.when(ck % 4 == 1, "2026").when(ck % 4 == 2, F.concat(F.lit("2026-0"), 1 + ck % 9)).when(ck % 4 == 3, F.concat(F.lit("2026-03-"), two(1 + ck % 28)))
+    published = F.when(ck % 4 == 1, "2026").when(ck % 4 == 2, F.concat(F.lit("2026-0"), 1 + ck % 9)).when(
+        ck % 4 == 3,
+        F.concat(F.lit("2026-03-"), two(1 + ck % 28)),
+    )
     basis = F.struct(F.lit("rss_pubdate").alias("method"), F.concat(F.lit("<b> "), "c_mktsegment", F.lit(" &amp;  co</b>")).alias("evidence"))
     seen = F.concat(F.lit("2026-04-"), two(1 + ck % 27), F.lit("T08:00:00+09:00"))
     latest = (1 + ck % 3).cast("int")
-    attachment = F.struct(F.lit("https://example.org/x.pdf").alias("url"), F.concat(F.lit("doc "), ck).alias("title"), F.lit("failed").alias("status"), F.lit("why").alias("error"), F.lit(None).cast("int").alias("text_length"), F.lit(3).alias("pages"), F.lit(None).cast("int").alias("pages_read"))
+    attachment = F.struct(
+        F.lit("https://example.org/x.pdf").alias("url"),
+        F.concat(F.lit("doc "), ck).alias("title"),
+        F.lit("failed").alias("status"),
+        F.lit("why").alias("error"),
+        F.lit(None).cast("int").alias("text_length"),
+        F.lit(3).alias("pages"),
+        F.lit(None).cast("int").alias("pages_read"),
+    )
 
     def version(k):
         bad = (k == latest) & (ck % 7 == 0)
@@ -76,32 +87,63 @@ def article_files(t) -> DataFrame:
         F.concat("c_name", F.lit(" "), "c_mktsegment").alias("title"),
         published.alias("published_at"),
         none.alias("updated_at"),
-        F.struct(F.when(published.isNotNull(), basis).alias("published"), F.lit(None).cast("struct<method:string,evidence:string>").alias("updated")).alias("date_basis"),
+        F.struct(
+            F.when(published.isNotNull(), basis).alias("published"),
+            F.lit(None).cast("struct<method:string,evidence:string>").alias("updated"),
+        ).alias("date_basis"),
         F.struct(kind.alias("published"), F.lit("unknown").alias("updated")).alias("date_precision"),
         seen.alias("first_seen_at"),
         F.lit("2026-06-01T08:00:00+09:00").alias("last_seen_at"),
         latest.alias("latest_version"),
         F.lit("active").alias("status"),
     )
-    return base.select(F.lit(1).alias("schema_version"), article.alias("article"), F.transform(F.sequence(F.lit(1), latest), version).alias("versions"), "ck", "c_mktsegment")
+    return base.select(
+        F.lit(1).alias("schema_version"),
+        article.alias("article"),
+        F.transform(F.sequence(F.lit(1), latest), version).alias("versions"),
+        "ck",
+        "c_mktsegment",
+    )
 
 
 def summary_rows(t) -> DataFrame:
     """Summaries of two thirds of the articles; a fifth of them have an older one that failed."""
-    a = article_files(t).select("ck", "c_mktsegment", F.col("article.article_id").alias("article_id"), F.col("article.latest_version").alias("latest")).where("ck % 3 <> 0")
+    a = article_files(t).select(
+        "ck",
+        "c_mktsegment",
+        F.col("article.article_id").alias("article_id"),
+        F.col("article.latest_version").alias("latest"),
+    ).where("ck % 3 <> 0")
     ck, none = F.col("ck"), lambda kind: F.lit(None).cast(kind)
     good = ck % 4 != 1
     strings = lambda c: F.when(good, F.array(c))
     dates_ = F.when(good, F.array(F.struct(F.lit("l").alias("label"), F.lit("2026").alias("value"), F.lit("e").alias("evidence"))))
-    tags = F.when(good, F.array(F.struct(F.col("c_mktsegment").alias("tag_id"), F.lit("r").alias("reason")), F.struct(F.lit("picked").alias("tag_id"), F.lit("p").alias("reason"))))
-    usage = F.struct(F.lit(100).cast("long").alias("input_tokens"), (ck % 50).alias("output_tokens"), F.lit(0).alias("retries"), F.lit(0.25).alias("estimated_cost_usd"))
+    tags = F.when(
+        good,
+        F.array(
+            F.struct(F.col("c_mktsegment").alias("tag_id"), F.lit("r").alias("reason")),
+            F.struct(F.lit("picked").alias("tag_id"), F.lit("p").alias("reason")),
+        ),
+    )
+    usage = F.struct(
+        F.lit(100).cast("long").alias("input_tokens"),
+        (ck % 50).alias("output_tokens"),
+        F.lit(0).alias("retries"),
+        F.lit(0.25).alias("estimated_cost_usd"),
+    )
 
     def row(version, status, error, at, full):
         keep = lambda c, kind: (c if full else none(kind))
         return [
             "article_id", version.cast("int").alias("article_version"), status.alias("analysis_status"), error.alias("error"),
-            keep(F.when(good, F.concat(F.lit("About "), "c_mktsegment")), "string").alias("summary"), keep(strings(F.lit("point")), "array<string>").alias("key_points"), keep(strings(F.lit("all")), "array<string>").alias("targets"),
-            keep(dates_, "array<struct<label:string,value:string,evidence:string>>").alias("dates"), keep(tags, "array<struct<tag_id:string,reason:string>>").alias("ai_tags"), keep(F.when(good, F.array().cast("array<string>")), "array<string>").alias("uncertainties"),
+            keep(
+                F.when(good, F.concat(F.lit("About "), "c_mktsegment")),
+                "string",
+            ).alias("summary"), keep(strings(F.lit("point")), "array<string>").alias("key_points"), keep(strings(F.lit("all")), "array<string>").alias("targets"),
+            keep(
+                dates_,
+                "array<struct<label:string,value:string,evidence:string>>",
+            ).alias("dates"), keep(tags, "array<struct<tag_id:string,reason:string>>").alias("ai_tags"), keep(F.when(good, F.array().cast("array<string>")), "array<string>").alias("uncertainties"),
             F.lit("mock").alias("provider"), F.lit("m1").alias("model"), F.lit("v1").alias("prompt_version"), F.lit("t1").alias("tags_version"), usage.alias("usage"), F.lit(at).alias("processed_at"), F.lit("h").alias("content_hash"), F.lit(False).alias("input_truncated"),
         ]
 
@@ -113,20 +155,42 @@ def summary_rows(t) -> DataFrame:
 
 def nation_sources(t) -> DataFrame:
     n = t("nation").withColumn("k", F.col("n_nationkey"))
-    return n.where("k <> 24").select(F.concat(F.lit("n"), "k").alias("source_id"), F.col("n_name").alias("name"), F.when(F.col("k") % 2 == 0, "gov").alias("source_type"), F.array(F.concat(F.lit("region"), "n_regionkey")).alias("fixed_tags"), (F.col("k") % 5 != 0).alias("enabled"))
+    return n.where("k <> 24").select(
+        F.concat(F.lit("n"), "k").alias("source_id"),
+        F.col("n_name").alias("name"),
+        F.when(F.col("k") % 2 == 0, "gov").alias("source_type"),
+        F.array(F.concat(F.lit("region"), "n_regionkey")).alias("fixed_tags"),
+        (F.col("k") % 5 != 0).alias("enabled"),
+    )
 
 
 def tag_definitions(t) -> DataFrame:
-    seg = t("customer").select(F.col("c_mktsegment").alias("tag_id")).distinct().select("tag_id", F.initcap("tag_id").alias("name"), F.col("tag_id").startswith("M").alias("enabled"))
+    seg = t("customer").select(F.col("c_mktsegment").alias("tag_id")).distinct().select(
+        "tag_id",
+        F.initcap("tag_id").alias("name"),
+        F.col("tag_id").startswith("M").alias("enabled"),
+    )
     region = t("region").select(F.concat(F.lit("region"), "r_regionkey").alias("tag_id"), F.col("r_name").alias("name"), F.lit(True).alias("enabled"))
     return seg.unionByName(region)
 
 
 def public_data(t) -> DataFrame:
     files = article_files(t)
-    base = files.select("article.article_id", "article.title", "ck", F.concat(F.lit("region"), F.lit("")).alias("x"), "c_mktsegment", "article.source_id")
+    base = files.select(
+        "article.article_id",
+        "article.title",
+        "ck",
+        F.concat(F.lit("region"), F.lit("")).alias("x"),
+        "c_mktsegment",
+        "article.source_id",
+    )
     region = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("source_id"), F.concat(F.lit("region"), "n_regionkey").alias("fixed"))
-    overrides = base.where("ck % 10 = 3").join(region, "source_id").select("article_id", F.array(F.lit("byhand")).alias("add"), F.array("fixed").alias("remove"), F.concat(F.lit("because "), "ck").alias("reason"))
+    overrides = base.where("ck % 10 = 3").join(region, "source_id").select(
+        "article_id",
+        F.array(F.lit("byhand")).alias("add"),
+        F.array("fixed").alias("remove"),
+        F.concat(F.lit("because "), "ck").alias("reason"),
+    )
     bodies = base.select("article_id", "title", F.when(F.col("ck") % 8 == 0, "the body has gold").alias("body"))
     matches = R.matches(bodies, [{"tag_id": "metal", "label": "gold", "pattern": "GOLD"}, {"tag_id": "nine", "label": "9", "pattern": r"9 [A-Z]"}])
     return PB.public_articles(files.select("article", "versions"), summary_rows(t), nation_sources(t), tag_definitions(t), overrides, matches)
@@ -154,11 +218,27 @@ def public_dataset(t):
     joined = lambda c, f: F.array_join(F.transform(c, f), " ")
     return public_data(t).select(
         "id", "source_id", "source_name", "url", "published", F.col("published_info.precision").alias("precision"),
-        F.concat("published_info.basis.method", F.lit(":"), "published_info.basis.evidence").alias("basis"), "first_seen_at", "content_status", "content_error", "latest_version",
-        joined("versions", lambda v: F.concat(v["version"], F.lit(":"), v["change_type"])).alias("versions"), joined("attachments", lambda a: F.concat(a["title"], F.lit(":"), a["note"])).alias("attachments"),
-        F.col("summary.status").alias("status"), F.col("summary.text").alias("text"), F.col("summary.error").alias("error"), F.col("summary.outdated").alias("outdated"), F.when(F.col("summary.key_points").isNotNull(), F.size("summary.key_points").cast("string")).alias("points"),
-        F.col("csv.source_type").alias("csv_type"), F.col("csv.hash").alias("csv_hash"), F.col("csv.hash_status").alias("csv_hash_status"), joined("tags", lambda x: F.concat(x["id"], F.lit("@"), x["origin"])).alias("tags"),
-        joined("removed_tags", lambda x: F.concat(x["id"], F.lit("="), x["name"])).alias("removed"), F.col("tag_override_reason").alias("override_reason"),
+        F.concat(
+            "published_info.basis.method",
+            F.lit(":"),
+            "published_info.basis.evidence",
+        ).alias("basis"), "first_seen_at", "content_status", "content_error", "latest_version",
+        joined(
+            "versions",
+            lambda v: F.concat(v["version"], F.lit(":"), v["change_type"]),
+        ).alias("versions"), joined("attachments", lambda a: F.concat(a["title"], F.lit(":"), a["note"])).alias("attachments"),
+        F.col("summary.status").alias("status"), F.col("summary.text").alias("text"), F.col("summary.error").alias("error"), F.col("summary.outdated").alias("outdated"), F.when(
+            F.col("summary.key_points").isNotNull(),
+            F.size("summary.key_points").cast("string"),
+        ).alias("points"),
+        F.col("csv.source_type").alias("csv_type"), F.col("csv.hash").alias("csv_hash"), F.col("csv.hash_status").alias("csv_hash_status"), joined(
+            "tags",
+            lambda x: F.concat(x["id"], F.lit("@"), x["origin"]),
+        ).alias("tags"),
+        joined(
+            "removed_tags",
+            lambda x: F.concat(x["id"], F.lit("="), x["name"]),
+        ).alias("removed"), F.col("tag_override_reason").alias("override_reason"),
     )
 
 
@@ -194,7 +274,12 @@ def filtered_json_export(t):
     a = public_data(t)
     PB.filtered_json(a, "open").write.text(folder)
     got = spark.read.schema("release_mode string, id string, summary struct<status:string>, tags array<struct<id:string,origin:string>>").json(folder)
-    return got.select("release_mode", "id", F.col("summary.status").alias("status"), F.array_join(F.transform("tags", lambda x: F.concat(x["id"], F.lit("@"), x["origin"])), " ").alias("tags"))
+    return got.select(
+        "release_mode",
+        "id",
+        F.col("summary.status").alias("status"),
+        F.array_join(F.transform("tags", lambda x: F.concat(x["id"], F.lit("@"), x["origin"])), " ").alias("tags"),
+    )
 
 
 @query(f"""WITH p AS ({PUBLIC_SQL}) SELECT id, status, latest_version FROM p WHERE latest_version = 3""")
@@ -217,24 +302,44 @@ def published_version(t):
 def site_meta(t):
     """What the site knows of sources and tags."""
     sources, tags = PB.meta(nation_sources(t), tag_definitions(t))
-    return sources.select(F.lit("source").alias("kind"), F.col("source_id").alias("id"), "name", "retired").unionByName(tags.select(F.lit("tag").alias("kind"), F.col("tag_id").alias("id"), "name", "retired"))
+    return sources.select(F.lit("source").alias("kind"), F.col("source_id").alias("id"), "name", "retired").unionByName(
+        tags.select(F.lit("tag").alias("kind"), F.col("tag_id").alias("id"), "name", "retired")
+    )
 
 
 @query(f"WITH {ARTICLE_SQL} SELECT CAST(count(*) AS BIGINT) AS articles, count(*) FILTER (published IS NULL) AS undated, min(id) AS first_id FROM b")
 def public_json_load(t):
     """The data set that a page carries, and the same from its files."""
     spark = t("customer").sparkSession
-    a = article_files(t).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("article.published_at").isNull()).alias("undated"), F.min("article.article_id").alias("first_id")).first()
+    a = article_files(t).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("article.published_at").isNull()).alias("undated"),
+        F.min("article.article_id").alias("first_id"),
+    ).first()
     folder = shared_folder(spark, "site")
     schemas = {"meta": "site string", "articles": "articles bigint, undated bigint, first_id string", "status": "runs int", "reports": "weeks int"}
-    data = {"meta": {"site": "s <&>"}, "articles": {"articles": a["n"], "undated": a["undated"], "first_id": a["first_id"]}, "status": {"runs": 1}, "reports": {"weeks": 2}}
+    data = {
+        "meta": {"site": "s <&>"},
+        "articles": {"articles": a["n"], "undated": a["undated"], "first_id": a["first_id"]},
+        "status": {"runs": 1},
+        "reports": {"weeks": 2},
+    }
     for name, value in data.items():
-        SK.text_file(spark.createDataFrame([(x,) for x in PB.pretty_json(value).splitlines()], "line string").coalesce(1), "", f"{folder}/{name}.json", end="\n", mark=False)
+        SK.text_file(
+            spark.createDataFrame([(x,) for x in PB.pretty_json(value).splitlines()], "line string").coalesce(1),
+            "",
+            f"{folder}/{name}.json",
+            end="\n",
+            mark=False,
+        )
     safe = spark.createDataFrame([(json.dumps(data),)], "v string").select(text.embedded_json(F.col("v"))).first()[0]
     carried = PB.load_public(spark, folder, schemas, page=f'<body><script type="application/json" id="{PB.EMBEDDED_ID}">{safe}</script></body>')
     files = PB.load_public(spark, folder, schemas)
     both = files["articles"].intersect(carried["articles"])
-    return both.join(files["meta"].intersect(carried["meta"]).where("site = 's <&>'").select(F.lit(1)), how="cross").select("articles", "undated", "first_id")
+    return both.join(
+        files["meta"].intersect(carried["meta"]).where("site = 's <&>'").select(F.lit(1)),
+        how="cross",
+    ).select("articles", "undated", "first_id")
 
 
 # ---------------------------------------------------------------- record files
@@ -253,7 +358,13 @@ def record_scan(t):
         write_text(spark, f"{folder}/{name}.json", whole if r["n_nationkey"] != 7 else whole[:30])
     runs = files.json_documents(spark, folder, "run")
     newest = files.newest_run(runs.where("run is not null")).select(F.col("run_id").alias("newest_id"))
-    return runs.join(newest, how="cross").select("file", "run.run_id", "run.status", F.col("broken").isNotNull().alias("broken"), F.coalesce(F.col("run.run_id") == F.col("newest_id"), F.lit(False)).alias("newest"))
+    return runs.join(newest, how="cross").select(
+        "file",
+        "run.run_id",
+        "run.status",
+        F.col("broken").isNotNull().alias("broken"),
+        F.coalesce(F.col("run.run_id") == F.col("newest_id"), F.lit(False)).alias("newest"),
+    )
 
 
 @query("""SELECT 'a_' || n_nationkey AS article_id, n_name AS title, 'n' || n_regionkey AS source_id, CASE n_regionkey % 2 WHEN 0 THEN r_name END AS last_success_at, n_regionkey AS failures, CAST(1 + n_nationkey % 2 AS INTEGER) AS versions FROM nation JOIN region ON r_regionkey = n_regionkey""")
@@ -266,12 +377,38 @@ def keyed_records(t):
     for r in t("nation").collect():  # one file for each of 25 nations
         k = r["n_nationkey"]
         versions = [{"article_id": f"a_{k}", "version": n} for n in range(1, 2 + k % 2)]
-        write_text(spark, f"{folder}/articles/a_{k}.json", PB.pretty_json({"schema_version": 1, "article": {"article_id": f"a_{k}", "title": r["n_name"], "source_id": f"n{r['n_regionkey']}"}, "versions": versions}))
-    states = {f"n{r['r_regionkey']}": {"source_id": f"n{r['r_regionkey']}", "last_success_at": r["r_name"] if r["r_regionkey"] % 2 == 0 else None, "consecutive_failures": r["r_regionkey"], "retry_queue": []} for r in t("region").collect()}
+        write_text(
+            spark,
+            f"{folder}/articles/a_{k}.json",
+            PB.pretty_json(
+                {
+                    "schema_version": 1,
+                    "article": {"article_id": f"a_{k}", "title": r["n_name"], "source_id": f"n{r['n_regionkey']}"},
+                    "versions": versions,
+                }
+            ),
+        )
+    states = {
+        f"n{r['r_regionkey']}": {
+            "source_id": f"n{r['r_regionkey']}",
+            "last_success_at": r["r_name"] if r["r_regionkey"] % 2 == 0 else None,
+            "consecutive_failures": r["r_regionkey"],
+            "retry_queue": [],
+        } for r in t("region").collect()
+    }
     write_text(spark, f"{folder}/state/state.json", PB.pretty_json({"schema_version": 1, "sources": states}))
     articles = files.json_documents(spark, f"{folder}/articles", "article").where(F.col("file") == F.concat("article.article_id", F.lit(".json")))
-    state = files.json_documents(spark, f"{folder}/state", "state").select(F.explode("sources").alias("key", "s")).select(F.col("key").alias("source_id"), "s.last_success_at", F.col("s.consecutive_failures").alias("failures"))
-    return articles.select("article.article_id", "article.title", "article.source_id", F.size("versions").alias("versions")).join(state, "source_id").select("article_id", "title", "source_id", "last_success_at", "failures", "versions")
+    state = files.json_documents(spark, f"{folder}/state", "state").select(F.explode("sources").alias("key", "s")).select(
+        F.col("key").alias("source_id"),
+        "s.last_success_at",
+        F.col("s.consecutive_failures").alias("failures"),
+    )
+    return articles.select(
+        "article.article_id",
+        "article.title",
+        "article.source_id",
+        F.size("versions").alias("versions"),
+    ).join(state, "source_id").select("article_id", "title", "source_id", "last_success_at", "failures", "versions")
 
 
 def write_text(spark, path: str, body: str) -> None:
@@ -308,7 +445,11 @@ def configuration(t):
     frame = lambda rows: spark.createDataFrame(rows, "name string, text string")
     twice = [("twice.json", '{"region": 1, "region": 2}')]
     read = files.parsed_files(files.overlaid(frame(base + twice), frame(over)))
-    return read.select(F.regexp_extract("name", r"^(.*)\.", 1).alias("name"), F.get_json_object("value", "$.region").alias("region"), F.get_json_object("value", "$.over").alias("over"))
+    return read.select(
+        F.regexp_extract("name", r"^(.*)\.", 1).alias("name"),
+        F.get_json_object("value", "$.region").alias("region"),
+        F.get_json_object("value", "$.over").alias("over"),
+    )
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), d AS (SELECT k, 'https://example.org/' || k AS url, CASE k % 5 WHEN 1 THEN 'https://example.org/' || (k - 1) ELSE 'https://example.org/' || k END AS final_url FROM s)
@@ -322,7 +463,12 @@ def fixture_scan(t):
     write_text(spark, f"{folder}/page.html", "<p>hi</p>")
     keys = [r[0] for r in t("supplier").select("s_suppkey").collect()]
     url = "https://example.org/{}".format
-    kinds = [lambda k: {"file": "page.html", "type": "text/html"}, lambda k: {"redirect": url(k - 1)}, lambda k: {"timeout": True}, lambda k: {"status": 404}]
+    kinds = [
+        lambda k: {"file": "page.html", "type": "text/html"},
+        lambda k: {"redirect": url(k - 1)},
+        lambda k: {"timeout": True},
+        lambda k: {"status": 404},
+    ]
     routes = [{"url": url(k)} | kinds[k % 5](k) for k in keys if k % 5 < 4]
     asked = t("supplier").select(F.concat(F.lit("https://example.org/"), "s_suppkey").alias("url"))
     return files.fixture_responses(spark, routes, folder, asked).select("url", "final_url", "error", F.col("body").cast("string").alias("body"))
@@ -390,11 +536,37 @@ def feed_scan(t):
     rfc = F.date_format("day", "EEE, dd MMM yyyy")
     dated = lambda x: F.when(F.col("k") % 11 == 0, "").otherwise(x)
     title = F.concat(F.lit("<title>T &amp; "), "k", F.lit("</title>"))
-    rss = F.concat(F.lit("<item>"), title, F.lit("<link>"), link, F.lit("?utm_source=f</link>"), dated(F.concat(F.lit("<pubDate>"), rfc, F.lit(" 10:00:00 +0900</pubDate>"))), F.lit("</item>"))
-    atom = F.concat(F.lit("<entry>"), title, F.lit('<link href="'), link, F.lit('"/>'), dated(F.concat(F.lit("<published>"), F.date_format("day", "yyyy-MM-dd"), F.lit("</published>"))), F.lit("</entry>"))
-    rdf = F.concat(F.lit("<item>"), title, F.lit("<link>"), link, F.lit("</link>"), dated(F.concat(F.lit("<dc:date>"), F.date_format("day", "yyyy-MM-dd"), F.lit("</dc:date>"))), F.lit("</item>"))
+    rss = F.concat(
+        F.lit("<item>"),
+        title,
+        F.lit("<link>"),
+        link,
+        F.lit("?utm_source=f</link>"),
+        dated(F.concat(F.lit("<pubDate>"), rfc, F.lit(" 10:00:00 +0900</pubDate>"))),
+        F.lit("</item>"),
+    )
+    atom = F.concat(
+        F.lit("<entry>"),
+        title,
+        F.lit('<link href="'),
+        link,
+        F.lit('"/>'),
+        dated(F.concat(F.lit("<published>"), F.date_format("day", "yyyy-MM-dd"), F.lit("</published>"))),
+        F.lit("</entry>"),
+    )
+    rdf = F.concat(
+        F.lit("<item>"),
+        title,
+        F.lit("<link>"),
+        link,
+        F.lit("</link>"),
+        dated(F.concat(F.lit("<dc:date>"), F.date_format("day", "yyyy-MM-dd"), F.lit("</dc:date>"))),
+        F.lit("</item>"),
+    )
     items = o.select("source", "k", F.when(kind == 0, rss).when(kind == 1, atom).otherwise(rdf).alias("xml"))
-    head = F.when(kind == 0, "<rss><channel>").when(kind == 1, '<feed xmlns="http://www.w3.org/2005/Atom">').otherwise('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">')
+    head = F.when(kind == 0, "<rss><channel>").when(kind == 1, '<feed xmlns="http://www.w3.org/2005/Atom">').otherwise(
+        '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">'
+    )
     tail = F.when(kind == 0, "</channel></rss>").when(kind == 1, "</feed>").otherwise("</rdf:RDF>")
     bad = o.sparkSession.createDataFrame([("bad", "https://example.org/", bytearray(b"<x"))], "source string, base string, body binary")
     return feeds.candidates(_bodies(items, head, tail).unionByName(bad), feeds.feed_items).select("source", "url", "rejected", "title", "published")
@@ -409,7 +581,12 @@ def sitemap_scan(t):
     k = F.col("k")
     loc = F.when(k % 40 == 1, F.concat(F.lit("mailto:"), k)).when(k % 3 == 0, F.concat(F.lit("/old/"), k)).otherwise(F.concat(F.lit("/news/"), k))
     items = _listed(t).select("source", "k", F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>2026-01-01</lastmod></url>")).alias("xml"))
-    return feeds.candidates(_bodies(items, F.lit("<urlset>"), F.lit("</urlset>")), feeds.sitemap_items, include=["/news/", "/old/"], exclude=["^https://example.org/old/"]).select("source", "url", "rejected")
+    return feeds.candidates(
+        _bodies(items, F.lit("<urlset>"), F.lit("</urlset>")),
+        feeds.sitemap_items,
+        include=["/news/", "/old/"],
+        exclude=["^https://example.org/old/"],
+    ).select("source", "url", "rejected")
 
 
 @query("""WITH o AS (SELECT 'n' || c_nationkey AS source, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1 AS n FROM orders JOIN customer ON c_custkey = o_custkey)
@@ -423,14 +600,39 @@ def paged_listing(t):
 
     o = _listed(t).withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("k")) - 1)
     ja = F.concat(F.year("day"), F.lit("年"), F.month("day"), F.lit("月"))
-    date_ = F.when(F.col("k") % 4 == 0, F.concat(F.lit('<time datetime="'), F.date_format("day", "yyyy-MM-dd"), F.lit('">x</time>'))).when(F.col("k") % 4 == 1, F.concat(F.lit('<span class="date">'), ja, F.dayofmonth("day"), F.lit("日</span>"))).when(F.col("k") % 4 == 2, F.concat(F.lit('<span class="date">'), ja, F.lit("号</span>"))).otherwise("")
-    item = F.concat(F.lit('<li class="c">'), date_, F.lit('<a href="'), F.when(F.col("k") % 9 == 5, "/old/").otherwise("/i/"), "k", F.lit('#x"><b>T '), "k", F.lit("</b> more</a></li>"))
+    date_ = F.when(
+        F.col("k") % 4 == 0,
+        F.concat(F.lit('<time datetime="'), F.date_format("day", "yyyy-MM-dd"), F.lit('">x</time>')),
+    ).when(F.col("k") % 4 == 1, F.concat(F.lit('<span class="date">'), ja, F.dayofmonth("day"), F.lit("日</span>"))).when(F.col("k") % 4 == 2, F.concat(F.lit('<span class="date">'), ja, F.lit("号</span>"))).otherwise("")
+    item = F.concat(
+        F.lit('<li class="c">'),
+        date_,
+        F.lit('<a href="'),
+        F.when(F.col("k") % 9 == 5, "/old/").otherwise("/i/"),
+        "k",
+        F.lit('#x"><b>T '),
+        "k",
+        F.lit("</b> more</a></li>"),
+    )
     page = (F.col("n") / 20).cast("int")
-    grouped = o.select("source", page.alias("page"), F.struct("k", item.alias("xml")).alias("i")).groupBy("source", "page").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    grouped = o.select(
+        "source",
+        page.alias("page"),
+        F.struct("k", item.alias("xml")).alias("i"),
+    ).groupBy("source", "page").agg(F.array_sort(F.collect_list("i")).alias("items"))
     last = grouped.groupBy("source").agg(F.max("page").alias("last"))
     of = lambda p: F.concat(F.lit("https://example.org/"), "source", F.lit("/"), p)
-    follow = F.when(F.col("page") < F.col("last"), F.concat(F.lit('<a class="next" href="'), of(F.col("page") + 1), F.lit('">next</a>'))).otherwise("")
-    body = F.concat(F.lit('<body><nav><a href="/nav">n</a></nav><ul class="l">'), F.array_join(F.transform("items", lambda i: i["xml"]), ""), F.lit("</ul>"), follow, F.lit("</body>"))
+    follow = F.when(
+        F.col("page") < F.col("last"),
+        F.concat(F.lit('<a class="next" href="'), of(F.col("page") + 1), F.lit('">next</a>')),
+    ).otherwise("")
+    body = F.concat(
+        F.lit('<body><nav><a href="/nav">n</a></nav><ul class="l">'),
+        F.array_join(F.transform("items", lambda i: i["xml"]), ""),
+        F.lit("</ul>"),
+        follow,
+        F.lit("</body>"),
+    )
     pages = grouped.join(last, "source").select("source", of(F.col("page")).alias("url"), body.alias("body"), (F.col("page") == 0).alias("entry"))
     rules = {"css_selector": "ul.l", "item_selector": "li.c", "title_selector": "b", "date_selector": ".date", "exclude": ["/old/"]}
     return markup.paged(pages, rules, "a.next", 3).select("source", "url", "title", "published")
@@ -441,10 +643,27 @@ def paged_listing(t):
 
 def supplier_state(t) -> DataFrame:
     k = F.col("s_suppkey")
-    item = lambda n: F.struct(F.concat(F.lit("https://example.org/r/"), k, F.lit("/"), F.lit(n)).alias("url"), F.concat(F.lit("x"), k).alias("article_id"), F.lit("fetch" if n == 0 else "summarize").alias("stage"), F.lit("サイズ上限を超過" if n == 0 else "添付の失敗").alias("reason"), F.lit("2026-01-01").alias("first_failed_at"), F.lit(n + 1).alias("attempts"))
-    queue = F.when(k % 4 == 0, F.array(item(0), item(1))).otherwise(F.array().cast("array<struct<url:string,article_id:string,stage:string,reason:string,first_failed_at:string,attempts:int>>"))
+    item = lambda n: F.struct(
+        F.concat(F.lit("https://example.org/r/"), k, F.lit("/"), F.lit(n)).alias("url"),
+        F.concat(F.lit("x"), k).alias("article_id"),
+        F.lit("fetch" if n == 0 else "summarize").alias("stage"),
+        F.lit("サイズ上限を超過" if n == 0 else "添付の失敗").alias("reason"),
+        F.lit("2026-01-01").alias("first_failed_at"),
+        F.lit(n + 1).alias("attempts"),
+    )
+    queue = F.when(k % 4 == 0, F.array(item(0), item(1))).otherwise(
+        F.array().cast("array<struct<url:string,article_id:string,stage:string,reason:string,first_failed_at:string,attempts:int>>")
+    )
     span = F.struct(F.lit("2025-01-01").alias("oldest"), F.lit("2026-01-01").alias("newest"), F.lit(1).alias("pages"))
-    return t("supplier").where("s_suppkey % 6 <> 5").select(k.cast("string").alias("source_id"), F.when(k % 3 != 0, "2026-01-01T00:00:00+09:00").alias("last_success_at"), F.lit("2026-01-02T00:00:00+09:00").alias("last_attempt_at"), F.when(k % 3 != 0, "success").otherwise("failed").alias("last_attempt_status"), (k % 3).cast("int").alias("consecutive_failures"), span.alias("explored_range"), queue.alias("retry_queue"))
+    return t("supplier").where("s_suppkey % 6 <> 5").select(
+        k.cast("string").alias("source_id"),
+        F.when(k % 3 != 0, "2026-01-01T00:00:00+09:00").alias("last_success_at"),
+        F.lit("2026-01-02T00:00:00+09:00").alias("last_attempt_at"),
+        F.when(k % 3 != 0, "success").otherwise("failed").alias("last_attempt_status"),
+        (k % 3).cast("int").alias("consecutive_failures"),
+        span.alias("explored_range"),
+        queue.alias("retry_queue"),
+    )
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 < 5 THEN 'success' WHEN s_suppkey % 10 < 8 THEN 'failed' WHEN s_suppkey % 10 = 8 THEN 'skipped' END AS now, s_suppkey % 6 <> 5 AS known FROM supplier)
@@ -456,10 +675,33 @@ def state_after_run(t):
     sources = t("supplier").select(F.col("s_suppkey").cast("string").alias("source_id"))
     k = F.col("s_suppkey") % 10
     span = F.struct(F.lit("new").alias("oldest"), F.lit("new").alias("newest"), F.lit(2).alias("pages"))
-    queue = F.array(F.struct(F.lit("u").alias("url"), F.lit(None).cast("string").alias("article_id"), F.lit("fetch").alias("stage"), F.lit("r").alias("reason"), F.lit("t").alias("first_failed_at"), F.lit(1).alias("attempts")))
-    results = t("supplier").where(k < 9).select(F.col("s_suppkey").cast("string").alias("source_id"), F.when(k < 5, "success").when(k < 8, "failed").otherwise("skipped").alias("status"), F.lit("t9").alias("attempted_at"), span.alias("explored_range"), queue.alias("retry_queue"))
+    queue = F.array(
+        F.struct(
+            F.lit("u").alias("url"),
+            F.lit(None).cast("string").alias("article_id"),
+            F.lit("fetch").alias("stage"),
+            F.lit("r").alias("reason"),
+            F.lit("t").alias("first_failed_at"),
+            F.lit(1).alias("attempts"),
+        )
+    )
+    results = t("supplier").where(k < 9).select(
+        F.col("s_suppkey").cast("string").alias("source_id"),
+        F.when(k < 5, "success").when(k < 8, "failed").otherwise("skipped").alias("status"),
+        F.lit("t9").alias("attempted_at"),
+        span.alias("explored_range"),
+        queue.alias("retry_queue"),
+    )
     got = S.merged_state(sources, supplier_state(t), results)
-    return got.select("source_id", "last_success_at", "last_attempt_at", "last_attempt_status", F.col("consecutive_failures").alias("failures"), F.col("explored_range.oldest").alias("oldest"), F.when(F.col("retry_queue").isNotNull(), F.size("retry_queue").cast("string")).alias("queued"))
+    return got.select(
+        "source_id",
+        "last_success_at",
+        "last_attempt_at",
+        "last_attempt_status",
+        F.col("consecutive_failures").alias("failures"),
+        F.col("explored_range.oldest").alias("oldest"),
+        F.when(F.col("retry_queue").isNotNull(), F.size("retry_queue").cast("string")).alias("queued"),
+    )
 
 
 @query("""WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS source_id, 'https://example.org/r/' || l_suppkey || '/' || (l_linenumber % 3) AS url, max(l_quantity) > 49 AS out_ FROM lineitem GROUP BY ALL),
@@ -467,11 +709,19 @@ r AS (SELECT CAST(s_suppkey AS VARCHAR) AS source_id, 'https://example.org/r/' |
 SELECT source_id, url, out_ IS NULL AS added, coalesce(NOT out_, true) OR (source_id, url) IN (SELECT (source_id, url) FROM r) AS fetched FROM (SELECT source_id, url, out_ FROM c UNION ALL SELECT source_id, url, NULL FROM r ANTI JOIN c USING (source_id, url))""")
 def candidates_and_retries(t):
     """Candidates with the URLs to fetch again (not those whose summary failed), and which are worth fetching."""
-    c = t("lineitem").groupBy(F.col("l_suppkey").cast("string").alias("source_id"), F.concat(F.lit("https://example.org/r/"), "l_suppkey", F.lit("/"), F.col("l_linenumber") % 3).alias("url")).agg((F.max("l_quantity") > 49).alias("out_"))
+    c = t("lineitem").groupBy(
+        F.col("l_suppkey").cast("string").alias("source_id"),
+        F.concat(F.lit("https://example.org/r/"), "l_suppkey", F.lit("/"), F.col("l_linenumber") % 3).alias("url"),
+    ).agg((F.max("l_quantity") > 49).alias("out_"))
     items = supplier_state(t).select("source_id", F.explode("retry_queue").alias("r")).select("source_id", "r.url", "r.stage")
     both = S.with_retries(c, items).join(c, ["source_id", "url"], "left").withColumn("judged", ~F.col("out_"))
     good = S.worth_fetching(both, items.where("stage = 'fetch'")).select("source_id", "url", F.lit(True).alias("fetched"))
-    return both.join(good, ["source_id", "url"], "left").select("source_id", "url", F.col("out_").isNull().alias("added"), F.coalesce("fetched", F.lit(False)).alias("fetched"))
+    return both.join(good, ["source_id", "url"], "left").select(
+        "source_id",
+        "url",
+        F.col("out_").isNull().alias("added"),
+        F.coalesce("fetched", F.lit(False)).alias("fetched"),
+    )
 
 
 @query("""WITH r AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS source_id, s_suppkey % 8 AS listed, s_suppkey % 8 AS uniq, s_suppkey % 3 AS merged, s_suppkey % 2 AS rejected, s_suppkey % 9 = 0 AS err, s_suppkey % 5 AS re, CASE WHEN s_suppkey % 10 <> 0 THEN 9 END AS before FROM supplier),
@@ -482,7 +732,15 @@ SELECT source_id, coalesce(string_agg(w, '|' ORDER BY n), '') AS warnings FROM w
 def run_warnings(t):
     """What a run warns of for each source, against the run before."""
     k = F.col("s_suppkey")
-    rows = t("supplier").select(k.cast("string").alias("source_id"), (k % 8).alias("listed"), (k % 8).alias("unique"), (k % 3).alias("merged"), (k % 2).alias("rejected"), F.when(k % 9 == 0, "HTTP 500").alias("error"), (k % 5).alias("reextracted"))
+    rows = t("supplier").select(
+        k.cast("string").alias("source_id"),
+        (k % 8).alias("listed"),
+        (k % 8).alias("unique"),
+        (k % 3).alias("merged"),
+        (k % 2).alias("rejected"),
+        F.when(k % 9 == 0, "HTTP 500").alias("error"),
+        (k % 5).alias("reextracted"),
+    )
     before = t("supplier").where("s_suppkey % 10 <> 0").select(k.cast("string").alias("source_id"), F.lit(9).alias("candidates"))
     return S.run_warnings(rows, before, 6).select("source_id", F.array_join("warnings", "|").alias("warnings"))
 
@@ -490,7 +748,12 @@ def run_warnings(t):
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS source_id, l_orderkey, l_linenumber, more FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n, greatest(count(*) OVER (PARTITION BY l_suppkey) - 10, 0) AS more FROM lineitem) WHERE n <= 10")
 def dry_run_head(t):
     """The first ten candidates of each source."""
-    c = t("lineitem").select(F.col("l_suppkey").cast("string").alias("source_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("position"), "l_orderkey", "l_linenumber")
+    c = t("lineitem").select(
+        F.col("l_suppkey").cast("string").alias("source_id"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("position"),
+        "l_orderkey",
+        "l_linenumber",
+    )
     return S.head(c, 10).select("source_id", "l_orderkey", "l_linenumber", "more")
 
 
@@ -518,17 +781,53 @@ def status_sources(t):
     and its settings for attachments."""
     k = F.col("s_suppkey")
     none = lambda kind: F.lit(None).cast(kind)
-    with_ = F.struct(F.lit(True).alias("pdf"), F.when(k % 2 == 0, 2).alias("max_files"), none("int").alias("max_bytes"), none("int").alias("max_pages"), F.when(k % 2 == 0, F.array(F.lit("draft"))).alias("exclude_titles"))
-    off = F.struct(F.lit(False).alias("pdf"), none("int").alias("max_files"), none("int").alias("max_bytes"), none("int").alias("max_pages"), none("array<string>").alias("exclude_titles"))
-    config = t("supplier").select(k.cast("string").alias("source_id"), F.col("s_name").alias("name"), F.when((k % 2 == 0) | (k % 5 == 1), with_).otherwise(off).alias("attachments"))
+    with_ = F.struct(
+        F.lit(True).alias("pdf"),
+        F.when(k % 2 == 0, 2).alias("max_files"),
+        none("int").alias("max_bytes"),
+        none("int").alias("max_pages"),
+        F.when(k % 2 == 0, F.array(F.lit("draft"))).alias("exclude_titles"),
+    )
+    off = F.struct(
+        F.lit(False).alias("pdf"),
+        none("int").alias("max_files"),
+        none("int").alias("max_bytes"),
+        none("int").alias("max_pages"),
+        none("array<string>").alias("exclude_titles"),
+    )
+    config = t("supplier").select(
+        k.cast("string").alias("source_id"),
+        F.col("s_name").alias("name"),
+        F.when((k % 2 == 0) | (k % 5 == 1), with_).otherwise(off).alias("attachments"),
+    )
     e = t("events").select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), (F.col("user_id") % 10).cast("string").alias("source_id"), "event_type")
     last = e.agg(F.max("run_id").alias("run_id"))
-    results = e.join(F.broadcast(last), "run_id").groupBy("source_id").agg(F.when(F.count_if(F.col("event_type") == "error") * 3 > F.count(F.lit(1)), "failed").otherwise("success").alias("status"), F.count_if(F.col("event_type") == "click").alias("new"))
+    results = e.join(F.broadcast(last), "run_id").groupBy("source_id").agg(
+        F.when(F.count_if(F.col("event_type") == "error") * 3 > F.count(F.lit(1)), "failed").otherwise("success").alias("status"),
+        F.count_if(F.col("event_type") == "click").alias("new"),
+    )
     many = t("supplier").count()  # read from file footers
-    articles = t("customer").select((F.col("c_custkey") % many).cast("string").alias("source_id"), F.when(F.col("c_acctbal") >= 0, "2026").alias("published"))
+    articles = t("customer").select(
+        (F.col("c_custkey") % many).cast("string").alias("source_id"),
+        F.when(F.col("c_acctbal") >= 0, "2026").alias("published"),
+    )
     rows = ST.attachment_settings(ST.sources(config, supplier_state(t), results, articles))
-    shown = F.when(F.col("attachments").isNotNull(), F.concat_ws(" ", "attachments.max_files", "attachments.max_pages", F.array_join("attachments.exclude_titles", "|")))
-    return rows.select("source_id", "name", "last_success_at", "consecutive_failures", "retry_count", F.col("last_run.status").alias("last_status"), F.col("last_run.new").cast("string").alias("last_new"), "articles", "date_unknown", shown.alias("attachments"))
+    shown = F.when(
+        F.col("attachments").isNotNull(),
+        F.concat_ws(" ", "attachments.max_files", "attachments.max_pages", F.array_join("attachments.exclude_titles", "|")),
+    )
+    return rows.select(
+        "source_id",
+        "name",
+        "last_success_at",
+        "consecutive_failures",
+        "retry_count",
+        F.col("last_run.status").alias("last_status"),
+        F.col("last_run.new").cast("string").alias("last_new"),
+        "articles",
+        "date_unknown",
+        shown.alias("attachments"),
+    )
 
 
 @query("""WITH r AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, max(o_orderkey) AS id, CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 2 THEN 'partial' ELSE 'success' END AS status FROM orders GROUP BY 1), f AS (SELECT *, CASE WHEN id % 5 <> 0 THEN d || 'e' END AS fin FROM r)
@@ -537,10 +836,21 @@ SELECT arg_max(status, d) AS last_run_status, arg_max(coalesce(fin, d), d) AS la
 def runs_and_dates(t):
     """The last run, the last one without failure, when data were collected, and runs newest first."""
     at = F.date_format("o_orderdate", "yyyy-MM-dd")
-    r = t("orders").groupBy(at.alias("started_at")).agg(F.max("o_orderkey").alias("id"), F.when(F.count_if(F.col("o_orderstatus") == "P") > 2, "partial").otherwise("success").alias("status"))
-    runs = r.select("started_at", F.col("id").cast("string").alias("run_id"), F.when(F.col("id") % 5 != 0, F.concat("started_at", F.lit("e"))).alias("finished_at"), "status", F.when(F.col("id") % 3 == 0, "collect").when(F.col("id") % 3 == 1, "summarize").otherwise("collect_and_summarize").alias("kind"))
+    r = t("orders").groupBy(at.alias("started_at")).agg(
+        F.max("o_orderkey").alias("id"),
+        F.when(F.count_if(F.col("o_orderstatus") == "P") > 2, "partial").otherwise("success").alias("status"),
+    )
+    runs = r.select(
+        "started_at",
+        F.col("id").cast("string").alias("run_id"),
+        F.when(F.col("id") % 5 != 0, F.concat("started_at", F.lit("e"))).alias("finished_at"),
+        "status",
+        F.when(F.col("id") % 3 == 0, "collect").when(F.col("id") % 3 == 1, "summarize").otherwise("collect_and_summarize").alias("kind"),
+    )
     seen = t("orders").select(F.lit("0").alias("first_seen_at"))
-    newest = ST.run_list(runs).limit(5).agg(F.array_join(F.transform(F.sort_array(F.collect_list("started_at"), asc=False), lambda x: x), " ").alias("newest"))
+    newest = ST.run_list(runs).limit(5).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("started_at"), asc=False), lambda x: x), " ").alias("newest")
+    )
     return ST.last_runs(runs).crossJoin(PB.data_as_of(runs, seen)).crossJoin(newest)
 
 
@@ -565,8 +875,17 @@ def source_catalogue(t):
 def unprocessed_articles(t):
     """Read versions whose last summary is not a success under the same keys."""
     files = article_files(t)
-    latest = files.select("article.article_id", F.col("article.latest_version").alias("version"), F.element_at("versions", -1)["extraction_status"].alias("extraction_status"), F.col("article.first_seen_at").alias("first_seen_at"), F.lit("m1").alias("model"), F.lit("t1").alias("tags_version"))
-    grouped = summary_rows(t).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("processed_at", F.struct(*summary_columns(t)).alias("s")))).alias("x"))
+    latest = files.select(
+        "article.article_id",
+        F.col("article.latest_version").alias("version"),
+        F.element_at("versions", -1)["extraction_status"].alias("extraction_status"),
+        F.col("article.first_seen_at").alias("first_seen_at"),
+        F.lit("m1").alias("model"),
+        F.lit("t1").alias("tags_version"),
+    )
+    grouped = summary_rows(t).groupBy("article_id").agg(
+        F.array_sort(F.collect_list(F.struct("processed_at", F.struct(*summary_columns(t)).alias("s")))).alias("x")
+    )
     done = SU.last_for_version(grouped.select("article_id", F.transform("x", lambda v: v["s"]).alias("summaries")))
     return SU.needs_processing(latest, done, ["model", "tags_version"]).select("article_id", "version")
 
@@ -586,9 +905,22 @@ def usage_totals(t):
 def summary_record(t):
     """A record's answer fields are null, not empty, for a failure; zero tokens are unknown."""
     ok, none = F.col("c_custkey") % 3 != 0, lambda k: F.lit(None).cast(k)
-    a = F.struct(F.col("c_name").alias("summary"), F.array().cast("array<string>").alias("key_points"), F.array().cast("array<string>").alias("targets"), none("array<string>").alias("dates"), F.array(F.lit("x")).alias("ai_tags"), none("array<string>").alias("uncertainties"))
+    a = F.struct(
+        F.col("c_name").alias("summary"),
+        F.array().cast("array<string>").alias("key_points"),
+        F.array().cast("array<string>").alias("targets"),
+        none("array<string>").alias("dates"),
+        F.array(F.lit("x")).alias("ai_tags"),
+        none("array<string>").alias("uncertainties"),
+    )
     got = t("customer").select("c_custkey", SU.record(ok, a, F.col("c_custkey") % 5, F.lit(1)).alias("r"))
-    return got.select("c_custkey", F.col("r.analysis_status").alias("status"), F.col("r.summary").alias("summary"), F.when(F.col("r.ai_tags").isNotNull(), F.size("r.ai_tags").cast("string")).alias("tags"), F.col("r.input_tokens").cast("string").alias("tokens"))
+    return got.select(
+        "c_custkey",
+        F.col("r.analysis_status").alias("status"),
+        F.col("r.summary").alias("summary"),
+        F.when(F.col("r.ai_tags").isNotNull(), F.size("r.ai_tags").cast("string")).alias("tags"),
+        F.col("r.input_tokens").cast("string").alias("tokens"),
+    )
 
 
 def _provider():
@@ -659,11 +991,20 @@ def article_integrity(t):
     a, v = F.col("article"), F.col("versions")
     edit = lambda f: F.transform("versions", f)
     bad = article_files(t).select(
-        F.when(k == 2, a.withField("canonical_url", F.lit("u"))).when(k == 3, a.withField("latest_version", F.lit(9))).when(k == 9, a.withField("date_precision", a["date_precision"].withField("published", F.lit("unknown")))).otherwise(a).alias("article"),
-        F.when(k == 4, edit(lambda x: x.withField("change_type", F.lit("content_changed")))).when(k == 5, edit(lambda x: x.withField("article_id", F.lit("z")))).when(k == 6, edit(lambda x: x.withField("version", x["version"] + 1))).when(k == 8, edit(lambda x: x.withField("content_hash", F.lit(None).cast("string")))).otherwise(v).alias("versions"),
+        F.when(k == 2, a.withField("canonical_url", F.lit("u"))).when(k == 3, a.withField("latest_version", F.lit(9))).when(
+            k == 9,
+            a.withField("date_precision", a["date_precision"].withField("published", F.lit("unknown"))),
+        ).otherwise(a).alias("article"),
+        F.when(k == 4, edit(lambda x: x.withField("change_type", F.lit("content_changed")))).when(k == 5, edit(lambda x: x.withField("article_id", F.lit("z")))).when(k == 6, edit(lambda x: x.withField("version", x["version"] + 1))).when(
+            k == 8,
+            edit(lambda x: x.withField("content_hash", F.lit(None).cast("string"))),
+        ).otherwise(v).alias("versions"),
         F.concat("article.article_id", F.when(k == 1, ".txt").otherwise(".json")).alias("file"),
     )
-    six = bad.withColumn("article", F.when(F.element_at("versions", 1)["version"] == 2, a.withField("latest_version", a["latest_version"] + 1)).otherwise(a))
+    six = bad.withColumn(
+        "article",
+        F.when(F.element_at("versions", 1)["version"] == 2, a.withField("latest_version", a["latest_version"] + 1)).otherwise(a),
+    )
     return VA.articles(six, nation_sources(t)).select("check", "key")
 
 
@@ -673,7 +1014,10 @@ def summary_integrity(t):
     """Summaries of unknown articles, with unknown tags, with too much or too little."""
     keys = article_files(t).select("ck", F.col("article.article_id").alias("article_id"))
     s = summary_rows(t).where("processed_at >= '2026-05-09'").join(keys, "article_id").withColumn("k", F.col("ck") % 40)
-    bad = s.withColumn("summary", F.when(F.col("k") == 2, F.repeat(F.lit("x"), 301)).when(F.col("k") == 5, F.lit("x")).otherwise(F.col("summary"))).withColumn("error", F.when(F.col("k") != 17, F.col("error")))
+    bad = s.withColumn(
+        "summary",
+        F.when(F.col("k") == 2, F.repeat(F.lit("x"), 301)).when(F.col("k") == 5, F.lit("x")).otherwise(F.col("summary")),
+    ).withColumn("error", F.when(F.col("k") != 17, F.col("error")))
     return VA.summaries(bad, keys.where("ck % 40 <> 1"), tag_definitions(t).where("enabled")).select("check", "key")
 
 
@@ -695,7 +1039,12 @@ def state_and_run_integrity(t):
     config = t("supplier").where("s_suppkey % 10 <> 1").select(F.col("s_suppkey").cast("string").alias("source_id"))
     known = t("supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("x"), "s_suppkey").alias("article_id"))
     k = F.col("s_suppkey")
-    result = lambda n: F.struct(k.cast("string").alias("source_id"), F.lit(n).alias("new"), F.lit(1).alias("changed"), F.lit(0).alias("unchanged"))
+    result = lambda n: F.struct(
+        k.cast("string").alias("source_id"),
+        F.lit(n).alias("new"),
+        F.lit(1).alias("changed"),
+        F.lit(0).alias("unchanged"),
+    )
     totals = F.struct(F.when(k % 7 == 0, 9).otherwise(3).alias("new"), F.lit(2).alias("changed"), F.lit(0).alias("unchanged"))
     runs = t("supplier").select(F.concat(F.lit("r"), k).alias("run_id"), F.array(result(1), result(2)).alias("sources"), totals.alias("totals"))
     return VA.all_of(VA.state(supplier_state(t), config, known), VA.runs(runs, config)).select("check", "key")
@@ -709,15 +1058,37 @@ def configuration_integrity(t):
     sources = []
     for r in t("supplier").select("s_suppkey").orderBy("s_suppkey").collect():
         k = r[0]
-        s = {"id": str(k), "entry_url": f"https://Example.org/{k}", "allowed_hosts": ["example.org"] if k % 10 != 1 else ["other.org"], "enabled": k % 10 != 7, "csv_id": f"C{k - 1 if k % 10 == 5 else k}", "publisher": "p", "source_type": "news", "fixed_tags": ["T0"]}
-        s |= {2: {"link_rules": {"include": ["ok", "("]}}, 3: {"fixed_tags": ["none", "T5", "T0"]}, 6: {"publisher": "", "source_type": None}, 7: {"publisher": None}}.get(k % 10, {})
+        s = {
+            "id": str(k),
+            "entry_url": f"https://Example.org/{k}",
+            "allowed_hosts": ["example.org"] if k % 10 != 1 else ["other.org"],
+            "enabled": k % 10 != 7,
+            "csv_id": f"C{k - 1 if k % 10 == 5 else k}",
+            "publisher": "p",
+            "source_type": "news",
+            "fixed_tags": ["T0"],
+        }
+        s |= {
+            2: {"link_rules": {"include": ["ok", "("]}},
+            3: {"fixed_tags": ["none", "T5", "T0"]},
+            6: {"publisher": "", "source_type": None},
+            7: {"publisher": None},
+        }.get(k % 10, {})
         sources += [s] * (2 if k == 3 else 1)
     for s in sources:
         if int(s["id"]) == 3 and sum(x is s for x in sources) == 2:
             s["csv_id"] = ""
             s["enabled"] = False
     rule = lambda label, pattern="x": {"label": label, "pattern": pattern}
-    tags = [{"id": "T0", "name": "n"}, {"id": "T1", "name": "name 1", "auto_rules": [rule("a")]}, {"id": "T2", "name": "name 2", "rule_only": True, "auto_rules": [rule("a"), rule("a")]}, {"id": "T3", "name": "name 3", "rule_only": True, "auto_rules": [rule("a", "[")]}, {"id": "T4", "name": "name 4"}, {"id": "T4", "name": "name 4"}, {"id": "T5", "name": "name 5"}]
+    tags = [
+        {"id": "T0", "name": "n"},
+        {"id": "T1", "name": "name 1", "auto_rules": [rule("a")]},
+        {"id": "T2", "name": "name 2", "rule_only": True, "auto_rules": [rule("a"), rule("a")]},
+        {"id": "T3", "name": "name 3", "rule_only": True, "auto_rules": [rule("a", "[")]},
+        {"id": "T4", "name": "name 4"},
+        {"id": "T4", "name": "name 4"},
+        {"id": "T5", "name": "name 5"},
+    ]
     found = VA.sources(sources, {x["id"] for x in tags}, {"T5"}) + VA.tags(tags)
     rows = t("supplier").sparkSession.createDataFrame(found, "check string, key string, message string")
     return rows.groupBy("check", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -730,7 +1101,11 @@ def reference_integrity(t):
     a = article_files(t).select("ck", "article.article_id", F.col("article.latest_version").alias("latest_version"))
     k = F.col("ck") % 30
     tag = F.array(F.struct(F.when(k == 3, "odd").otherwise("metal").alias("tag_id")))
-    entries = a.select("article_id", F.when(k == 2, F.col("latest_version") + 1).otherwise(F.col("latest_version")).alias("article_version"), tag.alias("tags"))
+    entries = a.select(
+        "article_id",
+        F.when(k == 2, F.col("latest_version") + 1).otherwise(F.col("latest_version")).alias("article_version"),
+        tag.alias("tags"),
+    )
     known = a.where(k != 1).select("article_id", "latest_version")
     definitions = t("region").sparkSession.createDataFrame([("metal",)], "tag_id string")
     rules = VA.rule_tags(entries, known, definitions)
@@ -738,11 +1113,19 @@ def reference_integrity(t):
     s = summary_rows(t).where("processed_at >= '2026-05-09'").join(a, "article_id")
     late = s.withColumn("article_version", F.when(k == 4, F.col("latest_version") + 1).otherwise(F.col("article_version"))).drop("latest_version")
     versions = VA.summaries(late, a, tag_definitions(t)).where(F.col("check") == "summary_version")
-    state = supplier_state(t).withColumn("key", F.when(F.col("source_id").cast("int") % 10 == 2, F.concat(F.lit("key"), "source_id")).otherwise(F.col("source_id")))
+    state = supplier_state(t).withColumn(
+        "key",
+        F.when(F.col("source_id").cast("int") % 10 == 2, F.concat(F.lit("key"), "source_id")).otherwise(F.col("source_id")),
+    )
     keys = VA.state(state, state.select("source_id"), state.select(F.explode("retry_queue.article_id").alias("article_id")))
     period = F.struct(F.lit("2026-02-01").alias("start"), F.when(F.col("s_suppkey") % 10 == 3, "2026-01-01").otherwise("2026-03-01").alias("end"))
     result = F.struct(F.col("s_suppkey").cast("string").alias("source_id"), *(F.lit(0).alias(c) for c in ("new", "changed", "unchanged")))
-    runs = t("supplier").select(F.concat(F.lit("r"), "s_suppkey").alias("run_id"), F.array(result).alias("sources"), F.struct(*(F.lit(0).alias(c) for c in ("new", "changed", "unchanged"))).alias("totals"), period.alias("period"))
+    runs = t("supplier").select(
+        F.concat(F.lit("r"), "s_suppkey").alias("run_id"),
+        F.array(result).alias("sources"),
+        F.struct(*(F.lit(0).alias(c) for c in ("new", "changed", "unchanged"))).alias("totals"),
+        period.alias("period"),
+    )
     periods = VA.runs(runs, t("supplier").select(F.col("s_suppkey").cast("string").alias("source_id")))
     return VA.all_of(rules, proposed, versions, keys, periods).select("check", "key")
 
@@ -753,7 +1136,13 @@ RECORD_SCHEMA = {
     "type": "object",
     "additionalProperties": False,
     "required": ["id", "status", "tags"],
-    "properties": {"id": {"$ref": "#/$defs/id"}, "status": {"enum": ["ok", "failed"]}, "n": {"oneOf": [{"type": "null"}, {"type": "integer", "minimum": 0}]}, "tags": {"type": "array", "uniqueItems": True, "maxItems": 3, "items": {"type": "string", "minLength": 1}}, "error": {"type": ["string", "null"]}},
+    "properties": {
+        "id": {"$ref": "#/$defs/id"},
+        "status": {"enum": ["ok", "failed"]},
+        "n": {"oneOf": [{"type": "null"}, {"type": "integer", "minimum": 0}]},
+        "tags": {"type": "array", "uniqueItems": True, "maxItems": 3, "items": {"type": "string", "minLength": 1}},
+        "error": {"type": ["string", "null"]},
+    },
     "if": {"properties": {"status": {"const": "failed"}}},
     "then": {"required": ["error"]},
 }
@@ -767,7 +1156,17 @@ def json_schema_errors(t):
     id_ = F.when(k == 1, "Bad").otherwise(F.concat(F.lit("s"), "s_suppkey"))
     status = F.when(k == 2, "odd").when(k == 3, "failed").otherwise("ok")
     tags = F.when(k == 5, '["x","x"]').when(k == 6, '["x",1]').otherwise('["x","y"]')
-    record = F.concat(F.lit('{"id":'), j(id_), F.lit(',"status":'), j(status), F.lit(',"tags":'), tags, F.when(k == 4, ',"n":-1').otherwise(',"n":null'), F.when(k == 7, ',"extra":1').otherwise(""), F.when(k == 8, "").otherwise("}"))
+    record = F.concat(
+        F.lit('{"id":'),
+        j(id_),
+        F.lit(',"status":'),
+        j(status),
+        F.lit(',"tags":'),
+        tags,
+        F.when(k == 4, ',"n":-1').otherwise(',"n":null'),
+        F.when(k == 7, ',"extra":1').otherwise(""),
+        F.when(k == 8, "").otherwise("}"),
+    )
     found = SC.schema_errors(RECORD_SCHEMA)(record)
     return t("supplier").select("s_suppkey", F.array_join(found, "|").alias("errors"))
 
@@ -779,7 +1178,9 @@ def repository_guard(t):
     """files that must not be committed, by path or by a token in their text; files with a zero byte are
     not searched."""
     k = F.col("doc_id") % 10
-    path = F.when(k == 1, "a/.env").when(k == 2, ".env.local").when(k == 3, ".env.example").when(k == 4, "web/node_modules/x.js").when(k == 5, "run.log").when(k == 6, "logs/x").otherwise(F.concat(F.lit("src/"), "doc_id", F.lit(".py")))
+    path = F.when(k == 1, "a/.env").when(k == 2, ".env.local").when(k == 3, ".env.example").when(k == 4, "web/node_modules/x.js").when(k == 5, "run.log").when(k == 6, "logs/x").otherwise(
+        F.concat(F.lit("src/"), "doc_id", F.lit(".py"))
+    )
     key = F.lit(" ghp_" + "a1" * 12)
     body = F.when(k == 7, F.concat("text", key)).when(k == 9, F.concat("text", F.lit("\x00"), key)).otherwise(F.col("text"))
     return text.unsafe_files(t("documents").select(path.alias("path"), body.cast("binary").alias("content")))
@@ -804,4 +1205,9 @@ def demo_data(t):
     problems = VA.articles(files.withColumn("file", F.concat("article.article_id", F.lit(".json"))), demo.sources(spark))
     if problems.count() or demo.runs(spark).count() != 4:
         raise AssertionError("the fictional data are not whole")
-    return files.select(F.substring("article.title", 2, 9).cast("long").alias("place"), F.col("article.title").alias("title"), F.size("versions").alias("versions"), F.col("article.date_precision.published").alias("precision"))
+    return files.select(
+        F.substring("article.title", 2, 9).cast("long").alias("place"),
+        F.col("article.title").alias("title"),
+        F.size("versions").alias("versions"),
+        F.col("article.date_precision.published").alias("precision"),
+    )

@@ -22,7 +22,10 @@ def overall(articles: DataFrame) -> DataFrame:
 def last_runs(runs: DataFrame) -> DataFrame:
     """The last run, and when the last run without any failure ended."""
     whole = runs.where("status = 'success'")
-    last = runs.agg(F.max_by("status", "started_at").alias("last_run_status"), F.max_by(F.coalesce("finished_at", "started_at"), "started_at").alias("last_run_at"))
+    last = runs.agg(
+        F.max_by("status", "started_at").alias("last_run_status"),
+        F.max_by(F.coalesce("finished_at", "started_at"), "started_at").alias("last_run_at"),
+    )
     return last.crossJoin(whole.agg(F.max_by("finished_at", "started_at").alias("last_full_success_at")))
 
 
@@ -33,13 +36,24 @@ def sources(config: DataFrame, state: DataFrame, last_results: DataFrame, articl
     joined = config.join(state, "source_id", "left").join(results, "source_id", "left").join(n, "source_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     kept = [c for c in joined.columns if c not in ("articles", "date_unknown", "consecutive_failures")]
-    return joined.select(*kept, zero("articles"), zero("date_unknown"), zero("consecutive_failures"), F.when(F.size("retry_queue") > 0, F.size("retry_queue")).otherwise(0).alias("retry_count"))
+    return joined.select(
+        *kept,
+        zero("articles"),
+        zero("date_unknown"),
+        zero("consecutive_failures"),
+        F.when(F.size("retry_queue") > 0, F.size("retry_queue")).otherwise(0).alias("retry_count"),
+    )
 
 
 def attachment_settings(config: DataFrame) -> DataFrame:
     """Settings for attached PDFs with their defaults; null for sources without."""
     a = F.col("attachments")
-    filled = F.struct(F.coalesce(a["max_files"], F.lit(3)).alias("max_files"), F.coalesce(a["max_bytes"], F.lit(10 << 20)).alias("max_bytes"), F.coalesce(a["max_pages"], F.lit(30)).alias("max_pages"), F.coalesce(a["exclude_titles"], F.array().cast("array<string>")).alias("exclude_titles"))
+    filled = F.struct(
+        F.coalesce(a["max_files"], F.lit(3)).alias("max_files"),
+        F.coalesce(a["max_bytes"], F.lit(10 << 20)).alias("max_bytes"),
+        F.coalesce(a["max_pages"], F.lit(30)).alias("max_pages"),
+        F.coalesce(a["exclude_titles"], F.array().cast("array<string>")).alias("exclude_titles"),
+    )
     return config.withColumn("attachments", F.when(F.coalesce(a["pdf"], F.lit(False)), filled))
 
 
@@ -69,7 +83,11 @@ def stale_run(last_run_at: Column, now: Column, limit: int) -> Column:
 def retries(state: DataFrame, articles: DataFrame) -> DataFrame:
     """Unfinished items of all sources with titles where the article is known."""
     items = state.select("source_id", F.explode("retry_queue").alias("r")).select("source_id", "r.*")
-    return items.join(articles.select(F.col("id").alias("article_id"), "title"), "article_id", "left").withColumn("kind", text.retry_kind(F.col("reason")))
+    return items.join(
+        articles.select(F.col("id").alias("article_id"), "title"),
+        "article_id",
+        "left",
+    ).withColumn("kind", text.retry_kind(F.col("reason")))
 
 
 def catalogue(config: DataFrame) -> DataFrame:

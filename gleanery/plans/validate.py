@@ -35,7 +35,12 @@ def duplicates(df: DataFrame, key: str, check: str) -> DataFrame:
 def missing(df: DataFrame, key: str, other: DataFrame, other_key: str, check: str) -> DataFrame:
     """Keys that do not occur in another table."""
     known = other.select(F.col(other_key).alias("__key")).distinct()
-    return _rows(df.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("__key"), "left_anti").select(key).distinct(), check, F.col(key), "the key is not known")
+    return _rows(
+        df.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("__key"), "left_anti").select(key).distinct(),
+        check,
+        F.col(key),
+        "the key is not known",
+    )
 
 
 def articles(files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -43,9 +48,16 @@ def articles(files: DataFrame, sources: DataFrame) -> DataFrame:
     a = files.select("file", "article.*", "versions")
     id_, last = F.col("article_id"), F.element_at("versions", -1)
     numbers = F.transform("versions", lambda v: v["version"])
-    dates_of = lambda c: (F.col(f"{c}_at").isNull() != (F.col(f"date_precision.{c}") == "unknown")) | (F.col(f"{c}_at").isNull() != F.col(f"date_basis.{c}").isNull())
+    dates_of = lambda c: (
+        F.col(f"{c}_at").isNull() != (F.col(f"date_precision.{c}") == "unknown")
+    ) | (F.col(f"{c}_at").isNull() != F.col(f"date_basis.{c}").isNull())
     children = F.exists("versions", lambda v: ~v["article_id"].eqNullSafe(id_))
-    halves = F.exists("versions", lambda v: (v["extraction_status"] == "ok") & (v["content_hash"].isNull() | v["extraction_error"].isNotNull()) | (v["extraction_status"] != "ok") & v["extraction_error"].isNull())
+    halves = F.exists(
+        "versions",
+        lambda v: (v["extraction_status"] == "ok") & (
+            v["content_hash"].isNull() | v["extraction_error"].isNotNull()
+        ) | (v["extraction_status"] != "ok") & v["extraction_error"].isNull(),
+    )
     rules = [
         (F.col("file") != F.concat("article_id", F.lit(".json")), "file_name", F.col("file"), "the file is not named by its id"),
         (id_ != text.article_id(F.col("canonical_url")), "article_id", id_, "the id is not the hash of the URL"),
@@ -56,7 +68,9 @@ def articles(files: DataFrame, sources: DataFrame) -> DataFrame:
         (halves, "version_state", id_, "status, hash and error do not go together"),
         (dates_of("published") | dates_of("updated"), "dates", id_, "value, precision and basis do not go together"),
     ]
-    broken = [_each(files, (F.col("broken").isNotNull(), "readable", F.col("file"), "the file is not valid JSON"))] if "broken" in files.columns else []
+    broken = [
+        _each(files, (F.col("broken").isNotNull(), "readable", F.col("file"), "the file is not valid JSON"))
+    ] if "broken" in files.columns else []
     return all_of(*broken, _each(a, *rules), missing(a, "source_id", sources, "source_id", "source"))
 
 
@@ -66,14 +80,26 @@ def summaries(rows: DataFrame, known: DataFrame, tags: DataFrame) -> DataFrame:
     content = ["summary", "key_points", "targets", "dates", "ai_tags", "uncertainties"]
     some, all_ = reduce(Column.__or__, [F.col(c).isNotNull() for c in content]), reduce(Column.__and__, [F.col(c).isNotNull() for c in content])
     used = rows.select(F.explode("ai_tags.tag_id").alias("tag_id"))
-    versions = [_rows(rows.join(known.select("article_id", "latest_version"), "article_id").where("article_version > latest_version"), "summary_version", F.col("article_id"), "the version does not exist")] if "latest_version" in known.columns else []
+    versions = [
+        _rows(
+            rows.join(known.select("article_id", "latest_version"), "article_id").where("article_version > latest_version"),
+            "summary_version",
+            F.col("article_id"),
+            "the version does not exist",
+        )
+    ] if "latest_version" in known.columns else []
     return all_of(
         *versions,
         missing(rows, "article_id", known, "article_id", "summary_article"),
         missing(used, "tag_id", tags, "tag_id", "summary_tag"),
         _each(
             rows,
-            (ok & (~all_ | (F.length("summary") > 300) | (F.size("key_points") > 5)), "summary_success", F.col("article_id"), "a success lacks fields or exceeds limits"),
+            (
+                ok & (~all_ | (F.length("summary") > 300) | (F.size("key_points") > 5)),
+                "summary_success",
+                F.col("article_id"),
+                "a success lacks fields or exceeds limits",
+            ),
             (~ok & some, "summary_failure", F.col("article_id"), "a failure has content"),
             (~ok & F.col("error").isNull(), "summary_reason", F.col("article_id"), "a failure has no reason"),
         ),
@@ -126,7 +152,13 @@ def sources(config: list[dict], tag_ids: set[str], disabled: set[str] = frozense
             out.append(("entry_host", s["id"], "the entry's host is not allowed"))
         links = s.get("link_rules") or {}
         out += _patterns(s["id"], [*links.get("include", []), *links.get("exclude", []), *(s.get("attachments") or {}).get("exclude_titles", [])])
-        out += [("fixed_tag", s["id"], f"the tag is not registered or disabled: {t}") for t in s.get("fixed_tags", []) if t not in tag_ids or t in disabled]
+        out += [
+            (
+                "fixed_tag",
+                s["id"],
+                f"the tag is not registered or disabled: {t}",
+            ) for t in s.get("fixed_tags", []) if t not in tag_ids or t in disabled
+        ]
         if s.get("enabled"):
             out += [("csv_field", s["id"], f"an enabled source needs {f}") for f in CSV_FIELDS if not s.get(f)]
     return out
@@ -151,7 +183,11 @@ def rule_tags(entries: DataFrame, known: DataFrame, definitions: DataFrame) -> D
     ``known``: ``article_id, latest_version``."""
     newer = entries.join(known.select("article_id", "latest_version"), "article_id").where("article_version > latest_version")
     used = entries.select(F.explode("tags.tag_id").alias("tag_id"))
-    return all_of(missing(entries, "article_id", known, "article_id", "rule_article"), _rows(newer, "rule_version", F.col("article_id"), "the version is newer than the article's"), missing(used, "tag_id", definitions, "tag_id", "rule_tag"))
+    return all_of(
+        missing(entries, "article_id", known, "article_id", "rule_article"),
+        _rows(newer, "rule_version", F.col("article_id"), "the version is newer than the article's"),
+        missing(used, "tag_id", definitions, "tag_id", "rule_tag"),
+    )
 
 
 def tag_candidates(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -160,8 +196,15 @@ def tag_candidates(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def state(rows: DataFrame, config: DataFrame, known: DataFrame) -> DataFrame:
     items = rows.select(F.explode("retry_queue").alias("r")).select("r.*")
-    keys = [_rows(rows.where(~F.col("key").eqNullSafe(F.col("source_id"))), "state_key", F.col("key"), "the key is not the source's id")] if "key" in rows.columns else []
-    return all_of(*keys, missing(rows, "source_id", config, "source_id", "state_source"), missing(items, "article_id", known, "article_id", "retry_article"), _rows(rows.where("consecutive_failures < 0"), "state_failures", F.col("source_id"), "a negative count"))
+    keys = [
+        _rows(rows.where(~F.col("key").eqNullSafe(F.col("source_id"))), "state_key", F.col("key"), "the key is not the source's id")
+    ] if "key" in rows.columns else []
+    return all_of(
+        *keys,
+        missing(rows, "source_id", config, "source_id", "state_source"),
+        missing(items, "article_id", known, "article_id", "retry_article"),
+        _rows(rows.where("consecutive_failures < 0"), "state_failures", F.col("source_id"), "a negative count"),
+    )
 
 
 def runs(rows: DataFrame, config: DataFrame) -> DataFrame:
@@ -169,8 +212,15 @@ def runs(rows: DataFrame, config: DataFrame) -> DataFrame:
     flat = rows.select("run_id", F.explode("sources").alias("s"), "totals")
     sums = flat.groupBy("run_id", "totals").agg(*(F.sum(f"s.{c}").alias(c) for c in ("new", "changed", "unchanged")))
     wrong = sums.where(reduce(Column.__or__, [F.col(c) != F.col(f"totals.{c}") for c in ("new", "changed", "unchanged")]))
-    period = [_rows(rows.where("period.start > period.`end`"), "run_period", F.col("run_id"), "the period ends before it starts")] if "period" in rows.columns else []
-    return all_of(missing(flat.select("s.source_id"), "source_id", config, "source_id", "run_source"), _rows(wrong, "run_totals", F.col("run_id"), "totals are not the sums"), duplicates(rows, "run_id", "run_id"), *period)
+    period = [
+        _rows(rows.where("period.start > period.`end`"), "run_period", F.col("run_id"), "the period ends before it starts")
+    ] if "period" in rows.columns else []
+    return all_of(
+        missing(flat.select("s.source_id"), "source_id", config, "source_id", "run_source"),
+        _rows(wrong, "run_totals", F.col("run_id"), "totals are not the sums"),
+        duplicates(rows, "run_id", "run_id"),
+        *period,
+    )
 
 
 def public(articles_: DataFrame, values: list[str] = ()) -> DataFrame:

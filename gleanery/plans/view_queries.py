@@ -83,7 +83,17 @@ def routes(t):
         for batch in batches:
             rows = []
             for k in batch["n_nationkey"]:
-                link = [f"#/", f"#/search?q=n{k}", f"#/articles/a_{k}", f"#/wiki/t{k}", "#/wiki", "#/report", f"#/?q=old{k}", "#/status", "#nothing"][k % 9]
+                link = [
+                    f"#/",
+                    f"#/search?q=n{k}",
+                    f"#/articles/a_{k}",
+                    f"#/wiki/t{k}",
+                    "#/wiki",
+                    "#/report",
+                    f"#/?q=old{k}",
+                    "#/status",
+                    "#nothing",
+                ][k % 9]
                 view, argument = Q.route(link)
                 rows.append((k, view, argument, Q.Filters.parse(argument).q if view == "search" else ""))
             yield pd.DataFrame(rows, columns=["k", "view", "argument", "q"])
@@ -111,7 +121,11 @@ def fixed_tags(t):
     p = t("part")
     source = F.concat("p_type", F.lit("|"), "p_brand")
     articles = p.where("p_size >= 5").select(F.concat(F.lit("a"), "p_partkey").alias("article_id"), source.alias("source_id"))
-    sources = p.select(source.alias("source_id"), F.col("p_type").alias("name"), F.when(F.col("p_brand") == "Brand#1", F.array().cast("array<string>")).otherwise(F.array("p_brand")).alias("fixed_tags")).distinct()
+    sources = p.select(
+        source.alias("source_id"),
+        F.col("p_type").alias("name"),
+        F.when(F.col("p_brand") == "Brand#1", F.array().cast("array<string>")).otherwise(F.array("p_brand")).alias("fixed_tags"),
+    ).distinct()
     return G.fixed_tags(articles, sources).select(F.col("article_id").alias("id"), F.col("tag_id").alias("fixed"), "reason")
 
 
@@ -119,7 +133,9 @@ def fixed_tags(t):
 def selectable_tags(t):
     """tags that AI may choose: enabled and not left to rules."""
     b = t("part").select(F.col("p_brand").alias("tag_id")).distinct()
-    return G.selectable(b.select("tag_id", (F.length("tag_id") == 8).alias("enabled"), F.when(F.col("tag_id") == "Brand#13", True).alias("rule_only"))).select("tag_id")
+    return G.selectable(
+        b.select("tag_id", (F.length("tag_id") == 8).alias("enabled"), F.when(F.col("tag_id") == "Brand#13", True).alias("rule_only"))
+    ).select("tag_id")
 
 
 @query("""SELECT r_regionkey AS k, 'rule ' || r_regionkey AS label, 'r' || r_regionkey AS tag_id, CASE r_regionkey WHEN 4 THEN 4 ELSE 1 + r_regionkey END AS place FROM region WHERE r_regionkey <> 3""")
@@ -143,9 +159,18 @@ def text_functions(t):
     """Folding for search and evidence, markup out of evidence, cut texts."""
     k, user = F.col("event_id"), F.col("user_id").cast("string")
     wide = widened(F.concat("event_type", F.lit(" "), user))
-    marked = F.when(k % 4 == 0, F.concat(F.lit("<b>"), "event_type", F.lit(" &amp;\n &lt;"), user, F.lit("&gt;</b> "))).when(k % 4 == 1, "<br>").otherwise(F.concat(F.lit("<time datetime='x'>"), "event_type", F.lit("</time>\t "), user))
+    marked = F.when(
+        k % 4 == 0,
+        F.concat(F.lit("<b>"), "event_type", F.lit(" &amp;\n &lt;"), user, F.lit("&gt;</b> ")),
+    ).when(k % 4 == 1, "<br>").otherwise(F.concat(F.lit("<time datetime='x'>"), "event_type", F.lit("</time>\t "), user))
     long = F.when(k % 2 == 0, F.repeat(F.lit("x"), 121)).otherwise(F.concat(F.lit("  "), "event_type", F.lit("\n a \t b ")))
-    return t("events").select("event_id", text.searchable(wide).alias("searchable"), text.squeezed(F.concat(F.lit("　"), wide, F.lit(" \n"))).alias("squeezed"), text.plain_text(marked).alias("plain"), text.short(long).alias("short"))
+    return t("events").select(
+        "event_id",
+        text.searchable(wide).alias("searchable"),
+        text.squeezed(F.concat(F.lit("　"), wide, F.lit(" \n"))).alias("squeezed"),
+        text.plain_text(marked).alias("plain"),
+        text.short(long).alias("short"),
+    )
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'size_limit' WHEN event_id % 5 = 1 THEN 'attachment' ELSE 'other' END AS retry, CASE event_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'pdf' WHEN 2 THEN 'pdf' ELSE 'html' END AS kind,
@@ -155,11 +180,27 @@ def classified_texts(t):
     """Kinds of failures and documents, texts for prompts, safe links, JSON within pages."""
     k = F.col("event_id")
     reason = F.when(k % 5 == 0, "サイズ上限を超過（添付）").when(k % 5 == 1, "添付PDFの取得に失敗").otherwise("HTTP 500")
-    kind = text.document_type(F.when(k % 4 == 0, "Application/PDF").otherwise("text/html"), F.when(k % 4 == 1, "https://a.jp/X.PDF").otherwise("https://a.jp/x"), F.when(k % 4 == 2, "%PDF-1.7").otherwise("<html>"))
+    kind = text.document_type(
+        F.when(k % 4 == 0, "Application/PDF").otherwise("text/html"),
+        F.when(k % 4 == 1, "https://a.jp/X.PDF").otherwise("https://a.jp/x"),
+        F.when(k % 4 == 2, "%PDF-1.7").otherwise("<html>"),
+    )
     prompt = text.prompt_text(F.concat(F.lit("<document>"), "event_type", F.lit("</document> "), F.repeat(F.lit("y"), 30000)))
-    href = text.safe_href(F.when(k % 4 == 0, F.concat(F.lit("https://a.jp/"), k)).when(k % 4 == 1, "#/x").when(k % 4 == 2, "javascript:x()").otherwise("data:text/html,x"))
+    href = text.safe_href(
+        F.when(
+            k % 4 == 0,
+            F.concat(F.lit("https://a.jp/"), k),
+        ).when(k % 4 == 1, "#/x").when(k % 4 == 2, "javascript:x()").otherwise("data:text/html,x")
+    )
     json_ = F.concat(F.lit('{"a": "<'), "event_type", F.lit('& "}'))
-    return t("events").select("event_id", text.retry_kind(reason).alias("retry"), kind.alias("kind"), prompt.alias("prompt"), href.alias("href"), text.embedded_json(json_).alias("embedded"))
+    return t("events").select(
+        "event_id",
+        text.retry_kind(reason).alias("retry"),
+        kind.alias("kind"),
+        prompt.alias("prompt"),
+        href.alias("href"),
+        text.embedded_json(json_).alias("embedded"),
+    )
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '要約済み' WHEN 1 THEN '未要約（AI APIエラー）' ELSE 'strange' END AS summary, CASE c_custkey % 2 WHEN 0 THEN '本文取得済み' ELSE '本文未取得（未対応の形式）' END AS content, CASE c_custkey % 2 WHEN 0 THEN '一覧に見当たらない' ELSE '自動取得の対象外' END AS article,
@@ -170,7 +211,15 @@ def wording(t):
     two = lambda a, b: F.when(k % 2 == 0, a).otherwise(b)
     three = F.when(k % 3 == 0, "success").when(k % 3 == 1, "failed_api_error").otherwise("strange")
     origin = F.when(k % 4 == 0, "ai").when(k % 4 == 1, "human").when(k % 4 == 2, "source").otherwise("rule")
-    shown = {"summary": ("summary_status", three), "content": ("content_status", two("ok", "unsupported")), "article": ("article_status", two("missing_from_listing", "unsupported")), "method": ("date_method", two("rss_pubdate", "page_data")), "precision": ("precision", two("month", "unknown")), "origin": ("origin", origin), "run": ("run_status", two("partial", "running"))}
+    shown = {
+        "summary": ("summary_status", three),
+        "content": ("content_status", two("ok", "unsupported")),
+        "article": ("article_status", two("missing_from_listing", "unsupported")),
+        "method": ("date_method", two("rss_pubdate", "page_data")),
+        "precision": ("precision", two("month", "unknown")),
+        "origin": ("origin", origin),
+        "run": ("run_status", two("partial", "running")),
+    }
     return t("customer").select("c_custkey", *(text.label(kind, value).alias(name) for name, (kind, value) in shown.items()))
 
 
@@ -180,18 +229,48 @@ def titles_and_profiles(t):
     """Which title counts, how a body is read, types and ids in the external CSV."""
     k, none = F.col("c_custkey"), F.lit(None).cast("string")
     url = F.concat(F.lit("https://e.org/"), k)
-    title = F.when(k % 4 == 0, V.chosen_title(F.lit("pdf"), F.lit("candidate"), F.lit("page"), url)).when(k % 4 == 1, V.chosen_title(F.lit("html"), F.lit(" "), none, url)).when(k % 4 == 2, V.chosen_title(F.lit("html"), F.lit("candidate"), F.concat(F.lit("page "), k), url)).otherwise(V.chosen_title(F.lit("pdf"), none, F.repeat(F.lit("x"), 400), url))
-    profile = V.extraction_profile(F.when(k % 5 == 0, "pdf").otherwise("html"), k % 3 != 2, F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")), F.when(k % 3 == 0, 2))
+    title = F.when(k % 4 == 0, V.chosen_title(F.lit("pdf"), F.lit("candidate"), F.lit("page"), url)).when(k % 4 == 1, V.chosen_title(F.lit("html"), F.lit(" "), none, url)).when(
+        k % 4 == 2,
+        V.chosen_title(F.lit("html"), F.lit("candidate"), F.concat(F.lit("page "), k), url),
+    ).otherwise(V.chosen_title(F.lit("pdf"), none, F.repeat(F.lit("x"), 400), url))
+    profile = V.extraction_profile(
+        F.when(k % 5 == 0, "pdf").otherwise("html"),
+        k % 3 != 2,
+        F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")),
+        F.when(k % 3 == 0, 2),
+    )
     link = F.concat(url, F.when(k % 5 == 0, "/X.Pdf?y=1#z").otherwise("?f=a.pdf"))
-    return t("customer").select("c_custkey", title.alias("title"), profile.alias("profile"), text.csv_source_type(link, F.lit("")).alias("csv_type"), text.csv_source_id(F.when(k % 7 != 0, F.concat(F.lit("CSV"), k)), F.lit("a-b.1")).alias("csv_id"))
+    return t("customer").select(
+        "c_custkey",
+        title.alias("title"),
+        profile.alias("profile"),
+        text.csv_source_type(link, F.lit("")).alias("csv_type"),
+        text.csv_source_id(F.when(k % 7 != 0, F.concat(F.lit("CSV"), k)), F.lit("a-b.1")).alias("csv_id"),
+    )
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS article_id, CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS content_hash, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE 'html' END AS content_type, CAST(CASE WHEN doc_id % 3 <> 0 THEN length(text) END AS VARCHAR) AS text_length, CASE WHEN doc_id % 3 = 0 THEN 'HTTP 500' END AS error FROM documents""")
 def version_rows(t):
     """Versions of results of extraction; a failure has neither hash nor length."""
     k = F.col("doc_id")
-    results = t("documents").select(k.cast("string").alias("article_id"), F.lit(1).alias("version"), F.when(k % 3 == 0, "failed").otherwise("ok").alias("status"), F.md5("text").alias("content_hash"), F.lit("t").alias("fetched_at"), F.when(k % 3 != 0, "html").alias("content_type"), "text", F.when(k % 3 == 0, "HTTP 500").alias("error"), F.lit("new").alias("change_type"))
-    return V.version_records(results).select("article_id", "content_hash", "content_type", F.col("text_length").cast("string").alias("text_length"), F.col("extraction_error").alias("error"))
+    results = t("documents").select(
+        k.cast("string").alias("article_id"),
+        F.lit(1).alias("version"),
+        F.when(k % 3 == 0, "failed").otherwise("ok").alias("status"),
+        F.md5("text").alias("content_hash"),
+        F.lit("t").alias("fetched_at"),
+        F.when(k % 3 != 0, "html").alias("content_type"),
+        "text",
+        F.when(k % 3 == 0, "HTTP 500").alias("error"),
+        F.lit("new").alias("change_type"),
+    )
+    return V.version_records(results).select(
+        "article_id",
+        "content_hash",
+        "content_type",
+        F.col("text_length").cast("string").alias("text_length"),
+        F.col("extraction_error").alias("error"),
+    )
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, string_agg('[添付PDF]' || l_returnflag || l_linenumber || chr(10) || 'text ' || l_quantity, chr(10) ORDER BY l_linenumber, l_partkey, l_extendedprice) AS t FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
@@ -199,7 +278,13 @@ SELECT o_orderkey AS k, 'body ' || o_orderkey || coalesce(chr(10) || t, '') AS t
 def bodies_with_attachments(t):
     """Bodies with the texts of their readable attachments, each under its title, normalised as a whole."""
     pos = F.struct("l_linenumber", "l_partkey", "l_extendedprice")
-    a = t("lineitem").select(F.col("l_orderkey").alias("article_id"), pos.alias("position"), F.concat("l_returnflag", "l_linenumber").alias("title"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("failed").alias("status"), F.concat(F.lit("\n text　"), "l_quantity", F.lit(" \n\n")).alias("text"))
+    a = t("lineitem").select(
+        F.col("l_orderkey").alias("article_id"),
+        pos.alias("position"),
+        F.concat("l_returnflag", "l_linenumber").alias("title"),
+        F.when(F.col("l_linestatus") == "F", "ok").otherwise("failed").alias("status"),
+        F.concat(F.lit("\n text　"), "l_quantity", F.lit(" \n\n")).alias("text"),
+    )
     bodies = t("orders").select(F.col("o_orderkey").alias("article_id"), F.concat(F.lit("body "), "o_orderkey").alias("text"))
     return V.with_attachments(bodies, a).select(F.col("article_id").alias("k"), "text")
 
@@ -214,10 +299,16 @@ def carried_page_data(t):
     k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
     parts = F.concat(F.lit('"T '), n, F.lit('","<p>body '), n, F.lit('</p>"'))
     plain = F.concat(F.lit('[{"data":1},{"k":2},{"title":3,"body":4,"_meta":5},'), parts, F.lit(',{"publishedAt":6},"2026-09-07"]'))
-    wrapped = F.concat(F.lit('[["Reactive",1],{"data":2},["ShallowRef",3],{"k":4},{"title":5,"body":6,"_meta":7},'), parts, F.lit(',{"publishedAt":8},["Date","2026-09-08"]]'))
+    wrapped = F.concat(
+        F.lit('[["Reactive",1],{"data":2},["ShallowRef",3],{"k":4},{"title":5,"body":6,"_meta":7},'),
+        parts,
+        F.lit(',{"publishedAt":8},["Date","2026-09-08"]]'),
+    )
     looping = F.concat(F.lit('[{"data":1},{"k":2,"again":1},{"title":3,"body":4,"_meta":5,"up":0},'), parts, F.lit(',["Set",6],["Ref",6]]'))
     data = F.when(k == 0, plain).when(k == 1, wrapped).otherwise(looping)
-    body = F.when(k == 4, "<body><h1>T</h1><main>own text</main></body>").otherwise(F.concat(F.lit('<body><script id="__NUXT_DATA__" type="application/json">'), data, F.lit("</script></body>")))
+    body = F.when(k == 4, "<body><h1>T</h1><main>own text</main></body>").otherwise(
+        F.concat(F.lit('<body><script id="__NUXT_DATA__" type="application/json">'), data, F.lit("</script></body>"))
+    )
     pages = t("pages").select(F.col("page_id").alias("id"), F.lit("https://a.jp/").alias("url"), body.alias("body"))
     return extracted(pages).select(F.col("id").alias("page_id"), "title", "text", "published", F.col("published_method").alias("method"))
 
@@ -231,9 +322,28 @@ def page_extraction(t):
     n = F.col("page_id").cast("string")
     day = (1 + F.col("page_id") % 28).cast("string")
     meta = F.when(F.col("page_id") % 2 == 0, '<meta name="date" content="2026-01-02">').otherwise("")
-    body = F.concat(F.lit("<html><head><title>x</title>"), meta, F.lit("</head><body><header>top</header><nav>n</nav><h1>H "), n, F.lit('</h1><main><div class="share">s</div><p>掲載日：２０２６年９月'), day, F.lit("日</p><p>Body&nbsp; "), n, F.lit(' <a href="/f/'), n, F.lit('.pdf">doc</a></p><script>x()</script></main><footer>f</footer></body></html>'))
+    body = F.concat(
+        F.lit("<html><head><title>x</title>"),
+        meta,
+        F.lit("</head><body><header>top</header><nav>n</nav><h1>H "),
+        n,
+        F.lit('</h1><main><div class="share">s</div><p>掲載日：２０２６年９月'),
+        day,
+        F.lit("日</p><p>Body&nbsp; "),
+        n,
+        F.lit(' <a href="/f/'),
+        n,
+        F.lit('.pdf">doc</a></p><script>x()</script></main><footer>f</footer></body></html>'),
+    )
     got = extracted(t("pages").select(F.col("page_id").alias("id"), F.lit("https://a.jp/").alias("url"), body.alias("body")))
-    return got.select(F.col("id").alias("page_id"), "title", "text", "published", F.col("published_method").alias("method"), F.col("pdf_links")[0]["url"].alias("pdf"))
+    return got.select(
+        F.col("id").alias("page_id"),
+        "title",
+        "text",
+        "published",
+        F.col("published_method").alias("method"),
+        F.col("pdf_links")[0]["url"].alias("pdf"),
+    )
 
 
 @query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'unsupported' ELSE 'ok' END AS status, CAST(CASE page_id % 3 WHEN 0 THEN 0 ELSE 3 END AS INTEGER) AS pages, CAST(CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS pages_read,
@@ -271,7 +381,9 @@ def text_download(t):
     """A text file as it is downloaded, read back."""
     spark = t("events").sparkSession
     folder = shared_folder(spark, "download")
-    lines = t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type").select(text.csv_line(F.col("event_type"), F.col("n")).alias("line"))
+    lines = t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type").select(
+        text.csv_line(F.col("event_type"), F.col("n")).alias("line")
+    )
     SK.text_file(lines, "kind,n", f"{folder}/x.csv")
     return spark.read.option("lineSep", "\r\n").text(f"{folder}/x.csv").where(~F.col("value").endswith("kind,n")).select(F.col("value").alias("line"))
 
@@ -286,19 +398,44 @@ def date_rules(t):
     """Dates of any form, which of several counts, late ones, how they are kept."""
     k, iso, none = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(None).cast("string")
     era = F.concat(F.lit("平成"), F.year("o_orderdate") - 1988, F.lit("年"), F.month("o_orderdate"), F.lit("月"), F.dayofmonth("o_orderdate"), F.lit("日"))
-    raw = F.when(k % 4 == 0, iso).when(k % 4 == 1, F.date_format("o_orderdate", "EEE, dd MMM yyyy 10:00:00 '+0900'")).when(k % 4 == 2, era).otherwise("no date")
-    chosen = dates.chosen_date(F.when(k % 3 == 0, "feed"), F.when(k % 3 == 1, "page").otherwise("pdf"), F.when(k % 3 == 1, "html_meta").otherwise("pdf_metadata"), F.lit("list"))
+    raw = F.when(k % 4 == 0, iso).when(
+        k % 4 == 1,
+        F.date_format("o_orderdate", "EEE, dd MMM yyyy 10:00:00 '+0900'"),
+    ).when(k % 4 == 2, era).otherwise("no date")
+    chosen = dates.chosen_date(
+        F.when(k % 3 == 0, "feed"),
+        F.when(k % 3 == 1, "page").otherwise("pdf"),
+        F.when(k % 3 == 1, "html_meta").otherwise("pdf_metadata"),
+        F.lit("list"),
+    )
     published, updated = dates.merged_dates(F.when(k % 2 == 0, "1990"), F.lit("new"), F.lit("old"), F.when(k % 3 != 0, "new"))
     value = F.when(k % 4 == 0, iso).when(k % 4 == 1, F.concat(iso, F.lit("T20:30:00+00:00"))).when(k % 4 == 2, F.substring(iso, 1, 7))
-    return t("orders").select(k.alias("k"), dates.parse_any(raw).alias("found"), chosen.alias("chosen"), published.alias("published"), updated.alias("updated"), dates.stored(value, F.lit("e"))["value"].alias("stored"), dates.day_or_empty(value).alias("day"))
+    return t("orders").select(
+        k.alias("k"),
+        dates.parse_any(raw).alias("found"),
+        chosen.alias("chosen"),
+        published.alias("published"),
+        updated.alias("updated"),
+        dates.stored(value, F.lit("e"))["value"].alias("stored"),
+        dates.day_or_empty(value).alias("day"),
+    )
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT k, strftime(CASE k % 4 WHEN 0 THEN d - 14 WHEN 1 THEN d - 30 WHEN 2 THEN DATE '1995-01-01' END, '%Y-%m-%d') AS lo, strftime(CASE k % 4 WHEN 2 THEN NULL WHEN 3 THEN DATE '1996-01-01' ELSE d END, '%Y-%m-%d') AS hi FROM o""")
 def collection_windows(t):
     """From two weeks before the last success, a month back at first, or the period asked for."""
     k, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
-    lo, hi = dates.collection_window(day, F.when(k == 0, day), start=F.when(k == 2, F.lit("1995-01-01").cast("date")), end=F.when(k == 3, F.lit("1996-01-01").cast("date")))
-    return t("orders").select(F.col("o_orderkey").alias("k"), F.date_format(lo, "yyyy-MM-dd").alias("lo"), F.date_format(hi, "yyyy-MM-dd").alias("hi"))
+    lo, hi = dates.collection_window(
+        day,
+        F.when(k == 0, day),
+        start=F.when(k == 2, F.lit("1995-01-01").cast("date")),
+        end=F.when(k == 3, F.lit("1996-01-01").cast("date")),
+    )
+    return t("orders").select(
+        F.col("o_orderkey").alias("k"),
+        F.date_format(lo, "yyyy-MM-dd").alias("lo"),
+        F.date_format(hi, "yyyy-MM-dd").alias("hi"),
+    )
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), m AS (SELECT max(d) AS m FROM o) SELECT count(*) AS n, strftime(min(d), '%Y-%m-%d') AS lo, strftime(max(d), '%Y-%m-%d') AS hi FROM o, m WHERE d BETWEEN m - 6 AND m""")
@@ -317,7 +454,12 @@ def nested_records(t):
     line = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_suppkey")
     a = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     return a.select(
-        "k", F.exists("lines", lambda x: x["l_returnflag"] == "R").alias("any_r"), F.forall("lines", lambda x: x["l_quantity"] > 5).alias("all_large"),
+        "k", F.exists(
+            "lines",
+            lambda x: x["l_returnflag"] == "R",
+        ).alias("any_r"), F.forall("lines", lambda x: x["l_quantity"] > 5).alias("all_large"),
         F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"], F.lit(":"), x["l_returnflag"])), "; ").alias("joined"),
-        F.element_at("lines", -1)["l_returnflag"].alias("last"), F.size(F.array_distinct(F.transform("lines", lambda x: x["l_suppkey"]))).alias("suppliers"),
+        F.element_at("lines", -1)["l_returnflag"].alias("last"), F.size(
+            F.array_distinct(F.transform("lines", lambda x: x["l_suppkey"]))
+        ).alias("suppliers"),
     )

@@ -26,8 +26,17 @@ def members(weeks: DataFrame, articles: DataFrame, days: int) -> DataFrame:
     spans = F.broadcast(weeks.select("k", "from", "to"))
     day = dates.published_day(F.col("published"))
     dated = articles.withColumn("day", day).where("day is not null")
-    new = dated.join(spans, F.col("day").between(F.col("from"), F.col("to"))).select("k", "id", F.lit("new").alias("kind"), F.lit(None).cast("int").alias("version"))
-    changes = dated.select("id", "day", F.explode("versions").alias("v")).where("v.change_type = 'content_changed'").withColumn("at", dates.jst_day(F.col("v.fetched_at")))
+    new = dated.join(spans, F.col("day").between(F.col("from"), F.col("to"))).select(
+        "k",
+        "id",
+        F.lit("new").alias("kind"),
+        F.lit(None).cast("int").alias("version"),
+    )
+    changes = dated.select(
+        "id",
+        "day",
+        F.explode("versions").alias("v"),
+    ).where("v.change_type = 'content_changed'").withColumn("at", dates.jst_day(F.col("v.fetched_at")))
     within = changes.join(spans, F.col("at").between(F.col("from"), F.col("to"))).where("day < `from` or day > `to`")
     changed = within.groupBy("k", "id").agg(F.max("v.version").alias("version")).select("k", "id", F.lit("changed").alias("kind"), "version")
     return new.unionByName(changed)
@@ -36,11 +45,19 @@ def members(weeks: DataFrame, articles: DataFrame, days: int) -> DataFrame:
 def counts(weeks: DataFrame, articles: DataFrame, runs: DataFrame, days: int) -> DataFrame:
     """new, changed, date_unknown (undated and first seen in the week), unsummarized, untagged and runs of each week."""
     status = articles.select("id", (F.col("summary.status") != "success").alias("open"), (F.size("tags") == 0).alias("bare"))
-    per = members(weeks, articles, days).join(status, "id").groupBy("k").agg(F.count_if(F.col("kind") == "new").alias("new"), F.count_if(F.col("kind") == "changed").alias("changed"), F.count_if("open").alias("unsummarized"), F.count_if("bare").alias("untagged"))
+    per = members(weeks, articles, days).join(status, "id").groupBy("k").agg(
+        F.count_if(F.col("kind") == "new").alias("new"),
+        F.count_if(F.col("kind") == "changed").alias("changed"),
+        F.count_if("open").alias("unsummarized"),
+        F.count_if("bare").alias("untagged"),
+    )
     spans = F.broadcast(weeks.select("k", "from", "to"))
     seen = articles.where(dates.published_day(F.col("published")).isNull()).select(dates.jst_day(F.col("first_seen_at")).alias("day"))
     unknown = seen.join(spans, F.col("day").between(F.col("from"), F.col("to"))).groupBy("k").agg(F.count(F.lit(1)).alias("date_unknown"))
-    ran = runs.select(dates.jst_day(F.col("started_at")).alias("day")).join(spans, F.col("day").between(F.col("from"), F.col("to"))).groupBy("k").agg(F.count(F.lit(1)).alias("runs"))
+    ran = runs.select(dates.jst_day(F.col("started_at")).alias("day")).join(
+        spans,
+        F.col("day").between(F.col("from"), F.col("to")),
+    ).groupBy("k").agg(F.count(F.lit(1)).alias("runs"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     names = ["new", "changed", "date_unknown", "unsummarized", "untagged", "runs"]
     return weeks.join(per, "k", "left").join(unknown, "k", "left").join(ran, "k", "left").select("k", "from", "to", *map(zero, names)).orderBy("k")
@@ -52,21 +69,46 @@ def tag_counts(weeks: DataFrame, articles: DataFrame, definitions: DataFrame, da
     tags = articles.select("id", F.explode("tags.id").alias("tag_id"))
     n = members(weeks, articles, days).join(tags, "id").groupBy("k", "tag_id").agg(F.count(F.lit(1)).alias("n"))
     named = n.join(definitions.select("tag_id", "name", "ordinal"), "tag_id", "left")
-    return named.select("k", "tag_id", F.coalesce("name", "tag_id").alias("name"), "n", F.coalesce("ordinal", F.lit(99)).alias("ordinal")).orderBy("k", F.col("n").desc(), "ordinal", "tag_id")
+    return named.select(
+        "k",
+        "tag_id",
+        F.coalesce("name", "tag_id").alias("name"),
+        "n",
+        F.coalesce("ordinal", F.lit(99)).alias("ordinal"),
+    ).orderBy("k", F.col("n").desc(), "ordinal", "tag_id")
 
 
 def source_runs(weeks: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFrame:
     """Results of each source in the runs of each week; sources without any are kept, with nulls."""
     spans = F.broadcast(weeks.select("k", "from", "to"))
-    results = runs.select("run_id", "started_at", dates.jst_day(F.col("started_at")).alias("day"), F.explode("sources").alias("s")).join(spans, F.col("day").between(F.col("from"), F.col("to")))
+    results = runs.select(
+        "run_id",
+        "started_at",
+        dates.jst_day(F.col("started_at")).alias("day"),
+        F.explode("sources").alias("s"),
+    ).join(spans, F.col("day").between(F.col("from"), F.col("to")))
     flat = results.select("k", "run_id", "started_at", "s.source_id", "s.status", "s.new", "s.changed", "s.error")
-    return weeks.select("k").crossJoin(F.broadcast(sources.select("source_id", "name"))).join(flat, ["k", "source_id"], "left").orderBy("k", "source_id", "started_at")
+    return weeks.select("k").crossJoin(
+        F.broadcast(sources.select("source_id", "name"))
+    ).join(flat, ["k", "source_id"], "left").orderBy("k", "source_id", "started_at")
 
 
 def items(weeks: DataFrame, articles: DataFrame, days: int) -> DataFrame:
     """Report items: new ones by published day and first sight, newest first; then changed ones."""
     got = members(weeks, articles, days).join(articles, "id")
-    shown = got.select("k", "kind", "id", "title", "url", "source_name", "published", "first_seen_at", "version", F.transform("tags", lambda t: t["name"]).alias("tags"), F.col("summary.status").alias("summary_status"))
+    shown = got.select(
+        "k",
+        "kind",
+        "id",
+        "title",
+        "url",
+        "source_name",
+        "published",
+        "first_seen_at",
+        "version",
+        F.transform("tags", lambda t: t["name"]).alias("tags"),
+        F.col("summary.status").alias("summary_status"),
+    )
     return shown.orderBy("k", F.col("kind").desc(), *item_order())
 
 
@@ -80,7 +122,20 @@ def item_line(kind):
     names = F.array_join(F.transform("tags", text.markdown), "、")
     shown = F.when(names != "", names).otherwise(F.when(F.col("summary_status") == "success", "タグなし").otherwise("AI未処理"))
     version = F.when((kind == "changed") & F.col("version").isNotNull(), F.concat(F.lit("（第"), F.col("version"), F.lit("版）"))).otherwise("")
-    return F.concat(F.lit("- "), dates.label_partial(F.col("published")), F.lit("　"), text.markdown(F.col("source_name")), F.lit("　["), text.markdown(F.col("title")), F.lit("]("), text.markdown_url(F.col("url")), F.lit(")"), version, F.lit("　タグ："), shown)
+    return F.concat(
+        F.lit("- "),
+        dates.label_partial(F.col("published")),
+        F.lit("　"),
+        text.markdown(F.col("source_name")),
+        F.lit("　["),
+        text.markdown(F.col("title")),
+        F.lit("]("),
+        text.markdown_url(F.col("url")),
+        F.lit(")"),
+        version,
+        F.lit("　タグ："),
+        shown,
+    )
 
 
 def markdown(week: dict, lines: dict[str, list[str]], tags: list[tuple[str, int]], site: str) -> str:

@@ -36,7 +36,10 @@ def feed_items(body: bytes, base: str) -> Iterator[dict]:
     for item in root_of(body).iter():
         if _name(item) not in ("item", "entry"):
             continue
-        link = _first(item, "link") or next((c.get("href") for c in item if _name(c) == "link" and c.get("href") and c.get("rel", "alternate") == "alternate"), None)
+        link = _first(item, "link") or next(
+            (c.get("href") for c in item if _name(c) == "link" and c.get("href") and c.get("rel", "alternate") == "alternate"),
+            None,
+        )
         if not link:
             continue
         url = canonical(link, base)

@@ -71,7 +71,11 @@ def config_text(name: str, text: str) -> object:
         pass
 
     Strict.yaml_implicit_resolvers = {k: [r for r in v if r[0] != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
-    Strict.add_constructor("tag:yaml.org,2002:map", lambda loader, node: _unique([(loader.construct_object(k, deep=True), loader.construct_object(v, deep=True)) for k, v in node.value]))
+    Strict.add_constructor(
+        "tag:yaml.org,2002:map",
+        lambda loader,
+        node: _unique([(loader.construct_object(k, deep=True), loader.construct_object(v, deep=True)) for k, v in node.value]),
+    )
     return yaml.load(text, Loader=Strict)
 
 
@@ -111,5 +115,15 @@ def fixture_responses(spark: SparkSession, routes: list[dict], folder: str, urls
         at = at.join(to, at.final_url == to.from_url, "left").select("url", F.coalesce("redirect", "final_url").alias("final_url"))
     found = at.join(table.withColumnRenamed("url", "route_url"), F.col("final_url") == F.col("route_url"), "left")
     bodies = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
-    error = F.when(F.col("timeout"), "timeout").when(F.col("redirect").isNotNull(), "too many redirects").when(F.col("route_url").isNull(), "HTTP 404").when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status")))
-    return found.join(bodies, F.col("file") == F.col("name"), "left").select("url", "final_url", F.coalesce("status", F.lit(200)).alias("status"), F.col("type").alias("content_type"), F.col("content").alias("body"), error.alias("error"))
+    error = F.when(F.col("timeout"), "timeout").when(F.col("redirect").isNotNull(), "too many redirects").when(F.col("route_url").isNull(), "HTTP 404").when(
+        F.col("status") >= 400,
+        F.concat(F.lit("HTTP "), F.col("status")),
+    )
+    return found.join(bodies, F.col("file") == F.col("name"), "left").select(
+        "url",
+        "final_url",
+        F.coalesce("status", F.lit(200)).alias("status"),
+        F.col("type").alias("content_type"),
+        F.col("content").alias("body"),
+        error.alias("error"),
+    )

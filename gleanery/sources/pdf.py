@@ -72,12 +72,22 @@ def read(body: bytes, max_pages: int | None = None) -> dict:
         return none
     text = normalised("\n".join(texts))
     good = bool(text)
-    return {"text": text, "status": "ok" if good else "unsupported", "error": None if good else "no text in the PDF", "pages": len(pages), "pages_read": len(read_)}
+    return {
+        "text": text,
+        "status": "ok" if good else "unsupported",
+        "error": None if good else "no text in the PDF",
+        "pages": len(pages),
+        "pages_read": len(read_),
+    }
 
 
 def written(lines: list[str]) -> bytes:
     """A small PDF file with one line on each page, for tests and demonstrations."""
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>".encode(), b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(lines), b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(lines)))), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    objects = [
+        "<< /Type /Catalog /Pages 2 0 R >>".encode(),
+        b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(lines), b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(lines)))),
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
+    ]
     for k, line in enumerate(lines):
         shown = re.sub(r"([\\()])", r"\\\1", line).encode("latin-1")
         stream = zlib.compress(b"BT /F1 12 Tf 72 720 Td (" + shown + b") Tj ET")

@@ -19,7 +19,12 @@ def weekly_counts(events: DataFrame, days: int, as_of: str, lateness: str = "14
     offset = ((date.fromisoformat(as_of) - date(1970, 1, 1)).days + 1) % days
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     window = F.window("ts", f"{days} days", startTime=f"{offset} days")
-    return timed.groupBy(window.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("from"), F.date_sub(F.to_date("w.end"), 1).alias("to"), key, "n")
+    return timed.groupBy(window.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(
+        F.to_date("w.start").alias("from"),
+        F.date_sub(F.to_date("w.end"), 1).alias("to"),
+        key,
+        "n",
+    )
 
 
 def unique_urls(candidates: DataFrame, at: str = "ts", lateness: str = "14 days") -> DataFrame:

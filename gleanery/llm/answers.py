@@ -37,7 +37,14 @@ def part(n: int) -> Column:
 def chunked(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``id, text, fh, fh2, no, part, row`` of rows with locators: which chunk each belongs to, and the part of its
     answers."""
-    named = rows.select("id", "text", F.xxhash64("file").alias("fh"), F.hash("file").alias("fh2"), F.floor(F.col("row") / chunk_rows).alias("no"), "row")
+    named = rows.select(
+        "id",
+        "text",
+        F.xxhash64("file").alias("fh"),
+        F.hash("file").alias("fh2"),
+        F.floor(F.col("row") / chunk_rows).alias("no"),
+        "row",
+    )
     return named.select("id", "text", "fh", "fh2", "no", part(parts(rows.sparkSession)).alias("part"), "row")
 
 

@@ -185,7 +185,14 @@ def pieces_of(path: str) -> list[str]:
     return out
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shared_bytes: int = SHARED_BYTES, keep: bool = False) -> DataFrame:
+def encode_decode(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shared_bytes: int = SHARED_BYTES,
+    keep: bool = False,
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` (with ``keep``: ``ids, decoded``).
 
     Null texts count as empty and give no ids. Texts, ids and digests are those of the tokenizers library without

@@ -50,7 +50,11 @@ def shingles(ws: Column, sizes: list[int]) -> Column:
     none = F.array().cast("array<struct<pos:int,h:bigint,n:int>>")
 
     def of(size: int) -> Column:
-        hashed = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(ws, i + k) for k in range(size)]).alias("h"), F.size(ws).alias("n"))
+        hashed = lambda i: F.struct(
+            i.alias("pos"),
+            F.xxhash64(*[F.get(ws, i + k) for k in range(size)]).alias("h"),
+            F.size(ws).alias("n"),
+        )
         return F.when(F.size(ws) >= size, F.transform(F.sequence(F.lit(0), F.size(ws) - size), hashed)).otherwise(none)
 
     return F.concat(*map(of, sizes)) if sizes else none
@@ -58,10 +62,23 @@ def shingles(ws: Column, sizes: list[int]) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """Distinct windows: ``wid, ws, size, items``, to be written before use, which fixes the numbers; an item of fewer words, but not none, is one window."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("all")).withColumn("n", F.size("all")).where("n > 0")
-    starts = items.select("item", "all", F.least("n", F.lit(window)).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)))).alias("at"))
+    items = benchmark.select(
+        F.col(f"`{id_col}`").cast("string").alias("item"),
+        words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("all"),
+    ).withColumn("n", F.size("all")).where("n > 0")
+    starts = items.select(
+        "item",
+        "all",
+        F.least("n", F.lit(window)).alias("size"),
+        F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)))).alias("at"),
+    )
     cut = starts.select("item", F.slice("all", F.col("at"), F.col("size")).alias("ws"))
-    return cut.groupBy("ws").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("wid"), "ws", F.size("ws").alias("size"), "items")
+    return cut.groupBy("ws").agg(F.collect_set("item").alias("items")).select(
+        F.monotonically_increasing_id().alias("wid"),
+        "ws",
+        F.size("ws").alias("size"),
+        "items",
+    )
 
 
 def contamination(
@@ -103,12 +120,25 @@ def contamination(
 
     start = F.col("pos") - F.col("offset")
     placed = found.join(small(prefix, BROADCAST_WINDOWS), "h").where((start >= 0) & (start + F.col("size") <= F.col("n")))
-    grouped = written(placed.groupBy("k", "k2").agg(F.collect_set(F.struct(start.alias("start"), "size", "wid")).alias("at"), F.first("file").alias("file"), F.first("row").alias("row")), f"{work}/candidates")
+    grouped = written(
+        placed.groupBy("k", "k2").agg(
+            F.collect_set(F.struct(start.alias("start"), "size", "wid")).alias("at"),
+            F.first("file").alias("file"),
+            F.first("row").alias("row"),
+        ),
+        f"{work}/candidates",
+    )
     bits = written(row_bits(grouped), f"{work}/listed")
     read = listed(rows, bits).select("k", "k2", "text").join(grouped.select("k", "k2", "at"), ["k", "k2"])
-    cut = lambda r: F.transform(r["at"], lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.slice(r["all"], c["start"] + 1, c["size"]).alias("part")))
+    cut = lambda r: F.transform(
+        r["at"],
+        lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.slice(r["all"], c["start"] + 1, c["size"]).alias("part")),
+    )
     parts = read.select("k", "k2", F.inline(bound(F.struct(words(text).alias("all"), "at"), cut)))
-    sure = parts.join(small(windows.select("wid", "ws", "size"), BROADCAST_WINDOWS), "wid").where("part = ws").select("k", "k2", "start", "size", "wid")
+    sure = parts.join(
+        small(windows.select("wid", "ws", "size"), BROADCAST_WINDOWS),
+        "wid",
+    ).where("part = ws").select("k", "k2", "start", "size", "wid")
     sure = written(sure, f"{work}/sure")
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))
     n_hit = sure.groupBy("k", "k2").agg(F.size(covered).cast("long").alias("n_hit"))

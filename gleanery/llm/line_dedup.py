@@ -76,7 +76,12 @@ def _send_digests(digest, buckets: int):
             values, counts = np.unique(np.array([digest(c) for *_, d in docs for *_, c in d.chunks], "u8"), return_counts=True)
             cuts = _cut(values >> np.uint64(65 - buckets.bit_length()))
             if cuts:
-                yield _sent(name, [k for k, *_ in cuts], ["all", "twice"], [[values[a:b].tobytes() for _, a, b in cuts], [values[a:b][counts[a:b] > 1].tobytes() for _, a, b in cuts]])
+                yield _sent(
+                    name,
+                    [k for k, *_ in cuts],
+                    ["all", "twice"],
+                    [[values[a:b].tobytes() for _, a, b in cuts], [values[a:b][counts[a:b] > 1].tobytes() for _, a, b in cuts]],
+                )
 
     return run
 
@@ -143,14 +148,27 @@ def _kept(table: answers.Table, keep: bool):
                     digests.append(hashlib.sha256(body).hexdigest())
                     if keep:
                         texts.append(body.decode("utf-8"))
-            columns = [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            columns = [
+                batch.column(0),
+                pa.array(n_lines, pa.int64()),
+                pa.array(n_chunks, pa.int64()),
+                pa.array(n_removed, pa.int64()),
+                pa.array(digests, pa.string()),
+            ]
             names = ["doc_id", "n_lines", "n_chunks", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * keep, names + ["text"] * keep)
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, digest=xxhash.xxh64_intdigest, buckets: int | None = None) -> DataFrame:
+def line_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: bool = False,
+    digest=xxhash.xxh64_intdigest,
+    buckets: int | None = None,
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_lines, n_chunks, n_removed`` (lines) and ``kept_sha256`` of the kept
     lines joined by line feeds (with ``keep``: the kept ``text``).
 

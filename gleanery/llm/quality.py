@@ -164,10 +164,22 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, terms: int = TERMS, dimensions: int = DIMENSIONS) -> Model:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    labelled: int = LABELLED,
+    terms: int = TERMS,
+    dimensions: int = DIMENSIONS,
+) -> Model:
     """Learn from ``labelled`` rows at most: of all labelled rows that may be learned from, those with the smallest
     hashes of their ids. Rows without an id, a text or a label of 0 or 1 teach nothing."""
-    taught = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    taught = labels.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{label_col}`").cast("int").alias("label"),
+    ).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     chosen = taught.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(labelled)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     # At most ``labelled`` rows of two integers: the size of this broadcast is a parameter.
@@ -199,7 +211,13 @@ def _model(name: str) -> Model:
     return _MODELS[name]
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+def scored(
+    docs: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    threshold: float = 0.7,
+    names: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
     """All columns of ``docs`` with a score (0 to 1, higher: label 1 likelier) and a prediction (1 from ``threshold``
     on), which take the place of columns of the same ``names``. Null texts count as empty. Nothing is shuffled."""
     spark = docs.sparkSession

@@ -91,8 +91,21 @@ def shard(docs: DataFrame, shards: int = 16, slices: int | None = None, id_col:
     hi, lo = key_halves(F.col(f"`{id_col}`"))
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     rows = (
-        docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.length(body).cast("long") + _lit(1)).alias("size"), F.crc32(body).alias("text_crc32"), hi.alias("hi"), lo.alias("lo"))
-        .select("doc_id", "size", "text_crc32", jump_hash(F.col("hi"), F.col("lo"), shards).alias("shard"), jump_hash(F.col("hi"), F.col("lo"), shards + 1).alias("grown_shard"), F.pmod(F.col("lo") + F.col("text_crc32"), _lit(slices)).alias("slice"))
+        docs.select(
+            F.col(f"`{id_col}`").alias("doc_id"),
+            (F.length(body).cast("long") + _lit(1)).alias("size"),
+            F.crc32(body).alias("text_crc32"),
+            hi.alias("hi"),
+            lo.alias("lo"),
+        )
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            jump_hash(F.col("hi"), F.col("lo"), shards).alias("shard"),
+            jump_hash(F.col("hi"), F.col("lo"), shards + 1).alias("grown_shard"),
+            F.pmod(F.col("lo") + F.col("text_crc32"), _lit(slices)).alias("slice"),
+        )
     )
     counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)

@@ -142,7 +142,13 @@ def _children(heads: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, np.diff(np.r_[first, len(below)])
 
 
-def _pairs_below(a: np.ndarray, b: np.ndarray, d: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_below(
+    a: np.ndarray,
+    b: np.ndarray,
+    d: np.ndarray,
+    first: np.ndarray,
+    count: np.ndarray,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All pairs of children of the pairs ``a, b`` with the differences ``d`` so far, a bounded number at a time; of a
     node and itself each pair once, a child and itself included."""
     ends = np.cumsum(count[a] * count[b])
@@ -155,7 +161,15 @@ def _pairs_below(a: np.ndarray, b: np.ndarray, d: np.ndarray, first: np.ndarray,
         yield first[a[of]] + i, first[b[of]] + j, d[of]
 
 
-def linked(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, bits: int, accept: Callable | None = None, place: np.ndarray | None = None, first: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked(
+    mask: np.ndarray,
+    pattern: np.ndarray,
+    fp: np.ndarray,
+    bits: int,
+    accept: Callable | None = None,
+    place: np.ndarray | None = None,
+    first: Callable | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """The pairs within ``bits`` differing bits under the same pattern that ``first`` and ``accept`` accept: two arrays
     of places."""
     if not len(fp):
@@ -396,11 +410,17 @@ def sketches(rows: DataFrame, words: int, tables: int) -> DataFrame:
         for batch in batches:
             got = [sketch(t.as_py(), words, tables) for t in batch.column(3)]
             prints = np.array([g[0] for g in got], "u8").reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[1] for g in got], pa.binary()), *(pa.array(prints[:, k].copy().view("i8")) for k in range(tables))], names)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([g[1] for g in got], pa.binary()), *(pa.array(prints[:, k].copy().view("i8")) for k in range(tables))],
+                names,
+            )
 
     names = ["doc_id", "file", "row", "sketch", *(f"f{k}" for k in range(tables))]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "file", "row", "text").mapInArrow(lean("simhash", run), f"doc_id {kind}, file string, row long, sketch binary" + "".join(f", f{k} long" for k in range(tables)))
+    return rows.select("doc_id", "file", "row", "text").mapInArrow(
+        lean("simhash", run),
+        f"doc_id {kind}, file string, row long, sketch binary" + "".join(f", f{k} long" for k in range(tables)),
+    )
 
 
 def may_be_similar(share: tuple[int, int]) -> Callable:
@@ -439,7 +459,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int,
     return both.mapInArrow(lean("simhash", run), "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5), bits: int = 3, tables: int = 3, shared: int = 2) -> DataFrame:
+def near_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    share: tuple[int, int] = (4, 5),
+    bits: int = 3,
+    tables: int = 3,
+    shared: int = 2,
+) -> DataFrame:
     """Near duplicates by sets of word shingles: ``doc_id, file, row, n, root`` for each row of ``docs``, which come
     straight from files, that is linked to another one; ``n`` numbers the rows, ``root`` is the smallest ``n`` reached.
 
@@ -456,7 +485,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     work = work_dir(docs.sparkSession, "near")
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    source = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{text_col}`").alias("text"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+    )
     # One row for each file; 2^40 rows of each. Only rows without their texts, and listed ones, meet these numbers.
     names = written(source.select("file").distinct(), f"{work}/names")
     numbers = written(names.select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("f")), f"{work}/files")
@@ -466,7 +500,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = written(sketches(source, words, tables).join(numbers, "file").select("doc_id", "file", "row", n, "sketch", *prints), f"{work}/marks")
     counted = written(marks.groupBy("sketch", *prints).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("many")), f"{work}/classes")
     classes = counted.drop("many")
-    same = marks.join(counted.where("many > 1").select("sketch", *prints, F.col("n").alias("a")), ["sketch", *prints]).where("n <> a").select("a", F.col("n").alias("b"))
+    same = marks.join(
+        counted.where("many > 1").select("sketch", *prints, F.col("n").alias("a")),
+        ["sketch", *prints],
+    ).where("n <> a").select("a", F.col("n").alias("b"))
 
     def search(some: DataFrame, whole: bool, name: str) -> DataFrame:
         entries = filed(some, bits, shared, f"{work}/{name}", prints, ("n", "root", "sketch"))
@@ -480,7 +517,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = written(confirmed(first, texts, words, share), f"{work}/links")
     roots = components(contracted(edges), f"{work}/once")
 
-    rooted = classes.join(ends, "n", "left_semi").join(roots, F.col("n") == F.col("node"), "left").select(*classes.columns, F.coalesce("root", "n").alias("root"))
+    rooted = classes.join(ends, "n", "left_semi").join(roots, F.col("n") == F.col("node"), "left").select(
+        *classes.columns,
+        F.coalesce("root", "n").alias("root"),
+    )
     second = search(written(rooted, f"{work}/rooted"), True, "second")
     second = written(second.join(first, ["a", "b"], "left_anti"), f"{work}/second-pairs")
     more = written(confirmed(second, texts, words, share), f"{work}/more-links")

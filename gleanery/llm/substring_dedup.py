@@ -186,7 +186,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[tu
 def _sent(key: tuple, bucket: list[int], names: list[str], columns: list[list[bytes]]) -> pa.RecordBatch:
     """Rows for buckets, with the chunk that they come from."""
     place = [pa.array([v] * len(bucket), t) for v, t in zip(key[1:], (pa.int64(), pa.int32(), pa.int64()))]
-    return pa.RecordBatch.from_arrays([*place, pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], [*answers.KEY, "bucket", *names])
+    return pa.RecordBatch.from_arrays(
+        [*place, pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
+        [*answers.KEY, "bucket", *names],
+    )
 
 
 def _rest(key: np.ndarray) -> bytes:
@@ -293,7 +296,12 @@ def _smallest_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 fresh = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
                 to.append((r, rest[fresh].tobytes(), x[fresh].tobytes(), y[fresh].astype("<i8").tobytes()))
             at += n
-        yield _told([t[0] for t in to], ["bucket", "rest", "two", "least"], [[t[0]["bucket"] for t in to], *([t[k] for t in to] for k in (1, 2, 3))], [pa.int32(), *[pa.binary()] * 3])
+        yield _told(
+            [t[0] for t in to],
+            ["bucket", "rest", "two", "least"],
+            [[t[0]["bucket"] for t in to], *([t[k] for t in to] for k in (1, 2, 3))],
+            [pa.int32(), *[pa.binary()] * 3],
+        )
 
 
 def _marked(chunk: Chunk, told: list[dict], buckets: int, digest) -> np.ndarray:
@@ -340,7 +348,15 @@ def _removed(window: int, buckets: int, table: answers.Table, digest, keep: bool
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, digest=strong, buckets: int | None = None) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame,
+    window: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: bool = False,
+    digest=strong,
+    buckets: int | None = None,
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` (with ``keep``: the kept ``text``).
 
     A word goes if it is covered by a window whose words also start in a document with a smaller id. Null texts have
@@ -361,7 +377,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     anchors = answers.write(step(answers.dealt(sent), _repeated_blocks, f"{key}, hits binary"), f"{work}/anchors")
     sent = step(rows, _send_windows(window, buckets, anchors, digest), f"{key}, rest binary, two binary, ids binary")
     repeats = answers.write(step(answers.dealt(sent), _smallest_documents, f"{key}, rest binary, two binary, least binary"), f"{work}/repeats")
-    return step(rows, _removed(window, buckets, repeats, digest, keep), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep)
+    return step(
+        rows,
+        _removed(window, buckets, repeats, digest, keep),
+        "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep,
+    )
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

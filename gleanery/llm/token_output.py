@@ -134,7 +134,15 @@ class PlaneWriter:
         known = np.array([x is not None for x in self.ids], "?")
         table = self.pack(np.array([x or 0 for x in self.ids], "<i8").tobytes() + np.array(self.counts, "<u8").tobytes() + known.tobytes())
         self.sink.write(table)
-        footer = json.dumps({"width": self.width, "planes": "bit" if self.bits else "byte", "blocks": self.blocks, "table": [self.at, len(table)], "docs": len(self.ids)}).encode()
+        footer = json.dumps(
+            {
+                "width": self.width,
+                "planes": "bit" if self.bits else "byte",
+                "blocks": self.blocks,
+                "table": [self.at, len(table)],
+                "docs": len(self.ids),
+            }
+        ).encode()
         self.sink.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
 
 
@@ -182,7 +190,18 @@ class PlaneReader:
             yield doc_id, ids[:n]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", width: int = 2, block_ids: int = 1 << 16, ranks: str | None = None) -> DataFrame:
+def write_token_files(
+    docs: DataFrame,
+    folder: str,
+    tokenizer_path: str,
+    end_id: int | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    planes: str = "byte",
+    width: int = 2,
+    block_ids: int = 1 << 16,
+    ranks: str | None = None,
+) -> DataFrame:
     """Encode and write all texts in ascending id order; returns the manifest, one row per file.
 
     ``file, first_id, first_tie, n_docs, n_ids``. Texts are spread by ranges of ids, and of places in the table where
@@ -212,11 +231,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             writer.close()
             sink.close()
             where.move(f"{path}/.{name}", f"{path}/{name}.ids")
-            row = {"file": [f"{name}.ids"], "first_id": [writer.ids[0]], "first_tie": [first], "n_docs": [len(writer.ids)], "n_ids": [sum(writer.counts)]}
+            row = {
+                "file": [f"{name}.ids"],
+                "first_id": [writer.ids[0]],
+                "first_tie": [first],
+                "n_docs": [len(writer.ids)],
+                "n_ids": [sum(writer.counts)],
+            }
             yield pa.RecordBatch.from_pydict(row, pa.schema([("file", pa.string()), *((c, pa.int64()) for c in list(row)[1:])]))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("tie"))
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.col(f"`{text_col}`").alias("text"),
+        F.monotonically_increasing_id().alias("tie"),
+    )
     spread = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie")
     return spread.mapInArrow(lean("token_output", write), "file string, first_id long, first_tie long, n_docs long, n_ids long")
 
@@ -255,6 +284,12 @@ def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = work_dir(spark, "planes")
     folder = f"{work}/files"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    files = write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    files = write_token_files(
+        docs,
+        folder,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        end_id=2,
+        ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
     manifest = written(files, f"{work}/manifest")
     return read_token_files(manifest, folder)

@@ -83,7 +83,9 @@ def shard(docs: DataFrame, shards: int = 16, slices: int | None = None, id_col:
     The id and the shard count alone decide (law ``key``); a null id is a key of its own. ``size`` is the text's UTF-8
     bytes plus 1, a null text has none. ``slot`` numbers the rows of a shard from 0 without gaps: each shard is cut
     into ``slices`` by a hash (``slices_for`` the table, counted from file footers, unless given), slices are numbered
-    in parallel, and a sum over at most ``shards * slices`` counts gives each its base. Texts never leave the scan. An empty table gives no rows; extra columns are left behind.
+    in parallel, and a sum over at most ``shards * slices`` counts gives each its base. Rows that repeat an id and a
+    text are counted before the shuffle and written out again as so many numbers, so no copy of them is sorted. Texts
+    never leave the scan. An empty table gives no rows; extra columns are left behind.
     """
     from pyspark.sql import Window as W
 
@@ -110,15 +112,17 @@ def shard(docs: DataFrame, shards: int = 16, slices: int | None = None, id_col:
     counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(within).cast("long") - 1)
-    return numbered.join(F.broadcast(bases), ["shard", "slice"]).select(
+    alike = rows.groupBy("shard", "slice", "doc_id", "text_crc32", "size", "grown_shard").agg(F.count(F.lit(1)).alias("copies"))
+    within = W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    numbered = alike.withColumn("place", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+    placed = numbered.join(F.broadcast(bases), ["shard", "slice"]).withColumn("first", F.col("base") + F.col("place"))
+    return placed.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        (F.col("base") + F.col("place")).alias("slot"),
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot"),
         "grown_shard",
     )
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gleanery.llm.sharding import MULTIPLIER, shard, slices_for
 from gleanery.llm.url_filter import RULES, RuleIndex, host_and_path, judged, url_filter
@@ -82,6 +83,9 @@ def test_long_texts_and_slices_that_grow(spark):
     want = [(len(t.encode()) + 1, zlib.crc32(t.encode())) for t in ("x" * 5_000_000, "日" * 3_000_000, "日" * 3_000_000)]
     assert got == sorted(want)
     assert [slices_for(n, 16) for n in (0, 10**6, 10**9, 3 * 10**9, 10**11)] == [64, 64, 64, 256, 8192]
+    many = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'copy' as text").unionByName(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    slots = shard(many, 2).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert sum(r["n"] for r in slots) == 100_001 and all(r["n"] == r["d"] == r["m"] + 1 for r in slots)
     rows = spark.range(500).selectExpr("id as doc_id", "'t' as text")
     a, b = ({r["doc_id"]: (r["shard"], r["grown_shard"]) for r in shard(rows, slices=s).collect()} for s in (1, 512))
     assert a == b

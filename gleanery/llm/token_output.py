@@ -36,6 +36,8 @@ from gleanery.llm.pieces import SPACES, plain, slices, tokenizer
 MAGIC = b"IDPLANE1"
 #: Characters given to the library at once, and documents of a batch that is read back.
 BATCH_CHARS, ROWS_OUT = 1 << 20, 8192
+#: Files that a task reads back, on average.
+FILES_A_TASK = 8
 #: Fixed value: white space in a row that tiktoken may be given; it fails beyond about a million.
 MAX_SPACES = 100_000
 _SPACES = re.compile(f"[{SPACES}]+")
@@ -275,7 +277,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     before = W.orderBy(F.col("first_id").asc_nulls_first(), "first_tie", "file").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return based.repartitionByRange(n, "base").mapInArrow(lean("token_output", read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(1, n // FILES_A_TASK)).mapInArrow(lean("token_output", read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from gleanery.llm import bpe_table, decontamination, exact_dedup, line_dedup, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from gleanery.llm import bpe_table, decontamination, exact_dedup, line_dedup, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sharding": sharding.op10_sharding,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 #: op3 and op4 have none: SQL has no byte-pair merges.
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_sharding": sharding.op10_sql(),
+    "op11_merkle": merkle.OP11_SQL,
 }

@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from gleanery.llm import bpe_table, decontamination, exact_dedup, line_dedup, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from gleanery.llm import bpe_table, decontamination, exact_dedup, hard_negatives, line_dedup, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sharding": sharding.op10_sharding,
     "op11_merkle": merkle.op11_merkle,
+    "op12_radix_negatives": hard_negatives.op12_radix_negatives,
 }
 
 #: op3 and op4 have none: SQL has no byte-pair merges.
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_sharding": sharding.op10_sql(),
     "op11_merkle": merkle.OP11_SQL,
+    "op12_radix_negatives": hard_negatives.OP12_SQL,
 }

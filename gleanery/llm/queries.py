@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from gleanery.llm import bpe_table, decontamination, exact_dedup, hard_negatives, line_dedup, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from gleanery.llm import bpe_table, decontamination, exact_dedup, hard_negatives, line_dedup, merkle, quality, sharding, simhash, substring_dedup, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_merkle": merkle.op11_merkle,
     "op12_radix_negatives": hard_negatives.op12_radix_negatives,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 #: op3 and op4 have none: SQL has no byte-pair merges.

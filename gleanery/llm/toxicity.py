@@ -33,6 +33,8 @@ LABELLED, KNOWN, VOTERS = 8192, 2048, 256
 LEAST_TEXTS, LEAST_Z, VOTER_SHARE = 4, 3.0, 0.75
 #: Lengths of word beginnings; characters of a text looked at at once.
 BEGINNINGS, SEGMENT = range(3, 9), 1 << 20
+#: Traits that a task counts before it tells them.
+TRAITS_HELD = 1 << 18
 #: Insults of four languages, each a voter.
 SEED = (
     "idiot moron stupid worthless trash scum clown pathetic disgusting loser dumb fool imbecile jerk pig retard ugly filthy vermin bastard "
@@ -43,8 +45,9 @@ SEED = (
 _ADDRESS = "you your yourself du dein dich ihr tu toi ton vous votre usted eres eras"
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]")
-_DIRECT = re.compile(rf"\b(?:{'|'.join(_ADDRESS.split())})\b(?:\s+\w+){{0,3}}?\s+(?:{'|'.join(SEED)})\b", re.I)
-_AGAIN = re.compile(r"\b(\w{1,40})(?:\s+\1\b){2}", re.I)
+_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}")
+_DIRECT = re.compile(rf"\b(?:{'|'.join(_ADDRESS.split())})\b(?:\s+\w+){{0,3}}?\s+(?:{'|'.join(SEED)})\b")
+_SEED = frozenset(SEED)
 #: Names of the pattern voters, in the order of ``patterns``.
 PATTERNS = ("shouting", "exclaiming", "masked letters", "insult after an address", "said over and over")
 
@@ -61,18 +64,26 @@ def segments(text: str) -> Iterator[str]:
 
 
 def looked_at(text: str | None) -> tuple[set[str], list[bool]]:
-    """The distinct words of a whole text in lower case, and which patterns it shows."""
+    """The distinct words (runs of letters) of a whole text in lower case, and which patterns it shows."""
     words: set[str] = set()
-    capitals = marks = 0
-    found = [False, False, False]
+    size = capitals = marks = 0
+    masked = direct = again = False
     for part in segments(text or ""):
-        here = set(_WORD.findall(part))
-        capitals += sum(len(w) > 1 and w.isupper() for w in here - words)
-        words |= here
+        lower = part.lower()
+        tokens = lower.split()
+        size += len(tokens)
         marks += part.count("!")
-        found = [f or p.search(part) is not None for f, p in zip(found, (_MASKED, _DIRECT, _AGAIN))]
-    shown = [2 * capitals > len(words) > 0, 4 * marks > len(words) > 0, *found]
-    return {w.lower() for w in words}, shown
+        capitals += len(_CAPITALS.findall(part))
+        again = again or any(x == y == z for x, y, z in zip(tokens, tokens[1:], tokens[2:]))
+        for token in set(tokens):
+            if token.isalpha():
+                words.add(token)
+            else:
+                words.update(_WORD.findall(token))
+                masked = masked or _MASKED.search(token) is not None
+        if not direct and not _SEED.isdisjoint(words):
+            direct = _DIRECT.search(lower) is not None
+    return words, [2 * capitals > size > 0, 4 * marks > size > 0, masked, direct, again]
 
 
 def beginnings(word: str) -> list[str]:
@@ -142,38 +153,41 @@ class LabelModel:
         """``start``: first guesses of the posterior, which say which of the two classes is the toxic one."""
         model, posterior = cls(np.full(fires.shape[1], -1)), start
         for k in range(rounds):
-            if k == rounds // 3:  # independent voters first; then what they have in common within the classes
+            # Dependences by the first guesses, since voters that repeat each other would else pass for the truth.
+            if k in (0, rounds // 2):
                 model.parent = voter_tree(fires, posterior)
             model.maximise(fires, posterior)
             posterior = model.posterior(fires)
         return model, posterior
 
 
-def linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
+def linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 15, inner: int = 30) -> np.ndarray:
     """Weights of a logistic regression on soft targets, the intercept last: Newton steps, each solved by conjugate
-    gradients."""
-    x = np.c_[x, np.ones(len(x), x.dtype)]
+    gradients. ``x`` is in single precision and stays so."""
+    x = np.c_[x, np.ones(len(x), "f4")]
+    times, back = lambda v: (x @ v.astype("f4")).astype("f8"), lambda v: (x.T @ v.astype("f4")).astype("f8")
     keep = np.full(x.shape[1], penalty)
     keep[-1] = 1e-3
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (target - p) - keep * w
-        if np.abs(slope).max(initial=0) < 1e-6:
-            break
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        slope = back(target - p) - keep * w
         curve = np.maximum(p * (1 - p), 1e-6)
         step, left = np.zeros_like(w), slope.copy()
         way, size = left.copy(), left @ left
-        for _ in range(60):
-            if size < 1e-12:
+        enough = 1e-6 * size
+        for _ in range(inner):
+            if size <= enough:
                 break
-            bent = x.T @ (curve * (x @ way)) + keep * way
+            bent = back(curve * times(way)) + keep * way
             far = size / (way @ bent)
             step += far * way
             left -= far * bent
             size, before = left @ left, size
             way = left + size / before * way
         w += step
+        if np.abs(step).max(initial=0) < 1e-3:
+            break
     return w
 
 
@@ -185,19 +199,20 @@ class Model:
     weights: np.ndarray
     votes: LabelModel | None = None
 
-    def score(self, text: str | None) -> float:
-        words, shown = looked_at(text)
-        hit: set[int] = set()
-        places, shortest = self.places, BEGINNINGS[0]
+    def __post_init__(self) -> None:
+        self.starts = {t[: BEGINNINGS[0]] for t in self.places}
+
+    def hits(self, words: set[str], shown: list[bool]) -> list[int]:
+        """Places of what a text shows."""
+        places, starts, first = self.places, self.starts, BEGINNINGS[0]
+        hit = {len(places) + k for k, s in enumerate(shown) if s}
         for w in words:
-            if (k := places.get(w)) is not None:
-                hit.add(k)
-            if len(w) > shortest:
-                for b in beginnings(w):
-                    if (k := places.get(b)) is not None:
-                        hit.add(k)
-        hit |= {len(places) + k for k, s in enumerate(shown) if s}
-        z = float(self.weights[sorted(hit)].sum() + self.weights[-1])
+            if w[:first] in starts:
+                hit.update(places[t] for t in (w, *beginnings(w)) if t in places)
+        return sorted(hit)
+
+    def score(self, text: str | None) -> float:
+        z = float(self.weights[self.hits(*looked_at(text))].sum() + self.weights[-1])
         return 1 / (1 + np.exp(-min(max(z, -30), 30)))
 
 
@@ -220,22 +235,31 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
 def known_traits(rows: DataFrame, known: int) -> list[tuple[str, int, int]]:
     """``trait, texts, toxic texts`` of the ``known`` words and beginnings most associated with toxicity in the sample."""
 
+    def told(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        columns = [pa.array(counts, pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["trait", "texts", "toxic_texts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
         for batch in batches:
             for label, text in zip(*(batch.column(c).to_pylist() for c in range(2))):
-                found = sorted(traits(looked_at(text)[0]))
-                for a in range(0, len(found), 1 << 14):
-                    part = found[a : a + (1 << 14)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([label] * len(part), pa.int32())], ["trait", "label"])
+                for t in traits(looked_at(text)[0]):
+                    c = counts.setdefault(t, [0, 0])
+                    c[0] += 1
+                    c[1] += label
+                if len(counts) > TRAITS_HELD:
+                    yield told(counts)
+                    counts = {}
+        yield told(counts)
 
     counts = rows.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
-    each = rows.select("label", "text").mapInArrow(lean("toxicity", run), "trait string, label int")
-    each = each.groupBy("trait").agg(F.count(F.lit(1)).alias("texts"), F.sum("label").alias("toxic_texts")).where(F.col("texts") >= LEAST_TEXTS)
+    each = rows.select("label", "text").mapInArrow(lean("toxicity", run), "trait string, texts long, toxic_texts long")
+    each = each.groupBy("trait").agg(F.sum("texts").alias("texts"), F.sum("toxic_texts").alias("toxic_texts")).where(F.col("texts") >= LEAST_TEXTS)
     share = F.col("toxic") / F.col("n")
     z = (F.col("toxic_texts") - F.col("texts") * share) / F.sqrt(F.col("texts") * share * (1 - share) + F.lit(1e-9))
     # One row of two sums beside each trait.
-    told = each.join(F.broadcast(counts)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    return [tuple(r) for r in told.orderBy(F.desc("z"), "trait").limit(known).select("trait", "texts", "toxic_texts").collect()]
+    ranked = each.join(F.broadcast(counts)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    return [tuple(r) for r in ranked.orderBy(F.desc("z"), "trait").limit(known).select("trait", "texts", "toxic_texts").collect()]
 
 
 def fit(
@@ -255,20 +279,17 @@ def fit(
     names = [t for t, _, _ in chosen]
     names += [s for s in SEED if s not in set(names)]
     places = {t: k for k, t in enumerate(names)}
+    model = Model(places, np.zeros(len(places) + len(PATTERNS) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = []
-            for text in batch.column(1).to_pylist():
-                words, shown = looked_at(text)
-                hit = [places[t] for t in traits(words) if t in places] + [len(places) + k for k, s in enumerate(shown) if s]
-                hits.append(np.array(sorted(hit), "<i4").tobytes())
+            hits = [np.array(model.hits(*looked_at(text)), "<i4").tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.binary())], ["label", "hits"])
 
     # Ids may repeat: the bound holds for rows before any of them reaches the driver.
     got = rows.select("label", "text").mapInArrow(lean("toxicity", run), "label int, hits binary").orderBy("label", "hits").limit(labelled).toPandas()
     if not len(got):
-        return Model(places, np.zeros(len(places) + len(PATTERNS) + 1))
+        return model
     x = np.zeros((len(got), len(places) + len(PATTERNS)), "f4")
     for i, hits in enumerate(got["hits"]):
         x[i, np.frombuffer(bytes(hits), "<i4")] = 1

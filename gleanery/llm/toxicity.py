@@ -2,10 +2,10 @@
 
 Voters fire or abstain on a text: insults of a seed lexicon; words and word beginnings that a bounded sample of labelled
 rows associates with toxicity; patterns (shouting, exclamations, masked letters, insults after an address, words said over and
-over); silence, which fires where no lexicon does; and the two answers that the sample's own labels give, which may be wrong as
-any voter may. For each class of a hidden truth the label model has the rate at which each voter fires, and, since voters
-overlap ("idiot", "idio..."), the rate given whether one other voter fired: the voters form a tree of the strongest dependences
-within the classes (Chow and Liu, 1968). Expectation maximisation fits rates, dependences and the share of toxic texts.
+over); and the sample's own labels, which may be wrong as any voter may. For each class of a hidden truth the label model has the
+rate at which each voter fires, and, since voters overlap ("idiot", "idio..."), the rate given whether one other voter fired:
+lexicon and pattern voters form a tree of the strongest dependences within the classes (Chow and Liu, 1968). Expectation
+maximisation fits rates and the share of toxic texts.
 
 The posterior of each sample text is the target of a logistic regression over the presence of the associated words and
 beginnings and the patterns, which knows more words than vote. Its size depends on parameters only; texts are scored where they
@@ -149,13 +149,13 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
     @classmethod
-    def fit(cls, fires: np.ndarray, start: np.ndarray, rounds: int = 12) -> tuple["LabelModel", np.ndarray]:
-        """``start``: first guesses of the posterior, which say which of the two classes is the toxic one."""
-        model, posterior = cls(np.full(fires.shape[1], -1)), start
-        for k in range(rounds):
-            # Dependences by the first guesses, since voters that repeat each other would else pass for the truth.
-            if k in (0, rounds // 2):
-                model.parent = voter_tree(fires, posterior)
+    def fit(cls, fires: np.ndarray, start: np.ndarray, alone: int = 0, rounds: int = 12) -> tuple["LabelModel", np.ndarray]:
+        """``start``: first guesses of the posterior, which say which of the two classes is the toxic one. Dependences are
+        those within its classes, since voters that repeat each other would else pass for the truth; the last ``alone``
+        voters have none."""
+        inner = fires.shape[1] - alone
+        model, posterior = cls(np.r_[voter_tree(fires[:, :inner], start), np.full(alone, -1)]), start
+        for _ in range(rounds):
             model.maximise(fires, posterior)
             posterior = model.posterior(fires)
         return model, posterior
@@ -193,7 +193,7 @@ def linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int
 
 @dataclass
 class Model:
-    """Places of known words and beginnings, and the weights of these, of seed and pattern voters and silence, and of nothing."""
+    """Places of known words and beginnings, and the weights of these, of patterns, and of nothing."""
 
     places: dict[str, int]
     weights: np.ndarray
@@ -297,9 +297,7 @@ def fit(
     strong = [places[t] for t, texts, toxic in chosen if toxic >= VOTER_SHARE * texts][:voters]
     voting = sorted({*strong, *(places[s] for s in SEED), *range(len(places), x.shape[1])})
     fires = x[:, voting].astype("f8")
-    lexicon = x[:, sorted({*strong, *(places[s] for s in SEED)})].any(axis=1)
-    fires = np.c_[fires, ~lexicon, told == 1, told == 0]
-    votes, posterior = LabelModel.fit(fires, 0.05 + 0.9 * told)
+    votes, posterior = LabelModel.fit(np.c_[fires, told], 0.05 + 0.9 * told, alone=1)
     return Model(places, linear(x, posterior), votes)
 
 

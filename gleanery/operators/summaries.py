@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.text import squeezed
 
@@ -113,7 +114,10 @@ def usage_totals(records: DataFrame) -> DataFrame:
     )
 
 
-ANSWER = "summary string, key_points array<string>, targets array<string>, dates array<struct<label:string,value:string,evidence:string>>, ai_tags array<struct<tag_id:string,reason:string>>, uncertainties array<string>"
+ANSWER = (
+    "summary string, key_points array<string>, targets array<string>, dates array<struct<label:string,value:string,evidence:string>>, "
+    "ai_tags array<struct<tag_id:string,reason:string>>, new_tag_suggestions array<struct<name:string,reason:string>>, uncertainties array<string>"
+)
 
 
 #: Fixed value: the note on a date whose evidence is not in the text.
@@ -122,32 +126,59 @@ UNSUPPORTED_DATE = ("根拠を原文で確認できない日付（", "：", "）
 _ANSWER_DATE = r"^\d{4}(-\d{2}(-\d{2})?)?$"
 
 
-def judged_answers(answers: DataFrame, tag_ids: list[str], most: int = 300, points: int = 5, evidence: int = 200) -> DataFrame:
-    """Parsed answers (``article_id, answer, text``) with ``problem``, the first rule that they break, or null; of good
-    ones the fields that count, ``tags`` and ``dates``, and ``notes`` to be added to the uncertainties.
+def _exact_form(ddl: T.StructType) -> str:
+    """A pattern of the types that ``schema_of_variant`` tells of values with exactly these fields, in any list perhaps none."""
 
-    Repeated tags are merged, the first stays. Dates whose evidence is not in the text (both NFKC without white space)
-    are left out with a note; neither rejects the answer."""
-    parsed = answers.withColumn("a", F.from_json("answer", ANSWER))
-    has = lambda c: F.col("a." + c).isNotNull()
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    some_blank = lambda c: F.exists("a." + c, blank)
-    problem = (
-        F.when(
-            F.col("a").isNull() | ~(has("summary") & has("key_points") & has("targets") & has("dates") & has("ai_tags") & has("uncertainties")),
-            "fields are missing",
-        )
-        .when(blank(F.col("a.summary")) | some_blank("key_points") | some_blank("targets") | some_blank("uncertainties"), "a text is empty")
-        .when(F.length("a.summary") > most, "summary is too long")
-        .when(F.size("a.key_points") > points, "too many points")
-        .when(F.exists("a.ai_tags", lambda t: ~F.coalesce(t["tag_id"].isin(tag_ids), F.lit(False))), "tag is not registered")
-        .when(F.exists("a.ai_tags", lambda t: blank(t["reason"])), "a text is empty")
-        .when(F.exists("a.dates", lambda d: blank(d["label"]) | blank(d["evidence"])), "a text is empty")
+    def of(kind: T.DataType) -> str:
+        if isinstance(kind, T.ArrayType):
+            return f"ARRAY<(?:VOID|{of(kind.elementType)})>"
+        if isinstance(kind, T.StructType):
+            return "OBJECT<" + ", ".join(f"{f.name}: {of(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
+        return "STRING"
+
+    return of(ddl)
+
+
+def strict_problem(answer: Column, parsed: Column, tag_ids: list[str], most: int, points: int, evidence: int) -> Column:
+    """The first rule that an answer breaks, or null. ``parsed``: the same as ``ANSWER``, read leniently.
+
+    The whole text must be one JSON object with all fields of ``ANSWER``, no other ones at any level, and strings where strings
+    belong: read as a variant beside a second field, its types say whether a field has another name or kind and whether
+    anything follows it. What lists hold is then tested one by one, so a field that some elements lack is found too."""
+    form = _exact_form(T._parse_datatype_string(ANSWER))
+    whole = F.concat(F.lit('{"answer":'), answer, F.lit(',"end":0}'))
+    types = F.schema_of_variant(F.try_parse_json(whole))
+    keys = F.json_object_keys(answer)
+    names = [f.name for f in T._parse_datatype_string(ANSWER).fields]
+    blank = lambda c: ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+    some_blank = lambda c: F.exists(parsed[c], blank)
+    lacks = F.coalesce(F.size(F.array_except(F.array(*map(F.lit, names)), keys)) > 0, F.lit(True))
+    unknown = F.coalesce(F.exists(parsed["ai_tags"], lambda t: t["tag_id"].isNotNull() & ~t["tag_id"].isin(tag_ids)), F.lit(False))
+    return (
+        F.when(answer.isNull() | types.isNull() | ~types.rlike("^OBJECT<answer: OBJECT<.*>, end: BIGINT>$") | lacks, "fields are missing")
+        .when(unknown, "tag is not registered")
+        .when(~types.rlike(rf"^OBJECT<answer: {form}, end: BIGINT>$"), "the form is wrong")
+        .when(blank(parsed["summary"]) | some_blank("key_points") | some_blank("targets") | some_blank("uncertainties"), "a text is empty")
+        .when(F.length(parsed["summary"]) > most, "summary is too long")
+        .when(F.size(parsed["key_points"]) > points, "too many points")
+        .when(F.exists(parsed["ai_tags"], lambda t: t["tag_id"].isNull() | blank(t["reason"])), "a text is empty")
+        .when(F.exists(parsed["new_tag_suggestions"], lambda t: blank(t["name"]) | t["reason"].isNull()), "a text is empty")
+        .when(F.exists(parsed["dates"], lambda d: blank(d["label"]) | blank(d["evidence"])), "a text is empty")
         .when(
-            F.exists("a.dates", lambda d: ~F.coalesce(d["value"].rlike(_ANSWER_DATE), F.lit(False)) | (F.length(d["evidence"]) > evidence)),
+            F.exists(parsed["dates"], lambda d: ~F.coalesce(d["value"].rlike(_ANSWER_DATE), F.lit(False)) | (F.length(d["evidence"]) > evidence)),
             "a date is malformed",
         )
     )
+
+
+def judged_answers(answers: DataFrame, tag_ids: list[str], most: int = 300, points: int = 5, evidence: int = 200) -> DataFrame:
+    """Parsed answers (``article_id, answer, text``) with ``problem``, the first rule that they break (``strict_problem``), or
+    null; of good ones the fields that count, ``tags`` and ``dates``, and ``notes`` to be added to the uncertainties.
+
+    Repeated tags are merged, the first stays. Dates whose evidence is not in the text (both NFKC without white space)
+    are left out with a note; neither rejects the answer. An object that repeats a key is not read."""
+    parsed = answers.withColumn("a", F.from_json("answer", ANSWER))
+    problem = strict_problem(F.col("answer"), F.col("a"), tag_ids, most, points, evidence)
     judged = parsed.withColumn("problem", problem)
     good = F.col("problem").isNull()
     # NFKC of evidence is one call a row: the parts travel as one text, cut apart again at a mark no text holds.
@@ -178,12 +209,16 @@ def evidence_found(evidence: DataFrame, texts: DataFrame, key: str = "article_id
     return joined.withColumn("found", F.contains(squeezed(F.col("text")), squeezed(F.col("evidence")))).drop("text")
 
 
-def record(success: Column, answer: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Answer fields of a summary record: null, not empty, for a failure; zero tokens are unknown."""
-    fields = [F.when(success, answer[c]).alias(c) for c in ("summary", "key_points", "targets", "dates", "ai_tags", "uncertainties")]
+#: What can become of a target.
+STATUSES = ("success", "failed_invalid_output", "failed_refusal", "failed_api_error", "failed_limit_exceeded", "skipped_no_api_key")
+
+
+def record(status: Column, answer: Column, tokens_in: Column, tokens_out: Column) -> Column:
+    """Answer fields of a summary record: null, not empty, for anything but a success; zero tokens are unknown."""
+    fields = ("summary", "key_points", "targets", "dates", "ai_tags", "uncertainties")
     return F.struct(
-        F.when(success, "success").otherwise("failed").alias("analysis_status"),
-        *fields,
+        status.alias("analysis_status"),
+        *(F.when(status == "success", answer[c]).alias(c) for c in fields),
         F.nullif(tokens_in, F.lit(0)).alias("input_tokens"),
         F.nullif(tokens_out, F.lit(0)).alias("output_tokens"),
     )
@@ -191,13 +226,14 @@ def record(success: Column, answer: Column, tokens_in: Column, tokens_out: Colum
 
 @dataclass
 class Outcome:
-    """ok, refusal, truncated, api_error or retryable_error, with what came back."""
+    """ok, refusal, truncated, api_error or retryable_error, with what came back and the model that answered, if told."""
 
     kind: str
     text: str = ""
     tokens_in: int = 0
     tokens_out: int = 0
     detail: str = ""
+    model: str | None = None
 
 
 class Provider(Protocol):
@@ -230,18 +266,18 @@ def with_retries(
     most: int = 2,
     sleep: Callable[[float], None] = time.sleep,
 ) -> tuple[Outcome, int]:
-    """The last outcome and how many retries it took. Invalid and truncated answers and passing errors are tried
-    again, refusals and other errors are not."""
+    """The last outcome, with the tokens of all attempts, and how many retries it took. Invalid and truncated answers and
+    passing errors are tried again after a wait, refusals and other errors are not."""
+    tokens_in = tokens_out = 0
     for attempt in range(most + 1):
         outcome = provider.complete(prompt)
+        tokens_in, tokens_out = tokens_in + outcome.tokens_in, tokens_out + outcome.tokens_out
+        outcome = replace(outcome, tokens_in=tokens_in, tokens_out=tokens_out)
         problem = valid(outcome.text) if outcome.kind == "ok" else outcome.kind
         if problem is None or outcome.kind in ("refusal", "api_error") or attempt == most:
             break
-        if outcome.kind == "retryable_error":
-            sleep(backoff(attempt))
-    return (
-        outcome if problem is None or outcome.kind != "ok" else Outcome("invalid", outcome.text, outcome.tokens_in, outcome.tokens_out, problem)
-    ), attempt
+        sleep(backoff(attempt))
+    return (outcome if problem is None or outcome.kind != "ok" else replace(outcome, kind="invalid", detail=problem)), attempt
 
 
 def completed(prompts: DataFrame, make_provider: Callable[[], Provider], most: int = 2, pause: bool = True) -> DataFrame:

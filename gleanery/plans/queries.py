@@ -880,7 +880,7 @@ def rule_freshness(t):
     return R.counters(R.freshness(latest, old, "now"))
 
 
-ANSWERS_SQL = """d AS (SELECT doc_id, text, source, doc_id % 8 AS k FROM documents WHERE length(text) > 40)"""
+ANSWERS_SQL = """d AS (SELECT doc_id, text, source, doc_id % 8 AS k FROM documents)"""
 
 
 @query(
@@ -889,7 +889,7 @@ ANSWERS_SQL = """d AS (SELECT doc_id, text, source, doc_id % 8 AS k FROM documen
 )
 def judged_answers(t):
     """Answers to documents: broken ones, repeated tags that are merged, dates without evidence left out."""
-    d, k = t("documents").where("length(text) > 40"), F.col("doc_id") % 8
+    d, k = t("documents"), F.col("doc_id") % 8
     dates_ = F.array(
         F.struct(
             F.lit("l").alias("label"),
@@ -907,6 +907,7 @@ def judged_answers(t):
             strings.alias("targets"),
             dates_.alias("dates"),
             tags.alias("ai_tags"),
+            F.array().cast("array<struct<name:string,reason:string>>").alias("new_tag_suggestions"),
             strings.alias("uncertainties"),
         )
     )

@@ -901,7 +901,7 @@ def usage_totals(t):
     return SU.usage_totals(summary_rows(t))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS summary, CASE WHEN c_custkey % 3 <> 0 THEN '1' END AS tags, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 5 AS VARCHAR) END AS tokens FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'success' WHEN c_custkey % 2 = 0 THEN 'failed_refusal' ELSE 'failed_limit_exceeded' END AS status, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS summary, CASE WHEN c_custkey % 3 <> 0 THEN '1' END AS tags, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 5 AS VARCHAR) END AS tokens FROM customer""")
 def summary_record(t):
     """A record's answer fields are null, not empty, for a failure; zero tokens are unknown."""
     ok, none = F.col("c_custkey") % 3 != 0, lambda k: F.lit(None).cast(k)
@@ -913,7 +913,8 @@ def summary_record(t):
         F.array(F.lit("x")).alias("ai_tags"),
         none("array<string>").alias("uncertainties"),
     )
-    got = t("customer").select("c_custkey", SU.record(ok, a, F.col("c_custkey") % 5, F.lit(1)).alias("r"))
+    status = F.when(ok, "success").when(F.col("c_custkey") % 2 == 0, "failed_refusal").otherwise("failed_limit_exceeded")
+    got = t("customer").select("c_custkey", SU.record(status, a, F.col("c_custkey") % 5, F.lit(1)).alias("r"))
     return got.select(
         "c_custkey",
         F.col("r.analysis_status").alias("status"),

@@ -70,6 +70,8 @@ def jump_hash(hi: Column, lo: Column, shards: int) -> Column:
 
 #: Slices of a shard at least, and rows that a slice has on average at most.
 SLICES, SLICE_ROWS = 64, 1 << 20
+#: Numbers of rows alike in id and text that are written out together.
+RUN = 1 << 16
 
 
 def slices_for(rows: int, shards: int) -> int:
@@ -84,8 +86,8 @@ def shard(docs: DataFrame, shards: int = 16, slices: int | None = None, id_col:
     bytes plus 1, a null text has none. ``slot`` numbers the rows of a shard from 0 without gaps: each shard is cut
     into ``slices`` by a hash (``slices_for`` the table, counted from file footers, unless given), slices are numbered
     in parallel, and a sum over at most ``shards * slices`` counts gives each its base. Rows that repeat an id and a
-    text are counted before the shuffle and written out again as so many numbers, so no copy of them is sorted. Texts
-    never leave the scan. An empty table gives no rows; extra columns are left behind.
+    text are counted before the shuffle and written out again as so many numbers, so no copy of them is sorted; the
+    numbers come in runs of ``RUN``, which are dealt to tasks of their own. Texts never leave the scan. An empty table gives no rows; extra columns are left behind.
     """
     from pyspark.sql import Window as W
 
@@ -116,13 +118,16 @@ def shard(docs: DataFrame, shards: int = 16, slices: int | None = None, id_col:
     within = W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
     numbered = alike.withColumn("place", F.coalesce(F.sum("copies").over(within), F.lit(0)))
     placed = numbered.join(F.broadcast(bases), ["shard", "slice"]).withColumn("first", F.col("base") + F.col("place"))
-    return placed.select(
+    runs = placed.withColumn("run", F.explode(F.sequence(_lit(0), F.floor((F.col("copies") - 1) / RUN))))
+    runs = runs.repartition("doc_id", "text_crc32", "run")
+    begin = F.col("first") + F.col("run") * RUN
+    return runs.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot"),
+        F.explode(F.sequence(begin, F.least(begin + RUN, F.col("first") + F.col("copies")) - 1)).alias("slot"),
         "grown_shard",
     )
 

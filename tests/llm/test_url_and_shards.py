@@ -86,6 +86,8 @@ def test_long_texts_and_slices_that_grow(spark):
     many = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'copy' as text").unionByName(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     slots = shard(many, 2).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
     assert sum(r["n"] for r in slots) == 100_001 and all(r["n"] == r["d"] == r["m"] + 1 for r in slots)
+    runs = {r["k"]: r["n"] for r in shard(many, 2).selectExpr("spark_partition_id() as p", "slot div 65536 as k").groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert sum(runs.values()) == 100_001 and len(runs) > 1
     rows = spark.range(500).selectExpr("id as doc_id", "'t' as text")
     a, b = ({r["doc_id"]: (r["shard"], r["grown_shard"]) for r in shard(rows, slices=s).collect()} for s in (1, 512))
     assert a == b

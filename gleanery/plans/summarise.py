@@ -174,7 +174,7 @@ def summarise(
     # At most ``limits.articles`` rows of an id and two numbers.
     newest = [F.col("first_seen_at").desc(), F.col("article_id")]
     first = targets.orderBy(*newest).limit(limits.articles).select("article_id", F.col("text").isNotNull().alias("has"), "tokens").collect()
-    places = [(r["article_id"], r["tokens"], max(r["tokens"], most_tokens(r["tokens"]))) for r in first if r["has"]]
+    places = [(r["article_id"], r["tokens"], most_tokens(r["tokens"])) for r in first if r["has"]]
     made: list[DataFrame] = []
 
     def ids(keys: list[str]) -> DataFrame:

@@ -360,10 +360,10 @@ def latest_window(t):
     ).crossJoin(F.broadcast(Q.undated(a).select(F.col("n").alias("undated"))))
 
 
-@query("SELECT DISTINCT p_type FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R')")
+@query("SELECT DISTINCT p_type FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 def facet_used_tags(t):
     """Tags that some article has."""
-    used = t("lineitem").where("l_quantity > 45 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    used = t("lineitem").select(F.col("l_partkey").alias("p_partkey"))
     articles = used.join(t("part"), "p_partkey").select(F.array(F.struct(F.col("p_type").alias("id"))).alias("tags"))
     return Q.used_tags(articles, t("part").select(F.col("p_type").alias("id")).distinct()).select(F.col("id").alias("p_type"))
 
@@ -718,7 +718,7 @@ def version_contiguity_check(t):
 
 
 @query(
-    """WITH c AS (SELECT user_id, event_type, ts, event_id FROM events WHERE ts < TIMESTAMP '2024-01-20'), o AS (SELECT user_id, count(*) AS v, arg_max(event_type, (ts, event_id)) AS h, count(*) % 3 AS p FROM c GROUP BY user_id HAVING count(*) > 40),
+    """WITH c AS (SELECT user_id, event_type, ts, event_id FROM events WHERE ts < TIMESTAMP '2024-01-20'), o AS (SELECT user_id, count(*) AS v, arg_max(event_type, (ts, event_id)) AS h, count(*) % 3 AS p FROM c GROUP BY user_id),
 n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS h, count(*) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY user_id),
 j AS (SELECT n.user_id, o.v, n.h, o.h AS oh, c % 5 = 0 AS out_, c % 7 = 1 AS login, CASE WHEN c % 11 = 2 THEN 'unsupported' WHEN n.h = 'error' THEN 'failed' ELSE 'ok' END AS st, c % 3 = p AS same_profile FROM n LEFT JOIN o USING (user_id)),
 d AS (SELECT *, CASE WHEN v IS NULL AND out_ THEN 'out_of_period' WHEN v IS NULL AND NOT login AND st = 'failed' THEN 'new_failed' WHEN v IS NULL AND login THEN 'login_only' WHEN v IS NULL AND st <> 'ok' THEN 'new_unread' WHEN v IS NULL THEN 'new'
@@ -734,7 +734,7 @@ def incremental_merge(t):
     old = e.where(F.col("ts") < cut).groupBy(F.col("user_id").alias("article_id")).agg(
         F.count(F.lit(1)).alias("latest_version"),
         last.alias("content_hash"),
-    ).where("latest_version > 40")
+    )
     articles = old.select(
         "article_id",
         "latest_version",
@@ -769,11 +769,11 @@ def incremental_merge(t):
 
 @query(
     """SELECT l_orderkey, l_linenumber, state FROM (SELECT l_orderkey, l_linenumber, l_shipmode, CASE WHEN l_shipmode = 'R' THEN 'excluded' WHEN row_number() OVER (PARTITION BY l_orderkey, l_shipmode = 'R' ORDER BY l_linenumber) > 3 THEN 'skipped' ELSE 'read' END AS state
-FROM (SELECT l_orderkey, l_linenumber, l_returnflag AS l_shipmode FROM lineitem WHERE l_quantity > 10))"""
+FROM (SELECT l_orderkey, l_linenumber, l_returnflag AS l_shipmode FROM lineitem))"""
 )
 def top_k_attachments(t):
     """The first three attachments after exclusions, which do not count."""
-    a = t("lineitem").where("l_quantity > 10").select(
+    a = t("lineitem").select(
         F.col("l_orderkey").alias("article_id"),
         F.col("l_linenumber").alias("position"),
         F.col("l_returnflag").alias("title"),
@@ -924,7 +924,7 @@ def judged_answers(t):
 
 @query(
     """WITH e AS (SELECT d.doc_id, d.text, substr(b.text, 1, 60) AS ev FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)
-  UNION ALL SELECT doc_id, text, substr(text, 5, 40) FROM documents WHERE length(text) > 50)
+  UNION ALL SELECT doc_id, text, substr(text, 5, 40) FROM documents)
 SELECT doc_id, count(*) AS n, count(*) FILTER (contains(regexp_replace(text, '\\s+', '', 'g'), regexp_replace(ev, '\\s+', '', 'g'))) AS found FROM e GROUP BY doc_id"""
 )
 def evidence_contains(t):
@@ -936,7 +936,7 @@ def evidence_contains(t):
         "doc_id",
         (F.col("doc_id") % F.col("many")).alias("item"),
     ).join(items, "item").select("doc_id", "evidence")
-    own = d.where("length(text) > 50").select("doc_id", F.substring("text", 5, 40).alias("evidence"))
+    own = d.select("doc_id", F.substring("text", 5, 40).alias("evidence"))
     return SU.evidence_found(asked.unionByName(own), d, "doc_id").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("found").alias("found"),
@@ -967,15 +967,12 @@ def secrets_scan(t):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT p_brand FROM part), n AS (SELECT p_brand, count(*) AS n, max(strftime(l_shipdate, '%Y-%m-%d')) AS latest FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount > 0.08 GROUP BY p_brand)
+    """WITH p AS (SELECT DISTINCT p_brand FROM part), n AS (SELECT p_brand, count(*) AS n, max(strftime(l_shipdate, '%Y-%m-%d')) AS latest FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)
 SELECT p_brand, coalesce(n, 0) AS n, latest FROM p LEFT JOIN n USING (p_brand)"""
 )
 def wiki_index(t):
     """Every tag with its number of articles and newest date; tags without any are kept."""
-    used = t("lineitem").where("l_quantity = 50 and l_discount > 0.08").join(
-        t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"),
-        "l_partkey",
-    )
+    used = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     a = used.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("published"), F.array(F.struct(F.col("p_brand").alias("id"))).alias("tags"))
     return WI.index(a, t("part").select(F.col("p_brand").alias("tag_id")).distinct()).select(F.col("tag_id").alias("p_brand"), "n", "latest")
 

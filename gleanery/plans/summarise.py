@@ -176,20 +176,22 @@ def summarise(
     first = targets.orderBy(*newest).limit(limits.articles).select("article_id", F.col("text").isNotNull().alias("has"), "tokens").collect()
     places = [(r["article_id"], r["tokens"], most_tokens(r["tokens"])) for r in first if r["has"]]
     made: list[DataFrame] = []
-
     def ids(keys: list[str]) -> DataFrame:
         return spark.createDataFrame([(k,) for k in keys], "article_id string")
 
+    # What a run may call is read by every wave: a table of its own.
+    mine = kept("chosen", lambda: targets.join(F.broadcast(ids([k for k, _, _ in places])), "article_id"))
+
     def call(keys: list[str]) -> dict[str, int]:
         wave, pending, spent = len(made), keys, dict.fromkeys(keys, 0)
         for attempt in range(limits.retries + 1):
             def asked(pending=pending, attempt=attempt):
-                chosen = targets.join(F.broadcast(ids(pending)), "article_id").repartition(min(len(pending), spark.sparkContext.defaultParallelism))
+                chosen = mine.join(F.broadcast(ids(pending)), "article_id").repartition(min(len(pending), spark.sparkContext.defaultParallelism))
                 return called(chosen, make_provider, attempt)
 
             # Calls are kept as they came, so that no judgement has to call again; then they are judged.
             raw = kept(f"calls/{wave}.{attempt}", asked)
-            result = kept(f"judged/{wave}.{attempt}", lambda raw=raw: judged(raw, targets, run))
+            result = kept(f"judged/{wave}.{attempt}", lambda raw=raw: judged(raw, mine, run))
             made.append(result)
             told = result.select("article_id", "tokens_in", "again").collect()
             for r in told:

@@ -15,18 +15,19 @@ def windows(as_of: DataFrame, articles: DataFrame, days: int = 7, most: int = 12
     return both.select(F.inline(dates.week_windows(F.col("as_of"), F.col("earliest"), days, most)))
 
 
-def window_number(day, as_of, days: int):
-    """Which window counted back from ``as_of`` a day lies in: an equi join key instead of a range join."""
-    return F.floor(F.datediff(as_of, day) / days).cast("int")
+def days_of(weeks: DataFrame) -> DataFrame:
+    """``k, from, to, day``: a row for each day of each window, so that days meet their windows by an equi-join. At most
+    twelve windows of so many days: small enough to be sent to every task."""
+    return F.broadcast(weeks.select("k", "from", "to", F.explode(F.sequence("from", "to")).alias("day")))
 
 
 def members(weeks: DataFrame, articles: DataFrame, days: int) -> DataFrame:
     """``k, id, kind, version``: new articles by published day; changed ones are dated, not new in the week, and have
-    a changed body in it (their largest such version). At most twelve weeks: they are broadcast, articles stay."""
-    spans = F.broadcast(weeks.select("k", "from", "to"))
+    a changed body in it (their largest such version). Articles stay where they are (``days_of``)."""
+    spans = days_of(weeks)
     day = dates.published_day(F.col("published"))
     dated = articles.withColumn("day", day).where("day is not null")
-    new = dated.join(spans, F.col("day").between(F.col("from"), F.col("to"))).select(
+    new = dated.join(spans, "day").select(
         "k",
         "id",
         F.lit("new").alias("kind"),
@@ -34,10 +35,10 @@ def members(weeks: DataFrame, articles: DataFrame, days: int) -> DataFrame:
     )
     changes = dated.select(
         "id",
-        "day",
+        F.col("day").alias("published_day"),
         F.explode("versions").alias("v"),
-    ).where("v.change_type = 'content_changed'").withColumn("at", dates.jst_day(F.col("v.fetched_at")))
-    within = changes.join(spans, F.col("at").between(F.col("from"), F.col("to"))).where("day < `from` or day > `to`")
+    ).where("v.change_type = 'content_changed'").withColumn("day", dates.jst_day(F.col("v.fetched_at")))
+    within = changes.join(spans, "day").where("published_day < `from` or published_day > `to`")
     changed = within.groupBy("k", "id").agg(F.max("v.version").alias("version")).select("k", "id", F.lit("changed").alias("kind"), "version")
     return new.unionByName(changed)
 
@@ -51,13 +52,10 @@ def counts(weeks: DataFrame, articles: DataFrame, runs: DataFrame, days: int) ->
         F.count_if("open").alias("unsummarized"),
         F.count_if("bare").alias("untagged"),
     )
-    spans = F.broadcast(weeks.select("k", "from", "to"))
+    spans = days_of(weeks)
     seen = articles.where(dates.published_day(F.col("published")).isNull()).select(dates.jst_day(F.col("first_seen_at")).alias("day"))
-    unknown = seen.join(spans, F.col("day").between(F.col("from"), F.col("to"))).groupBy("k").agg(F.count(F.lit(1)).alias("date_unknown"))
-    ran = runs.select(dates.jst_day(F.col("started_at")).alias("day")).join(
-        spans,
-        F.col("day").between(F.col("from"), F.col("to")),
-    ).groupBy("k").agg(F.count(F.lit(1)).alias("runs"))
+    unknown = seen.join(spans, "day").groupBy("k").agg(F.count(F.lit(1)).alias("date_unknown"))
+    ran = runs.select(dates.jst_day(F.col("started_at")).alias("day")).join(spans, "day").groupBy("k").agg(F.count(F.lit(1)).alias("runs"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     names = ["new", "changed", "date_unknown", "unsummarized", "untagged", "runs"]
     return weeks.join(per, "k", "left").join(unknown, "k", "left").join(ran, "k", "left").select("k", "from", "to", *map(zero, names)).orderBy("k")
@@ -80,17 +78,14 @@ def tag_counts(weeks: DataFrame, articles: DataFrame, definitions: DataFrame, da
 
 def source_runs(weeks: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFrame:
     """Results of each source in the runs of each week; sources without any are kept, with nulls."""
-    spans = F.broadcast(weeks.select("k", "from", "to"))
     results = runs.select(
         "run_id",
         "started_at",
         dates.jst_day(F.col("started_at")).alias("day"),
         F.explode("sources").alias("s"),
-    ).join(spans, F.col("day").between(F.col("from"), F.col("to")))
+    ).join(days_of(weeks), "day")
     flat = results.select("k", "run_id", "started_at", "s.source_id", "s.status", "s.new", "s.changed", "s.error")
-    return weeks.select("k").crossJoin(
-        F.broadcast(sources.select("source_id", "name"))
-    ).join(flat, ["k", "source_id"], "left").orderBy("k", "source_id", "started_at")
+    return sources.select("source_id", "name").crossJoin(F.broadcast(weeks.select("k"))).join(flat, ["k", "source_id"], "left").orderBy("k", "source_id", "started_at")
 
 
 def items(weeks: DataFrame, articles: DataFrame, days: int) -> DataFrame:

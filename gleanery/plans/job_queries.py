@@ -6,9 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from gleanery.operators import layouts as LA
 from gleanery.operators import summaries as SU
 from gleanery.plans import summarise as SM
 from gleanery.plans import validate as VA
+from gleanery.plans.queries import PARTIAL_SQL, partial_value
 from gleanery.plans.record_queries import PUBLIC_SQL, public_data
 from gleanery.plans.registry import query, shared_folder
 from gleanery.sources import commits
@@ -135,3 +137,30 @@ def published_set(t):
     told = [("articles", "id", "latest_version"), ("status", "source_id", "n"), ("reports", "day", "n"), ("meta", "n_name", "n_nationkey")]
     parts = [s.table(name).select(F.lit(name).alias("tab"), F.col(key).alias("key"), F.col(n).cast("long").alias("n")) for name, key, n in told]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# ---------------------------------------------------------------- stored orders
+
+
+@query(
+    f"""WITH v AS (SELECT o_orderkey, {PARTIAL_SQL} AS v FROM orders), r AS (
+  SELECT o_orderkey, CASE length(v) WHEN 4 THEN v || '-01-01' WHEN 7 THEN v || '-01' ELSE substr(v, 1, 10) END AS lo,
+    CASE length(v) WHEN 4 THEN v || '-12-31' WHEN 7 THEN CAST(last_day(CAST(v || '-01' AS DATE)) AS VARCHAR) ELSE substr(v, 1, 10) END AS hi FROM v)
+SELECT o_orderkey, (SELECT count(*) FROM v WHERE v IS NULL) AS undated FROM r WHERE hi >= '1995-11-28' AND lo <= '1996-01-03'"""
+)
+def period_layout_search(t):
+    """a period over articles stored by first day: blocks that end before it or begin after it are not read."""
+    a = t("orders").select("o_orderkey", partial_value(F.col("o_orderkey"), F.to_date("o_orderdate")).alias("published"))
+    spark, folder = a.sparkSession, shared_folder(a.sparkSession, "by-day")
+    LA.write_by_day(a, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    unknown = LA.undated(spark, folder).select(F.col("n").alias("undated"))
+    return LA.in_period(spark, folder, "1995-11-28", "1996-01-03").select("o_orderkey").crossJoin(F.broadcast(unknown))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET (SELECT 50 * CAST(floor((count(*) - 1) / 100) AS BIGINT) FROM events)")
+def page_of_stored_order(t):
+    """The page in the middle of all events, newest first, from the ranges of a stored order that it lies in."""
+    e = t("events").select("ts", "event_id", "user_id", "event_type")
+    spark = e.sparkSession
+    stored = LA.write_pages(e, [F.col("ts").desc(), F.col("event_id")], shared_folder(spark, "pages"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return stored.page(50, (stored.total - 1) // 100 + 1).drop("ts")

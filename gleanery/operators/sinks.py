@@ -35,9 +35,15 @@ def cache_texts(bodies: DataFrame, folder: str) -> int:
 
 def commit_summaries(records: DataFrame, proposed: DataFrame, folder: str) -> tuple[int, int]:
     """Append summary records (a history: nothing is replaced) and tag names that are not known yet; how many of each.
-    Records of one article, version and time are one record, so a commit that is tried again appends none of them twice.
-    For writers side by side, or stopped between both tables, see ``plans.summarise``."""
-    added = append_new(records, f"{folder}/summaries", ["article_id", "article_version", "processed_at"])
+    Records of one article, version and time are one record, so a commit that is tried again appends none of them twice;
+    records that do not have these columns cannot be told apart and are appended each time. For writers side by side, or
+    stopped between both tables, see ``plans.summarise``."""
+    keys = ["article_id", "article_version", "processed_at"]
+    if set(keys) <= set(records.columns):
+        added = append_new(records, f"{folder}/summaries", keys)
+    else:
+        added = records.count()
+        records.write.mode("append").parquet(f"{folder}/summaries")
     known = _read(proposed, f"{folder}/tag_candidates")
     fresh = new_tag_names(proposed, known if known is not None else proposed.limit(0))
     return added, append_new(fresh.select(*proposed.columns), f"{folder}/tag_candidates", ["name"])

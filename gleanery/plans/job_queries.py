@@ -70,7 +70,7 @@ c AS (SELECT *, CASE k WHEN 0 THEN 50 WHEN 1 THEN 150 WHEN 2 THEN 50 WHEN 3 THEN
   SELECT n, doc_id, k, tokens <= 7000 AS taken, CASE WHEN tokens <= 7000 THEN cost ELSE 0 END AS used FROM c WHERE n = 1
   UNION ALL SELECT c.n, c.doc_id, c.k, s.used + c.tokens <= 7000, s.used + CASE WHEN s.used + c.tokens <= 7000 THEN c.cost ELSE 0 END FROM s JOIN c ON c.n = s.n + 1 AND c.n <= 60)
 SELECT f.doc_id, CASE WHEN NOT coalesce(taken, false) THEN 'failed_limit_exceeded' WHEN f.k IN (0, 3) THEN 'success' WHEN f.k = 1 THEN 'failed_invalid_output' WHEN f.k = 2 THEN 'failed_refusal' ELSE 'failed_api_error' END AS status,
-  CASE WHEN taken THEN CASE f.k WHEN 0 THEN 50 WHEN 1 THEN 150 WHEN 2 THEN 50 WHEN 3 THEN 150 END END AS tokens, CAST(CASE WHEN taken AND f.k IN (1, 3, 5) THEN 2 ELSE 0 END AS INTEGER) AS retries
+  CASE WHEN taken THEN CASE f.k WHEN 0 THEN 50 WHEN 1 THEN 150 WHEN 2 THEN 50 WHEN 3 THEN 150 END END::VARCHAR AS tokens, CAST(CASE WHEN taken AND f.k IN (1, 3, 5) THEN 2 ELSE 0 END AS INTEGER) AS retries
 FROM f LEFT JOIN s ON s.doc_id = f.doc_id"""
 )
 def summarise_run(t):
@@ -97,7 +97,7 @@ def summarise_run(t):
         except _Stopped:
             continue
     records = commits.snapshot(spark, f"{folder}/set").table("records")
-    return records.select(F.col("article_id").cast("long").alias("doc_id"), F.col("analysis_status").alias("status"), F.col("input_tokens").alias("tokens"), "retries")
+    return records.select(F.col("article_id").cast("long").alias("doc_id"), F.col("analysis_status").alias("status"), F.col("input_tokens").cast("string").alias("tokens"), "retries")
 
 
 @query(

@@ -186,7 +186,7 @@ def test_summaries(spark):
 
 
 def answer(**k):
-    return json.dumps({"summary": "s", "key_points": [], "targets": [], "dates": [], "ai_tags": [], "uncertainties": []} | k)
+    return json.dumps({"summary": "s", "key_points": [], "targets": [], "dates": [], "ai_tags": [], "new_tag_suggestions": [], "uncertainties": []} | k)
 
 
 def test_answers_and_retries(spark):

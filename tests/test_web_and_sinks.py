@@ -50,6 +50,9 @@ def test_sinks(spark, tmp_path):
     names = spark.createDataFrame([("n1", "a", "t1"), ("n1", "b", "t2"), ("n2", "b", "t2")], "name string, article_id string, first_seen_at string")
     assert sinks.commit_summaries(records, names, f"{tmp_path}/s") == (1, 2) and sinks.commit_summaries(records, names, f"{tmp_path}/s") == (1, 0)
     assert spark.read.parquet(f"{tmp_path}/s/summaries").count() == 2
+    whole = spark.createDataFrame([("a", 1, "t1", "failed_refusal"), ("a", 1, "t2", "success")], "article_id string, article_version int, processed_at string, analysis_status string")
+    assert sinks.commit_summaries(whole.limit(1), names.limit(0), f"{tmp_path}/w") == (1, 0)
+    assert sinks.commit_summaries(whole, names.limit(0), f"{tmp_path}/w") == (1, 0) and sinks.commit_summaries(whole, names.limit(0), f"{tmp_path}/w") == (0, 0)
     sinks.comparison(records, spark.createDataFrame([("a", "T")], "article_id string, title string"), f"{tmp_path}/c")
     line = next((tmp_path / "c").glob("part-*.json")).read_text()
     assert json.loads(line) == {"article_id": "a", "status": "success", "title": "T"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass, replace
 from urllib.parse import parse_qs, urlencode
 
@@ -61,12 +62,15 @@ def has_tag(tag: str) -> Column:
     return F.exists("tags", lambda t: t["id"] == tag)
 
 
-def has_terms(text: Column, q: str) -> Column:
-    """All white-space separated terms occur in a folded text."""
-    import unicodedata
+def folded_terms(q: str) -> list[str]:
+    """White-space separated terms of a request, case and width folded."""
+    return unicodedata.normalize("NFKC", q).lower().split()
+
 
+def has_terms(text: Column, q: str) -> Column:
+    """All terms of a request occur in a folded text."""
     test = F.lit(True)
-    for term in unicodedata.normalize("NFKC", q).lower().split():
+    for term in folded_terms(q):
         test &= text.contains(term)
     return test
 

@@ -11,24 +11,38 @@ DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
 
 
 def test_needed_literals():
-    def needs(pattern, *literals):
-        got = MR.needed_literals(pattern)
-        assert got == (frozenset(literals) if literals else None), (pattern, got)
+    def needs(pattern, *sets):
+        """Sets as words apart by |, whole words in quotes."""
+        want = {frozenset((w.strip("'"), w[0] == "'") for w in each.split("|")) for each in sets}
+        assert set(MR.needed_literals(pattern)) == want, pattern
 
     needs("Price", "price")
-    needs(r"\bdata\s+model\b", "model")
-    needs("cat|horse", "cat", "horse")
+    needs(r"\bdata\s+model\b", "'data'", "'model'", "'data model'")
+    needs(r"\bdata\b\s\bbase\b.\bx1\W*y2\b", "'data'", "'base'", "'data base'", "x1", "y2")
+    needs(r"\bdata\s+(?!of)\bmodel\b", "'data'", "'model'")
+    needs(r"(?<![a-z0-9])Data[^a-z0-9]+in(?!\w)", "'data'", "'in'", "'data in'")
+    needs(r"(?<![a-z])data(?![a-z0-9])", "data")
+    needs(r"(?<!\w)data(?<!\w)", "data")
+    needs(r"\bdata models\b", "data models")
+    needs(r"[^a-z0-9]data\W", "'data'")
+    needs(r"[^a-z]data\W?x", "data")
+    needs(r"(?a)\bdata\b")
+    needs("cat|horse", "cat|horse")
     needs("cat|.")
     needs("[0-9]+")
-    needs("(?:spark|flink){1,2}s?", "spark", "flink")
+    needs("(?:spark|flink){1,2}s?", "spark|flink")
     needs("(?:spark)?x")
     needs("(?:spark)?xy", "xy")
+    needs("(?-i:spark)xy", "xy")
     needs("個人情報(?!保護)", "個人情報")
     needs("法", "法")
-    needs("naïve bayes", "ve bayes")
+    needs("naïve bayes", "na", "ve bayes")
     needs("(?P<a>ab)(?P=a)c", "ab")
     needs("(?=abc)...")
     needs("")
+    assert MR.anchor(r"\ba\s+bc\b") == (("a bc", True), 0)
+    assert MR.anchor(r"\bx[ab]data") == (("data", False), 2) and MR.anchor("x*data") is None
+    assert all(len(MR.folded(chr(c))) == 1 for c in range(0x110000) if not 0xD800 <= c < 0xE000)
 
 
 def rule(k, pattern):
@@ -74,7 +88,7 @@ def test_five_thousand_rules_equal_one_by_one(spark):
     docs = spark.read.parquet(DOCUMENTS).selectExpr("doc_id AS article_id", "source AS title", "text AS body").collect()
     rng = random.Random(5)
     words = sorted({w for d in docs for w in re.findall(r"\w+", d["body"] or "")})
-    forms = [r"\b{0}\b", "{0}", "{0}s?", r"(?:{0}|{1})\W", r"{0}\s+\w*{1}", "[{0}]+q", "(?={0}){0}"]
+    forms = [r"\b{0}\b", "{0}", "{0}s?", r"(?:{0}|{1})\W", r"{0}\s+\w*{1}", "[{0}]+q", "(?={0}){0}", r"(?<![a-z0-9]){0}[^a-z0-9]+{1}(?![a-z0-9])", r".{0}\b", r"(?:^|\s){0}"]
     rules = [rule(k, rng.choice(forms).format(rng.choice(words), rng.choice(words))) for k in range(5000)]
     got = sorted(map(tuple, MR.matches(spark.createDataFrame(docs), rules).collect()))
     some = rng.sample(docs, 12)

@@ -515,9 +515,18 @@ def _listed(t) -> DataFrame:
     return o.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"))
 
 
+#: Items of one body at most, and the span of keys whose items of a source are put in order together.
+_BODY_ITEMS, _BODY_SPAN = 1_000, 25_000
+
+
 def _bodies(items: DataFrame, head, tail) -> DataFrame:
-    """One XML body a source from its items, in order of their keys."""
-    grouped = items.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "xml"))).alias("items"))
+    """XML bodies from the items of each source, in order of their keys. As large feeds and sitemaps do, a source comes in
+    several bodies, so that none of them, no group and no task grows with the source."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("source", "span").orderBy("k")) - 1
+    paged = items.withColumn("span", F.expr(f"k div {_BODY_SPAN}")).withColumn("page", (place / _BODY_ITEMS).cast("int"))
+    grouped = paged.groupBy("source", "span", "page").agg(F.array_sort(F.collect_list(F.struct("k", "xml"))).alias("items"))
     body = F.concat(head, F.array_join(F.transform("items", lambda i: i["xml"]), ""), tail)
     return grouped.select("source", F.lit("https://example.org/").alias("base"), body.cast("binary").alias("body"))
 
@@ -527,7 +536,7 @@ SELECT source, CASE WHEN k % 50 <> 0 THEN 'https://example.org/i/' || k END AS u
   CASE WHEN k % 50 = 0 OR k % 11 = 0 THEN NULL WHEN kind = 0 THEN strftime(d, '%Y-%m-%d') || 'T10:00:00+09:00' ELSE strftime(d, '%Y-%m-%d') END AS published FROM o
 UNION ALL SELECT 'bad', NULL, NULL, NULL, NULL""")
 def feed_scan(t):
-    """RSS 2.0, Atom and RSS 1.0 bodies, one for each nation; a broken body gives one row."""
+    """RSS 2.0, Atom and RSS 1.0 bodies, of one kind for each nation; a broken body gives one row."""
     from gleanery.sources import feeds
 
     o = _listed(t)

@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import pytest
 
@@ -29,6 +30,21 @@ def test_sitemap():
         list(feeds.sitemap_items(b"<sitemapindex/>", "https://a.jp"))
 
 
+def test_large_bodies_are_read_piece_by_piece(spark):
+    item = "<item><title>T</title><link>/{}</link><x><item><link>/{}/inner</link></item></x></item>"
+    body = ("<rss><channel>" + "".join(item.format(k, k) for k in range(30_000)) + "</channel></rss>").encode()
+    tracemalloc.start()
+    count = sum(1 for _ in feeds.feed_items(body, "https://a.jp/"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 60_000 and len(body) > 2 * feeds._LARGE and peak < len(body)
+    df = spark.createDataFrame([("whole", "https://a.jp/", body), ("broken", "https://a.jp/", body[:-9])], "source string, base string, body binary")
+    got = feeds.candidates(df, feeds.feed_items).select("source", "position", "url", "error").collect()
+    assert [r["position"] for r in got if r["source"] == "broken"] == [0] and got[-1]["error"]
+    assert [(r["position"], r["url"]) for r in got[:3]] == [(0, "https://a.jp/0"), (1, "https://a.jp/0/inner"), (2, "https://a.jp/1")]
+    assert len(got) == 60_001
+
+
 LIST = """<body><nav><a href="/nav">nav</a></nav><ul class="news"><li class="card"><span class="date">令和8年9月1日</span><a href="/1"><b class="t">One</b> x</a></li>
 <li class="card"><time datetime="2026-09-02">Sept</time><a href="/2#x">Two（令和7年1月1日）</a></li><li class="card"><a href="/2">Again</a></li><li class="card"><a href="javascript:x">js</a></li>
 <li><a href="/old/3">Three</a> 2026年9月</li></ul><a class="next" href="?page=2">next</a></body>"""

@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from gleanery.plans.catalog import ORACLES, QUERIES
+from gleanery.sources import feeds
 
 
 def tables(spark, path, **found):
@@ -67,3 +68,25 @@ def test_answers_to_short_blank_and_composed_texts(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
     want = con.sql(f"SELECT doc_id, problem, notes, dates, tags FROM ({ORACLES['judged_answers']})").fetchall()
     assert sorted(map(tuple, QUERIES["judged_answers"](spark, path).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["feed_scan"])
+def test_large_sources_come_in_several_bodies(spark, tmp_path, monkeypatch, name):
+    duckdb = pytest.importorskip("duckdb")
+    day = datetime.datetime(1995, 5, 1)
+    keys = [*range(2_500), *[7] * 1_200, *range(60_000, 60_100), 10**10, -5]
+    path = tables(spark, tmp_path, customer=([(1, 3), (2, 4)], "c_custkey long, c_nationkey int"), orders=([(k, 1 + (k % 100 == 99), day) for k in keys], "o_orderkey long, o_custkey long, o_orderdate timestamp"))
+    sizes, whole = [], feeds.candidates
+
+    def counted(bodies, parse, **options):
+        sizes.extend(r["body"].count(b"<item>") + r["body"].count(b"<entry>") + r["body"].count(b"<url>") for r in bodies.collect())
+        return whole(bodies, parse, **options)
+
+    monkeypatch.setattr(feeds, "candidates", counted)
+    got = QUERIES[name](spark, path)
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert sum(sizes) == len(keys) and max(sizes) == 1_000

@@ -45,6 +45,15 @@ def test_large_bodies_are_read_piece_by_piece(spark):
     assert len(got) == 60_001
 
 
+def test_large_sitemaps_are_read_piece_by_piece():
+    body = ("<urlset>" + "".join(f"<url><loc>/{k}</loc><x>y</x></url>" for k in range(50_000)) + "</urlset>").encode()
+    tracemalloc.start()
+    count = sum(1 for _ in feeds.sitemap_items(body, "https://a.jp/"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 50_000 and peak < len(body)
+
+
 LIST = """<body><nav><a href="/nav">nav</a></nav><ul class="news"><li class="card"><span class="date">令和8年9月1日</span><a href="/1"><b class="t">One</b> x</a></li>
 <li class="card"><time datetime="2026-09-02">Sept</time><a href="/2#x">Two（令和7年1月1日）</a></li><li class="card"><a href="/2">Again</a></li><li class="card"><a href="javascript:x">js</a></li>
 <li><a href="/old/3">Three</a> 2026年9月</li></ul><a class="next" href="?page=2">next</a></body>"""

@@ -70,7 +70,7 @@ def test_answers_to_short_blank_and_composed_texts(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["judged_answers"](spark, path).collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["feed_scan"])
+@pytest.mark.parametrize("name", ["feed_scan", "sitemap_scan"])
 def test_large_sources_come_in_several_bodies(spark, tmp_path, monkeypatch, name):
     duckdb = pytest.importorskip("duckdb")
     day = datetime.datetime(1995, 5, 1)
